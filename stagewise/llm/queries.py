@@ -4,22 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import fingerprint, mixing, quality, tokenfile
 from .shared import table
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.search(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_curriculum_mix, op10_quality_cascade)}
+    return {f.__name__: f for f in (op5_token_file, op8_curriculum_mix, op9_simhash, op10_quality_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,3 +49,28 @@ def text_of(column: str | Column) -> Column:
 def tasks(spark: SparkSession) -> int:
     """Number of partitions that the cluster's owner wants for a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def cut_points(df: DataFrame, column: str, parts: int) -> list[float]:
+    """Values, descending, that deal a numeric column's rows into about equal ranges. At most parts - 1, so small enough for a plan."""
+    if parts < 2:
+        return []
+    return sorted(set(df.where(F.col(column).isNotNull()).approxQuantile(column, [i / parts for i in range(1, parts)], 0.25 / parts)), reverse=True)
+
+
+def range_of(column: str, cuts: list[float]) -> Column:
+    """The number of the first descending cut below the column's value, by halving; the last number for a null."""
+
+    def below(lo: int, hi: int) -> Column:
+        mid = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(F.col(column) > F.lit(cuts[mid]), below(lo, mid)).otherwise(below(mid + 1, hi))
+
+    return below(0, len(cuts))
+
+
+#: Cuts between ranges are part of the plan, so they are few enough for one expression.
+MOST_RANGES = 1024
+
+
+def ranges(spark: SparkSession) -> int:
+    return min(MOST_RANGES, max(1, tasks(spark)))
