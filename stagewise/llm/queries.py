@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, quality, tokenfile
+from . import fingerprint, mixing, quality, tokenfile, warc
 from .shared import table
 
 
@@ -15,6 +15,10 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_file, op8_curriculum_mix, op9_simhash, op10_quality_cascade)}
+    return {f.__name__: f for f in (op5_token_file, op6_warc_bundles, op8_curriculum_mix, op9_simhash, op10_quality_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:

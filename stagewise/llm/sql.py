@@ -51,3 +51,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_lettered < 7 * n_words OR 2 * n_upper > word_chars) AS kept
 FROM b
 """
+
+op6_warc_bundles = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (
+  SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, unhex(sha1(payload)) AS h,
+         max(page_id) OVER (PARTITION BY sha1(payload)) AS winner
+  FROM p),
+b AS (SELECT *, (SELECT string_agg(chr(CAST(CASE WHEN v < 26 THEN 65 + v ELSE 24 + v END AS INTEGER)), '' ORDER BY i)
+                 FROM (SELECT i, CAST(('0b' || substr(bits, CAST(i * 5 + 1 AS BIGINT), 5)) AS INTEGER) AS v
+                       FROM (SELECT unnest(generate_series(0, 31)) AS i, CAST(CAST(h AS BIT) AS VARCHAR) AS bits))) AS payload_digest FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN winner IS NOT NULL AND page_id IS DISTINCT FROM winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN winner IS NOT NULL AND page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+FROM b
+"""
