@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Characters of text that are encoded at once, and bytes up to which a word counts as short.
-GROUP, LONG = 4 << 20, 64
+GROUP, LONG = 2 << 20, 64
 #: New words that one query encodes, and words that a worker remembers before it starts anew.
-AT_ONCE, REMEMBERED = 50_000, 600_000
+AT_ONCE, REMEMBERED = 50_000, 800_000
 
 PAIRS = """
   SELECT s.*, id FROM (
@@ -122,8 +122,13 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.find(x) for x in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, x)) for x in split]
+        found = [list(map(self.known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        if new:
+            emptied = len(self.known) + len(new) > REMEMBERED
+            self.learn(set().union(*split) if emptied else new)
+            found = [list(map(self.known.get, words)) if None in ids or emptied else ids for words, ids in zip(split, found, strict=True)]
+        return [b"".join(ids) for ids in found]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         out = [b""] * len(ids)

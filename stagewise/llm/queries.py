@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, quality, tokenfile, warc
+from . import bpe, chat, fingerprint, mixing, quality, tokenfile, warc
 from .shared import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.with_hostile(table(spark, sf_dir, "conversations"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -36,7 +40,7 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op5_token_file, op6_warc_bundles, op8_curriculum_mix, op9_simhash, op10_quality_cascade)}
+    return {f.__name__: f for f in (op1_chat_format, op4_byte_bpe, op5_token_file, op6_warc_bundles, op8_curriculum_mix, op9_simhash, op10_quality_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,3 +66,20 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN winner IS NOT NULL AND page_id IS DISTINCT FROM winner THEN winner END AS refers_to
 FROM b
 """
+
+op1_chat_format = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(role) + length(text) + 17
+            + len(regexp_extract_all(role || chr(0) || text, '\\|<\||\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) + len(regexp_extract_all(role, '\n')) AS size
+  FROM c)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars, false AS rewrites_history
+FROM e GROUP BY conv_id
+"""
