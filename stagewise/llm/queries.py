@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprint, mixing, quality, tokenfile, warc
+from . import bpe, chat, fingerprint, mixing, quality, tokenfile, toxicity, warc
 from .shared import table
 
 
@@ -27,6 +27,11 @@ def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op4_byte_bpe, op5_token_file, op6_warc_bundles, op8_curriculum_mix, op9_simhash, op10_quality_cascade)}
+    return {f.__name__: f for f in (op1_chat_format, op4_byte_bpe, op5_token_file, op6_warc_bundles, op7_toxicity, op8_curriculum_mix, op9_simhash, op10_quality_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
