@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 #: Characters of text that are encoded at once, and bytes up to which a word counts as short.
 GROUP, LONG = 2 << 20, 64
 #: New words that one query encodes, and words that a worker remembers before it starts anew.
-AT_ONCE, REMEMBERED = 50_000, 800_000
+AT_ONCE, REMEMBERED = 50_000, 1_500_000
 
 PAIRS = """
   SELECT s.*, id FROM (
@@ -35,7 +37,7 @@ PAIRS = """
 
 LAST = """
 SELECT word, list(tok ORDER BY pos) AS ids
-FROM (SELECT s.* FROM step s JOIN (SELECT word, max(n) AS n FROM step GROUP BY word) USING (word, n)) GROUP BY word ORDER BY word"""
+FROM (SELECT s.* FROM step s JOIN (SELECT word, max(n) AS n FROM step WHERE pos = 0 GROUP BY word) USING (word, n)) GROUP BY word ORDER BY word"""
 
 LEFTMOST = f"""
 WITH RECURSIVE step(n, word, pos, tok) AS (
@@ -62,6 +64,25 @@ WITH RECURSIVE step(n, word, pos, tok) AS (
 DECODE = "SELECT doc, string_agg(piece, '' ORDER BY i) AS text FROM given JOIN pieces USING (id) GROUP BY doc ORDER BY doc"
 
 
+def ascii_pattern(pattern: str) -> str | None:
+    """The pattern for texts in ASCII, in the syntax of the faster standard module; None if it asks for more than is known here."""
+    blank = r" \t\n\r\x0b\x0c"
+    for theirs, ours in ((r"[^\s\p{L}\p{N}]", f"[^{blank}A-Za-z0-9]"), (r"\p{L}", "[A-Za-z]"), (r"\p{N}", "[0-9]"), (r"\s", f"[{blank}]"), (r"\S", f"[^{blank}]")):
+        pattern = pattern.replace(theirs, ours)
+    return None if re.search(r"\\[pPwWdDbBX]|\[\[", pattern) else pattern
+
+
+def missing(found: list) -> Iterator[int]:
+    """Where the Nones are."""
+    at = -1
+    while True:
+        try:
+            at = found.index(None, at + 1)
+        except ValueError:
+            return
+        yield at
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """The vocabulary: lines of a base64 token and its rank."""
     with open(path, "rb") as f:
@@ -76,6 +97,8 @@ class Bpe:
         import regex
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
+        narrow = ascii_pattern(pattern)
+        self.find_ascii = narrow and re.compile(narrow).findall
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
@@ -101,7 +124,7 @@ class Bpe:
         data = np.frombuffer(b"".join(words), np.uint8)
         pos = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         got = self.query(sql, word=np.repeat(np.arange(len(words), dtype=np.int32), sizes), pos=pos.astype(np.int32), tok=self.single[data])
-        return [np.array(ids, "<u4").tobytes() for _, ids in got]
+        return [array("I", ids).tobytes() for _, ids in got]
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
@@ -121,13 +144,15 @@ class Bpe:
                     self.known[w] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.find(x) for x in texts]
+        split = [self.find_ascii(x) if self.find_ascii and x.isascii() else self.find(x) for x in texts]
         found = [list(map(self.known.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        if new:
-            emptied = len(self.known) + len(new) > REMEMBERED
-            self.learn(set().union(*split) if emptied else new)
-            found = [list(map(self.known.get, words)) if None in ids or emptied else ids for words, ids in zip(split, found, strict=True)]
+        gaps = [(words, ids, list(missing(ids))) for words, ids in zip(split, found, strict=True) if None in ids]
+        if gaps:
+            new = {words[i] for words, _, at in gaps for i in at}
+            self.learn(new)
+            for words, ids, at in gaps:
+                for i in at:
+                    ids[i] = self.known[words[i]]
         return [b"".join(ids) for ids in found]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
