@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprint, mixing, neardup, quality, tokenfile, toxicity, warc
+from . import bpe, chat, fingerprint, linedup, mixing, neardup, quality, tokenfile, toxicity, warc
 from .shared import table
 
 
@@ -15,6 +15,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.with_hostile(table(spark, sf_dir, "conversations"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_minhash_near_dedup, op4_byte_bpe, op5_token_file, op6_warc_bundles, op7_toxicity, op8_curriculum_mix, op9_simhash, op10_quality_cascade)}
+    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_minhash_near_dedup, op4_byte_bpe, op5_token_file, op6_warc_bundles, op7_toxicity, op8_curriculum_mix, op9_simhash, op10_quality_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
