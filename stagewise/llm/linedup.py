@@ -37,34 +37,41 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(WORD))
 
 
-def cuts(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def cuts(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """Where segment i of a line of this length begins, from 1, and its length: the longer segments come last."""
-    size, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    extra = F.greatest(F.lit(i) - (F.lit(parts) - longer), F.lit(0))
-    return (size * i + extra + 1).cast("int"), (size + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)).cast("int")
+    longer = length % parts
+    size = ((length - longer) / parts).cast("int")
+    extra = F.greatest(i + longer - parts, F.lit(0))
+    return size * i + extra + 1, size + F.when(i + longer >= parts, 1).otherwise(0)
 
 
-def own_keys(line: Column, max_edits: int) -> Column:
-    """The keys under which a line is entered."""
-    n, keys = F.length(line), []
-    for i in range(max_edits + 1):
-        start, size = cuts(n, i, max_edits + 1)
-        keys.append(F.xxhash64(n, F.lit(i), F.substring(line, start, size)))
-    return F.array(*keys)
+def keyed(lines: DataFrame, ways: list[tuple[int, int, int]], max_edits: int) -> DataFrame:
+    """(lid, key) of each line in each of the ways (less, i, shift): the substring that begins `shift` after where
+    segment i begins in a line that is `less` shorter, and is as long as that segment, under that line's length.
 
+    The ways are rows before they are keys: one short expression for all, which the JVM can compile.
+    """
+    way = F.explode(F.array(*[F.struct(*(F.lit(x).alias(c) for x, c in zip(w, ("less", "i", "shift"), strict=True))) for w in ways])).alias("way")
+    rows = lines.select("lid", "line", F.length("line").alias("n"), way).select("lid", "line", "n", (F.col("n") - F.col("way.less")).alias("m"), "way.i", "way.shift")
+    start, size = cuts(F.col("m"), F.col("i"), max_edits + 1)
+    rows = rows.select("lid", "line", "n", "m", "i", (start + F.col("shift")).alias("at"), size.alias("size"))
+    rows = rows.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
+    return rows.select("lid", F.xxhash64("m", "i", F.substring("line", F.col("at"), F.col("size"))).alias("key"))
+
+
+def own_ways(max_edits: int) -> list[tuple[int, int, int]]:
+    """The ways in which a line is entered."""
+    return [(0, i, 0) for i in range(max_edits + 1)]
 
-def asked_keys(line: Column, max_edits: int) -> Column:
-    """The keys under which lines of the same length or up to max_edits less can be found that are within max_edits."""
-    n, keys = F.length(line), []
+
+def asked_ways(max_edits: int) -> list[tuple[int, int, int]]:
+    """The ways in which a line asks for those of its length or up to max_edits less that are within max_edits."""
+    out = []
     for less in range(max_edits + 1):
         for i in range(max_edits + 1):
-            start, size = cuts(n - less, i, max_edits + 1)
             after = max_edits - i
-            for shift in range(max(-i, less - after), min(i, less + after) + 1):
-                at = start + shift
-                inside = (at >= 1) & (at + size - 1 <= n)
-                keys.append(F.when(inside, F.xxhash64(n - less, F.lit(i), F.substring(line, at, size))))
-    return F.array_compact(F.array(*keys))
+            out += [(less, i, shift) for shift in range(max(-i, less - after), min(i, less + after) + 1)]
+    return out
 
 
 def one_bit(n: Column) -> Column:
@@ -76,6 +83,18 @@ def parity(chars: Column) -> Column:
     return F.aggregate(chars, F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(one_bit(F.ascii(c) % 64)))
 
 
+def pair_parity(line: Column) -> Column:
+    """The same for 64 classes of neighbouring characters, each with the one before it; an edit turns four at most."""
+    codes = F.transform(F.split(line, ""), F.ascii)
+    pairs = F.zip_with(codes, F.concat(F.array(F.lit(0)), codes), lambda c, before: F.coalesce(c * 7 + before * 29, F.lit(0)) % 64)
+    return F.aggregate(F.slice(pairs, 1, F.length(line)), F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(one_bit(c)))
+
+
+def bound(x: Column, use) -> Column:
+    """use(x), with x made once, as a lambda's argument, however often it is used."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     """Whether two arrays of characters, whose lengths differ by max_edits at most, are within max_edits edits.
 
@@ -83,9 +102,7 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     where a row is one more than the row above, of `down` where it is one less. The distance is carried down
     the lowest diagonal of the band until that meets the last row, then along that row.
     """
-    # as a lambda's argument the arrays are made once, not anew for every character
-    pair = F.array(F.struct(a.alias("a"), b.alias("b")))
-    return F.get(F.transform(pair, lambda p: within_band(p["a"], p["b"], max_edits)), 0)
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda p: within_band(p["a"], p["b"], max_edits))
 
 
 def within_band(a: Column, b: Column, max_edits: int) -> Column:
@@ -104,18 +121,20 @@ def within_band(a: Column, b: Column, max_edits: int) -> Column:
     def move(held: Column, x: Column) -> Column:
         eq, j = x.bitwiseAND(band), F.floor(x / (1 << (2 * k + 1)))
         up, down = held["up"], held["down"]
-        level = ((((eq.bitwiseAND(up)) + up).bitwiseXOR(up)).bitwiseOR(eq).bitwiseOR(down)).bitwiseAND(band)  # rows that equal their upper left neighbour
-        right_up = down.bitwiseOR(band.bitwiseXOR(level.bitwiseOR(up)))
-        right_down = level.bitwiseAND(up)
-        below = F.shiftright(level, 1)
-        row = one_bit(m - j + k)
-        along = F.when(right_up.bitwiseAND(row) != 0, 1).when(right_down.bitwiseAND(row) != 0, -1).otherwise(0)
-        diagonal = F.when(level.bitwiseAND(F.lit(1 << (2 * k))) == 0, 1).otherwise(0)
-        return F.struct(
-            right_down.bitwiseOR(band.bitwiseXOR(below.bitwiseOR(right_up))).alias("up"),
-            below.bitwiseAND(right_up).alias("down"),
-            (held["distance"] + F.when(j <= m - k, diagonal).otherwise(along)).cast("int").alias("distance"),
-        )
+        equal = ((((eq.bitwiseAND(up)) + up).bitwiseXOR(up)).bitwiseOR(eq).bitwiseOR(down)).bitwiseAND(band)  # rows that equal their upper left neighbour
+
+        def moved(level: Column, more: Column) -> Column:
+            """more: the rows that are one more than their left neighbour."""
+            less, below, row = level.bitwiseAND(up), F.shiftright(level, 1), one_bit(m - j + k)
+            along = F.when(more.bitwiseAND(row) != 0, 1).when(less.bitwiseAND(row) != 0, -1).otherwise(0)
+            diagonal = F.when(level.bitwiseAND(F.lit(1 << (2 * k))) == 0, 1).otherwise(0)
+            return F.struct(
+                less.bitwiseOR(band.bitwiseXOR(below.bitwiseOR(more))).alias("up"),
+                below.bitwiseAND(more).alias("down"),
+                (held["distance"] + F.when(j <= m - k, diagonal).otherwise(along)).cast("int").alias("distance"),
+            )
+
+        return bound(equal, lambda level: bound(down.bitwiseOR(band.bitwiseXOR(level.bitwiseOR(up))), lambda more: moved(level, more)))
 
     first = F.struct(
         F.lit(((1 << (k + 1)) - 1) << k).cast("long").alias("up"),
@@ -149,8 +168,8 @@ def links(docs: DataFrame, known: DataFrame, max_edits: int, least_chars: int) -
     at = place(F.col("doc_id"), F.col("line_no"))
     lines = split_lines(docs).where(F.length("line") >= least_chars).select(F.xxhash64("line").alias("lid"), at.alias("at"), "line")
     lines = lines.join(frequent, (F.col("lid") == F.col("hot")) & (F.col("at") != F.col("first")), "left_anti")
-    entered = lines.select(F.col("lid").alias("u"), F.explode(own_keys(F.col("line"), max_edits)).alias("key"))
-    asked = lines.select(F.col("lid").alias("v"), F.explode(asked_keys(F.col("line"), max_edits)).alias("key"))
+    entered = keyed(lines, own_ways(max_edits), max_edits).withColumnRenamed("lid", "u")
+    asked = keyed(lines, asked_ways(max_edits), max_edits).withColumnRenamed("lid", "v")
     n = tasks(spark)
     met = entered.repartition(n, "key").dropDuplicates(["key", "u"]).join(asked.repartition(n, "key").dropDuplicates(["key", "v"]), "key").where("u <> v")
     pairs = stash(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "line-pairs")
@@ -161,9 +180,10 @@ def links(docs: DataFrame, known: DataFrame, max_edits: int, least_chars: int) -
     held = numbered.join(by_doc, F.col("doc_number") == F.col("number")).select(F.split("text", "\n").alias("lines"), F.explode("firsts").alias("f"))
     held = held.select("f.h", "f.lid", "f.first", F.get("lines", F.col("f.line_no")).alias("line")).where(F.unhex(F.md5("line")) == F.col("h"))
     chars = F.split("line", "")
-    held = stash(held.dropDuplicates(["h"]).select("h", "lid", "first", "line", parity(chars).alias("odd")), "lines-met")
+    held = stash(held.dropDuplicates(["h"]).select("h", "lid", "first", "line", parity(chars).alias("odd"), pair_parity(F.col("line")).alias("odd_pairs")), "lines-met")
     left, right = (held.select(*(F.col(c).alias(f"{x}_{c}") for c in held.columns)) for x in "uv")
-    both = pairs.join(left, F.col("u") == F.col("u_lid")).join(right, (F.col("v") == F.col("v_lid")) & (F.bit_count(F.col("u_odd").bitwiseXOR(F.col("v_odd"))) <= 2 * max_edits))
+    alike = [F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) <= most for c, most in (("odd", 2 * max_edits), ("odd_pairs", 4 * max_edits))]
+    both = pairs.join(left, F.col("u") == F.col("u_lid")).join(right, (F.col("v") == F.col("v_lid")) & alike[0] & alike[1])
     close = F.abs(F.length("u_line") - F.length("v_line")) <= max_edits
     near = both.where(close).where(within_edits(F.split("u_line", ""), F.split("v_line", ""), max_edits))
     return near.select(F.col("u_h").alias("u"), F.col("u_first").alias("u_first"), F.col("v_h").alias("v"), "v_first")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -28,7 +29,7 @@ MAGIC = b"TOKSHRD1"
 TAIL = struct.Struct("<QQ8s")
 LEVEL = 3
 #: Words whose ids a Python worker remembers; beyond this it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -48,22 +49,55 @@ class WordIds:
         self.tokenizer = tokenizer(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
+        self.lowers = '"Lowercase"' in self.tokenizer.to_str()[:4096]
+
+    def folded(self, text: str) -> bytes:
+        """The text in UTF-8; in lower case where that changes no id: the tokenizer lowers too, but not before it has
+        found its special tokens and composed characters. Latin-1 has nothing to compose."""
+        if self.lowers and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.encode()
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
+        """Ids of new words. Letters and one point or comma are two words to the tokenizer, so the letters' ids serve both."""
+        if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-            new = list(words)
-        kind = f"<u{self.width}"
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
+        ended = [w for w in words if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()]
+        plain = list((words.difference(ended) | {w[:-1] for w in ended} | {b".", b","}) - self.known.keys())
+        kind = "H" if self.width == 2 else "I"
+        for lo in range(0, len(plain), 4096):
+            part = plain[lo : lo + 4096]
             for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, kind).tobytes()
+                self.known[word] = array(kind, got.ids).tobytes()
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.encode().split() for x in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, x)) for x in split]
+        split = [self.folded(x).split() for x in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps = [(words, ids, list(missing(ids))) for words, ids in zip(split, found, strict=True) if None in ids]
+        if gaps:
+            new = {words[i] for words, _, at in gaps for i in at}
+            self.learn(new)
+            for words, ids, at in gaps:
+                for i in at:
+                    ids[i] = self.known[words[i]]
+        return [b"".join(ids) for ids in found]
+
+
+def missing(found: list) -> Iterator[int]:
+    """Where the Nones are."""
+    at = -1
+    while True:
+        try:
+            at = found.index(None, at + 1)
+        except ValueError:
+            return
+        yield at
 
 
 @lru_cache(maxsize=2)
@@ -83,19 +117,19 @@ def groups(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    ids = word_ids(path)
+    end = int(end_id).to_bytes(ids.width, "little")
+    for b in batches:
+        texts = [x or "" for x in b.column(1).to_pylist()]
+        for lo, hi in groups(texts):
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x + end for x in ids.encode(texts[lo:hi])], pa.binary())], ["doc_id", "ids"])
+
+
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids) of every row of (doc_id, text): the text's ids and end_id, little-endian. Null text: empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(path)
-        end = int(end_id).to_bytes(ids.width, "little")
-        for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            for lo, hi in groups(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x + end for x in ids.encode(texts[lo:hi])], pa.binary())], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda b: encoded(b, path, end_id), f"doc_id {kind}, ids binary")
 
 
 class Dictionary(NamedTuple):
@@ -156,11 +190,11 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, shard_bytes:
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained.shared(), write_checksum=False, write_dict_id=False)
-        for b in batches:
+        for b in encoded(batches, path, end_id):
             ids = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(x) for x in ids], pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())], ["doc_id", "frame", "n_tokens"])
 
-    frames = encode(docs, path, end_id).mapInArrow(compressed, f"doc_id {kind}, frame binary, n_tokens long")
+    frames = docs.select("doc_id", "text").mapInArrow(compressed, f"doc_id {kind}, frame binary, n_tokens long")
     n = ranges(spark)
     cuts = cut_points(docs.select("doc_id"), "doc_id", n)
     last = len(cuts)
