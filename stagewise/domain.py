@@ -34,9 +34,15 @@ GHOST_AFTER, FOLLOW_UP_AFTER = 21, 7
 CHANNELS = (("1-URGENT", "Job board", False), ("2-HIGH", "Graduate board", False), ("3-MEDIUM", "Employer careers site", True), ("4-NOT SPECIFIED", "Referral", True))
 
 
+def inline(spark: SparkSession, rows, *names: str) -> DataFrame:
+    """A few fixed rows as a part of the plan, whose size Catalyst knows."""
+    values = ", ".join("(" + ", ".join("'" + x.replace("'", "\\'") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS v({', '.join(names)})")
+
+
 def statuses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(STATUSES), "status string, funnel_stage string, stage_order int, is_terminal boolean, is_active boolean, is_employer_response boolean, sort_order int")
+    return inline(spark, STATUSES, "status", "funnel_stage", "stage_order", "is_terminal", "is_active", "is_employer_response", "sort_order")
 
 
 def channels(spark: SparkSession, rows=CHANNELS) -> DataFrame:
-    return spark.createDataFrame(list(rows), "platform string, channel string, is_direct boolean")
+    return inline(spark, rows, "platform", "channel", "is_direct")

@@ -42,15 +42,28 @@ def order(wanted: str | None = None) -> list[str]:
     return list(TopologicalSorter(graph).static_order())
 
 
-def build(inputs: dict, wanted: str | None = None) -> dict:
-    """All frames by name, lazily: inputs (raw tables, seeds, as_of) and models. An unknown ref is an error."""
-    made = dict(inputs)
-    for name in order(wanted):
-        missing = [r for r in MODELS[name].refs if r not in made]
-        if missing:
-            raise KeyError(f"{name} needs {', '.join(missing)}")
-        made[name] = MODELS[name].make(*(made[r] for r in MODELS[name].refs))
-    return made
+class Frames(dict):
+    """Frames by name: inputs (raw tables, seeds, as_of), and models, each made when first asked for. An unknown name is an error."""
+
+    def __init__(self, inputs: dict, readers: dict[str, Callable[[], DataFrame]] | None = None) -> None:
+        super().__init__(inputs)
+        self.readers = readers or {}
+
+    def __missing__(self, name: str):
+        if name in self.readers:
+            self[name] = self.readers[name]()
+        elif name in MODELS:
+            self[name] = MODELS[name].make(*(self[r] for r in MODELS[name].refs))
+        else:
+            raise KeyError(f"no input and no model is named {name}")
+        return self[name]
+
+
+def build(frames: Frames) -> Frames:
+    """All models, in order."""
+    for name in order():
+        frames[name]
+    return frames
 
 
 def publish(spark: SparkSession, frames: dict[str, DataFrame], folder: str) -> dict:

@@ -129,9 +129,9 @@ FLOWS = """g AS (
     CASE WHEN max_stage_reached = 1 AND is_rejected THEN 'Applied>Rejected' END, CASE WHEN max_stage_reached = 1 AND is_ghosted THEN 'Applied>Ghosted' END,
     CASE WHEN max_stage_reached = 1 AND is_active THEN 'Applied>Awaiting reply' END, CASE WHEN max_stage_reached = 1 AND current_status = 'Withdrawn' THEN 'Applied>Withdrawn' END,
     CASE WHEN reached_assessment AND reached_interview THEN 'Assessment>Interview' END, CASE WHEN reached_offer THEN 'Interview>Offer' END,
-    CASE WHEN max_stage_reached BETWEEN 2 AND 3 AND is_rejected THEN at || '>Rejected' END, CASE WHEN max_stage_reached BETWEEN 2 AND 3 AND is_active THEN at || '>In progress' END,
-    CASE WHEN max_stage_reached BETWEEN 2 AND 3 AND current_status IN ('Ghosted', 'Withdrawn') THEN at || '>Ghosted' END]) AS flow
-  FROM (SELECT *, CASE max_stage_reached WHEN 2 THEN 'Assessment' WHEN 3 THEN 'Interview' END AS at FROM f))"""
+    CASE WHEN max_stage_reached BETWEEN 2 AND 3 AND is_rejected THEN stood || '>Rejected' END, CASE WHEN max_stage_reached BETWEEN 2 AND 3 AND is_active THEN stood || '>In progress' END,
+    CASE WHEN max_stage_reached BETWEEN 2 AND 3 AND current_status IN ('Ghosted', 'Withdrawn') THEN stood || '>Ghosted' END]) AS flow
+  FROM (SELECT *, CASE max_stage_reached WHEN 2 THEN 'Assessment' WHEN 3 THEN 'Interview' END AS stood FROM f))"""
 
 SURVIVAL = """o AS (SELECT CASE WHEN is_response THEN days_to_response ELSE days_since_applied END AS day, is_response AS e FROM f WHERE NOT is_response OR days_to_response IS NOT NULL),
 d AS (SELECT day, count(CASE WHEN e THEN 1 END) AS responses, count(CASE WHEN NOT e THEN 1 END) AS censored, count(*) AS c FROM o GROUP BY day),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
 from ..sources import tables
 from . import models
-from .build import build
+from .build import Frames
 from .metrics import Metrics
 
 AS_OF = date(2001, 8, 2)
@@ -19,19 +20,9 @@ FILTER = Filters(date_from=date(1996, 1, 1), date_to=date(2000, 12, 31), platfor
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-class Raw(dict):
-    """Raw tables, read when first asked for."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        super().__init__(models.seeds(spark) | {"as_of": AS_OF})
-        self.make = {"raw_applications": lambda: tables.raw_applications(spark, sf_dir), "raw_events": lambda: tables.raw_events(spark, sf_dir), "raw_messages": lambda: tables.raw_messages(spark, sf_dir)}
-
-    def frames(self) -> dict:
-        return {**self, **{k: make() for k, make in self.make.items()}}
-
-
-def frames(spark: SparkSession, sf_dir: str) -> dict:
-    return build(Raw(spark, sf_dir).frames())
+def frames(spark: SparkSession, sf_dir: str) -> Frames:
+    readers = {f.__name__: partial(f, spark, sf_dir) for f in (tables.raw_applications, tables.raw_events, tables.raw_messages)}
+    return Frames(models.seeds(spark) | {"as_of": AS_OF}, readers)
 
 
 def metric(name: str, segment: str = "industry", filters: Filters | None = None) -> Query:
@@ -39,7 +30,7 @@ def metric(name: str, segment: str = "industry", filters: Filters | None = None)
 
 
 def of_model(name: str) -> Query:
-    return lambda spark, sf_dir: build(Raw(spark, sf_dir).frames(), name)[name]
+    return lambda spark, sf_dir: frames(spark, sf_dir)[name]
 
 
 def drill(name: str) -> Query:

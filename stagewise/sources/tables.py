@@ -54,19 +54,21 @@ def status_of_line():
     )
 
 
-def dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("applied"))
+def placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their status and the days from their order to them: enough to sort an order's lines without the order."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_discount", "l_extendedprice")
-    order = F.create_map(*[F.lit(x) for s in STATUSES for x in (s[0], s[6])])
-    df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("to_status", status_of_line())
-    return df.withColumns({"occurred": F.date_add("applied", (F.col("l_partkey") % 75 - 5).cast("int")), "sort_order": order[F.col("to_status")]})
+    rank = F.create_map(*[F.lit(x) for s in STATUSES for x in (s[0], s[6])])
+    df = lines.withColumns({"to_status": status_of_line(), "offset": (F.col("l_partkey") % 75 - 5).cast("int")})
+    return df.withColumn("sort_order", rank[F.col("to_status")])
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """status_events as text: one for each line, its predecessor by date, status and the whole line."""
-    w = Window.partitionBy("l_orderkey").orderBy("occurred", "sort_order", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+    w = Window.partitionBy("l_orderkey").orderBy("offset", "sort_order", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
     kinds = F.array(*[F.lit(s) for s in SOURCES])
-    df = dated_lines(spark, sf_dir).withColumns({"n": F.row_number().over(w), "before": F.lag("to_status").over(w)})
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("applied"))
+    df = placed_lines(spark, sf_dir).withColumns({"n": F.row_number().over(w), "before": F.lag("to_status").over(w)})
+    df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("occurred", F.date_add("applied", F.col("offset")))
     return df.select(
         F.concat_ws("-", "l_orderkey", "n").alias("event_id"),
         F.col("l_orderkey").cast("string").alias("thread_id"),
@@ -84,7 +86,7 @@ def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """applications as text: one for each order, in the state of its latest event."""
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    last = dated_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.max(F.struct("occurred", "sort_order", "to_status")).alias("s"))
+    last = placed_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.max(F.struct("offset", "sort_order", "to_status")).alias("s"))
     df = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(last, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     k = F.col("o_orderkey")
 
@@ -98,7 +100,7 @@ def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("source_platform"),
         F.col("o_orderdate").cast("date").cast("string").alias("application_date"),
         F.coalesce("s.to_status", F.lit("Applied")).alias("current_status"),
-        F.coalesce(F.col("s.occurred").cast("string"), F.lit("")).alias("last_updated"),
+        F.coalesce(F.date_add(F.col("o_orderdate").cast("date"), F.col("s.offset")).cast("string"), F.lit("")).alias("last_updated"),
         F.when(k % 3 == 0, F.repeat(F.lit("description "), 4)).otherwise("short").alias("job_description_snippet"),
         F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("https://jobs.example/"), k.cast("string"))).alias("job_url"),
         F.concat(F.lit("https://mail.example/"), k.cast("string")).alias("gmail_link"),
