@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 #: Characters of text that are encoded at once, and bytes up to which a word counts as short.
 GROUP, LONG = 2 << 20, 64
 #: New words that one query encodes, and words that a worker remembers before it starts anew.
-AT_ONCE, REMEMBERED = 50_000, 1_500_000
+AT_ONCE, REMEMBERED = 20_000, 400_000
 
 PAIRS = """
   SELECT s.*, id FROM (
@@ -101,7 +101,7 @@ class Bpe:
         self.find_ascii = narrow and re.compile(narrow).findall
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.table("merges", **{k: np.array(v, np.int32) for k, v in zip(("l", "r", "id"), zip(*merges, strict=True), strict=True)})
         self.table("pieces", id=np.fromiter(ranks.values(), np.int32), piece=[t.decode("latin-1") for t in ranks])
