@@ -6,7 +6,7 @@ turn's span. Where one does not, the template rewrites history; the conversation
 those of its common prefix and rest.
 
 The template here marks turns and escapes control strings inside texts reversibly: backslashes are doubled, and
-a backslash is put after the first character of each control string, and before a line break in a role. `unescape` drops the first backslash of each pair.
+a backslash is put after the first character of each control string, overlapping ones too, and before a line break in a role. `unescape` drops the first backslash of each pair.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from itertools import groupby
 from os.path import commonprefix
 from typing import NamedTuple
@@ -31,19 +32,29 @@ OPEN, SHUT, BREAK = "<|turn|>", "<|end|>", "\n"
 #: Strings that mean something to this template or to common others.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ROLE = re.compile(r"(?:\\.|[^\\\n])*", re.DOTALL)
-FIND = re.compile("|".join(map(re.escape, CONTROL)))
+FIND = re.compile(f"(?=(?:{'|'.join(map(re.escape, CONTROL))}))(.)")
+#: Turns of up to SHORT characters are kept rendered, since every prefix renders them again.
+SHORT, KEPT = 4096, 8192
 
 
 def escape(text: str) -> str:
-    return FIND.sub(lambda m: m[0][0] + "\\" + m[0][1:], text.replace("\\", "\\\\"))
+    """Control strings may overlap, so each character that begins one is marked."""
+    return FIND.sub(r"\1\\", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+def marked_turn(role: str, text: str) -> str:
+    return f"{OPEN}{escape(role).replace(BREAK, chr(92) + BREAK)}{BREAK}{escape(text)}{SHUT}{BREAK}"
+
+
+kept_turn = lru_cache(maxsize=KEPT)(marked_turn)
+
+
 def marked(turns: Turns) -> str:
-    return "".join(f"{OPEN}{escape(role).replace(BREAK, chr(92) + BREAK)}{BREAK}{escape(text)}{SHUT}{BREAK}" for role, text in turns)
+    return "".join((kept_turn if len(role) + len(text) <= SHORT else marked_turn)(role, text) for role, text in turns)
 
 
 def read_turn(span: str) -> tuple[str, str, int, int]:

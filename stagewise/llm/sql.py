@@ -74,7 +74,7 @@ WITH c AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
   SELECT *, length(role) + length(text) + 17
-            + len(regexp_extract_all(role || chr(0) || text, '\\|<\||\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) + len(regexp_extract_all(role, '\n')) AS size
+            + len(regexp_extract_all(role || chr(0) || text, '\\|<\||\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) + len(regexp_extract_all(role || chr(0) || text, '<\|>')) + len(regexp_extract_all(role, '\n')) AS size
   FROM c)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
