@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
 from ..sources import tables
-from . import models
+from . import checks, models
 from .build import Frames
 from .metrics import Metrics
 
@@ -42,6 +42,10 @@ def rpt_flat_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.groupBy("applied_year_month", "applied_day_of_week", "channel").agg(F.count(F.lit(1)).alias("applications"), F.sum("event_count").alias("events"))
 
 
+def data_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.data_tests(frames(spark, sf_dir))
+
+
 METRICS = "kpis period_compare funnel sankey weekly_velocity monthly_cohorts platform_performance response_survival response_time_buckets weekday_performance activity_calendar status_mix stage_timing company_leaderboard follow_up_queue transitions recent_activity data_quality applications parser_quality filter_options date_bounds".split()
 MODELS = "milestones fct_applications fct_status_events dim_date dim_company dim_industry dim_job_type dim_role_family dim_seniority dim_platform dim_status".split()
 
@@ -50,5 +54,5 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {n: metric(n) for n in METRICS}
     found["kpis_filtered"] = metric("kpis", filters=FILTER)
     found |= {f"segment_{s}": metric("segment_performance", s) for s in SEGMENTS}
-    found |= {n: of_model(n) for n in MODELS} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months}
+    found |= {n: of_model(n) for n in MODELS} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months, "data_tests": data_tests}
     return found | {f"drill_{n}": drill(n) for n in DRILL_SETS}
