@@ -4,13 +4,16 @@ Every term (a run of words) is hashed to BITS bits; each occurrence votes for it
 zero bits, so a term's weight is its count, times what `weight` gives for its length. The signs of the sums
 are the fingerprint. The share of equal bits of two fingerprints estimates how alike their texts are.
 
-Two fingerprints within a Hamming radius r agree on some `blocks - r` of `blocks` bit blocks. One table for
-each choice of those blocks, keyed by their bits, therefore holds every such pair under one key.
+Two fingerprints within a Hamming radius r differ by at most flips[i] bits in some block i of `blocks` bit blocks,
+if the flips add up to r - blocks + 1: else they would differ by r + 1 bits at least. Fingerprints are entered under
+the bits of each block, and a query asks for all values of a block that are so many flips from its own; so every pair
+meets, and the keys stay as long as a block. The radius comes from a similarity of texts (radius_for).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_points, range_of, ranges, stash, text_of
+from .shared import cut_points, range_of, ranges, stash, tasks, text_of
 from .wordhash import mix, pieces, shingles, word_hashes
 
 BITS = 128
+#: Near copies are texts whose terms' counts have this cosine or more, such as texts of 100 words of which one is
+#: replaced; a pair with just this cosine is within RADIUS with a probability of FOUND at least.
+COSINE, FOUND = 0.98, 0.98
 #: Texts of more terms than this are voted on in parts.
 PART = 1 << 16
 
@@ -66,15 +72,51 @@ def fingerprints(docs: DataFrame, term_words: int = 2) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(stamped, f"doc_id {kind}, fingerprint string")
 
 
-def block_tables(fingerprint: Column, radius: int, blocks: int) -> Column:
-    """The keys of a fingerprint in all tables: hashes of the number of the table and the blocks that it keeps."""
-    digits = BITS // 4
-    cut = [round(i * digits / blocks) for i in range(blocks + 1)]
-    keys = []
-    for t, keep in enumerate(combinations(range(blocks), blocks - radius)):
-        parts = [F.substring(fingerprint, cut[i] + 1, cut[i + 1] - cut[i]) for i in keep]
-        keys.append(F.xxhash64(F.lit(t), *parts))
-    return F.array(*keys)
+def radius_for(cosine: float = COSINE, found: float = FOUND) -> int:
+    """The least radius in which texts of this cosine fall with a probability of `found`: each bit differs with that of their angle over pi."""
+    p, total = math.acos(cosine) / math.pi, 0.0
+    for r in range(BITS):
+        total += math.comb(BITS, r) * p**r * (1 - p) ** (BITS - r)
+        if total >= found:
+            return r
+    return BITS
+
+
+RADIUS = radius_for()
+#: With so many blocks, no block of two fingerprints in RADIUS has to be asked for more than two flips away.
+BLOCKS = 5
+
+
+def layout(radius: int, blocks: int) -> list[tuple[int, int, int]]:
+    """(start, size, flips) of the blocks that are searched; a radius below blocks - 1 needs only radius + 1 of them."""
+    cut = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    more, longer = divmod(radius - blocks + 1, blocks)
+    flips = [more + (i < longer) for i in range(blocks)]
+    return [(a, b - a, n) for a, b, n in zip(cut, cut[1:], flips, strict=False) if n >= 0]
+
+
+def block(fingerprint: Column, start: int, size: int) -> Column:
+    """Bits start to start + size of a fingerprint, as a number; size is 32 at most."""
+    i = min(start // 32, BITS // 32 - 2)
+    high, low = (F.conv(F.substring(fingerprint, 8 * k + 1, 8), 16, 10).cast("long") for k in (i, i + 1))
+    both = F.shiftleft(high, 32).bitwiseOR(low)
+    return F.shiftrightunsigned(both, 64 - (start - 32 * i) - size).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+
+
+def flipped(size: int, flips: int) -> list[int]:
+    """All numbers of `size` bits of which at most `flips` are set."""
+    return [sum(1 << i for i in c) for n in range(flips + 1) for c in combinations(range(size), n)]
+
+
+def keys(fingerprint: Column, blocks: list[tuple[int, int, int]], asked: bool) -> Column:
+    """Keys under which a fingerprint is entered, one for each block, or asked for: the block's number above its bits."""
+
+    def of_block(i: int, start: int, size: int, flips: int) -> Column:
+        own = block(fingerprint, start, size).bitwiseOR(F.lit(i << 40).cast("long"))
+        masks = flipped(size, flips) if asked else [0]
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda mask: own.bitwiseXOR(mask))
+
+    return F.concat(*[of_block(i, *b) for i, b in enumerate(blocks)])
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -92,12 +134,18 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int =
 
     Rows that share a fingerprint are one entry of the tables, so copies cost nothing. Null fingerprints match nothing.
     """
-    q = queries.select(F.col("fingerprint").alias("query")).dropna().distinct()
+    q = queries.select(F.col("fingerprint").alias("query")).dropna().distinct().repartition(tasks(queries.sparkSession))  # few, but each asks for many keys
     p = prints.select("fingerprint").dropna().distinct()
-    left = q.select("query", F.explode(block_tables(F.col("query"), radius, blocks)).alias("block"))
-    right = p.select("fingerprint", F.explode(block_tables(F.col("fingerprint"), radius, blocks)).alias("block"))
-    near = distance(F.col("query"), F.col("fingerprint")).alias("distance")
-    return left.join(right, "block").select("query", "fingerprint", near).where(F.col("distance") <= radius).distinct()
+    searched = layout(radius, blocks)
+    left = q.select("query", F.explode(keys(F.col("query"), searched, True)).alias("asked"))
+    right = p.select("fingerprint", F.explode(keys(F.col("fingerprint"), searched, False)).alias("entered"))
+    near = distance(F.col("query"), F.col("fingerprint"))
+    first = None  # the first block in which a pair meets is the one that gives it
+    for i, (start, size, flips) in reversed(list(enumerate(searched))):
+        meets = F.bit_count(block(F.col("query"), start, size).bitwiseXOR(block(F.col("fingerprint"), start, size))) <= flips
+        first = F.when(meets, i) if first is None else F.when(meets, i).otherwise(first)
+    on = (F.col("asked") == F.col("entered")) & (near <= radius) & (F.shiftright("asked", 40) == first)
+    return left.hint("merge").join(right, on).select("query", "fingerprint", near.alias("distance"))
 
 
 def with_edits(docs: DataFrame, term_words: int = 2) -> DataFrame:
@@ -167,11 +215,18 @@ def with_edits(docs: DataFrame, term_words: int = 2) -> DataFrame:
 
 
 def search(docs: DataFrame, every: int = 100, radius: int = 3, blocks: int = 6, term_words: int = 2) -> DataFrame:
-    """with_edits(), and n_within: for ids divisible by `every`, the number of other rows within the radius of their fingerprint; else null."""
+    """with_edits(), first_id, n_within and partners.
+
+    first_id: the least doc_id of the rows with this fingerprint, null if none of them has an id. For ids divisible by
+    `every`, and null for others: n_within, the number of other rows within the radius of the fingerprint; partners, the
+    first_id of every distinct fingerprint within the radius, its own too, in order. The rows within the radius are those
+    whose first_id is one of the partners, and rows without an id.
+    """
     df = stash(with_edits(docs, term_words), "prints")
-    is_query = F.col("doc_id") % every == 0
+    is_query = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     found = within(df.where(is_query), df, radius, blocks)
-    held = df.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("held"))
-    links = found.join(held, "fingerprint").groupBy("query").agg((F.sum("held") - 1).alias("n_within"))
-    asked = df.where(is_query).join(links, F.col("fingerprint") == F.col("query"), "left").drop("query")
-    return asked.unionByName(df.where(F.coalesce(~is_query, F.lit(True))).withColumn("n_within", F.lit(None).cast("long")))
+    held = df.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("first_id"))
+    links = found.join(held, "fingerprint").groupBy("query").agg((F.sum("held") - 1).alias("n_within"), F.array_sort(F.collect_list("first_id")).alias("partners"))
+    notes = held.join(links, F.col("fingerprint") == F.col("query"), "left").where((F.col("held") > 1) | F.col("query").isNotNull())
+    out = df.join(notes.select(F.col("fingerprint").alias("noted"), "first_id", "n_within", "partners"), F.col("fingerprint") == F.col("noted"), "left")
+    return out.select(*df.columns, F.coalesce("first_id", "doc_id").alias("first_id"), *(F.when(is_query, F.col(c)).alias(c) for c in ("n_within", "partners")))

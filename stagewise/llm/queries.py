@@ -45,7 +45,7 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.search(table(spark, sf_dir, "documents"))
+    return fingerprint.search(table(spark, sf_dir, "documents"), radius=fingerprint.RADIUS, blocks=fingerprint.BLOCKS)
 
 
 def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
