@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stagewise.llm import bpe, linedup, mixing, neardup, toxicity
 from stagewise.llm.shared import stash, table
@@ -29,13 +30,15 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.resample(docs)
+    """Documents as often as the mix takes them, every copy with its mix_position, sorted by it."""
+    return mixing.resample(docs, position="mix_position")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and the digests of the ids and of the bytes they decode to, of every document that is left."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """doc_id, n_tokens, the digests of the ids and of the bytes they decode to, and mix_position, of every copy that is left."""
+    named = docs.select(F.struct("doc_id", "mix_position").alias("doc_id"), "text")
+    out = bpe.round_trip(named, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "doc_id.mix_position")
 
 
 STAGES = [

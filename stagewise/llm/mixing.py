@@ -70,24 +70,16 @@ def position(demand: Column, tilt: Column) -> Column:
     return F.lit(2.0) * demand / (left + F.sqrt(left * left + F.lit(4.0) * tilt * demand))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, tilt: float = 0.8) -> DataFrame:
-    """One row per row of (doc_id, text, source): doc_id, source, size, source_size, target, taken, position.
-
-    taken: words that the mix takes of the document: whole passes over its source, then part of a pass,
-    cut inside the document where the target is reached. Their sum over a source is its target, rounded down.
-    position: when its first copy is due, null if nothing is taken; rows come range-sorted by it.
-    Null or empty texts have size 0 and are never taken; a null source is a source of its own; equal ids
-    are ordered by size, and rows that agree in both are interchangeable. No rows give no rows.
-    Only the three columns named are read, so further columns cannot clash.
-    """
+def planned(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, tilt: float = 0.8) -> DataFrame:
+    """mix() without position and order, with what positions are made of: before, the words of a pass before the row, and tilt."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = stash(docs.select("doc_id", "source", words(text_of("text")).alias("size")), "mix-sizes")
     keyed = sized.select("*", digest.alias("ord"), F.substring(digest, 1, BUCKET_DIGITS).alias("bucket"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    planned = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_repeats, tilt)
+    goals = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_repeats, tilt)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"))
-    starts = starts.join(planned, F.col("s").eqNullSafe(F.col("source"))).drop("source")
+    starts = starts.join(goals, F.col("s").eqNullSafe(F.col("source"))).drop("source")
     within = Window.partitionBy("source", "bucket").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     df = keyed.withColumn("in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0)))
     df = df.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
@@ -97,18 +89,45 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     df = df.withColumn("passes", passes)
     rest = goal - F.col("passes") * F.col("source_size")
     df = df.withColumn("taken", F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))))
-    due = F.when(F.col("taken") > 0, position(F.col("before").cast("double") / F.col("target"), F.col("tilt")))
-    return df.select("doc_id", "source", "size", "source_size", "target", "taken", due.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return df.select("doc_id", "source", "size", "source_size", "target", "tilt", "before", "taken")
+
+
+def due(before: Column, target: Column, tilt: Column) -> Column:
+    """The position at which a copy is due, with so many words of its source before it in all passes."""
+    return position(before.cast("double") / target, tilt)
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, tilt: float = 0.8) -> DataFrame:
+    """One row per row of (doc_id, text, source): doc_id, source, size, source_size, target, taken, position.
+
+    taken: words that the mix takes of the document: whole passes over its source, then part of a pass,
+    cut inside the document where the target is reached. Their sum over a source is its target, rounded down.
+    position: when its first copy is due, null if nothing is taken; rows come range-sorted by it.
+    Null or empty texts have size 0 and are never taken; a null source is a source of its own; equal ids
+    are ordered by size, and rows that agree in both are interchangeable. No rows give no rows.
+    Only the three columns named are read, so further columns cannot clash.
+    """
+    df = planned(docs, weights, max_repeats, tilt)
+    first = F.when(F.col("taken") > 0, due(F.col("before"), F.col("target"), F.col("tilt")))
+    return df.select("doc_id", "source", "size", "source_size", "target", "taken", first.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def resample(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each row as often as its taken words fill it, to the nearest whole copy.
+def resample(docs: DataFrame, position: str | None = None, **options) -> DataFrame:
+    """The mix as documents: each row as often as its taken words fill it, to the nearest whole copy, in training order.
 
-    Rows with no words are kept once: they weigh nothing. A document of which less than half a copy is taken goes.
-    Rows must have distinct ids; ids that repeat share their first row's decision.
+    Every copy has its own position: that of pass k over the source stands k * source_size words later in the source's
+    demand than the first. Rows come range-sorted by it, and `position` names a column to hold it, if given.
+    Rows with no words are kept once: they weigh nothing, have no position and come last. A document of which less than
+    half a copy is taken goes. Rows must have distinct ids; ids that repeat share their first row's decision.
     """
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
+    first = F.min(F.struct("before", "source_size", "target", "tilt")).alias("mix_first")
+    plan = planned(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"), first)
     copies = F.when(F.col("mix_size") == 0, F.lit(1)).otherwise(F.round(F.col("mix_taken") / F.col("mix_size")).cast("int"))
-    plan = plan.select(F.col("doc_id").alias("mix_doc_id"), copies.alias("mix_copies")).where("mix_copies > 0")
+    plan = plan.select(F.col("doc_id").alias("mix_doc_id"), copies.alias("mix_copies"), "mix_size", "mix_first").where("mix_copies > 0")
     kept = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_doc_id")))
-    return kept.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).drop("mix_doc_id", "mix_copies", "mix_copy")
+    kept = kept.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
+    f = F.col("mix_first")
+    before = F.least(F.col("mix_pass") * f["source_size"] + f["before"], f["target"])
+    kept = kept.withColumn("mix_due", F.when(F.col("mix_size") > 0, due(before, f["target"], f["tilt"])))
+    named = [F.col("mix_due").alias(position)] if position else []
+    return kept.orderBy(F.col("mix_due").asc_nulls_last(), "doc_id").select(*docs.columns, *named)

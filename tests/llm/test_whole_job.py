@@ -1,11 +1,15 @@
 """What the operators once left out, against plain Python on small inputs."""
 
+import hashlib
+import math
 import random
+from collections import defaultdict
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from stagewise.llm import fingerprint, queries
+from stagewise.llm import fingerprint, mixing, queries
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +61,33 @@ def test_search_is_exact_at_any_radius(spark, radius, blocks):
     got = [(int(r["query"], 16), int(r["fingerprint"], 16), r["distance"]) for r in fingerprint.within(asked, df, radius, blocks).collect()]
     want = {(a, b, (a ^ b).bit_count()) for a in made if a >> 127 == 0 for b in made if (a ^ b).bit_count() <= radius}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_every_copy_has_its_own_position(spark, words):
+    """A source that is taken several times is due all along its demand, one pass after another, and rows come in that order."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))), "abc"[(i > 150) + (i > 170)]) for i in range(200)]
+    rows += [(200, "", "a"), (201, None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    want, last = {}, {}
+    for k, source in enumerate("abc"):
+        tilt, before = 0.8 * (k - 1), 0
+        for i in sorted((i for i, _, s in rows if s == source), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            r = plan[i]
+            for n in range(int(r["taken"] / r["size"] + 0.5) if r["size"] else 0):
+                x = (n * r["source_size"] + before) / r["target"]
+                want[i, n] = x if tilt == 0 else (tilt - 1 + math.sqrt((1 - tilt) ** 2 + 4 * tilt * x)) / (2 * tilt)
+                last[source] = max(last.get(source, 0), want[i, n])
+            before += r["size"] or 0
+    out = mixing.resample(df, position="due").collect()
+    got = defaultdict(list)
+    for r in out:
+        got[r["doc_id"]].append(r["due"])
+    assert got.pop(200) == got.pop(201) == [None]
+    assert {(i, n): x for i, due in got.items() for n, x in enumerate(due)} == pytest.approx(want)
+    placed = [r["due"] for r in out if r["due"] is not None]
+    assert placed == sorted(placed) and all(r["due"] is None for r in out[len(placed) :])
+    assert max(len(due) for due in got.values()) == 3 and min(last.values()) > 0.8
+    encoded = corpus_pipeline.encoded(spark, corpus_pipeline.mixed(spark, df, ""), "").collect()
+    assert sorted(x for r in encoded if (x := r["mix_position"]) is not None) == pytest.approx(placed)
