@@ -1,8 +1,7 @@
 """SimHash fingerprints, their likeness, and search by permuted block tables.
 
 Every term (a run of words) is hashed to BITS bits; each occurrence votes for its one bits and against its
-zero bits, so a term's weight is its count, times what `weight` gives for its length. The signs of the sums
-are the fingerprint. The share of equal bits of two fingerprints estimates how alike their texts are.
+zero bits, so a term's weight is its count. The signs of the sums are the fingerprint. The share of equal bits of two fingerprints estimates how alike their texts are.
 
 Two fingerprints within a Hamming radius r differ by at most flips[i] bits in some block i of `blocks` bit blocks,
 if the flips add up to r - blocks + 1: else they would differ by r + 1 bits at least. Fingerprints are entered under
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_points, range_of, ranges, stash, tasks, text_of
+from .shared import ranges, stash, tasks, text_of
 from .wordhash import mix, pieces, shingles, word_hashes
 
 BITS = 128
@@ -161,18 +160,12 @@ def with_edits(docs: DataFrame, term_words: int = 2) -> DataFrame:
     """
     slim = docs.select("doc_id", text_of("text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    n = ranges(docs.sparkSession)
-    cuts = cut_points(slim, "doc_id", n)
-    placed = slim.select("*", range_of("doc_id", cuts).alias("range"))
-    heads = [(r["range"], r["head"]) for r in placed.groupBy("range").agg(F.max("doc_id").alias("head")).collect()]
-    heads.sort()
-    serves = F.create_map(*[F.lit(x) for i, (r, _) in enumerate(heads) for x in (r, heads[i - 1][0])]) if heads else F.create_map(F.lit(0), F.lit(0))
-    firsts = F.create_map(*[F.lit(x) for r, h in heads if h is not None for x in (r, h)]) if any(h is not None for _, h in heads) else None
-    leads = F.col("doc_id").eqNullSafe(firsts[F.col("range")] if firsts is not None else F.lit(None).cast(kind))
+    cut = ranges(docs, "doc_id")
+    placed = slim.select("*", cut.number(F.col("doc_id")).alias("range"), cut.also(F.col("doc_id")).alias("before"))
     own = F.struct(F.col("range").alias("at"), F.lit(0).alias("guest"))
-    guest = F.struct(serves[F.col("range")].alias("at"), F.lit(1).alias("guest"))
-    dealt = placed.select("doc_id", "text", F.explode(F.when(leads, F.array(own, guest)).otherwise(F.array(own))).alias("to")).select("to.at", "to.guest", "doc_id", "text")
-    ordered = dealt.repartitionById(n, F.col("at")).sortWithinPartitions("at", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    guest = F.struct(F.col("before").alias("at"), F.lit(1).alias("guest"))
+    dealt = placed.select("doc_id", "text", F.explode(F.when(F.col("before").isNotNull(), F.array(own, guest)).otherwise(F.array(own))).alias("to")).select("to.at", "to.guest", "doc_id", "text")
+    ordered = dealt.repartitionById(cut.n, F.col("at")).sortWithinPartitions("at", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
     def stamped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # of the last row: at, guest, id, text

@@ -1,6 +1,6 @@
 """Line dedup by a segment-partition edit join. DataFrame functions only.
 
-A line that holds a word is dropped if the same line, or one within max_edits insertions, deletions and
+A line that holds a word is dropped if the same line, or one within max_edits (1 or 2) insertions, deletions and
 substitutions of a character, stands earlier: in a smaller doc_id, or further up in the same document. Lines of
 fewer than least_chars characters are compared for equality only; lines without a word always stay.
 
@@ -8,33 +8,64 @@ fewer than least_chars characters are compared for equality only; lines without
 2. A line is cut into max_edits + 1 even segments. Two lines within max_edits share a segment, at almost the same
    place; so each line is entered under its segments and its length, and asks for the substrings of its own that
    such a segment can have become, for all lengths up to max_edits below its own (the multi-match-aware selection).
-3. Lines that met are checked: first by the parity of their letters' counts, of which an edit turns two at most, then
-   by edit distance in a band of 2 * max_edits + 1 diagonals, kept as bits of a number and moved on a character at a time.
+3. Lines that meet under a key with at most BUCKET entered lines are pairs, and are checked: first by the parity of
+   their letters' counts, of which an edit turns two at most, then by edit distance in a band of 2 * max_edits + 1
+   diagonals, kept as bits of a number and moved on a character at a time.
+4. Under a larger key no pairs are made. What differs lies in one or two stretches of the lines; these are cut into
+   PARTS each, and the lines are entered anew, and ask, under all but the parts that hold the edits. A stretch gets
+   PARTS times shorter in each round, so the keys fall apart, unless very many lines differ in the same characters.
+   When no stretch is longer than a character, lines under a key are all within max_edits of those that ask there:
+   the key's earliest line is all that is needed. So work grows with the lines, whatever stands under a key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, stash, tasks, text_of
+from .shared import WORD, stash, text_of
 
 #: A line is frequent if it makes up more than one in so many of all lines; there are fewer of them than this.
 FREQUENT = 2048
-#: Places are compared as one number: the document's id, then the line's number.
+#: Lines entered under one key that are compared pair by pair.
+BUCKET = 8
+PARTS = 4
+#: Places are compared as one number: the document's id, ten digits of its text's hash, nine of the line's number.
 PLACE = "decimal(38,0)"
-LINES = 10**12
+LINES, TEXTS = 10**9, 10**19
+
+
+def whole(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(20,0)")
+
+
+def doc_key(doc_id: Column, text: Column) -> Column:
+    """The place of a document's first line. Null ids come first; rows that repeat an id are ordered by their texts' hashes."""
+    number = F.coalesce(doc_id.cast("decimal(19,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(19,0)"))
+    return (number * whole(TEXTS) + F.pmod(F.xxhash64(text), F.lit(TEXTS // LINES)).cast("decimal(10,0)") * whole(LINES)).cast(PLACE)
+
+
+def line_at(place: Column) -> Column:
+    return F.pmod(place, whole(LINES)).cast("int")
+
 
+def doc_of(place: Column) -> Column:
+    """doc_key of the document that a line's place is in."""
+    return (place - line_at(place)).cast(PLACE)
 
-def place(doc_id: Column, line_no: Column) -> Column:
-    """Null ids come first."""
-    return (F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(13,0)")).cast(PLACE) + line_no
+
+def id_of(place: Column) -> Column:
+    number = ((place - F.pmod(place, whole(TEXTS))) / whole(TEXTS)).cast("decimal(20,0)")
+    return F.when(number >= F.lit(str(-(2**63))).cast("decimal(20,0)"), number).cast("long")
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line that holds a word."""
-    lines = docs.select("doc_id", F.posexplode(F.split(text_of("text"), "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(WORD))
+    """(at, line) of every line that holds a word, with its place."""
+    text = text_of("text")
+    lines = docs.select(doc_key(F.col("doc_id"), text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return lines.where(F.col("line").rlike(WORD)).select((F.col("doc") + F.col("line_no")).cast(PLACE).alias("at"), "line")
 
 
 def cuts(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
@@ -45,33 +76,32 @@ def cuts(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     return size * i + extra + 1, size + F.when(i + longer >= parts, 1).otherwise(0)
 
 
-def keyed(lines: DataFrame, ways: list[tuple[int, int, int]], max_edits: int) -> DataFrame:
-    """(lid, key) of each line in each of the ways (less, i, shift): the substring that begins `shift` after where
-    segment i begins in a line that is `less` shorter, and is as long as that segment, under that line's length.
-
-    The ways are rows before they are keys: one short expression for all, which the JVM can compile.
-    """
-    way = F.explode(F.array(*[F.struct(*(F.lit(x).alias(c) for x, c in zip(w, ("less", "i", "shift"), strict=True))) for w in ways])).alias("way")
-    rows = lines.select("lid", "line", F.length("line").alias("n"), way).select("lid", "line", "n", (F.col("n") - F.col("way.less")).alias("m"), "way.i", "way.shift")
-    start, size = cuts(F.col("m"), F.col("i"), max_edits + 1)
-    rows = rows.select("lid", "line", "n", "m", "i", (start + F.col("shift")).alias("at"), size.alias("size"))
-    rows = rows.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
-    return rows.select("lid", F.xxhash64("m", "i", F.substring("line", F.col("at"), F.col("size"))).alias("key"))
+def ways(max_edits: int) -> list[tuple[int, int, int]]:
+    """(less, i, shift): in the first max_edits + 1 ways a line is entered, and asks for lines of its length; in the rest it only asks."""
+    own = [(0, i, 0) for i in range(max_edits + 1)]
+    asked = []
+    for less in range(max_edits + 1):
+        for i in range(max_edits + 1):
+            after = max_edits - i
+            asked += [(less, i, shift) for shift in range(max(-i, less - after), min(i, less + after) + 1)]
+    return own + [w for w in asked if w not in own]
 
 
-def own_ways(max_edits: int) -> list[tuple[int, int, int]]:
-    """The ways in which a line is entered."""
-    return [(0, i, 0) for i in range(max_edits + 1)]
+def one_of(rows: list[tuple[int, ...]], names: str) -> Column:
+    """A generator of these rows of numbers as structs: one short expression for all, which the JVM can compile."""
+    return F.explode(F.array(*[F.struct(*(F.lit(x).alias(c) for x, c in zip(r, names.split(), strict=True))) for r in rows]))
 
 
-def asked_ways(max_edits: int) -> list[tuple[int, int, int]]:
-    """The ways in which a line asks for those of its length or up to max_edits less that are within max_edits."""
-    out = []
-    for less in range(max_edits + 1):
-        for i in range(max_edits + 1):
-            after = max_edits - i
-            out += [(less, i, shift) for shift in range(max(-i, less - after), min(i, less + after) + 1)]
-    return out
+def keyed(lines: DataFrame, max_edits: int) -> DataFrame:
+    """(lid, less, i, shift, key) of each line in each way: the substring that begins `shift` after where segment i
+    begins in a line that is `less` shorter, and is as long as that segment, under that line's length."""
+    rows = lines.select("lid", "line", F.length("line").alias("n"), one_of(ways(max_edits), "less i shift").alias("way"))
+    rows = rows.select("lid", "line", "n", (F.col("n") - F.col("way.less")).alias("m"), "way.less", "way.i", "way.shift")
+    start, size = cuts(F.col("m"), F.col("i"), max_edits + 1)
+    rows = rows.select("*", (start + F.col("shift")).alias("from"), size.alias("size"))
+    rows = rows.where((F.col("from") >= 1) & (F.col("from") + F.col("size") - 1 <= F.col("n")))
+    small = [F.col(c).cast("tinyint").alias(c) for c in ("less", "i", "shift")]
+    return rows.select("lid", *small, F.xxhash64("m", "i", F.substring("line", F.col("from"), F.col("size"))).alias("key"))
 
 
 def one_bit(n: Column) -> Column:
@@ -147,82 +177,244 @@ def within_band(a: Column, b: Column, max_edits: int) -> Column:
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """(h, lid, n, first) of every distinct line with a word: its MD5, a short hash, how often and where first it stands."""
-    lines = split_lines(docs)
-    slim = lines.select(F.unhex(F.md5("line")).alias("h"), F.xxhash64("line").alias("lid"), place(F.col("doc_id"), F.col("line_no")).alias("at"))
+    slim = split_lines(docs).select(F.unhex(F.md5("line")).alias("h"), F.xxhash64("line").alias("lid"), "at")
     return slim.groupBy("h", "lid").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
 
 
-def line_at(first: Column) -> Column:
-    return (first - doc_number(first) * F.lit(LINES).cast("decimal(13,0)")).cast("int")
+def met(rows: DataFrame, own: Column) -> DataFrame:
+    """The rows, once each, that stand under a key with a row of another line and one that is entered; n_own: lines entered there."""
+    w = Window.partitionBy("key")
+    seen = rows.withColumns({"lo": F.min("lid").over(w), "hi": F.max("lid").over(w), "entered": F.max(own).over(w)})
+    return seen.where("lo < hi and entered").drop("lo", "hi", "entered").distinct().withColumn("n_own", F.sum(own.cast("int")).over(w))
+
 
+def pairs_of(rows: DataFrame, own: Column) -> DataFrame:
+    """(u, v) of the lines that meet under keys with at most BUCKET entered ones."""
+    cold = rows.where(F.col("n_own") <= BUCKET)
+    entered = cold.where(own).select("key", F.col("lid").alias("x"))
+    met = entered.join(cold.select("key", F.col("lid").alias("y")), "key").where("x <> y")
+    return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
 
-def doc_number(first: Column) -> Column:
-    return F.floor(first / F.lit(LINES).cast("decimal(13,0)")).cast("decimal(20,0)")
 
+def lines_of(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, lid, first, line) of the distinct lines whose lid is wanted, read where they first stand."""
+    places = known.join(wanted, "lid", "left_semi")
+    at = F.struct("h", "lid", "first", line_at(F.col("first")).alias("line_no"))
+    by_doc = places.groupBy(doc_of(F.col("first")).alias("number")).agg(F.collect_list(at).alias("firsts"))  # at most a document's own lines
+    text = text_of("text")
+    held = docs.select(doc_key(F.col("doc_id"), text).alias("doc"), text.alias("text")).join(by_doc, F.col("doc") == F.col("number"))
+    held = held.select(F.split("text", "\n").alias("lines"), "firsts")
+    found = held.select(F.explode(F.transform("firsts", lambda f: F.struct(f["h"].alias("h"), f["lid"].alias("lid"), f["first"].alias("first"), F.get("lines", f["line_no"]).alias("line")))).alias("f"))
+    return found.select("f.*").where(F.unhex(F.md5("line")) == F.col("h")).dropDuplicates(["h"])
 
-def links(docs: DataFrame, known: DataFrame, max_edits: int, least_chars: int) -> DataFrame:
-    """(u, v) of all pairs of distinct lines, by their MD5, of least_chars or more and within max_edits, with where each first stands."""
-    spark = docs.sparkSession
+
+# A stretch that holds edits begins at a (b) of the shorter line, from 0, and is a_len (b_len) long there. What follows
+# the first stretch has moved by s1 in the longer line, what follows the second by s2. Of `kind` 2 each of the stretches
+# holds one edit at most; of kind 1 there is only the first, which holds two.
+STATE = ["lid", "m", "kind", "s1", "s2", "a", "a_len", "b", "b_len"]
+
+
+def first_stretches(hot: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
+    """The state of lines that met under a segment."""
+    rows = hot.join(lines.select("lid", F.length("line").alias("n")), "lid")
+    rows = rows.withColumn("m", F.col("n") - F.col("less"))
+    start, size = cuts(F.col("m"), F.col("i"), max_edits + 1)
+    start, end, m, i, less = start - 1, start - 1 + size, F.col("m"), F.col("i"), F.col("less")
+    if max_edits == 1:
+        a, a_len = F.when(i == 0, end).otherwise(F.lit(0)), F.when(i == 0, m - end).otherwise(start)
+        kind, s1, b, b_len = F.lit(2), less, m, F.lit(0)
+    else:
+        a = F.when(i == 0, end).otherwise(F.lit(0))
+        a_len = F.when(i == 0, m - end).otherwise(start)
+        kind = F.when(i == 1, 2).otherwise(1)
+        s1 = F.when(i == 1, F.col("shift")).otherwise(less)
+        b, b_len = F.when(i == 1, end).otherwise(m), F.when(i == 1, m - end).otherwise(0)
+    named = {"kind": kind, "s1": s1, "s2": less, "a": a, "a_len": a_len, "b": b, "b_len": b_len}
+    return rows.select("lid", "m", *(x.cast("int").alias(c) for c, x in named.items())).distinct()
+
+
+def with_key(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows with the hash of all that lies outside their stretches, under the shorter line's length and their places."""
+    line, m, s1, s2 = F.col("line"), F.col("m"), F.col("s1"), F.col("s2")
+    a, b = F.col("a"), F.col("b")
+    end_a, end_b = a + F.col("a_len"), b + F.col("b_len")
+    outside = [F.substring(line, F.lit(1), a), F.substring(line, end_a + s1 + 1, b - end_a), F.substring(line, end_b + s2 + 1, m - end_b)]
+    fits = (F.col("a_len") + s1 >= 0) & (F.col("b_len") + s2 - s1 >= 0)
+    return rows.where(fits).join(lines.select("lid", "line"), "lid").select(*STATE, F.xxhash64("m", "kind", "a", "a_len", "b", "b_len", *outside).alias("key"))
+
+
+def is_own() -> Column:
+    return (F.col("s1") == 0) & (F.col("s2") == 0)
+
+
+def part(start: Column, length: Column, i: Column) -> tuple[Column, Column]:
+    low, high = ((length * x - (length * x) % PARTS) / PARTS for x in (i, i + 1))
+    return (start + low).cast("int"), (high - low).cast("int")
+
+
+def cut_stretches(rows: DataFrame) -> DataFrame:
+    """The states with the parts of the stretches that may hold the edits."""
+    both = [(2, x, y, 0) for x in range(PARTS) for y in range(PARTS)]
+    one = [(1, x, x, 0) for x in range(PARTS)]
+    split = [(1, x, y, d) for x in range(PARTS) for y in range(x + 1, PARTS) for d in (-1, 0, 1)]
+    df = rows.select(*STATE, one_of(both + one + split, "of x y d").alias("w")).where("w.of = kind").select(*STATE, "w.x", "w.y", "w.d")
+    stays = F.col("x") == F.col("y")  # of kind 1: both edits in one part
+    first, second = part(F.col("a"), F.col("a_len"), F.col("x")), part(F.col("a"), F.col("a_len"), F.col("y"))
+    other = part(F.col("b"), F.col("b_len"), F.col("y"))
+    two = F.col("kind") == 2
+    made = {
+        "kind": F.when(two | ~stays, 2).otherwise(1),
+        "s1": F.when(two, F.col("s1")).when(stays, F.col("s2")).otherwise(F.col("d")),
+        "a": first[0],
+        "a_len": first[1],
+        "b": F.when(two, other[0]).when(stays, F.col("m")).otherwise(second[0]),
+        "b_len": F.when(two, other[1]).when(stays, F.lit(0)).otherwise(second[1]),
+    }
+    used = (first[1] > 0) | ((F.col("a_len") == 0) & (F.col("x") == 0))  # a stretch without characters is one place
+    also = F.when(two, (other[1] > 0) | ((F.col("b_len") == 0) & (F.col("y") == 0))).when(stays, True).otherwise(second[1] > 0)
+    df = df.where(used & also)
+    df = df.select("lid", "m", "s2", *(x.cast("int").alias(c) for c, x in made.items()))
+    possible = (F.col("kind") == 1) | ((F.abs("s1") <= 1) & (F.abs(F.col("s2") - F.col("s1")) <= 1))
+    return df.where(possible).select(*STATE).distinct()
+
+
+CHAR, BEFORE, AFTER = range(3)
+
+
+def single_edits(rows: DataFrame) -> DataFrame:
+    """States whose stretches are a character at most, as the single places of their edits: a character, or a gap between two.
+
+    A line that lost or changed a character asks at that character; one that gained one asks at a gap.
+    """
+    double = [(1, CHAR, -1), (1, BEFORE, -1), (1, AFTER, -1), (1, BEFORE, AFTER)]
+    singles = [(2, x, y) for x in range(3) for y in range(3)]
+    df = rows.select(*STATE, one_of(double + singles, "of x y").alias("w")).where("w.of = kind").select(*STATE, "w.x", "w.y")
+    two = F.col("kind") == 2
+
+    def fits(unit: Column, length: Column, moved: Column) -> Column:
+        asks = F.when(moved == 1, unit != CHAR).when(moved == -1, unit == CHAR).otherwise(F.when(length == 1, unit == CHAR).otherwise(unit == BEFORE))
+        return ((unit == BEFORE) | (length == 1)) & (is_own() | asks)
+
+    a_len, s1, s2 = F.col("a_len"), F.col("s1"), F.col("s2")
+    one_place = F.col("y") < 0
+    asks = F.when(one_place, F.when(F.col("x") == CHAR, s2 < 2).otherwise((s2 == 2) | (a_len == 0))).otherwise(s2 == 2)
+    has = F.when((F.col("x") == BEFORE) & one_place, True).otherwise(a_len == 1)
+    good = F.when(two, fits(F.col("x"), a_len, s1) & fits(F.col("y"), F.col("b_len"), s2 - s1)).otherwise(has & (is_own() | asks))
+
+    def unit(start: Column, length: Column, x: Column) -> tuple[Column, Column]:
+        return start + F.when(x == AFTER, length).otherwise(0), F.when(x == CHAR, 1).otherwise(0)
+
+    first, other, gap = unit(F.col("a"), a_len, F.col("x")), unit(F.col("b"), F.col("b_len"), F.col("y")), unit(F.col("a"), a_len, F.lit(AFTER))
+    pair = ~two & ~one_place  # two gaps around a character
+    made = {
+        "kind": F.when(two | pair, 2).otherwise(1),
+        "s1": F.when(pair & ~is_own(), 1).otherwise(s1),
+        "a": first[0],
+        "a_len": first[1],
+        "b": F.when(two, other[0]).when(pair, gap[0]).otherwise(F.col("m")),
+        "b_len": F.when(two, other[1]).otherwise(0),
+    }
+    return df.where(good).select("lid", "m", "s2", *(x.cast("int").alias(c) for c, x in made.items())).select(*STATE).distinct()
+
+
+def earliest_near(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h, near_first) of lines that stand under a key with an earlier one: where the earliest stands. All under a key are near."""
+    df = with_key(single_edits(rows), lines).withColumn("own", is_own()).select("key", "lid", "own").distinct()
+    df = df.join(lines.select("lid", "h", "first"), "lid")
+    least = df.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("first"))).alias("entered"), F.min("first").alias("any"))
+    df = df.join(least, "key").withColumn("near_first", F.when(F.col("own"), F.col("any")).otherwise(F.col("entered")))
+    return df.where("near_first < first").select("h", "near_first")
+
+
+def near_lines(docs: DataFrame, known: DataFrame, max_edits: int, least_chars: int) -> DataFrame:
+    """(h, near_first) of the distinct lines of least_chars or more that are within max_edits of an earlier one: where the earliest such stands."""
+    if max_edits not in (1, 2):
+        raise ValueError("max_edits is 1 or 2")
     total = known.agg(F.sum("n")).first()[0] or 0
     frequent = F.broadcast(known.where(F.col("n") * FREQUENT > total).select(F.col("lid").alias("hot"), "first"))  # fewer than FREQUENT rows
-    at = place(F.col("doc_id"), F.col("line_no"))
-    lines = split_lines(docs).where(F.length("line") >= least_chars).select(F.xxhash64("line").alias("lid"), at.alias("at"), "line")
+    lines = split_lines(docs).where(F.length("line") >= least_chars).select(F.xxhash64("line").alias("lid"), "at", "line")
     lines = lines.join(frequent, (F.col("lid") == F.col("hot")) & (F.col("at") != F.col("first")), "left_anti")
-    entered = keyed(lines, own_ways(max_edits), max_edits).withColumnRenamed("lid", "u")
-    asked = keyed(lines, asked_ways(max_edits), max_edits).withColumnRenamed("lid", "v")
-    n = tasks(spark)
-    met = entered.repartition(n, "key").dropDuplicates(["key", "u"]).join(asked.repartition(n, "key").dropDuplicates(["key", "v"]), "key").where("u <> v")
-    pairs = stash(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("u").alias("w")).unionByName(pairs.select(F.col("v").alias("w"))).distinct()
-    places = known.join(wanted, F.col("lid") == F.col("w"), "left_semi")
-    by_doc = places.groupBy(doc_number(F.col("first")).alias("number")).agg(F.collect_list(F.struct("h", "lid", "first", line_at(F.col("first")).alias("line_no"))).alias("firsts"))
-    numbered = docs.select(doc_number(place(F.col("doc_id"), F.lit(0))).alias("doc_number"), text_of("text").alias("text"))
-    held = numbered.join(by_doc, F.col("doc_number") == F.col("number")).select(F.split("text", "\n").alias("lines"), F.explode("firsts").alias("f"))
-    held = held.select("f.h", "f.lid", "f.first", F.get("lines", F.col("f.line_no")).alias("line")).where(F.unhex(F.md5("line")) == F.col("h"))
+    own = (F.col("less") == 0) & (F.col("shift") == 0)
+    rows = stash(met(keyed(lines, max_edits), own), "lines-met")
+    pairs = [stash(pairs_of(rows, own).distinct(), "line-pairs")]
+    hot = rows.where(F.col("n_own") > BUCKET)
+    wanted = hot.select("lid").unionByName(pairs[0].select(F.col("u").alias("lid"))).unionByName(pairs[0].select(F.col("v").alias("lid"))).distinct()
+    lines = stash(lines_of(docs, known, wanted), "lines-held")
+    found = []
+    states = first_stretches(hot, lines, max_edits)
+    while True:
+        states = stash(states, "line-stretches")
+        if states.isEmpty():
+            break
+        small = (F.col("a_len") <= 1) & (F.col("b_len") <= 1)
+        found.append(earliest_near(states.where(small), lines))
+        rows = stash(met(with_key(cut_stretches(states.where(~small)), lines), is_own()), "lines-met")
+        pairs.append(pairs_of(rows, is_own()))
+        states = rows.where(F.col("n_own") > BUCKET).select(*STATE)
+    found.append(verified(reduce(DataFrame.unionByName, pairs).distinct(), lines, max_edits))
+    return reduce(DataFrame.unionByName, found).groupBy("h").agg(F.min("near_first").alias("near_first"))
+
+
+def verified(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
+    """(h, near_first) of the later line of each pair (u, v) that is within max_edits."""
     chars = F.split("line", "")
-    held = stash(held.dropDuplicates(["h"]).select("h", "lid", "first", "line", parity(chars).alias("odd"), pair_parity(F.col("line")).alias("odd_pairs")), "lines-met")
+    held = lines.select("h", "lid", "first", "line", F.length("line").alias("n"), parity(chars).alias("odd"), pair_parity(F.col("line")).alias("odd_pairs"))
     left, right = (held.select(*(F.col(c).alias(f"{x}_{c}") for c in held.columns)) for x in "uv")
     alike = [F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) <= most for c, most in (("odd", 2 * max_edits), ("odd_pairs", 4 * max_edits))]
-    both = pairs.join(left, F.col("u") == F.col("u_lid")).join(right, (F.col("v") == F.col("v_lid")) & alike[0] & alike[1])
-    close = F.abs(F.length("u_line") - F.length("v_line")) <= max_edits
-    near = both.where(close).where(within_edits(F.split("u_line", ""), F.split("v_line", ""), max_edits))
-    return near.select(F.col("u_h").alias("u"), F.col("u_first").alias("u_first"), F.col("v_h").alias("v"), "v_first")
+    close = F.abs(F.col("u_n") - F.col("v_n")) <= max_edits
+    both = pairs.join(left, F.col("u") == F.col("u_lid")).join(right, F.col("v") == F.col("v_lid")).where(close & alike[0] & alike[1])
+    near = both.where(within_edits(F.split("u_line", ""), F.split("v_line", ""), max_edits))
+    return near.select(F.when(F.col("u_first") < F.col("v_first"), F.col("v_h")).otherwise(F.col("u_h")).alias("h"), F.least("u_first", "v_first").alias("near_first"))
 
 
 def judged(docs: DataFrame, max_edits: int = 2, least_chars: int = 20) -> DataFrame:
-    """(h, n, first, n_links, near) of every distinct line with a word: near if it is within max_edits of one that stands earlier."""
+    """(h, n, first, near_first) of every distinct line with a word: near_first is where the earliest line stands that
+    is within max_edits of it and earlier, null if there is none."""
     known = stash(distinct_lines(docs), "lines")
-    found = links(docs, known, max_edits, least_chars)
-    ends = found.select(F.col("u").alias("own"), (F.col("v_first") < F.col("u_first")).alias("late")).unionByName(found.select(F.col("v").alias("own"), (F.col("u_first") < F.col("v_first")).alias("late")))
-    ends = ends.groupBy("own").agg(F.count(F.lit(1)).alias("n_links"), F.max("late").alias("near"))
-    df = known.join(ends, F.col("h") == F.col("own"), "left")
-    return df.select("h", "n", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("near", F.lit(False)).alias("near"))
+    return known.join(near_lines(docs, known, max_edits, least_chars), "h", "left").select("h", "n", "first", "near_first")
 
 
 def report(docs: DataFrame, max_edits: int = 2, least_chars: int = 20) -> DataFrame:
-    """One row for each doc_id: n_lines with a word, those dropped as equal or near to earlier ones, those kept, n_links.
+    """One row for each doc_id: n_lines with a word, those dropped as equal or near to earlier ones, those kept, and
+    near_doc, the least id of a document that holds an earlier line near to a distinct line that first stands here.
 
-    n_links counts the links of the distinct lines that stand first in the document. Rows that repeat an id are one
-    document: lines at the same place that are equal are one line. A null text has no lines; rows without an id are one
-    document that comes first; further columns are not read; no rows give no rows.
+    Rows that repeat an id are one document for the counts; rows that repeat id and text count once. A null text has no
+    lines; rows without an id come first, and near_doc is null for lines near to theirs; further columns are not read;
+    no rows give no rows.
     """
     lines = judged(docs, max_edits, least_chars)
-    per_doc = lines.groupBy(doc_number(F.col("first")).alias("number")).agg(
-        F.count(F.lit(1)).alias("firsts"), F.sum(F.col("near").cast("long")).alias("near"), F.sum("n_links").alias("links")
-    )
-    held = F.size(F.filter(F.split(text_of("text"), "\n"), lambda x: x.rlike(WORD))).cast("long")
-    counts = docs.groupBy("doc_id", F.md5(text_of("text")).alias("h")).agg(F.max(held).alias("n_lines")).groupBy("doc_id").agg(F.sum("n_lines").alias("n_lines"))
-    df = counts.join(per_doc, doc_number(place(F.col("doc_id"), F.lit(0))) == F.col("number"), "left")
-    firsts, near = (F.coalesce(c, F.lit(0)).cast("long") for c in ("firsts", "near"))
-    return df.select("doc_id", "n_lines", (F.col("n_lines") - firsts).alias("n_equal"), near.alias("n_near"), (firsts - near).alias("n_kept"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    per_doc = lines.groupBy(doc_of(F.col("first")).alias("number")).agg(F.count(F.lit(1)).alias("firsts"), F.count("near_first").alias("near"), F.min("near_first").alias("near_first"))
+    text = text_of("text")
+    held = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))).cast("long")
+    counts = docs.groupBy("doc_id", doc_key(F.col("doc_id"), text).alias("doc")).agg(F.max(held).alias("n_lines"))
+    df = counts.join(per_doc, F.col("doc") == F.col("number"), "left").groupBy("doc_id")
+    df = df.agg(F.sum("n_lines").alias("n_lines"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("firsts", "near")), F.min("near_first").alias("near_first"))
+    return df.select("doc_id", "n_lines", (F.col("n_lines") - F.col("firsts")).alias("n_equal"), F.col("near").alias("n_near"), (F.col("firsts") - F.col("near")).alias("n_kept"), id_of(F.col("near_first")).alias("near_doc"))
+
+
+def kept_of(lines: Column, kept: Column) -> Column:
+    """The lines that hold no word or whose number is in the array kept. In time linear in the lines but for a sort.
+
+    Every number stands in `order` once, doubled, and once more with one added if it is kept; so what follows tells.
+    """
+    numbers = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    order = F.array_sort(F.concat(F.transform(numbers, lambda i: i * 2), F.transform(kept, lambda i: i * 2 + 1)))
+    marks = bound(order, lambda o: F.filter(F.transform(o, lambda x, j: F.when(x % 2 == 0, F.coalesce(F.get(o, j + 1) == x + 1, F.lit(False)))), lambda x: x.isNotNull()))
+    return bound(marks, lambda stays: F.filter(lines, lambda x, i: ~x.rlike(WORD) | F.coalesce(F.get(stays, i), F.lit(False))))
 
 
 def deduplicated(docs: DataFrame, max_edits: int = 2, least_chars: int = 20) -> DataFrame:
-    """docs, all rows and columns, without the lines that are dropped; n_chars, if there, counts anew. A null text stays null."""
-    lines = judged(docs, max_edits, least_chars).where(~F.col("near"))
-    kept = lines.groupBy(doc_number(F.col("first")).alias("kept_number")).agg(F.collect_set(line_at(F.col("first"))).alias("kept_lines"))
-    df = docs.join(kept, doc_number(place(docs["doc_id"], F.lit(0))) == F.col("kept_number"), "left")
-    stays = F.filter(F.split("text", "\n"), lambda x, i: ~x.rlike(WORD) | F.coalesce(F.array_contains("kept_lines", i), F.lit(False)))
-    text = F.array_join(stays, "\n")
-    columns = {"text": text} | ({"n_chars": F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return df.withColumns(columns).select(*docs.columns)
+    """docs, all rows and columns, without the lines that are dropped; n_chars, if there, counts anew.
+
+    A null text stays null. Rows that repeat id and text keep the same lines; columns of any name are left as they are.
+    """
+    lines = judged(docs, max_edits, least_chars).where("near_first is null")
+    kept = lines.groupBy(doc_of(F.col("first")).alias("number")).agg(F.collect_list(line_at(F.col("first"))).alias("numbers")).select(F.struct("number", "numbers").alias("kept"))
+    held = docs.select(F.struct(*docs.columns).alias("row"))
+    df = held.join(kept, doc_key(F.col("row.doc_id"), text_of("row.text")) == F.col("kept.number"), "left")
+    text = F.array_join(kept_of(F.split("row.text", "\n"), F.coalesce("kept.numbers", F.array().cast("array<int>"))), "\n")
+    df = df.select("row", F.when(F.col("row.text").isNotNull(), text).alias("text"))
+    made = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return df.select(*(made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in docs.columns))

@@ -1,15 +1,19 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-1. Document frequencies of all shingles, over all documents, in a table of CELLS hashed counts. The table has the
-   same size for any corpus; a shingle's count is that of its cell, never too small. What a cell adds to a rare
-   shingle is the same share of the documents at any size.
-2. A document's weights are tf * (1 + the shingle's part of the largest idf). BANDS * ROWS samples are drawn from it
-   so that two documents draw the same one with a probability of their weighted Jaccard similarity. Equal
-   texts are one entry, by their MD5. Entries that agree on all samples of a band are candidates.
-3. Candidates are verified by the weighted Jaccard similarity of their whole bags. In each bucket everyone is first
-   compared to one leader, which differs from round to round and from bucket to bucket; what stays in another
-   component than a bucket-mate is at last compared to it. So every pair of candidates is either verified or
-   already connected, and the components are those of all pairs, without comparing all pairs of a group of copies.
+1. Document frequencies of shingles, over all documents. A shingle's weight is tf * (1 + its part of the largest idf),
+   and depends on the share of documents that hold it alone; below SHARE all weigh the same. So only shingles above
+   SHARE need a count: a table of CELLS hashed counts tells where they can be, and those there are counted exactly.
+   There are fewer of them than shingles in 1 / SHARE documents, however many documents there are.
+2. BANDS * ROWS samples are drawn from a document's weights so that two documents draw the same one with a
+   probability of their weighted Jaccard similarity. Equal texts are one entry, by their MD5. Entries that agree
+   on all samples of a band are candidates.
+3. Candidates are verified by the weighted Jaccard similarity of their whole bags. In buckets of up to SMALL entries
+   all are compared. In larger ones everyone is first compared to one leader, which differs from round to round and
+   from bucket to bucket. Entries of buckets that stay in several components are then joined exactly: two entries
+   at the threshold share one of the rarest shingles that make up a ninth of the lighter and of about so much of the
+   heavier one (prefixes by the least overlap that their weights allow); those that do, in different components, are
+   verified. So every pair of candidates is verified, connected or proven to be below the threshold, and the
+   components are those of all pairs, without comparing all pairs of a group of copies.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -33,6 +37,12 @@ BANDS, ROWS = 16, 4
 #: Bits of the table that spares documents without candidates a second reading; its size is fixed too.
 FILTER_BITS = 1 << 23
 LEVELS = 1 << 16
+#: Shingles in a smaller share of the documents all weigh the same.
+SHARE = 2.0**-10
+SMALL = 6
+LEADER_ROUNDS = 3
+#: Classes of total weight, for prefixes, are so many times apart.
+STEP = 1.02
 
 
 class Bags(NamedTuple):
@@ -80,9 +90,48 @@ def document_frequencies(docs: DataFrame, words: int) -> tuple[int, np.ndarray]:
     return (rows[0]["n"] if rows else 0), table
 
 
-def idf(n: int, df: np.ndarray) -> np.ndarray:
-    """Between 1, in all documents, and 2, in none."""
-    return (1 + np.log((1 + n) / (1 + np.minimum(df, n))) / max(np.log(1 + n), 1)).astype(np.float32)
+class Weights(NamedTuple):
+    """Weights of shingles: `rare`, but for some, which are in the cells marked; 1 for one in all documents."""
+
+    cells: np.ndarray
+    hashes: np.ndarray
+    values: np.ndarray
+    rare: float
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), self.rare, np.float32)
+        at = np.flatnonzero(self.cells[hashes & np.uint32(CELLS - 1)]) if len(self.hashes) else ()
+        if len(at):
+            h = hashes[at]
+            i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[i] == h
+            out[at[known]] = self.values[i[known]]
+        return out
+
+
+def idf_weights(docs: DataFrame, words: int) -> Weights:
+    """Weights from the exact counts of all shingles in more than SHARE of the documents."""
+    n, table = document_frequencies(docs, words)
+    least = max(1.0, SHARE * n)
+    cells = table > least
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = marked.value
+        for b in batches:
+            for _, part in pieces(b.column(0)):
+                h = bags(part, words).hashes
+                keys, counts = np.unique(h[marks[h & np.uint32(CELLS - 1)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "n"])
+
+    marked = docs.sparkSession.sparkContext.broadcast(cells)
+    found = docs.select(text_of("text").alias("text")).mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    often = found.where(F.col("n") > least).toPandas().sort_values("shingle") if cells.any() else None  # at most the shingles of 1 / SHARE documents
+    kept = (often["shingle"].to_numpy().astype(np.uint32), often["n"].to_numpy().astype(np.float64)) if often is not None else (np.zeros(0, np.uint32), np.zeros(0))
+
+    def weight(df):
+        return 1 + np.log(max(n, 1) / df) / np.log(1 / SHARE)
+
+    return Weights(cells, kept[0], weight(kept[1]).astype(np.float32), float(weight(least)) if n else 1.0)
 
 
 def gamma_levels() -> np.ndarray:
@@ -97,7 +146,7 @@ def gamma_levels() -> np.ndarray:
 class Sampler:
     """Improved consistent weighted sampling: r and c from Gamma(2, 1), beta from [0, 1), by hashes of (shingle, sample)."""
 
-    def __init__(self, weights: np.ndarray) -> None:
+    def __init__(self, weights: Weights) -> None:
         self.weights = weights
         levels = gamma_levels()
         self.r, self.log_c = levels.astype(np.float32), np.log(levels).astype(np.float32)
@@ -107,7 +156,7 @@ class Sampler:
         n = np.diff(bag.starts)
         full = np.flatnonzero(n)
         starts, sizes = bag.starts[:-1][full], n[full]
-        log_w = np.log(bag.counts * self.weights[bag.hashes & np.uint32(CELLS - 1)]).astype(np.float32)
+        log_w = np.log(bag.counts * self.weights.of(bag.hashes)).astype(np.float32)
         h = bag.hashes.astype(np.uint64)
         owner = np.repeat(np.arange(len(full)), sizes)
         out = np.zeros((len(full), BANDS), np.uint64)
@@ -175,27 +224,31 @@ def filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def vectors(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, bag) of the wanted ids: sorted shingle hashes, then their counts."""
-    bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
+    """(h, bag) of the wanted (h, id) texts: sorted shingle hashes, then their counts."""
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select("id")))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         for b in batches:
             at = filter_bits(b.column(0))
             b = b.filter(pa.array((table[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1))
-            for i, part in pieces(b.column(1)) if b.num_rows else ():
+            for i, part in pieces(b.column(2)) if b.num_rows else ():
                 h, n, starts = bags(part, words)
                 blobs = [h[x:y].astype("<u4").tobytes() + n[x:y].astype("<u4").tobytes() for x, y in zip(starts, starts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)).cast(pa.int64()), pa.array(blobs, pa.binary())], ["id", "bag"])
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, len(part)), pa.array(blobs, pa.binary())], ["h", "bag"])
+
+    text = text_of("text")
+    found = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("h"), text.alias("text")).mapInArrow(packed, "h binary, bag binary")
+    return found.join(wanted.select("h"), "h", "left_semi").dropDuplicates(["h"])
 
-    found = docs.where("doc_id is not null").select("doc_id", text_of("text").alias("text")).mapInArrow(packed, "id long, bag binary")
-    return found.join(wanted.select(F.col("id").alias("want")), F.col("id") == F.col("want"), "left_semi")
 
+def unpacked(bag: bytes, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+    h, n = np.split(np.frombuffer(bag, "<u4"), 2)
+    return h, n * weights.of(h).astype(np.float64)
 
-def weighted_jaccard(a: bytes, b: bytes, weights: np.ndarray) -> float:
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    (hx, nx), (hy, ny) = np.split(x, 2), np.split(y, 2)
-    wx, wy = (n * weights[h & np.uint32(CELLS - 1)].astype(np.float64) for h, n in ((hx, nx), (hy, ny)))
+
+def weighted_jaccard(a: bytes, b: bytes, weights: Weights) -> float:
+    (hx, wx), (hy, wy) = unpacked(a, weights), unpacked(b, weights)
     _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
     both = float(np.minimum(wx[i], wy[j]).sum())
     return both / max(float(wx.sum() + wy.sum()) - both, 1e-12)
@@ -209,59 +262,107 @@ def verified(pairs: DataFrame, bag: DataFrame, weights, threshold: float) -> Dat
             ok = [weighted_jaccard(x.as_py(), y.as_py(), weights.value) >= threshold - 1e-9 for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["u", "v", "linked"])
 
-    left, right = (bag.select(F.col("id").alias(f"{x}_id"), F.col("bag").alias(f"{x}_bag")) for x in "uv")
-    df = pairs.join(right, F.col("v") == F.col("v_id")).join(left, F.col("u") == F.col("u_id"))
-    return df.select("u", "v", "u_bag", "v_bag").mapInArrow(compared, "u long, v long, linked boolean")
+    left, right = (bag.select(F.col("h").alias(x), F.col("bag").alias(f"{x}_bag")) for x in "uv")
+    df = pairs.join(right, "v").join(left, "u")
+    return df.select("u", "v", "u_bag", "v_bag").mapInArrow(compared, "u binary, v binary, linked boolean")
+
+
+def paired(x: str = "x", y: str = "y") -> list[Column]:
+    return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(h, component) of all entries after more links (u, v): only the components that they join are worked on."""
+    ends = [label.select(F.col("h").alias(x), F.col("component").alias(f"{x}_component")) for x in "uv"]
+    between = links.join(ends[0], "u").join(ends[1], "v").where("u_component <> v_component").select(F.col("u_component").alias("u"), F.col("v_component").alias("v")).distinct()
+    joined = components(between).select(F.col("id").alias("component"), F.col("component").alias("over"))
+    return stash(label.join(joined, "component", "left").select("h", F.coalesce("over", "component").alias("component")), "components")
+
+
+def led(large: DataFrame, label: DataFrame, k: int) -> DataFrame:
+    """(u, v) of every entry of a large bucket and the bucket's leader in round k, if they are in different components."""
+    placed = large.join(label, "h")
+    lead = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("o"), F.col("h").alias("x"), "component")).alias("l")).select("bucket", "l.x", F.col("l.component").alias("lead"))
+    return placed.join(lead, "bucket").where("component <> lead").select(*paired("x", "h")).distinct()
 
 
-def classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rounds: int = 3) -> DataFrame:
+def prefix_pairs(large: DataFrame, label: DataFrame, bag: DataFrame, weights, threshold: float) -> DataFrame:
+    """(u, v) of entries of several components that can be alike, of all buckets that hold several.
+
+    Shingles are ordered by how many of these entries hold them. `rest` is what an entry weighs from a shingle on. Two
+    entries overlap by least(rest) at most if this is the first that they share, and by t / (1 + t) of both weights
+    at least if they are alike; the lighter is looked for by its class of weight, for which the heavier is cut.
+    """
+    placed = large.join(label, "h")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    apart = placed.join(split.select("bucket"), "bucket", "left_semi").select("h", "component").distinct()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, c, x in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                terms, w = unpacked(x, weights.value)
+                k = len(terms)
+                yield pa.RecordBatch.from_arrays([pa.array([h] * k, pa.binary()), pa.array([c] * k, pa.binary()), pa.array(terms.astype(np.int64)), pa.array(w), pa.array(np.full(k, w.sum()))], ["h", "component", "shingle", "w", "total"])
+
+    terms = stash(apart.join(bag, "h").select("h", "component", "bag").mapInArrow(listed, "h binary, component binary, shingle long, w double, total double"), "terms")
+    held = terms.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    after = Window.partitionBy("h").orderBy("n", "shingle").rowsBetween(0, Window.unboundedFollowing)
+    t, share = threshold, threshold / (1 + threshold) * (1 - 1e-9)
+    ranked = terms.join(held, "shingle").withColumn("rest", F.sum("w").over(after)).where(F.col("rest") >= t * (1 - 1e-9) * F.col("total")).where("n > 1")
+    ranked = ranked.select("h", "component", "shingle", "total", "rest", F.floor(F.log("total") / np.log(STEP)).cast("int").alias("own"))
+    least = F.floor(F.log(F.col("total") * t) / np.log(STEP)).cast("int")
+    asked = ranked.withColumn("class", F.explode(F.sequence(least, F.col("own"))))
+    lightest = F.greatest(F.pow(F.lit(STEP), "class"), t * F.col("total"))
+    asks = asked.where(F.col("rest") >= share * (lightest + F.col("total"))).withColumn("asks", F.lit(True)).drop("own")
+    stands = ranked.where(F.col("rest") >= 2 * share * F.col("total")).withColumn("asks", F.lit(False)).withColumnRenamed("own", "class")
+    rows = stash(stands.unionByName(asks), "prefixes")
+    key = ["class", "shingle"]
+    most = rows.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    rows = rows.join(most.select(*key, "main"), key)
+    lighter, heavier = (rows.where(c).select(*key, *(F.col(n).alias(f"{x}_{n}") for n in ("h", "component", "total", "rest")), (F.col("component") == F.col("main")).alias(f"{x}_main")) for x, c in (("x", "not asks"), ("y", "asks")))
+    can = (F.col("x_total") <= F.col("y_total")) & (F.col("x_component") != F.col("y_component")) & (F.least("x_rest", "y_rest") >= share * (F.col("x_total") + F.col("y_total")))
+    parts = [lighter.join(heavier.where("not y_main"), key), lighter.where("not x_main").join(heavier.where("y_main"), key)]
+    return parts[0].unionByName(parts[1]).where(can).select(*paired("x_h", "y_h")).distinct()
+
+
+def classes(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id) of every row of (doc_id, text): class_id is the least doc_id of its near-duplicates.
 
     Texts of fewer than `words` words, but one at least, are one shingle. Equal texts are of one class whatever they
     hold, empty and null ones included (null: empty); texts of blanks alone are not similar to others. Rows that repeat
-    an id are one document per text. A row without an id takes the class of an equal text that has one, else null.
+    an id are one document per text. A row without an id takes the class of its near-duplicates, null if none has an id.
     Further columns are not read; no rows give no rows.
     """
     spark = docs.sparkSession
-    n, df = document_frequencies(docs, words)
-    weights = spark.sparkContext.broadcast(idf(n, df))
+    weights = spark.sparkContext.broadcast(idf_weights(docs, words))
     signed = stash(signatures(docs, words, weights), "signatures")
-    entries = signed.where("doc_id is not null").groupBy("h").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("id"), "bands")).alias("e")).select("h", "e.id", "e.bands")
-    entries = stash(entries, "entries")
-    dealt = entries.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    entries = stash(signed.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), "bands")).alias("e")).select("h", "e.id", "e.bands"), "entries")
+    dealt = entries.select("h", "id", F.posexplode("bands").alias("band", "value")).select("h", "id", F.xxhash64("band", "value").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stash(dealt.join(shared, "bucket").distinct(), "members")
-    wanted = members.select("id").distinct()
-    bag = stash(vectors(docs, wanted, words).groupBy("id").agg(F.min("bag").alias("bag")), "bags")
-    component = wanted.select("id", F.col("id").alias("component"))
-    done = links = None
-    for k in range(rounds + 1):
-        placed = members.join(component, "id")
-        if k < rounds:
-            order = F.xxhash64("id", F.lit(k))
-            lead = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("l")).select("bucket", F.col("l.id").alias("lead"), F.col("l.component").alias("lead_component"))
-            apart = placed.join(lead, "bucket").where("component <> lead_component").select(F.col("lead").alias("x"), F.col("id").alias("y"))
-        else:
-            other = placed.select("bucket", F.col("id").alias("y"), F.col("component").alias("other"))
-            apart = placed.join(other, "bucket").where("component < other").select(F.col("id").alias("x"), "y")
-        pairs = apart.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("u", "v"), ["u", "v"], "left_anti")
+    bag = stash(vectors(docs, members.select("h", "id").distinct(), words), "bags")
+    label = members.select("h", F.col("h").alias("component")).distinct()
+    small, large = members.where(F.col("n") <= SMALL).select("bucket", "h"), members.where(F.col("n") > SMALL).select("bucket", "h")
+    both = small.select("bucket", F.col("h").alias("x")).join(small.select("bucket", F.col("h").alias("y")), "bucket").where("x < y").select(*paired())
+    done = None
+    for k in range(LEADER_ROUNDS + 1):
+        pairs = led(large, label, k) if k < LEADER_ROUNDS else prefix_pairs(large, label, bag, weights, threshold)
+        pairs = pairs.unionByName(both).distinct() if k == 0 else pairs.join(done.select("u", "v"), ["u", "v"], "left_anti")
         judged = stash(verified(pairs, bag, weights, threshold), "judged")
         done = judged if done is None else done.unionByName(judged)
-        found = judged.where("linked").select("u", "v")
-        if k and found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        joined = stash(components(links), "components")
-        component = wanted.join(joined.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("id", F.coalesce("component", "id").alias("component"))
-    known = entries.select("h", "id").join(component.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("h", F.coalesce("component", "id").alias("class_id"))
-    out = signed.select("doc_id", F.col("h").alias("own")).join(known, F.col("own") == F.col("h"), "left")
-    return out.select("doc_id", F.col("class_id").cast(docs.schema["doc_id"].dataType).alias("class_id"))
+        label = merged(label, judged.where("linked").select("u", "v"))
+    known = entries.select("h", "id").join(label, "h", "left").select("h", "id", F.coalesce("component", "h").alias("component"))
+    least = known.groupBy("component").agg(F.min("id").alias("class_id"))
+    known = known.join(least, "component").select("h", "class_id")
+    return signed.select("doc_id", "h").join(known, "h", "left").select("doc_id", F.col("class_id").cast(docs.schema["doc_id"].dataType).alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, that stand for their class: those with its least id. Rows without an id stay."""
+    """The rows of docs, all columns, that stand for their class: those with its least id. Rows without an id stay.
+
+    Rows that repeat an id stay if one of their texts stands for its class. Columns of any name are left as they are.
+    """
     found = classes(docs, words, threshold)
     gone = found.groupBy(F.col("doc_id").alias("gone_id")).agg(F.min(F.col("class_id") != F.col("doc_id")).alias("gone")).where("gone").drop("gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    held = docs.select(F.struct(*docs.columns).alias("row"))
+    return held.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))

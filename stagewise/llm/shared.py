@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +20,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, one of our own, if all tasks run on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("stagewise.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors would write to folders that the driver cannot see")
         folder = tempfile.mkdtemp(prefix="stagewise-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("stagewise.checkpoint.dir", folder)
@@ -25,9 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    own = spark.conf.get("stagewise.checkpoint.dir", None)
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or own or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it is removed when the driver's Python ends, since results are read from it until then."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(removed, spark.sparkContext._jvm, path)
+    return path
+
+
+def removed(jvm, path: str) -> None:
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception:  # the JVM has ended before us
+        pass
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -51,26 +67,47 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_points(df: DataFrame, column: str, parts: int) -> list[float]:
-    """Values, descending, that deal a numeric column's rows into about equal ranges. At most parts - 1, so small enough for a plan."""
-    if parts < 2:
-        return []
-    return sorted(set(df.where(F.col(column).isNotNull()).approxQuantile(column, [i / parts for i in range(1, parts)], 0.25 / parts)), reverse=True)
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """About so many rows, and never more than twice as many, from all over the table: each with the same probability."""
+    total = df.count()
+    return df if total <= rows else df.sample(fraction=rows / total, seed=7).limit(2 * rows)
+
+
+class Ranges(NamedTuple):
+    """Disjoint ranges of a column of whole numbers, descending, of about equal numbers of rows: the greatest value of each."""
+
+    heads: Broadcast[np.ndarray]
+    n: int
 
+    def number(self, column: Column) -> Column:
+        """The number of a value's range; nulls are in the last."""
+        heads, last = self.heads, self.n - 1
 
-def range_of(column: str, cuts: list[float]) -> Column:
-    """The number of the first descending cut below the column's value, by halving; the last number for a null."""
+        def numbered(values: pa.Array) -> pa.Array:
+            ascending = heads.value[::-1]
+            at = len(ascending) - 1 - np.searchsorted(ascending, values.fill_null(0).to_numpy(zero_copy_only=False))
+            return pa.array(np.where(values.is_null().to_numpy(zero_copy_only=False), last, np.clip(at, 0, last)).astype(np.int32))
 
-    def below(lo: int, hi: int) -> Column:
-        mid = (lo + hi) // 2
-        return F.lit(lo) if lo == hi else F.when(F.col(column) > F.lit(cuts[mid]), below(lo, mid)).otherwise(below(mid + 1, hi))
+        return F.arrow_udf(numbered, "int")(column.cast("long"))
 
-    return below(0, len(cuts))
+    def also(self, column: Column) -> Column:
+        """For the greatest value of a range, the number of the range before, or of the last one for the first; else null."""
+        heads, n = self.heads, self.n
 
+        def served(values: pa.Array) -> pa.Array:
+            if not len(heads.value):
+                return pa.array(np.zeros(len(values), np.int32))
+            ascending, v = heads.value[::-1], values.fill_null(0).to_numpy(zero_copy_only=False)
+            i = np.minimum(np.searchsorted(ascending, v), len(ascending) - 1)
+            leads = (ascending[i] == v) & values.is_valid().to_numpy(zero_copy_only=False)
+            return pa.array((len(ascending) - 2 - i) % n, pa.int32(), mask=~leads)
 
-#: Cuts between ranges are part of the plan, so they are few enough for one expression.
-MOST_RANGES = 1024
+        return F.arrow_udf(served, "int")(column.cast("long"))
 
 
-def ranges(spark: SparkSession) -> int:
-    return min(MOST_RANGES, max(1, tasks(spark)))
+def ranges(df: DataFrame, column: str) -> Ranges:
+    """As many ranges as the cluster's owner wants tasks. Spark samples their bounds; the driver holds one number of each."""
+    values = df.select(F.col(column).cast("long").alias("v")).where("v is not null")
+    dealt = values.repartitionByRange(max(1, tasks(df.sparkSession)), F.col("v").desc())
+    heads = sorted({r["head"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.max("v").alias("head")).collect()}, reverse=True)
+    return Ranges(df.sparkSession.sparkContext.broadcast(np.array(heads, np.int64)), max(1, len(heads)))

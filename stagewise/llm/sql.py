@@ -91,11 +91,11 @@ d AS (SELECT line, length(line) AS n, min(CAST(doc_id AS HUGEINT) * 100000000000
 p AS (SELECT a.line AS u, a.first AS uf, b.line AS v, b.first AS vf
       FROM d a JOIN (SELECT d.*, n + k AS m FROM d, (VALUES (-2), (-1), (0), (1), (2)) AS o(k) WHERE n >= 20) b ON a.n = b.m
       WHERE a.n >= 20 AND a.first <> b.first AND levenshtein(a.line, b.line) <= 2),
-e AS (SELECT uf AS first, count(*) AS n_links, bool_or(vf < uf) AS near FROM p GROUP BY uf),
-f AS (SELECT CAST(d.first // 1000000000000 AS BIGINT) AS doc_id, count(*) AS firsts, sum(CASE WHEN near THEN 1 ELSE 0 END) AS near, coalesce(sum(n_links), 0) AS links
+e AS (SELECT vf AS first, min(uf) AS near_first FROM p WHERE uf < vf GROUP BY vf),
+f AS (SELECT CAST(d.first // 1000000000000 AS BIGINT) AS doc_id, count(*) AS firsts, count(near_first) AS near, min(near_first) AS near_first
       FROM d LEFT JOIN e ON d.first = e.first GROUP BY 1),
 c AS (SELECT doc_id, count(line) AS n_lines FROM (SELECT doc_id FROM documents) LEFT JOIN l USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines - coalesce(firsts, 0) AS BIGINT) AS n_equal, CAST(coalesce(near, 0) AS BIGINT) AS n_near,
-       CAST(coalesce(firsts, 0) - coalesce(near, 0) AS BIGINT) AS n_kept, CAST(coalesce(links, 0) AS BIGINT) AS n_links
+       CAST(coalesce(firsts, 0) - coalesce(near, 0) AS BIGINT) AS n_kept, CAST(near_first // 1000000000000 AS BIGINT) AS near_doc
 FROM c LEFT JOIN f USING (doc_id)
 """

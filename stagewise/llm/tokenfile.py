@@ -9,6 +9,7 @@ beside the shards under its hash. Shards follow each other in ascending doc_id o
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from array import array
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut_points, range_of, ranges, scratch, stash
+from .shared import bounded_sample, ranges, scratch, stash, tasks
 from .storage import reading, writing
 
 MAGIC = b"TOKSHRD1"
@@ -42,19 +43,30 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Steps of a tokenizer that drops white space, never joins across it, and cuts letters from all else.
+BY_WORDS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordIds:
-    """Ids of words, as little-endian bytes. The tokenizer drops white space and never joins across it."""
+    """Ids of texts, as little-endian bytes. If the tokenizer has the steps of BY_WORDS, word by word, each new word once; else text by text."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_words = all(((steps.get(k) or {}).get("normalizers") or (steps.get(k) or {}).get("pretokenizers")) == v for k, v in BY_WORDS.items()) and not steps.get("post_processor")
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
-        self.lowers = '"Lowercase"' in self.tokenizer.to_str()[:4096]
 
     def folded(self, text: str) -> bytes:
         """The text in UTF-8; in lower case where that changes no id: the tokenizer lowers too, but not before it has
         found its special tokens and composed characters. Latin-1 has nothing to compose."""
-        if self.lowers and "<|" not in text:
+        if "<|" not in text:
             try:
                 text.encode("latin-1")
                 text = text.lower()
@@ -63,20 +75,25 @@ class WordIds:
         return text.encode()
 
     def learn(self, words: set[bytes]) -> None:
-        """Ids of new words. Letters and one point or comma are two words to the tokenizer, so the letters' ids serve both."""
+        """Ids of new words. ASCII letters and one point or comma are two words to the tokenizer, so the letters' ids serve both.
+        Other letters may become a letter and a mark when they are lowered, and the mark would go with the point."""
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        ended = [w for w in words if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()]
+        ended = [w for w in words if w[-1:] in (b".", b",") and w[:-1].isascii() and w[:-1].isalpha()]
         plain = list((words.difference(ended) | {w[:-1] for w in ended} | {b".", b","}) - self.known.keys())
-        kind = "H" if self.width == 2 else "I"
         for lo in range(0, len(plain), 4096):
             part = plain[lo : lo + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = array(kind, got.ids).tobytes()
+            self.known.update(zip(part, self.plainly([w.decode() for w in part]), strict=True))
         for w in ended:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
 
+    def plainly(self, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.width == 2 else "I"
+        return [array(kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self.plainly(texts)
         split = [self.folded(x).split() for x in texts]
         found = [list(map(self.known.get, words)) for words in split]
         gaps = [(words, ids, list(missing(ids))) for words, ids in zip(split, found, strict=True) if None in ids]
@@ -141,8 +158,8 @@ class Dictionary(NamedTuple):
 
 
 def train(docs: DataFrame, path: str, end_id: int, sample_rows: int = 1000, sample_bytes: int = 8192, size: int = 65536) -> Dictionary:
-    """A dictionary from at most sample_rows serialized id arrays, of each at most sample_bytes. Only the shards' size depends on it."""
-    sample = encode(docs.limit(sample_rows), path, end_id).select(F.substring("ids", 1, sample_bytes).alias("ids"))
+    """A dictionary from about sample_rows serialized id arrays (twice as many at most), of each at most sample_bytes. Only the shards' size depends on it."""
+    sample = encode(bounded_sample(docs.select("doc_id", "text"), sample_rows), path, end_id).select(F.substring("ids", 1, sample_bytes).alias("ids"))
     parts = [bytes(r["ids"]) for r in sample.collect()]
     try:
         data = zstandard.train_dictionary(size, parts).as_bytes()
@@ -195,11 +212,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, shard_bytes:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(x) for x in ids], pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())], ["doc_id", "frame", "n_tokens"])
 
     frames = docs.select("doc_id", "text").mapInArrow(compressed, f"doc_id {kind}, frame binary, n_tokens long")
-    n = ranges(spark)
-    cuts = cut_points(docs.select("doc_id"), "doc_id", n)
-    last = len(cuts)
-    at = F.when(F.col("doc_id").isNull(), last + 1).otherwise(F.lit(last) - range_of("doc_id", cuts))
-    dealt = frames.withColumn("at", at).repartitionById(last + 2, F.col("at")).sortWithinPartitions("doc_id", "frame")
+    cut = ranges(docs, "doc_id")
+    frames = frames.withColumn("range", cut.number(F.col("doc_id")))
+    at = F.when(F.col("doc_id").isNull(), cut.n).otherwise(F.lit(cut.n - 1) - F.col("range"))
+    dealt = frames.select("doc_id", "frame", "n_tokens", at.cast("int").alias("at")).repartitionById(cut.n + 1, F.col("at")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "frame")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -273,7 +289,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         ]
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    listed = manifest.select("name", "start").repartition(ranges(manifest.sparkSession))
+    listed = manifest.select("name", "start").repartition(tasks(manifest.sparkSession))
     return listed.mapInArrow(opened, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 

@@ -23,8 +23,11 @@ from .storage import reading, writing
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 LEVEL = 3
-#: The warcinfo and record dates are fixed: a rerun writes the same bytes.
+#: Fixed, so that a rerun writes the same bytes.
 DATE = "2000-01-01T00:00:00Z"
+#: The HTTP head before a response's payload; the digest and the full length are those of the payload alone.
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+INFO = b"software: stagewise\r\nformat: WARC File Format 1.1\r\n"
 
 
 def digest(payload: bytes) -> str:
@@ -33,7 +36,7 @@ def digest(payload: bytes) -> str:
 
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, sha1: str, full: int, refers_to: int | None) -> bytes:
     """One WARC record. A revisit names the full payload's digest and length, and carries none of it."""
-    body = payload if kind == "response" else b""
+    body = HTTP + payload if kind == "response" else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
@@ -45,31 +48,40 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, sha1
     ]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def about(name: str) -> bytes:
+    """The warcinfo record of a bundle."""
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:bundle:{name}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(INFO)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + INFO + b"\r\n\r\n"
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Headers and body of the record at an offset, and where the next begins."""
+    """Headers and body of the record at an offset (of a response its payload), and where the next begins."""
     end = data.index(b"\r\n\r\n", at)
     lines = data[at:end].decode().split("\r\n")
     if lines[0] != "WARC/1.1":
         raise ValueError("not a WARC record")
     head = dict(x.split(": ", 1) for x in lines[1:])
     size = int(head["Content-Length"])
-    return head, data[end + 4 : end + 4 + size], end + 4 + size + 4
+    skipped = len(HTTP) if head["WARC-Type"] == "response" else 0
+    return head, data[end + 4 + skipped : end + 4 + size], end + 4 + size + 4
 
 
 class Bundle:
-    """A bundle while it is written; records gather in a frame until it holds frame_bytes."""
+    """A bundle while it is written: a frame with its warcinfo record, then records, which gather in a frame until it holds frame_bytes."""
 
-    def __init__(self, out: pa.NativeFile, frame_bytes: int) -> None:
+    def __init__(self, out: pa.NativeFile, name: str, frame_bytes: int) -> None:
         self.out, self.frame_bytes = out, frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=LEVEL)
         self.frames: list[tuple[int, int]] = []
         self.held = bytearray()
         self.size = 0
         self.index: list[tuple[int | None, int, int, int]] = []
+        self.held += about(name)
+        self.flush()
 
     def add(self, page_id: int | None, data: bytes) -> None:
         self.index.append((page_id, len(self.frames), len(self.held), len(data)))
@@ -151,7 +163,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, frame_bytes: int
         while row:
             name = f"{part:06d}-{k:06d}.warc.zst"
             with writing(f"{folder}/{name}") as out:
-                bundle = Bundle(out, frame_bytes)
+                bundle = Bundle(out, name, frame_bytes)
                 while row and bundle.size < bundle_bytes:
                     page_id, url, payload, size, kind, refers_to = row
                     bundle.add(page_id, record(kind, page_id, url, payload, digest(payload), size, refers_to))
@@ -192,8 +204,10 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    listed = index.select("name", "frame").distinct().repartition(tasks(index.sparkSession), "name", "frame")
-    return listed.mapInArrow(opened, READ)
+    n = tasks(index.sparkSession)
+    listed = index.groupBy("name", "frame").agg(F.count(F.lit(1)).alias("records"))
+    dealt = listed.repartitionById(n, F.pmod(F.xxhash64("name", "frame", "records"), F.lit(n)).cast("int"))  # frames are few and large: no merging of partitions
+    return dealt.mapInArrow(opened, READ)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

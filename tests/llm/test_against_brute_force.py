@@ -60,6 +60,20 @@ def test_token_file_as_tokenizers(docs):
         start += len(ids)
 
 
+def test_token_ids_of_odd_strings():
+    """Whatever the short cuts do, ids are those of the library."""
+    from tokenizers import Tokenizer
+
+    t, ids = Tokenizer.from_file(WORDS), tokenfile.WordIds(WORDS)
+    assert ids.by_words
+    rng = random.Random(9)
+    parts = ["a", "B", "İ", "ß", "É", "é", "e\u0301", "\u0301", "Σ", "ς", "ﬁ", "ŉ", "1", "²", ".", ",", "'", "'s", "'LL", " ", "\n", "\u00a0", "\u2003", "\x1c", "\x85", "日", "가", "ㄱ", "\u1161", "😀", "<|", "<|endoftext|>", "-", "_", "the", "The"]
+    texts = ["İ,", "x İ.", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(20_000))]
+    for lo in range(0, len(texts), 500):
+        for text, got in zip(texts[lo : lo + 500], ids.encode(texts[lo : lo + 500]), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_short_documents_are_read_alone(spark, docs):
     df, rows = docs
     folder = scratch(spark, "tokens")
@@ -83,7 +97,7 @@ def test_near_duplicates_as_all_pairs(docs):
     bags = {i: plain_bag(t) for i, t in rows}
     n = len(rows)
     freq = Counter(g for b in bags.values() for g in b)
-    weight = {g: 1 + np.log((1 + n) / (1 + f)) / max(np.log(1 + n), 1) for g, f in freq.items()}
+    weight = {g: 1 + np.log(n / max(f, n * neardup.SHARE, 1)) / np.log(1 / neardup.SHARE) for g, f in freq.items()}
 
     def alike(a, b):
         both = sum(min(a[g], b[g]) * weight[g] for g in a.keys() & b.keys())
@@ -102,6 +116,86 @@ def test_near_duplicates_as_all_pairs(docs):
     assert kept == set(got.values())
 
 
+def alike_pairs(texts):
+    """The weighted similarity of all pairs at 0.5 or more."""
+    bags, n = [plain_bag(t) for t in texts], len(texts)
+    freq = Counter(g for b in bags for g in b)
+    weight = {g: 1 + np.log(n / max(f, n * neardup.SHARE, 1)) / np.log(1 / neardup.SHARE) for g, f in freq.items()}
+    total = [sum(c * weight[g] for g, c in b.items()) for b in bags]
+    out = {}
+    for i, j in combinations(range(n), 2):
+        both = sum(min(bags[i][g], bags[j][g]) * weight[g] for g in bags[i].keys() & bags[j].keys())
+        if 3 * both >= total[i] + total[j] - both:
+            out[i, j] = both / (total[i] + total[j] - both)
+    return out
+
+
+def component_of(links, n):
+    of = list(range(n))
+    for i, j in sorted(links):
+        a, b = of[i], of[j]
+        of = [min(a, b) if x in (a, b) else x for x in of]
+    return of
+
+
+def clusters(seed, copies=60):
+    """Copies of three texts with up to eleven words replaced, so that many pairs lie on both sides of the threshold."""
+    rng = random.Random(seed)
+    made = []
+    for c in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range((90, 150, 40)[c])]
+        for k in range(copies):
+            w = list(base)
+            for _ in range(rng.randrange(0, (6, 12, 3)[c])):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+            made.append(" ".join(w[: len(w) - rng.randrange(0, 12)]))
+    return list(dict.fromkeys(made))
+
+
+@pytest.mark.parametrize("small", [2, 6])
+def test_classes_of_large_groups_are_those_of_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "LEADER_ROUNDS", 1)
+    texts = clusters(4)
+    near = alike_pairs(texts)
+    want = component_of([p for p, s in near.items() if s >= 0.8 - 1e-9], len(texts))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(want)) > 20 and [got[i] for i in range(len(texts))] == want
+
+
+def test_pairs_just_above_the_threshold_meet(spark):
+    """Of pairs between 0.8 and 0.9 at least 0.99 share a bucket: the recall that the bands are chosen for, measured."""
+    texts = clusters(5, 150)
+    near = [p for p, s in alike_pairs(texts).items() if 0.8 <= s < 0.9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = spark.sparkContext.broadcast(neardup.idf_weights(docs, 5))
+    bands = {r["doc_id"]: r["bands"] for r in neardup.signatures(docs, 5, weights).collect()}
+    met = sum(any(x == y for x, y in zip(bands[i], bands[j], strict=True)) for i, j in near)
+    assert len(near) > 400 and met >= 0.99 * len(near)
+
+
+def test_weights_depend_on_shares_of_documents_alone(spark):
+    """With many more shingles than cells a shingle's weight is still that of its own count."""
+    rows = [(i, " ".join([f"r{i}x{j}" for j in range(40)] + (["a", "b", "c", "d", "e"] if i % 4 == 0 else []))) for i in range(3000)]
+    got = {}
+    for copies in (1, 3):
+        docs = spark.createDataFrame([(k * 3000 + i, t.replace("r", f"r{k}")) for k in range(copies) for i, t in rows], "doc_id long, text string")
+        weights = neardup.idf_weights(docs, 5)
+        terms = neardup.bags(pa.array(["a b c d e", "none of these stands anywhere"]), 5)
+        got[copies] = weights.of(terms.hashes).tolist()
+    assert got[1] == pytest.approx(got[3]) and got[1][0] == pytest.approx(1 + np.log(4) / np.log(1024), rel=1e-3) and got[1][1] == pytest.approx(2, rel=1e-3)
+
+
+def test_texts_that_share_an_id_and_rows_without_one(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, b), (2, b), (None, a), (3, "c " * 30), (None, "alone in the world of texts"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, 0, 1) for i, t in rows], "doc_id long, text string, component int, gone int")
+    got = sorted(((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (None, 1), (3, 3), (None, None), (4, 4), (5, 4)], key=str)
+    kept = neardup.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "3", "4", "None", "None"]
+
+
 def test_lone_weak_links_join_classes(spark):
     """A chain whose neighbours are alike is one class although its ends are not."""
     words = [f"w{i}" for i in range(400)]
@@ -206,6 +300,12 @@ def test_records_are_found_by_frame_and_offset(spark):
         head, body = warc.lookup(folder, r["name"], r["frame"], r["offset"])
         assert head["WARC-Record-ID"] == f"<urn:page:{r['page_id']}>" and body.decode() == rows[r["page_id"]][2]
     assert index.select("frame").distinct().count() > 1
+    with warc.reading(f"{folder}/{index.first()['name']}") as file:
+        at, size = warc.seek_table(file)[0]
+        file.seek(at)
+        assert file.read(size)[4:] and warc.parse(warc.zstandard.ZstdDecompressor().decompress((file.seek(at), file.read(size))[1]))[0]["WARC-Type"] == "warcinfo"
+    read = warc.read(index, folder)
+    assert read.rdd.getNumPartitions() > 1 and sum(n > 0 for n in read.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 1
 
 
 def test_the_order_of_rules_changes_no_verdict(docs):
@@ -217,6 +317,13 @@ def test_the_order_of_rules_changes_no_verdict(docs):
         assert first[i] == all(not rule.rejects(quality.Text(t)) for rule in (*quality.BASE, *quality.FURTHER))
 
 
+def test_rules_are_ordered_by_what_they_add():
+    """A rule that rejects as much comes first if its measures are cheaper, or made already; one that adds nothing comes last."""
+    a, b, c, d = (quality.Rule(n, needs, None) for n, needs in (("a", ("x",)), ("b", ("y",)), ("c", ("x", "z")), ("d", ("y",))))
+    seconds, rejected = {"x": 4.0, "y": 1.0, "z": 0.5}, {0b0001: 10, 0b1010: 20, 0b0100: 5}
+    assert [r.name for r in quality.in_order([a, b, c, d], seconds, rejected)] == ["b", "a", "c", "d"]
+
+
 def test_mix_meets_its_targets(docs):
     df, rows = docs
     df = df.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")))

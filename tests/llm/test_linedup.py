@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from stagewise.llm import linedup
@@ -66,6 +67,56 @@ def test_lines_dropped_are_those_of_brute_force(spark):
         assert texts[i]["n_chars"] == len("\n".join(kept)) and texts[i]["line"] == "clash"
 
 
+def family(rng, n):
+    """Lines that share long segments: some differ in a number, some by edits of one line, some in words."""
+    base = "the quick brown fox jumps over a lazy dog and runs"
+    made = [f"Order number {rng.randrange(300)} has left the store in town" for _ in range(n)]
+    made += [changed(rng, base, rng.randrange(0, 5)) for _ in range(n)]
+    made += ["aaaaaaaaaaaaaaaaaaaa" + "a" * rng.randrange(8) + rng.choice(["", "b", "bb"]) + "a" * rng.randrange(4) for _ in range(n // 3)]
+    for _ in range(n):
+        w = base.split()
+        w[rng.randrange(len(w))] = "".join(rng.choice("abcxyz") for _ in range(rng.randrange(1, 6)))
+        made.append(" ".join(w))
+    rng.shuffle(made)
+    return made
+
+
+@pytest.mark.parametrize(("bucket", "max_edits"), [(0, 2), (2, 2), (0, 1)])
+def test_full_keys_are_refined_to_the_same_result(spark, monkeypatch, bucket, max_edits):
+    """With small buckets every step of the refinement is reached; the result is that of all pairs."""
+    monkeypatch.setattr(linedup, "BUCKET", bucket)
+    rng = random.Random(11 + bucket)
+    docs = [(i, x) for i, x in enumerate(family(rng, 70))]
+    first, near = brute(docs, max_edits)
+    order = sorted(first, key=first.get)
+    want = {first[x][0]: next((first[y][0] for y in order if first[y] < first[x] and len(y) >= 20 and edits(x, y) <= max_edits), None) if len(x) >= 20 else None for x in order}
+    got = {r["doc_id"]: r for r in linedup.report(spark.createDataFrame(docs, "doc_id long, text string"), max_edits).collect()}
+    for i, x in docs:
+        assert got[i]["n_equal"] == (first[x][0] != i)
+        assert (got[i]["n_near"], got[i]["near_doc"]) == ((1, want[i]) if first[x][0] == i and want[i] is not None else (0, None)), (x, got[i])
+    assert sum(r["n_near"] for r in got.values()) == len(near) > 30
+
+
+def test_rows_stay_in_proportion_in_a_large_family(spark):
+    """Near copies of one line: all pairs would be 16 times as many in four times the lines."""
+
+    def pairs(n):
+        rng = random.Random(3)
+        words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen".split()
+        texts = []
+        for _ in range(n):
+            w = list(words)
+            for _ in range(2):
+                w[rng.randrange(15)] = "".join(rng.choice("abcdefgh") for _ in range(6))
+            texts.append(" ".join(w))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        lines = linedup.split_lines(docs).select(F.xxhash64("line").alias("lid"), "line")
+        own = (F.col("less") == 0) & (F.col("shift") == 0)
+        return linedup.pairs_of(linedup.met(linedup.keyed(lines, 2), own), own).count()
+
+    assert pairs(2000) <= 2000 * linedup.BUCKET * len(linedup.ways(2))
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert linedup.report(empty).count() == 0 and linedup.deduplicated(empty).count() == 0
@@ -75,3 +126,5 @@ def test_edges(spark):
     got = {r["doc_id"]: (r["n_lines"], r["n_equal"], r["n_near"], r["n_kept"]) for r in linedup.report(df).collect()}
     assert got == {None: (1, 0, 0, 1), 1: (1, 1, 0, 0), 2: (1, 0, 0, 1), 3: (1, 0, 1, 0)}
     assert linedup.deduplicated(df).count() == 5
+    clash = df.selectExpr("doc_id", "text", "1 kept", "2 number", "3 row", "4 numbers")
+    assert linedup.deduplicated(clash).columns == clash.columns and linedup.deduplicated(clash).where("kept = 1 and number = 2 and row = 3 and numbers = 4").count() == 5
