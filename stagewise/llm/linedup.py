@@ -8,10 +8,14 @@ fewer than least_chars characters are compared for equality only; lines without
 2. A line is cut into max_edits + 1 even segments. Two lines within max_edits share a segment, at almost the same
    place; so each line is entered under its segments and its length, and asks for the substrings of its own that
    such a segment can have become, for all lengths up to max_edits below its own (the multi-match-aware selection).
-3. Lines that meet under a key with at most BUCKET entered lines are pairs, and are checked: first by the parity of
-   their letters' counts, of which an edit turns two at most, then by edit distance in a band of 2 * max_edits + 1
-   diagonals, kept as bits of a number and moved on a character at a time.
-4. Under a larger key no pairs are made. What differs lies in one or two stretches of the lines; these are cut into
+3. Lines that meet under a key with at most BUCKET entered lines are compared by length and by the parities of their
+   letters' counts, of which an edit turns two at most, and of neighbouring letters' counts, of which it turns four. Those
+   that are left are pairs, and are checked, without the ends that they have in common, by edit distance in a band of 2 * max_edits + 1 diagonals, kept as bits of a number and moved on a character
+   at a time.
+4. Under a larger key lines are not compared. They must also share one of the GRAM * max_edits + 1 grams that come first
+   in each, in an order in which grams that some leading lines of the key have come last: so lines that differ from
+   those in different ways part from one another.
+5. Where very many lines share such a gram too, they are not compared either. What differs lies in one or two stretches of the lines; these are cut into
    PARTS each, and the lines are entered anew, and ask, under all but the parts that hold the edits. A stretch gets
    PARTS times shorter in each round, so the keys fall apart, unless very many lines differ in the same characters.
    When no stretch is longer than a character, lines under a key are all within max_edits of those that ask there:
@@ -29,9 +33,12 @@ from .shared import WORD, stash, text_of
 
 #: A line is frequent if it makes up more than one in so many of all lines; there are fewer of them than this.
 FREQUENT = 2048
-#: Lines entered under one key that are compared pair by pair.
-BUCKET = 8
+#: Entered lines under one key that a line is compared with, by three numbers of each.
+BUCKET = 256
 PARTS = 4
+#: Characters of a gram, and lines whose grams count as common under a key.
+GRAM = 3
+LEADERS = 3
 #: Places are compared as one number: the document's id, ten digits of its text's hash, nine of the line's number.
 PLACE = "decimal(38,0)"
 LINES, TEXTS = 10**9, 10**19
@@ -87,15 +94,15 @@ def ways(max_edits: int) -> list[tuple[int, int, int]]:
     return own + [w for w in asked if w not in own]
 
 
-def one_of(rows: list[tuple[int, ...]], names: str) -> Column:
-    """A generator of these rows of numbers as structs: one short expression for all, which the JVM can compile."""
-    return F.explode(F.array(*[F.struct(*(F.lit(x).alias(c) for x, c in zip(r, names.split(), strict=True))) for r in rows]))
+def structs(rows: list[tuple[int, ...]], names: str) -> Column:
+    """These rows of numbers, as an array: ways are rows before they are keys, so one short expression makes all keys, which the JVM can compile."""
+    return F.array(*[F.struct(*(F.lit(x).alias(c) for x, c in zip(r, names.split(), strict=True))) for r in rows])
 
 
 def keyed(lines: DataFrame, max_edits: int) -> DataFrame:
     """(lid, less, i, shift, key) of each line in each way: the substring that begins `shift` after where segment i
     begins in a line that is `less` shorter, and is as long as that segment, under that line's length."""
-    rows = lines.select("lid", "line", F.length("line").alias("n"), one_of(ways(max_edits), "less i shift").alias("way"))
+    rows = lines.select("lid", "line", F.length("line").alias("n"), F.explode(structs(ways(max_edits), "less i shift")).alias("way"))
     rows = rows.select("lid", "line", "n", (F.col("n") - F.col("way.less")).alias("m"), "way.less", "way.i", "way.shift")
     start, size = cuts(F.col("m"), F.col("i"), max_edits + 1)
     rows = rows.select("*", (start + F.col("shift")).alias("from"), size.alias("size"))
@@ -113,11 +120,20 @@ def parity(chars: Column) -> Column:
     return F.aggregate(chars, F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(one_bit(F.ascii(c) % 64)))
 
 
-def pair_parity(line: Column) -> Column:
+def pair_parity(chars: Column) -> Column:
     """The same for 64 classes of neighbouring characters, each with the one before it; an edit turns four at most."""
-    codes = F.transform(F.split(line, ""), F.ascii)
-    pairs = F.zip_with(codes, F.concat(F.array(F.lit(0)), codes), lambda c, before: F.coalesce(c * 7 + before * 29, F.lit(0)) % 64)
-    return F.aggregate(F.slice(pairs, 1, F.length(line)), F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(one_bit(c)))
+    start = F.struct(F.lit(0).alias("before"), F.lit(0).cast("long").alias("odd"))
+
+    def step(x: Column, c: Column) -> Column:
+        return F.struct(F.ascii(c).alias("before"), x["odd"].bitwiseXOR(one_bit((F.ascii(c) * 7 + x["before"] * 29) % 64)).alias("odd"))
+
+    return F.aggregate(chars, start, step, lambda x: x["odd"])
+
+
+def grams(chars: Column) -> Column:
+    """The hashes of the distinct runs of GRAM characters."""
+    starts = F.when(F.size(chars) >= GRAM, F.sequence(F.lit(0), F.size(chars) - GRAM)).otherwise(F.array().cast("array<int>"))
+    return bound(chars, lambda c: F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*(F.get(c, i + j) for j in range(GRAM))))))
 
 
 def bound(x: Column, use) -> Column:
@@ -188,12 +204,15 @@ def met(rows: DataFrame, own: Column) -> DataFrame:
     return seen.where("lo < hi and entered").drop("lo", "hi", "entered").distinct().withColumn("n_own", F.sum(own.cast("int")).over(w))
 
 
-def pairs_of(rows: DataFrame, own: Column) -> DataFrame:
-    """(u, v) of the lines that meet under keys with at most BUCKET entered ones."""
-    cold = rows.where(F.col("n_own") <= BUCKET)
-    entered = cold.where(own).select("key", F.col("lid").alias("x"))
-    met = entered.join(cold.select("key", F.col("lid").alias("y")), "key").where("x <> y")
-    return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+def pairs_of(rows: DataFrame, own: Column, lines: DataFrame, max_edits: int) -> DataFrame:
+    """(u, v) of lines that meet under keys with at most BUCKET entered ones and can be within max_edits by length and parity."""
+    cold = rows.where(F.col("n_own") <= BUCKET).select("key", "lid", own.alias("own")).join(lines.select("lid", F.length("line").alias("n"), "odd", "odd_pairs"), "lid")
+    x, y = (df.select("key", *(F.col(c).alias(f"{to}_{c}") for c in ("lid", "n", "odd", "odd_pairs"))) for to, df in (("x", cold.where("own")), ("y", cold)))
+    close = F.abs(F.col("x_n") - F.col("y_n")) <= max_edits
+    for c, most in (("odd", 2 * max_edits), ("odd_pairs", 4 * max_edits)):
+        close &= F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) <= most
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("x_lid") != F.col("y_lid")) & close)
+    return met.select(F.least("x_lid", "y_lid").alias("u"), F.greatest("x_lid", "y_lid").alias("v"))
 
 
 def lines_of(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -208,6 +227,23 @@ def lines_of(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("f.*").where(F.unhex(F.md5("line")) == F.col("h")).dropDuplicates(["h"])
 
 
+def parted(hot: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
+    """The rows, under a key for each gram of theirs that comes first, by the leaders of the key where they met.
+
+    Of each line at most GRAM * max_edits distinct grams are not in a line near to it; so the first gram that both have
+    is among the first GRAM * max_edits + 1 of both, in any order; here that of their hashes, after those that no leader has.
+    """
+    own = hot.where((F.col("less") == 0) & (F.col("shift") == 0))
+    lead = own.groupBy("key").agg(*(F.min(F.struct(F.xxhash64("lid", F.lit(x)), "lid"))["lid"].alias(f"lead{x}") for x in range(LEADERS)))
+    has = lines.join(hot.select("lid").distinct(), "lid", "left_semi").select("lid", grams(F.split("line", "")).alias("grams"))
+    known = lead.select("key", F.explode(F.array_distinct(F.array(*[c for c in lead.columns if c != "key"]))).alias("lid")).join(has, "lid")
+    known = known.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("known"))  # of LEADERS lines
+    df = hot.select("key", "lid", "less", "i", "shift").join(known, "key").join(has, "lid")
+    order = F.concat(F.array_sort(F.array_except("grams", "known")), F.array_sort(F.array_intersect("grams", "known")))
+    df = df.select("key", "lid", "less", "i", "shift", F.explode(F.slice(order, 1, GRAM * max_edits + 1)).alias("gram"))
+    return df.select("lid", "less", "i", "shift", F.xxhash64("key", "gram").alias("key"))
+
+
 # A stretch that holds edits begins at a (b) of the shorter line, from 0, and is a_len (b_len) long there. What follows
 # the first stretch has moved by s1 in the longer line, what follows the second by s2. Of `kind` 2 each of the stretches
 # holds one edit at most; of kind 1 there is only the first, which holds two.
@@ -233,14 +269,16 @@ def first_stretches(hot: DataFrame, lines: DataFrame, max_edits: int) -> DataFra
     return rows.select("lid", "m", *(x.cast("int").alias(c) for c, x in named.items())).distinct()
 
 
-def with_key(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """The rows with the hash of all that lies outside their stretches, under the shorter line's length and their places."""
-    line, m, s1, s2 = F.col("line"), F.col("m"), F.col("s1"), F.col("s2")
-    a, b = F.col("a"), F.col("b")
+def outside(line: Column) -> Column:
+    """The hash of all that lies outside a row's stretches, under the shorter line's length and their places."""
+    m, a, b = F.col("m"), F.col("a"), F.col("b")
     end_a, end_b = a + F.col("a_len"), b + F.col("b_len")
-    outside = [F.substring(line, F.lit(1), a), F.substring(line, end_a + s1 + 1, b - end_a), F.substring(line, end_b + s2 + 1, m - end_b)]
-    fits = (F.col("a_len") + s1 >= 0) & (F.col("b_len") + s2 - s1 >= 0)
-    return rows.where(fits).join(lines.select("lid", "line"), "lid").select(*STATE, F.xxhash64("m", "kind", "a", "a_len", "b", "b_len", *outside).alias("key"))
+    parts = [F.substring(line, F.lit(1), a), F.substring(line, end_a + F.col("s1") + 1, b - end_a), F.substring(line, end_b + F.col("s2") + 1, m - end_b)]
+    return F.xxhash64("m", "kind", "a", "a_len", "b", "b_len", *parts)
+
+
+def fits() -> Column:
+    return (F.col("a_len") + F.col("s1") >= 0) & (F.col("b_len") + F.col("s2") - F.col("s1") >= 0)
 
 
 def is_own() -> Column:
@@ -252,16 +290,16 @@ def part(start: Column, length: Column, i: Column) -> tuple[Column, Column]:
     return (start + low).cast("int"), (high - low).cast("int")
 
 
-def cut_stretches(rows: DataFrame) -> DataFrame:
-    """The states with the parts of the stretches that may hold the edits."""
-    both = [(2, x, y, 0) for x in range(PARTS) for y in range(PARTS)]
-    one = [(1, x, x, 0) for x in range(PARTS)]
-    split = [(1, x, y, d) for x in range(PARTS) for y in range(x + 1, PARTS) for d in (-1, 0, 1)]
-    df = rows.select(*STATE, one_of(both + one + split, "of x y d").alias("w")).where("w.of = kind").select(*STATE, "w.x", "w.y", "w.d")
+def cut_stretches(states: DataFrame, lines: DataFrame) -> DataFrame:
+    """The states with the parts of the stretches that may hold the edits, and their keys."""
+    both = [(x, y, 0) for x in range(PARTS) for y in range(PARTS)]
+    one = [(x, x, 0) for x in range(PARTS)] + [(x, y, d) for x in range(PARTS) for y in range(x + 1, PARTS) for d in (-1, 0, 1)]
+    two = F.col("kind") == 2
+    df = states.join(lines.select("lid", "line"), "lid")
+    df = df.select(*STATE, "line", F.explode(F.when(two, structs(both, "x y d")).otherwise(structs(one, "x y d"))).alias("w")).select(*STATE, "line", "w.x", "w.y", "w.d")
     stays = F.col("x") == F.col("y")  # of kind 1: both edits in one part
     first, second = part(F.col("a"), F.col("a_len"), F.col("x")), part(F.col("a"), F.col("a_len"), F.col("y"))
     other = part(F.col("b"), F.col("b_len"), F.col("y"))
-    two = F.col("kind") == 2
     made = {
         "kind": F.when(two | ~stays, 2).otherwise(1),
         "s1": F.when(two, F.col("s1")).when(stays, F.col("s2")).otherwise(F.col("d")),
@@ -272,10 +310,9 @@ def cut_stretches(rows: DataFrame) -> DataFrame:
     }
     used = (first[1] > 0) | ((F.col("a_len") == 0) & (F.col("x") == 0))  # a stretch without characters is one place
     also = F.when(two, (other[1] > 0) | ((F.col("b_len") == 0) & (F.col("y") == 0))).when(stays, True).otherwise(second[1] > 0)
-    df = df.where(used & also)
-    df = df.select("lid", "m", "s2", *(x.cast("int").alias(c) for c, x in made.items()))
+    df = df.where(used & also).select("lid", "m", "s2", "line", *(x.cast("int").alias(c) for c, x in made.items()))
     possible = (F.col("kind") == 1) | ((F.abs("s1") <= 1) & (F.abs(F.col("s2") - F.col("s1")) <= 1))
-    return df.where(possible).select(*STATE).distinct()
+    return df.where(possible & fits()).select(*STATE, outside(F.col("line")).alias("key"))
 
 
 CHAR, BEFORE, AFTER = range(3)
@@ -286,10 +323,10 @@ def single_edits(rows: DataFrame) -> DataFrame:
 
     A line that lost or changed a character asks at that character; one that gained one asks at a gap.
     """
-    double = [(1, CHAR, -1), (1, BEFORE, -1), (1, AFTER, -1), (1, BEFORE, AFTER)]
-    singles = [(2, x, y) for x in range(3) for y in range(3)]
-    df = rows.select(*STATE, one_of(double + singles, "of x y").alias("w")).where("w.of = kind").select(*STATE, "w.x", "w.y")
+    double = [(CHAR, -1), (BEFORE, -1), (AFTER, -1), (BEFORE, AFTER)]
+    singles = [(x, y) for x in range(3) for y in range(3)]
     two = F.col("kind") == 2
+    df = rows.select(*STATE, F.explode(F.when(two, structs(singles, "x y")).otherwise(structs(double, "x y"))).alias("w")).select(*STATE, "w.x", "w.y")
 
     def fits(unit: Column, length: Column, moved: Column) -> Column:
         asks = F.when(moved == 1, unit != CHAR).when(moved == -1, unit == CHAR).otherwise(F.when(length == 1, unit == CHAR).otherwise(unit == BEFORE))
@@ -319,8 +356,8 @@ def single_edits(rows: DataFrame) -> DataFrame:
 
 def earliest_near(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(h, near_first) of lines that stand under a key with an earlier one: where the earliest stands. All under a key are near."""
-    df = with_key(single_edits(rows), lines).withColumn("own", is_own()).select("key", "lid", "own").distinct()
-    df = df.join(lines.select("lid", "h", "first"), "lid")
+    df = single_edits(rows).where(fits()).join(lines.select("lid", "h", "first", "line"), "lid")
+    df = df.select("lid", "h", "first", outside(F.col("line")).alias("key"), is_own().alias("own")).distinct()
     least = df.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("first"))).alias("entered"), F.min("first").alias("any"))
     df = df.join(least, "key").withColumn("near_first", F.when(F.col("own"), F.col("any")).otherwise(F.col("entered")))
     return df.where("near_first < first").select("h", "near_first")
@@ -336,34 +373,56 @@ def near_lines(docs: DataFrame, known: DataFrame, max_edits: int, least_chars: i
     lines = lines.join(frequent, (F.col("lid") == F.col("hot")) & (F.col("at") != F.col("first")), "left_anti")
     own = (F.col("less") == 0) & (F.col("shift") == 0)
     rows = stash(met(keyed(lines, max_edits), own), "lines-met")
-    pairs = [stash(pairs_of(rows, own).distinct(), "line-pairs")]
+    chars = F.split("line", "")
+    lines = stash(lines_of(docs, known, rows.select("lid").distinct()).withColumns({"odd": parity(chars), "odd_pairs": pair_parity(chars)}), "lines-held")
     hot = rows.where(F.col("n_own") > BUCKET)
-    wanted = hot.select("lid").unionByName(pairs[0].select(F.col("u").alias("lid"))).unionByName(pairs[0].select(F.col("v").alias("lid"))).distinct()
-    lines = stash(lines_of(docs, known, wanted), "lines-held")
-    found = []
-    states = first_stretches(hot, lines, max_edits)
+    pairs, found = [pairs_of(rows, own, lines, max_edits)], []
+    rows = stash(met(parted(hot, lines, max_edits), own), "lines-met")
+    pairs.append(pairs_of(rows, own, lines, max_edits))
+    states = first_stretches(rows.where(F.col("n_own") > BUCKET), lines, max_edits)
     while True:
         states = stash(states, "line-stretches")
         if states.isEmpty():
             break
         small = (F.col("a_len") <= 1) & (F.col("b_len") <= 1)
         found.append(earliest_near(states.where(small), lines))
-        rows = stash(met(with_key(cut_stretches(states.where(~small)), lines), is_own()), "lines-met")
-        pairs.append(pairs_of(rows, is_own()))
+        rows = stash(met(cut_stretches(states.where(~small), lines), is_own()), "lines-met")
+        pairs.append(pairs_of(rows, is_own(), lines, max_edits))
         states = rows.where(F.col("n_own") > BUCKET).select(*STATE)
     found.append(verified(reduce(DataFrame.unionByName, pairs).distinct(), lines, max_edits))
     return reduce(DataFrame.unionByName, found).groupBy("h").agg(F.min("near_first").alias("near_first"))
 
 
+def common(a: Column, b: Column) -> Column:
+    """How many characters two texts have in common at their beginning, in steps of halving length."""
+    least = F.least(F.length(a), F.length(b))
+
+    def longer(n: Column, step: Column) -> Column:
+        return F.when((least >= step) & (least - step >= n) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step)), n + step).otherwise(n)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), longer)
+
+
+def without_ends(a: Column, b: Column, use) -> Column:
+    """use(a, b), both without the beginning and the end that they have in common, and backwards."""
+
+    def cut(p: Column, n: Column) -> list[Column]:
+        return [F.reverse(F.substring(p[c], n + 1, F.length(p[c]))).alias(c) for c in "ab"]
+
+    def begun(p: Column) -> Column:
+        return bound(common(p["a"], p["b"]), lambda n: bound(F.struct(*cut(p, n)), ended))
+
+    def ended(p: Column) -> Column:
+        return bound(common(p["a"], p["b"]), lambda n: use(*(F.substring(p[c], n + 1, F.length(p[c])) for c in "ab")))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), begun)
+
+
 def verified(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
     """(h, near_first) of the later line of each pair (u, v) that is within max_edits."""
-    chars = F.split("line", "")
-    held = lines.select("h", "lid", "first", "line", F.length("line").alias("n"), parity(chars).alias("odd"), pair_parity(F.col("line")).alias("odd_pairs"))
-    left, right = (held.select(*(F.col(c).alias(f"{x}_{c}") for c in held.columns)) for x in "uv")
-    alike = [F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) <= most for c, most in (("odd", 2 * max_edits), ("odd_pairs", 4 * max_edits))]
-    close = F.abs(F.col("u_n") - F.col("v_n")) <= max_edits
-    both = pairs.join(left, F.col("u") == F.col("u_lid")).join(right, F.col("v") == F.col("v_lid")).where(close & alike[0] & alike[1])
-    near = both.where(within_edits(F.split("u_line", ""), F.split("v_line", ""), max_edits))
+    left, right = (lines.select(*(F.col(c).alias(f"{x}_{c}") for c in ("h", "lid", "first", "line"))) for x in "uv")
+    both = stash(pairs.join(left, F.col("u") == F.col("u_lid")).join(right, F.col("v") == F.col("v_lid")), "line-pairs")
+    near = both.where(without_ends(F.col("u_line"), F.col("v_line"), lambda a, b: within_edits(F.split(a, ""), F.split(b, ""), max_edits)))
     return near.select(F.when(F.col("u_first") < F.col("v_first"), F.col("v_h")).otherwise(F.col("u_h")).alias("h"), F.least("u_first", "v_first").alias("near_first"))
 
 

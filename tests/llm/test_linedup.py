@@ -86,7 +86,7 @@ def test_full_keys_are_refined_to_the_same_result(spark, monkeypatch, bucket, ma
     """With small buckets every step of the refinement is reached; the result is that of all pairs."""
     monkeypatch.setattr(linedup, "BUCKET", bucket)
     rng = random.Random(11 + bucket)
-    docs = [(i, x) for i, x in enumerate(family(rng, 70))]
+    docs = [(i, x) for i, x in enumerate(family(rng, 45))]
     first, near = brute(docs, max_edits)
     order = sorted(first, key=first.get)
     want = {first[x][0]: next((first[y][0] for y in order if first[y] < first[x] and len(y) >= 20 and edits(x, y) <= max_edits), None) if len(x) >= 20 else None for x in order}
@@ -94,13 +94,13 @@ def test_full_keys_are_refined_to_the_same_result(spark, monkeypatch, bucket, ma
     for i, x in docs:
         assert got[i]["n_equal"] == (first[x][0] != i)
         assert (got[i]["n_near"], got[i]["near_doc"]) == ((1, want[i]) if first[x][0] == i and want[i] is not None else (0, None)), (x, got[i])
-    assert sum(r["n_near"] for r in got.values()) == len(near) > 30
+    assert sum(r["n_near"] for r in got.values()) == len(near) > 20
 
 
 def test_rows_stay_in_proportion_in_a_large_family(spark):
-    """Near copies of one line: all pairs would be 16 times as many in four times the lines."""
+    """Near copies of one line, each with two other words: all pairs would be 16 times as many in four times the lines."""
 
-    def pairs(n):
+    def made(n):
         rng = random.Random(3)
         words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen".split()
         texts = []
@@ -110,11 +110,16 @@ def test_rows_stay_in_proportion_in_a_large_family(spark):
                 w[rng.randrange(15)] = "".join(rng.choice("abcdefgh") for _ in range(6))
             texts.append(" ".join(w))
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        lines = linedup.split_lines(docs).select(F.xxhash64("line").alias("lid"), "line")
+        lines = linedup.split_lines(docs).select(F.xxhash64("line").alias("lid"), "line").withColumns({"odd": linedup.parity(F.split("line", "")), "odd_pairs": linedup.pair_parity(F.split("line", ""))}).cache()
         own = (F.col("less") == 0) & (F.col("shift") == 0)
-        return linedup.pairs_of(linedup.met(linedup.keyed(lines, 2), own), own).count()
-
-    assert pairs(2000) <= 2000 * linedup.BUCKET * len(linedup.ways(2))
+        rows = linedup.met(linedup.keyed(lines, 2), own)
+        parted = linedup.met(linedup.parted(rows.where(F.col("n_own") > linedup.BUCKET), lines, 2), own)
+        left = linedup.first_stretches(parted.where(F.col("n_own") > linedup.BUCKET), lines, 2).count()
+        return left, sum(linedup.pairs_of(r, own, lines, 2).count() for r in (rows, parted))
+
+    few, many = made(1000), made(4000)
+    assert many[0] <= 4 * few[0] + 4000 and many[1] <= 8 * few[1] + 4000
+    assert many[1] < 4000 * 3999 / 20
 
 
 def test_edges(spark):
