@@ -1,14 +1,15 @@
 """Toxicity by a learned lexicon, misspellings included, weighed by context.
 
-Lexicon: words, and word beginnings, that stand in toxic texts far more often than in others, learned from a
-bounded sample of labelled rows. The lexicon is a trie. Levenshtein automata for all its whole words at once are
-intersected with it: a state is a set of (trie node, edits so far), made deterministic as words ask for it, so
-that looking a word up takes one step a character and most words fail within a few. Words of LEAST_FUZZY letters
-or more match within one edit, beginnings and shorter words exactly.
-
-Each hit is scored in its window of words: inside quotation marks, or near a word of reporting, it counts less;
-near a second person it counts more. A logistic regression over the sums of these scores by kind of match gives
-the probability; its few coefficients are fitted on the same sample.
+Lexicon: words that stand in toxic texts far more often than in others, learned from a bounded sample of labelled rows. The lexicon is a trie. Levenshtein automata for all its whole
+words at once are intersected with it: a state is a set of (trie node, edits so far, letter still due), made
+deterministic as words ask for it, so that looking a word up takes one step a character and most words fail within a
+few. Words of LEAST_FUZZY letters or more match within one edit (a letter more, less, other, or two exchanged),
+shorter words exactly. A word that clean texts use themselves is no misspelling.
+
+Each hit scores its term's weight, less MISSPELT for an edit. Its window of words tells where the score goes: hits inside
+quotation marks or near a word of reporting are summed apart from the others, and hits near a second person once more.
+A logistic regression over these sums gives the probability; its few coefficients are fitted on the same sample, so
+how much less a quotation counts, and how much more an address, is learned. Exact and misspelt hits share their sums.
 """
 
 from __future__ import annotations
@@ -20,20 +21,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_of
 
 LEAST_FUZZY = 5
-#: Lengths of word beginnings that may enter the lexicon.
-STEMS = range(4, 8)
 WINDOW = 6
 #: Fixed cue words, in the languages of the corpus; context only, they decide nothing by themselves.
 REPORTING = frozenset("said says wrote called quoted quote quotes word term phrase insult slur citation dit mot sagte schrieb wort zitat dijo palabra cita".split())
 SECOND = frozenset("you your youre u ya tu vous toi du dich dein ihr tú usted vosotros".split())
 QUOTES = frozenset("\"“”„«»")
-KINDS = ("exact", "fuzzy")
+#: Sums of hits: outside quotations, inside, and near a second person.
+SUMS = ("said", "quoted", "addressed")
+#: What an edit takes of a hit's score.
+MISSPELT = 0.5
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 200_000
 
@@ -48,38 +50,42 @@ def bare(word: str) -> str:
     return word[a:b]
 
 
+Place = tuple[int, int, str]
+
+
 class Automaton:
-    """All Levenshtein automata of a lexicon, intersected with its trie."""
+    """All Levenshtein automata of a lexicon, exchanges of neighbours included, intersected with its trie."""
 
-    def __init__(self, words: list[str], stems: list[str]) -> None:
+    def __init__(self, words: list[str]) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.fuzzy_below: list[bool] = [False]
-        self.end_word: dict[int, str] = {}
-        self.end_stem: dict[int, str] = {}
-        for terms, ends in ((words, self.end_word), (stems, self.end_stem)):
-            for t in terms:
-                fuzzy, node = ends is self.end_word and len(t) >= LEAST_FUZZY, 0
-                self.fuzzy_below[0] |= fuzzy
-                for c in t:
-                    if c not in self.children[node]:
-                        self.children[node][c] = len(self.children)
-                        self.children.append({})
-                        self.fuzzy_below.append(False)
-                    node = self.children[node][c]
-                    self.fuzzy_below[node] |= fuzzy
-                ends[node] = t
-        self.states: list[frozenset[tuple[int, int]]] = []
-        self.number: dict[frozenset[tuple[int, int]], int] = {}
+        self.end: dict[int, str] = {}
+        for t in words:
+            fuzzy, node = len(t) >= LEAST_FUZZY, 0
+            self.fuzzy_below[0] |= fuzzy
+            for c in t:
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.fuzzy_below.append(False)
+                node = self.children[node][c]
+                self.fuzzy_below[node] |= fuzzy
+            self.end[node] = t
+        self.states: list[frozenset[Place]] = []
+        self.number: dict[frozenset[Place], int] = {}
         self.steps: list[dict[str, int]] = []
-        self.start = self.state({(0, 0)})
+        self.start = self.state({(0, 0, "")})
+
+    def below(self, node: int) -> list[tuple[str, int]]:
+        return [(d, x) for d, x in self.children[node].items() if self.fuzzy_below[x]]
 
-    def state(self, places: set[tuple[int, int]]) -> int:
+    def state(self, places: set[Place]) -> int:
         """The number of a state: places, and those that a missing letter leads on to."""
         whole = set(places)
-        for node, edits in places:
+        for node, edits, _ in places:
             if edits == 0:
-                whole |= {(x, 1) for x in self.children[node].values() if self.fuzzy_below[x]}
-        key = frozenset(p for p in whole if p[1] == 0 or (p[0], 0) not in whole)
+                whole |= {(x, 1, "") for _, x in self.below(node)}
+        key = frozenset(p for p in whole if p[1] == 0 or p[2] or (p[0], 0, "") not in whole)
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
@@ -89,75 +95,74 @@ class Automaton:
     def step(self, state: int, c: str) -> int:
         to = self.steps[state].get(c)
         if to is None:
-            places = set()
-            for node, edits in self.states[state]:
+            places: set[Place] = set()
+            for node, edits, due in self.states[state]:
+                if due:  # the letter that was passed over must come now
+                    if c == due:
+                        places.add((node, edits, ""))
+                    continue
                 if c in self.children[node] and (edits == 0 or self.fuzzy_below[self.children[node][c]]):
-                    places.add((self.children[node][c], edits))
+                    places.add((self.children[node][c], edits, ""))
                 if edits == 0 and self.fuzzy_below[node]:
-                    places.add((node, 1))  # a letter too many
-                    places |= {(x, 1) for x in self.children[node].values() if self.fuzzy_below[x]}  # another letter
+                    places.add((node, 1, ""))  # a letter too many
+                    for d, x in self.below(node):
+                        places.add((x, 1, ""))  # another letter
+                        places |= {(y, 1, d) for e, y in self.below(x) if e == c}  # two letters exchanged
             to = self.steps[state][c] = self.state(places)
         return to
 
     def match(self, word: str) -> tuple[str, str] | None:
-        """(kind, term) of a lexicon word equal to this one, of one that begins it, or of one within one edit."""
-        state, stem = self.start, None
+        """(kind, term) of a lexicon word equal to this one, or of one within one edit."""
+        state = self.start
         for c in word:
             state = self.step(state, c)
-            here = self.states[state]
-            if not here:
-                break
-            stem = stem or next((self.end_stem[n] for n, edits in here if edits == 0 and n in self.end_stem), None)
-        ends = sorted((edits, self.end_word[n]) for n, edits in self.states[state] if n in self.end_word and (edits == 0 or len(self.end_word[n]) >= LEAST_FUZZY))
-        if ends and ends[0][0] == 0:
-            return "exact", ends[0][1]
-        if stem:
-            return "exact", stem
-        return ("fuzzy", ends[0][1]) if ends else None
+            if not self.states[state]:
+                return None
+        ends = sorted((edits, self.end[n]) for n, edits, due in self.states[state] if not due and n in self.end and (edits == 0 or len(self.end[n]) >= LEAST_FUZZY))
+        return ("fuzzy" if ends[0][0] else "exact", ends[0][1]) if ends else None
 
 
 class Scorer:
-    """Features of texts under a lexicon: for each kind of match, the sum of its hits' scores in context."""
+    """Features of texts under a lexicon: the sums of hits' scores by context."""
 
-    def __init__(self, weights: dict[str, float], stems: dict[str, float]) -> None:
-        self.weight = {**stems, **weights}
-        self.automaton = Automaton(list(weights), list(stems))
+    def __init__(self, words: dict[str, float], innocent: frozenset[str] = frozenset()) -> None:
+        self.weight = words
+        self.automaton = Automaton(list(words))
+        self.innocent = innocent
         self.seen: set[str] = set()
-        self.hits: dict[str, tuple[int, float]] = {}
+        self.hits: dict[str, float] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
             self.hits.clear()
         for w in words - self.seen:
-            if found := self.automaton.match(bare(w)):
-                self.hits[w] = KINDS.index(found[0]), self.weight[found[1]]
+            plain = bare(w)
+            if (found := self.automaton.match(plain)) and (found[0] == "exact" or plain not in self.innocent):
+                self.hits[w] = self.weight[found[1]] * (1 if found[0] == "exact" else 1 - MISSPELT)
         self.seen |= words
 
     def features(self, text: str) -> list[float]:
         words = text.lower().split()
         distinct = set(words)
         self.learn(distinct)
-        sums = [0.0] * len(KINDS)
+        sums = dict.fromkeys(SUMS, 0.0)
         if not self.hits.keys().isdisjoint(distinct):
             quotes = 0
             for i, w in enumerate(words):
                 marks = sum(c in QUOTES for c in w)
-                if hit := self.hits.get(w):
-                    kind, weight = hit
+                if weight := self.hits.get(w):
                     near = {bare(x) for x in words[max(0, i - WINDOW) : i + WINDOW + 1]}
-                    if quotes % 2 or marks == 2 or near & REPORTING:
-                        weight *= 0.3
+                    sums["quoted" if quotes % 2 or marks == 2 or near & REPORTING else "said"] += weight
                     if near & SECOND:
-                        weight *= 1.3
-                    sums[kind] += weight
+                        sums["addressed"] += weight
                 quotes += marks
-        return [math.log1p(x) for x in sums]
+        return [math.log1p(sums[k]) for k in SUMS]
 
 
 class Model(NamedTuple):
     words: dict[str, float]
-    stems: dict[str, float]
+    innocent: frozenset[str]
     coefficients: list[float]
 
 
@@ -175,52 +180,61 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
 
 
 def count_terms(rows: DataFrame) -> DataFrame:
-    """(term, stem, pos, neg): texts with the word, or with a word that begins so, by label."""
+    """(term, pos, neg): texts with the word, by label."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: dict[tuple[str, bool], list[int]] = defaultdict(lambda: [0, 0])
+            n: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = {bare(x) for x in text.lower().split()} - {""}
-                terms = {(w, False) for w in words} | {(w[:k], True) for w in words for k in STEMS if len(w) >= k and w[:k].isalpha()}
-                for t in terms:
+                for t in {bare(x) for x in text.lower().split()} - {""}:
                     n[t][toxic != 1] += 1
-            columns = [pa.array([t[0] for t in n], pa.string()), pa.array([t[1] for t in n], pa.bool_()), *(pa.array([x[i] for x in n.values()], pa.int64()) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "stem", "pos", "neg"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([x[i] for x in n.values()], pa.int64()) for i in (0, 1))], ["term", "pos", "neg"])
+
+    return rows.mapInArrow(counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def misspelt(terms: DataFrame, words: list[str]) -> frozenset[str]:
+    """Words of clean texts that are an edit from a lexicon word. There are fewer than the lexicon has neighbours."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(words)
+        for b in batches:
+            yield b.filter(pa.array([(automaton.match(t) or ("",))[0] == "fuzzy" for t in b.column(0).to_pylist()], pa.bool_()))
 
-    found = rows.mapInArrow(counted, "term string, stem boolean, pos long, neg long")
-    return found.groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return frozenset(r["term"] for r in terms.where("neg > 0").select("term").mapInArrow(near, "term string").collect())
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 400, least_texts: int = 5, least_share: float = 0.015, least_odds: float = 10.0) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 400, least_texts: int = 5, least_share: float = 0.015, least_odds: float = 10.0, surely: float = 3.0
+) -> Model:
     """Learn from at most max_rows labelled rows. Without any of both labels, the lexicon is empty and all scores are equal.
 
-    Lexicon: at most max_terms words and max_terms beginnings, each in least_texts toxic texts and least_share of
-    them or more, and least_odds times as frequent there; those in most toxic texts first.
+    Lexicon: at most max_terms words, each in least_texts toxic texts and least_share of them or more, least_odds times as
+    frequent there, and `surely` times at the lower end of the 95 % interval; those in most toxic texts first.
     """
     rows = sample(docs, labels, max_rows).select("text", F.col("toxic").cast("int").alias("toxic")).cache()
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not n_pos or not n_neg:
         rows.unpersist()
-        return Model({}, {}, [math.log((n_pos + 0.5) / (n_neg + 0.5)), *[0.0] * len(KINDS)])
+        return Model({}, frozenset(), [math.log((n_pos + 0.5) / (n_neg + 0.5)), *[0.0] * len(SUMS)])
     odds = F.log((F.col("pos") + 0.5) / n_pos) - F.log((F.col("neg") + 0.5) / n_neg)
-    strong = (F.col("pos") >= max(least_texts, least_share * n_pos)) & (odds >= math.log(least_odds))
-    ranked = F.row_number().over(Window.partitionBy("stem").orderBy(F.desc("pos"), "term"))
-    terms = count_terms(rows).where(strong).withColumn("rank", ranked).where(F.col("rank") <= max_terms).select("term", "stem", odds.alias("w")).collect()
-    whole = {r["term"]: r["w"] for r in terms if not r["stem"]}
-    begun = {r["term"]: r["w"] for r in terms if r["stem"]}
-    stems = {t: w for t, w in begun.items() if not any(t[:k] in begun for k in range(STEMS[0], len(t)))}
+    error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    strong = (F.col("pos") >= max(least_texts, least_share * n_pos)) & (odds >= math.log(least_odds)) & (odds - 1.96 * error >= math.log(surely))
+    counted = count_terms(rows).cache()
+    words = {r["term"]: r["w"] for r in counted.where(strong).orderBy(F.desc("pos"), "term").limit(max_terms).select("term", odds.alias("w")).collect()}
+    innocent = misspelt(counted, list(words))
+    counted.unpersist()
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(whole, stems)
+        scorer = Scorer(words, innocent)
         for b in batches:
             x = [scorer.features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([r[i] for r in x], pa.float64()) for i in range(len(KINDS)))], ["toxic", *KINDS])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([r[i] for r in x], pa.float64()) for i in range(len(SUMS)))], ["toxic", *SUMS])
 
-    got = rows.mapInArrow(measured, "toxic int, " + ", ".join(f"{k} double" for k in KINDS)).toPandas()
+    got = rows.mapInArrow(measured, "toxic int, " + ", ".join(f"{k} double" for k in SUMS)).toPandas()
     rows.unpersist()
-    return Model(whole, stems, logistic(got[list(KINDS)].to_numpy(), (got["toxic"] == 1).to_numpy()))
+    return Model(words, innocent, logistic(got[list(SUMS)].to_numpy(), (got["toxic"] == 1).to_numpy()))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> list[float]:
@@ -249,10 +263,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.words, model.stems)
+        scorer = Scorer(model.words, model.innocent)
         first, *rest = model.coefficients
         for b in batches:
-            x = np.array([scorer.features(t.as_py() or "") for t in b.column(1)]).reshape(b.num_rows, len(KINDS))
+            x = np.array([scorer.features(t.as_py() or "") for t in b.column(1)]).reshape(b.num_rows, len(SUMS))
             p = 1 / (1 + np.exp(-np.clip(first + x @ np.array(rest), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
@@ -261,14 +275,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, that are not predicted toxic."""
+    """The rows of docs, all columns, that are not predicted toxic. A null text is empty; rows are judged one by one, by their
+    text alone; rows without an id are judged like others; no rows give no rows."""
     first, *rest = model.coefficients
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.words, model.stems)
+        scorer = Scorer(model.words, model.innocent)
         for b in batches:
             text = b.column(b.schema.get_field_index("text"))
-            x = np.array([scorer.features(t.as_py() or "") for t in text]).reshape(b.num_rows, len(KINDS))
+            x = np.array([scorer.features(t.as_py() or "") for t in text]).reshape(b.num_rows, len(SUMS))
             yield b.filter(pa.array(first + x @ np.array(rest) < 0))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -205,17 +205,20 @@ def test_lone_weak_links_join_classes(spark):
 
 
 def test_automaton_as_edit_distance():
+    """Edits are letters more, less or other, and neighbours exchanged."""
+
     def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            old, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
-        return row[-1]
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
 
     rng = random.Random(1)
     lexicon = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 9))) for _ in range(60)})
-    automaton = toxicity.Automaton(lexicon, [])
+    automaton = toxicity.Automaton(lexicon)
     for _ in range(3000):
         w = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 10)))
         found = automaton.match(w)
@@ -233,7 +236,7 @@ def test_toxicity_on_held_out_rows(spark):
         bad = i % 5 == 0
         w = [rng.choice(plain) for _ in range(30)]
         if bad:
-            w[rng.randrange(30)] = rng.choice(["grobnik", "flimzard", "grobnikk", "flimzrd"])
+            w[rng.randrange(30)] = rng.choice(["grobnik", "flimzard", "rgobnik", "xlimzard", "frobnik"] if i % 3 else ["grobnik", "flimzard"])
         rows.append((i, " ".join(w)))
         labels.append((i, 0, int(bad)))
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -242,9 +245,30 @@ def test_toxicity_on_held_out_rows(spark):
     assert got and all(r["predicted"] == r["toxic"] for r in got)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     assert {r["doc_id"] for r in toxicity.accepted(docs, model).collect()} >= {r["doc_id"] for r in got if not r["toxic"]}
-    scorer = toxicity.Scorer({"flimzard": 2.0}, {})
-    quoted, direct = scorer.features('they said "flimzard" here'), scorer.features("you are flimzard here")
-    assert quoted[0] < direct[0]
+    assert set(model.words) >= {"grobnik", "flimzard"}
+    unseen = spark.createDataFrame([(10**6 + i, f"word1 word2 {w} word3") for i, w in enumerate(["gorbnik", "grobnki", "lfimzard", "limzard", "zgrobnik", "word7"])], "doc_id long, text string")
+    assert [r["predicted"] for r in toxicity.score(unseen, model).orderBy("doc_id").collect()] == [1, 1, 1, 1, 1, 0]
+    scorer = toxicity.Scorer({"flimzard": 2.0}, frozenset(["flimward"]))
+    quoted, direct, plain = (scorer.features(t) for t in ('they said "flimzard" here', "you are flimzard here", "a flimzard here"))
+    assert quoted[0] == 0 < quoted[1] and direct[0] == plain[0] > 0 and direct[2] > 0 == plain[2]
+    assert scorer.features("a lfimzard here")[0] > 0 == scorer.features("a flimward here")[0]
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """AUC and recall on rows of the driver's table that were never learned from."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").where(toxicity.held_out()).select("text", "toxic").collect()
+    first, *rest = model.coefficients
+
+    scorer = toxicity.Scorer(model.words, model.innocent)
+    got = np.array([first + float(np.dot(scorer.features(r["text"] or ""), rest)) for r in rows])
+    toxic = np.array([r["toxic"] == 1 for r in rows])
+    auc = (got[toxic][:, None] > got[~toxic][None]).mean() + (got[toxic][:, None] == got[~toxic][None]).mean() / 2
+    recall, specificity = (got[toxic] >= 0).mean(), (got[~toxic] < 0).mean()
+    print(f"AUC {auc:.3f}, recall {recall:.3f}, specificity {specificity:.3f}")
+    assert auc >= 0.96 and recall >= 0.9 and specificity >= 0.99
 
 
 def test_fingerprints_and_edits(docs):
