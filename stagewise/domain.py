@@ -16,7 +16,7 @@ STATUSES = (
     ("Withdrawn", "Closed", 0, True, False, False, 7),
 )
 # Older names of statuses.
-ALIASES = {"Response": "Assessment / OA", "Ghosted/Inactive": "Ghosted", "Saved": "Saved / Planning"}
+ALIASES = {"Screening/OA": "Assessment / OA", "Response": "Assessment / OA", "Ghosted/Inactive": "Ghosted"}
 # Rank by which the strongest of several detected statuses wins.
 RANK = {"Rejected": 5, "Offer": 4, "Interview": 3, "Assessment / OA": 2, "Applied": 1, "Ghosted": -1, "Withdrawn": -1}
 # Where an event can come from, and those whose dates are trusted.

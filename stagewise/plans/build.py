@@ -67,15 +67,15 @@ def build(frames: Frames) -> Frames:
 
 
 def publish(spark: SparkSession, frames: dict[str, DataFrame], folder: str) -> dict:
-    """Write frames under a new build and point the manifest at it last: readers see the old build or the new one, never half of one."""
+    """Write frames under a new build and add its manifest last: readers take the latest manifest, so they see the old build or the new one, never half of one."""
     began, build_id = time.time(), uuid.uuid4().hex
     for name, df in frames.items():
         df.write.parquet(f"{folder}/{build_id}/{name}")
-    manifest = {"build": build_id, "tables": sorted(frames), "seconds": round(time.time() - began, 1)}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    manifest = {"at": time.time_ns(), "build": build_id, "tables": sorted(frames), "seconds": round(time.time() - began, 1)}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("append").text(f"{folder}/manifest")
     return manifest
 
 
 def read_published(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+    manifest = max((json.loads(r[0]) for r in spark.read.text(f"{folder}/manifest").collect()), key=lambda m: m["at"])  # a row a build
     return spark.read.parquet(f"{folder}/{manifest['build']}/{name}")

@@ -249,11 +249,11 @@ def applications(base: DataFrame) -> DataFrame:
 
 
 def parser_quality(mart: DataFrame) -> DataFrame:
-    return mart.orderBy(F.desc("messages"), "verdict", "parsed_by")
+    return mart.orderBy(F.desc("messages"), "filter_reason", "is_application_mail", "parsed_by")
 
 
 def filter_options(facts: DataFrame) -> DataFrame:
-    """Values to filter by, with counts, by grouping sets: one pass."""
+    """Values to filter by, with counts, in one pass: a row for each value of an application."""
     names = {"platform": "platform", "status": "current_status", "role_family": "role_family", "industry": "industry", "job_type": "job_type"}
     pairs = F.array(*[F.struct(F.lit(k).alias("dim"), F.col(c).alias("value")) for k, c in names.items()])
     return facts.select(F.inline(pairs)).groupBy("dim", "value").agg(total().alias("n")).orderBy("dim", F.desc("n"), "value")

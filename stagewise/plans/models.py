@@ -25,7 +25,7 @@ def normal_status(c: Column) -> Column:
 
 @model("raw_applications")
 def stg_applications(raw: DataFrame) -> DataFrame:
-    """Valid, dated applications that were sent; typed, trimmed, with defaults."""
+    """Dated applications that were sent and not judged invalid; typed, trimmed, with defaults. No judgement, or one that cannot be read, is none against."""
     df = raw.select(
         F.col("thread_id").alias("application_id"),
         filled("company_name", "Unknown").alias("company_name"),
@@ -37,17 +37,20 @@ def stg_applications(raw: DataFrame) -> DataFrame:
         filled("job_description_snippet").alias("job_description"),
         filled("job_url").alias("job_url"),
         filled("gmail_link").alias("gmail_link"),
-        filled("job_type", "Unknown").alias("job_type"),
-        filled("seniority_level", "Unknown").alias("seniority"),
-        filled("industry", "Unknown").alias("industry"),
+        filled("latest_subject").alias("latest_subject"),
+        filled("job_type", "Full-Time").alias("job_type"),
+        filled("seniority_level", "Not Specified").alias("seniority"),
+        filled("industry", "Other").alias("industry"),
         filled("role_family", "Other").alias("role_family"),
         filled("location").alias("location"),
+        filled("salary_text").alias("salary_text"),
+        filled("notes").alias("notes"),
         safe_double("parse_confidence").alias("parse_confidence"),
         filled("parsed_by", "rules").alias("parsed_by"),
         filled("origin", "gmail").alias("origin"),
         safe_int("is_valid").alias("is_valid"),
     )
-    return df.where((F.col("is_valid") == 1) & (F.col("current_status") != "Saved / Planning") & F.col("applied_date").isNotNull()).drop("is_valid")
+    return df.where((F.coalesce("is_valid", F.lit(1)) == 1) & (F.col("current_status") != "Saved / Planning") & F.col("applied_date").isNotNull()).drop("is_valid")
 
 
 @model("raw_events", "status_stages")
@@ -71,13 +74,22 @@ def stg_status_events(raw: DataFrame, stages: DataFrame) -> DataFrame:
 
 @model("raw_messages")
 def stg_messages(raw: DataFrame) -> DataFrame:
-    verdict = safe_int("is_valid")
+    """Every message that was read, with its judgement; one without is no application mail."""
+
+    def given(c: str) -> Column:
+        return F.nullif(F.col(c), F.lit(""))
+
     return raw.select(
         "message_id",
         F.col("thread_id").alias("application_id"),
-        F.when(verdict == 1, "valid").when(verdict == 0, "noise").otherwise("unjudged").alias("verdict"),
-        filled("parsed_by", "rules").alias("parsed_by"),
+        safe_date("message_date").alias("message_date"),
+        given("subject").alias("subject"),
+        given("sender").alias("sender"),
+        (F.coalesce(safe_int("is_valid"), F.lit(0)) == 1).alias("is_application_mail"),
+        given("filter_reason").alias("filter_reason"),
+        given("detected_status").alias("detected_status"),
         safe_double("confidence").alias("confidence"),
+        F.coalesce(given("parsed_by"), F.lit("rules")).alias("parsed_by"),
     )
 
 
@@ -183,25 +195,28 @@ def dim_date(apps: DataFrame, as_of: date) -> DataFrame:
     )
 
 
-@model("stg_applications", "milestones", "dim_status", "dim_platform", "as_of")
-def fct_applications(apps: DataFrame, miles: DataFrame, status: DataFrame, platforms: DataFrame, as_of: date) -> DataFrame:
-    """One row for each application: what every metric is made from."""
+@model("stg_applications", "milestones", "dim_status", "platform_channels", "as_of")
+def fct_applications(apps: DataFrame, miles: DataFrame, status: DataFrame, known: DataFrame, as_of: date) -> DataFrame:
+    """One row for each application: what every metric is made from. Its platform's key folds case as its dimension's does."""
     today = F.lit(as_of)
     status = F.broadcast(status.select("status_key", "funnel_stage", "is_terminal", "is_active"))
-    platforms = platforms.select("platform_key", F.lower("platform").alias("folded"), "channel", "is_direct")
+    platforms = F.broadcast(known.select(F.lower("platform").alias("folded"), F.col("channel").alias("known_channel"), F.col("is_direct").alias("known_direct")))  # a few fixed rows
     df = apps.join(miles, "application_id").join(status, F.col("current_status") == F.col("status_key"), "left").join(platforms, F.lower("platform") == F.col("folded"), "left")
     stage = F.col("max_stage_reached")
     return df.select(
         "application_id",
         *(key_of(c).alias(f"{k}_key") for c, k in (("company_name", "company"), ("role_family", "role_family"), ("seniority", "seniority"), ("industry", "industry"), ("job_type", "job_type"))),
-        "platform_key",
+        key_of("platform").alias("platform_key"),
         F.col("current_status").alias("status_key"),
         "applied_date",
         "last_activity_date",
         F.col("first_response_on").alias("first_response_date"),
         "company_name",
         F.coalesce("role_title", F.lit("(role not stated)")).alias("role_title"),
-        *"platform channel is_direct role_family seniority industry job_type location current_status funnel_stage is_terminal is_active origin parsed_by parse_confidence job_url gmail_link".split(),
+        "platform",
+        F.coalesce("known_channel", F.lit("Other")).alias("channel"),
+        F.coalesce("known_direct", F.lit(False)).alias("is_direct"),
+        *"role_family seniority industry job_type location current_status funnel_stage is_terminal is_active origin parsed_by parse_confidence job_url gmail_link".split(),
         stage,
         "is_response",
         (stage >= 2).alias("reached_assessment"),
@@ -239,9 +254,10 @@ def rpt_flat(facts: DataFrame, calendar: DataFrame) -> DataFrame:
 
 @model("stg_messages")
 def mart_parser_quality(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("verdict", "parsed_by").agg(
-        F.count(F.lit(1)).alias("messages"), F.round(F.avg("confidence"), 3).alias("avg_confidence"), F.count_if(F.coalesce(F.col("confidence") < 0.75, F.lit(False))).alias("low_confidence")
-    )
+    """How many messages were judged application mail, or why not, by which reader, and with what confidence."""
+    reason = F.coalesce("filter_reason", F.lit("(none)")).alias("filter_reason")
+    low = F.count_if(F.coalesce(F.col("confidence") < 0.75, F.lit(False)))
+    return messages.groupBy(reason, "is_application_mail", "parsed_by").agg(F.count(F.lit(1)).alias("messages"), F.round(F.avg("confidence"), 3).alias("avg_confidence"), low.alias("low_confidence_messages"))
 
 
 def seeds(spark: SparkSession) -> dict[str, DataFrame]:

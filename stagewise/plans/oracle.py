@@ -35,16 +35,22 @@ ms AS (
          min(CASE WHEN to_status = 'Offer' THEN occurred END) AS offered, max(CASE WHEN to_status IN ('Rejected', 'Ghosted', 'Withdrawn') THEN occurred END) AS closed,
          bool_or(by_employer) AS responded, count(*) AS events, bool_or(NOT trusted) AS doubtful
   FROM ev GROUP BY 1),
-a AS (
-  SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS application_id, c_name AS company_name, o_orderpriority AS platform, c_mktsegment AS industry, n_name AS role_family,
-         CAST(o_orderdate AS DATE) AS applied_date, coalesce(now.status, 'Applied') AS current_status, now.last AS last_activity_date,
+cleaned AS (
+  SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS application_id, c_name AS company_name, o_orderpriority AS platform, CASE WHEN o_orderkey % 29 = 0 THEN 'Other' ELSE c_mktsegment END AS industry, n_name AS role_family,
+         CASE WHEN o_orderkey % 37 <> 0 THEN CAST(o_orderdate AS DATE) END AS applied_date,
+         CASE o_orderkey % 32 WHEN 5 THEN 'Assessment / OA' WHEN 13 THEN 'Assessment / OA' WHEN 21 THEN 'Ghosted' WHEN 29 THEN 'Applied' WHEN 10 THEN 'Saved / Planning' WHEN 26 THEN 'Applied' ELSE coalesce(now.status, 'Applied') END AS current_status,
+         CASE WHEN o_orderkey % 31 <> 0 THEN now.last END AS last_activity_date, o_orderkey % 16 <> 7 AS stays,
+         CASE WHEN o_orderkey % 4 = 0 THEN 'Re: order ' || CAST(o_orderkey AS VARCHAR) END AS latest_subject, CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_orderkey % 90 AS VARCHAR) || ' k' END AS salary_text,
+         CASE WHEN o_orderkey % 7 = 0 THEN 'note ' || CAST(o_orderkey % 3 AS VARCHAR) END AS notes, CASE WHEN o_orderkey % 3 = 0 THEN 'description description description description' ELSE 'short' END AS job_description,
          CASE WHEN o_orderkey % 10 = 0 THEN '(role not stated)' ELSE 'Role ' || CAST(o_orderkey % 50 AS VARCHAR) END AS role_title,
-         ['Full Time', 'Internship', 'Contract'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS job_type, ['Junior', 'Mid', 'Senior', 'Lead'][CAST(o_custkey % 4 + 1 AS INTEGER)] AS seniority,
+         CASE WHEN o_orderkey % 25 = 0 THEN 'Full-Time' ELSE ['Full Time', 'Internship', 'Contract'][CAST(o_orderkey % 3 + 1 AS INTEGER)] END AS job_type,
+         CASE WHEN o_orderkey % 27 = 0 THEN 'Not Specified' ELSE ['Junior', 'Mid', 'Senior', 'Lead'][CAST(o_custkey % 4 + 1 AS INTEGER)] END AS seniority,
          ['Kuala Lumpur', 'Penang', 'Remote', NULL, 'Johor'][CAST(o_orderkey % 5 + 1 AS INTEGER)] AS location, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS parse_confidence,
          ['rules', 'llm'][CAST(o_orderkey % 2 + 1 AS INTEGER)] AS parsed_by, CASE WHEN o_orderkey % 20 = 0 THEN 'manual' ELSE 'gmail' END AS origin,
          CASE WHEN o_orderkey % 6 <> 0 THEN 'https://jobs.example/' || CAST(o_orderkey AS VARCHAR) END AS job_url, 'https://mail.example/' || CAST(o_orderkey AS VARCHAR) AS gmail_link,
          o_orderkey % 3 = 0 AS has_job_description
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN now ON l_orderkey = o_orderkey),
+a AS (SELECT * FROM cleaned WHERE stays AND current_status <> 'Saved / Planning' AND applied_date IS NOT NULL),
 m AS (
   SELECT a.*, greatest(coalesce(ms.stage, 0), st.stage_order, 1) AS max_stage_reached, coalesce(ms.responded, false) OR st.responds AS is_response,
          ms.replied, ms.tested, ms.talked, ms.offered, ms.closed, coalesce(ms.events, 0) AS event_count, coalesce(ms.doubtful, false) AS has_low_trust_dates,
@@ -138,6 +144,42 @@ d AS (SELECT day, count(CASE WHEN e THEN 1 END) AS responses, count(CASE WHEN NO
 q AS (SELECT *, CAST(sum(c) OVER (ORDER BY day DESC) AS BIGINT) AS at_risk FROM d),
 km AS (SELECT *, exp(sum(ln(greatest(CAST(1.0 AS DOUBLE) - CAST(responses AS DOUBLE) / CAST(at_risk AS DOUBLE), CAST(1e-12 AS DOUBLE)))) OVER (ORDER BY day)) AS s FROM q)"""
 
+MESSAGES = """msg AS (
+  SELECT CAST(doc_id AS VARCHAR) AS message_id, CAST(doc_id AS VARCHAR) AS application_id, CASE WHEN doc_id % 5 <> 0 THEN DATE '2001-07-01' + CAST(doc_id % 28 AS INTEGER) END AS message_date,
+         CASE WHEN doc_id % 4 <> 0 THEN 'subject ' || CAST(doc_id % 10 AS VARCHAR) END AS subject, 'sender' || CAST(doc_id % 7 AS VARCHAR) || '@mail.example' AS sender, quality IS NOT NULL AND quality = 1 AS is_application_mail,
+         CASE WHEN quality = 0 AND source <> '' THEN source END AS filter_reason, CASE WHEN doc_id % 6 = 0 THEN 'Interview' END AS detected_status, CASE WHEN doc_id % 17 <> 0 THEN CAST(doc_id % 100 AS DOUBLE) / 100 END AS confidence,
+         CASE WHEN doc_id % 3 = 0 THEN 'llm' ELSE 'rules' END AS parsed_by
+  FROM documents JOIN labels USING (doc_id))"""
+
+
+def _tests() -> str:
+    """(test, failures) of every data test."""
+    found: list[tuple[str, str]] = []
+    key = "substr(md5(lower({0})), 1, 16)"
+    dims = {"company": "company_name", "platform": "platform", "role_family": "role_family", "industry": "industry", "job_type": "job_type", "seniority": "seniority"}
+    keyed = [("raw_applications", "thread_id", "SELECT k AS v FROM cleaned"), ("raw_events", "event_id", "SELECT event_id AS v FROM ev"), ("stg_applications", "application_id", "SELECT application_id AS v FROM a")]
+    keyed += [("stg_status_events", "event_id", "SELECT event_id AS v FROM ev"), ("stg_messages", "message_id", "SELECT message_id AS v FROM msg"), ("fct_applications", "application_id", "SELECT application_id AS v FROM f")]
+    keyed += [("fct_status_events", "event_id", "SELECT event_id AS v FROM fe"), ("dim_date", "date_day", "SELECT day AS v FROM cal"), ("dim_status", "status_key", "SELECT status AS v FROM st")]
+    keyed += [(f"dim_{d}", f"{d}_key", f"SELECT {key.format(c)} AS v FROM f GROUP BY lower({c})") for d, c in dims.items()]
+    for model, column, rows in keyed:
+        found.append((f"unique_{model}_{column}", f"SELECT count(*) FROM (SELECT v FROM ({rows}) WHERE v IS NOT NULL GROUP BY v HAVING count(*) > 1)"))
+        found.append((f"not_null_{model}_{column}", f"SELECT count(*) FROM ({rows}) WHERE v IS NULL"))
+    for model, column, rows in (("stg_applications", "applied_date", "SELECT applied_date AS v FROM a"), ("stg_applications", "current_status", "SELECT current_status AS v FROM a"), ("stg_status_events", "occurred_on", "SELECT occurred AS v FROM ev"),
+                                ("fct_applications", "company_key", "SELECT company_name AS v FROM f"), ("fct_applications", "platform_key", "SELECT platform AS v FROM f"), ("fct_applications", "status_key", "SELECT current_status AS v FROM f"), ("fct_applications", "applied_date", "SELECT applied_date AS v FROM f")):
+        found.append((f"not_null_{model}_{column}", f"SELECT count(*) FROM ({rows}) WHERE v IS NULL"))
+    for name, rows, to in (("fct_applications_company_key", "SELECT company_name AS v FROM f", "SELECT company_name FROM a"), ("fct_applications_platform_key", "SELECT platform AS v FROM f", "SELECT platform FROM a"), ("fct_applications_status_key", "SELECT current_status AS v FROM f", "SELECT status FROM st"),
+                           ("fct_applications_role_family_key", "SELECT role_family AS v FROM f", "SELECT role_family FROM a"), ("fct_applications_applied_date", "SELECT applied_date AS v FROM f", "SELECT day FROM cal"), ("fct_status_events_application_id", "SELECT application_id AS v FROM fe", "SELECT application_id FROM f")):
+        found.append((f"related_{name}", f"SELECT count(*) FROM ({rows}) WHERE v IS NOT NULL AND v NOT IN ({to})"))
+    found.append(("accepted_stg_applications_current_status", "SELECT count(*) FROM a WHERE current_status NOT IN (SELECT status FROM st WHERE sort_order > 0)"))
+    found.append(("accepted_fct_applications_max_stage_reached", "SELECT count(*) FROM f WHERE max_stage_reached NOT BETWEEN 1 AND 4"))
+    found.append(("calendar_is_contiguous", "SELECT CAST(max(day) - min(day) AS BIGINT) + 1 - count(DISTINCT day) FROM cal"))
+    found.append(("funnel_is_monotone", f"SELECT CASE WHEN {n('reached_assessment')} > count(*) OR {n('reached_interview')} > {n('reached_assessment')} OR {n('reached_offer')} > {n('reached_interview')} THEN 1 ELSE 0 END FROM f"))
+    found.append(("no_negative_durations", "SELECT count(*) FROM f WHERE days_to_response < 0 OR days_to_interview < 0 OR days_since_applied < 0"))
+    found.append(("outcomes_imply_a_response", "SELECT count(*) FROM f WHERE (reached_assessment OR is_rejected) AND NOT is_response"))
+    found.append(("no_reply_time_without_a_response", "SELECT count(*) FROM f WHERE NOT is_response AND days_to_response IS NOT NULL"))
+    return f"{STAR}, {MESSAGES} " + " UNION ALL ".join(f"SELECT '{name}' AS test, CAST(({q}) AS BIGINT) AS failures" for name, q in found)
+
+
 SQL = {
     "kpis": kpis(),
     "kpis_filtered": kpis("applied_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND platform IN ('1-URGENT', '3-MEDIUM') AND (company_name ILIKE '%7%' OR role_title ILIKE '%7%' OR coalesce(location, '') ILIKE '%7%')"),
@@ -185,8 +227,11 @@ SQL = {
       SELECT unnest(['Employer identified', 'Role title identified', 'Job description captured', 'Posting link captured', 'Reply date known (of replies)', 'High-confidence parse', 'Event dates from source emails']) AS check_name, unnest([k, r, d, u, y, p, e]) AS passing, unnest([t, t, t, t, yt, t, t]) AS total FROM c""",
     "applications": f"""{STAR} SELECT application_id, company_name, role_title, platform, channel, role_family, seniority, industry, job_type, location, current_status, funnel_stage, max_stage_reached, applied_date, last_activity_date,
       replied AS first_response_date, days_to_response, days_since_activity, is_response, reached_interview, is_active, origin, parsed_by, parse_confidence, job_url, gmail_link FROM f""",
-    "parser_quality": """WITH v AS (SELECT CASE quality WHEN 1 THEN 'valid' WHEN 0 THEN 'noise' ELSE 'unjudged' END AS verdict, CASE WHEN doc_id % 3 = 0 THEN 'llm' ELSE 'rules' END AS parsed_by, CAST(doc_id % 100 AS DOUBLE) / 100 AS c FROM documents JOIN labels USING (doc_id))
-      SELECT verdict, parsed_by, count(*) AS messages, round(avg(c), 3) AS avg_confidence, count(CASE WHEN c < 0.75 THEN 1 END) AS low_confidence FROM v GROUP BY 1, 2""",
+    "parser_quality": f"""WITH {MESSAGES} SELECT coalesce(filter_reason, '(none)') AS filter_reason, is_application_mail, parsed_by, count(*) AS messages, round(avg(confidence), 3) AS avg_confidence,
+      count(CASE WHEN confidence < 0.75 THEN 1 END) AS low_confidence_messages FROM msg GROUP BY 1, 2, 3""",
+    "stg_messages": f"WITH {MESSAGES} SELECT * FROM msg",
+    "stg_applications": f"""{STAR} SELECT application_id, company_name, CASE WHEN k % 10 <> 0 THEN role_title END AS role_title, platform, applied_date, current_status, last_activity_date, job_description, job_url, gmail_link, latest_subject,
+      job_type, seniority, industry, role_family, location, salary_text, notes, parse_confidence, parsed_by, origin FROM a""",
     "filter_options": f"{STAR}, u AS (SELECT unnest(['platform', 'status', 'role_family', 'industry', 'job_type']) AS dim, unnest([platform, current_status, role_family, industry, job_type]) AS value FROM f) SELECT dim, value, count(*) AS n FROM u GROUP BY 1, 2",
     "date_bounds": f"{STAR} SELECT min(applied_date) AS first, max(applied_date) AS last FROM f",
     # models
@@ -206,6 +251,7 @@ SQL = {
     "dim_seniority": dimension("seniority", "seniority_key"),
     "dim_platform": f"{STAR} SELECT DISTINCT substr(md5(lower(platform)), 1, 16) AS platform_key, platform, channel, is_direct FROM f",
     "dim_status": f"WITH {_values()} SELECT status AS status_key, funnel_stage, stage_order, is_terminal, is_active, responds AS is_employer_response, sort_order FROM st",
+    "data_tests": _tests(),
     "rpt_flat_months": f"{STAR} SELECT strftime(applied_date, '%Y-%m') AS applied_year_month, strftime(applied_date, '%A') AS applied_day_of_week, channel, count(*) AS applications, CAST(sum(event_count) AS BIGINT) AS events FROM f GROUP BY 1, 2, 3",
 }
 SQL |= {f"drill_{k}": f"{STAR} SELECT application_id, company_name, current_status, applied_date FROM f WHERE {c}" for k, c in DRILL.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from functools import partial
@@ -10,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
+from ..session import shared_folder
 from ..sources import tables
 from . import checks, models
-from .build import Frames
+from .build import Frames, publish, read_published
 from .metrics import Metrics
 
 AS_OF = date(2001, 8, 2)
@@ -43,7 +45,13 @@ def rpt_flat_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def data_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.data_tests(frames(spark, sf_dir))
+    """All tests over one build, which is published and read back, so that nothing is made twice."""
+    folder = f"{shared_folder(spark)}/build-{uuid.uuid4().hex}"
+    made = frames(spark, sf_dir)
+    for name in checks.KEYS:  # each after those that it is made from
+        publish(spark, {name: made[name]}, f"{folder}/{name}")
+        made[name] = read_published(spark, f"{folder}/{name}", name)
+    return checks.data_tests(made)
 
 
 METRICS = "kpis period_compare funnel sankey weekly_velocity monthly_cohorts platform_performance response_survival response_time_buckets weekday_performance activity_calendar status_mix stage_timing company_leaderboard follow_up_queue transitions recent_activity data_quality applications parser_quality filter_options date_bounds".split()
@@ -54,5 +62,5 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {n: metric(n) for n in METRICS}
     found["kpis_filtered"] = metric("kpis", filters=FILTER)
     found |= {f"segment_{s}": metric("segment_performance", s) for s in SEGMENTS}
-    found |= {n: of_model(n) for n in MODELS} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months, "data_tests": data_tests}
+    found |= {n: of_model(n) for n in (*MODELS, "stg_applications", "stg_messages")} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months, "data_tests": data_tests}
     return found | {f"drill_{n}": drill(n) for n in DRILL_SETS}

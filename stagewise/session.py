@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +22,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir; where that is unset, one of this machine, if all tasks run here."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("stagewise.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: executors would write to folders that the driver cannot see")
+        folder = tempfile.mkdtemp(prefix="stagewise-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("stagewise.checkpoint.dir", folder)
+    return folder

@@ -12,7 +12,7 @@ from ..domain import SOURCES, STATUSES
 
 APPLICATION_SCHEMA = (
     "thread_id company_name role_title source_platform application_date current_status last_updated job_description_snippet job_url gmail_link "
-    "latest_subject is_valid filter_reason job_type seniority_level industry notes role_family location parse_confidence parsed_by origin"
+    "latest_subject is_valid filter_reason job_type seniority_level industry notes role_family location salary_text parse_confidence parsed_by origin"
 ).split()
 EVENT_SCHEMA = "event_id thread_id from_status to_status occurred_on recorded_at source message_id note".split()
 #: Columns that never leave the operational store.
@@ -82,8 +82,20 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def by_rest(k, n: int, values: dict[int, str | None], other):
+    """The value of a key's rest when divided by n."""
+    out = other
+    for rest, value in values.items():
+        out = F.when(k % n == rest, F.lit(value)).otherwise(out)
+    return out
+
+
 def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """applications as text: one for each order, in the state of its latest event."""
+    """applications as text: one for each order, in the state of its latest event.
+
+    As in an operational store some are untidy, which a residue of the key decides: judged invalid, not judged, or judged
+    in words; in statuses of older versions or only saved; without a date, or with one and a time; without attributes.
+    """
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     last = placed_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.max(F.struct("offset", "sort_order", "to_status")).alias("s"))
@@ -98,21 +110,22 @@ def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("company_name"),
         F.when(k % 10 == 0, " ").otherwise(F.concat(F.lit("Role "), (k % 50).cast("string"))).alias("role_title"),
         F.col("o_orderpriority").alias("source_platform"),
-        F.col("o_orderdate").cast("date").cast("string").alias("application_date"),
-        F.coalesce("s.to_status", F.lit("Applied")).alias("current_status"),
-        F.coalesce(F.date_add(F.col("o_orderdate").cast("date"), F.col("s.offset")).cast("string"), F.lit("")).alias("last_updated"),
+        F.when(k % 37 == 0, "").when(k % 2 == 0, F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("T09:00:00"))).otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("application_date"),
+        by_rest(k, 32, {5: "Screening/OA", 13: "Response", 21: "Ghosted/Inactive", 29: " Weird Legacy Status ", 10: "Saved / Planning", 26: ""}, F.coalesce("s.to_status", F.lit("Applied"))).alias("current_status"),
+        F.when(k % 31 == 0, " ").otherwise(F.coalesce(F.date_add(F.col("o_orderdate").cast("date"), F.col("s.offset")).cast("string"), F.lit(""))).alias("last_updated"),
         F.when(k % 3 == 0, F.repeat(F.lit("description "), 4)).otherwise("short").alias("job_description_snippet"),
         F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("https://jobs.example/"), k.cast("string"))).alias("job_url"),
         F.concat(F.lit("https://mail.example/"), k.cast("string")).alias("gmail_link"),
-        F.lit("").alias("latest_subject"),
-        F.lit("1.0").alias("is_valid"),
+        F.when(k % 4 == 0, F.concat(F.lit(" Re: order "), k.cast("string"))).otherwise("").alias("latest_subject"),
+        by_rest(k, 16, {3: "", 7: "0.0", 11: "yes", 15: None}, F.lit("1.0")).alias("is_valid"),
         F.lit("").alias("filter_reason"),
-        pick(k, "Full Time", "Internship", "Contract").alias("job_type"),
-        pick(F.col("o_custkey"), "Junior", "Mid", "Senior", "Lead").alias("seniority_level"),
-        F.col("c_mktsegment").alias("industry"),
-        F.lit("").alias("notes"),
+        F.when(k % 25 != 0, pick(k, "Full Time", "Internship", "Contract")).alias("job_type"),
+        F.when(k % 27 == 0, " ").otherwise(pick(F.col("o_custkey"), "Junior", "Mid", "Senior", "Lead")).alias("seniority_level"),
+        F.when(k % 29 == 0, "").otherwise(F.col("c_mktsegment")).alias("industry"),
+        F.when(k % 7 == 0, F.concat(F.lit("note "), (k % 3).cast("string"))).otherwise("").alias("notes"),
         F.col("n_name").alias("role_family"),
         pick(k, "Kuala Lumpur", "Penang", "Remote", "", "Johor").alias("location"),
+        F.when(k % 9 == 0, F.concat((k % 90).cast("string"), F.lit(" k"))).otherwise("").alias("salary_text"),
         (k % 100 / F.lit(100.0)).cast("string").alias("parse_confidence"),
         pick(k, "rules", "llm").alias("parsed_by"),
         F.when(k % 20 == 0, "manual").otherwise("gmail").alias("origin"),
@@ -121,12 +134,16 @@ def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """processed_messages as text: one for each labelled document, its quality as the verdict."""
-    df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    df, k = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id"), F.col("doc_id")
     return df.select(
         F.col("doc_id").cast("string").alias("message_id"),
         F.col("doc_id").cast("string").alias("thread_id"),
-        F.when(F.col("quality") == 1, "1.0").when(F.col("quality") == 0, "0.0").alias("is_valid"),
-        F.col("source").alias("filter_reason"),
-        F.when(F.col("doc_id") % 3 == 0, "llm").otherwise("rules").alias("parsed_by"),
-        (F.col("doc_id") % 100 / F.lit(100.0)).cast("string").alias("confidence"),
+        F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("2001-07-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))).alias("message_date"),
+        F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("subject "), (k % 10).cast("string"))).alias("subject"),
+        F.concat(F.lit("sender"), (k % 7).cast("string"), F.lit("@mail.example")).alias("sender"),
+        F.when(F.col("quality") == 1, "1.0").when(k % 11 == 0, "?").when(F.col("quality") == 0, "0.0").alias("is_valid"),
+        F.when(F.col("quality") == 0, F.col("source")).otherwise("").alias("filter_reason"),
+        F.when(k % 6 == 0, "Interview").otherwise("").alias("detected_status"),
+        F.when(k % 3 == 0, "llm").when(k % 13 == 1, "").otherwise("rules").alias("parsed_by"),
+        F.when(k % 17 != 0, (k % 100 / F.lit(100.0)).cast("string")).alias("confidence"),
     )

@@ -37,8 +37,9 @@ OUT = "key long, status string, last timestamp, events long, ghosted boolean"
 def fold_status(events: DataFrame, days: int = GHOST_AFTER) -> DataFrame:
     """The status of each key of (key, ts, status): that of its latest event; "Ghosted" once none came for `days` in event time.
 
-    An event older than the latest never rolls the status back; one that comes after a time-out revives the key.
-    State is one row a key, and the events of one micro-batch are read in chunks, so no key is held whole.
+    An event older than the latest never rolls the status back; one that comes after a time-out revives the key, with a
+    new count. Then it is newer than the watermark, and so than all before: Spark drops what is older than the watermark.
+    State is one row a key until its time-out, and the events of one micro-batch are read in chunks, so no key is held whole.
     """
     limit = pd.Timedelta(days=days)
 

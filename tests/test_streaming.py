@@ -43,3 +43,10 @@ def test_quiet_keys_are_ghosted_and_late_events_roll_nothing_back(spark, tmp_pat
     assert last["status"] == "Interview"
     ghosts = [(r["key"], r["status"], r["events"]) for r in got if r["ghosted"]]
     assert (1, "Ghosted", 3) in ghosts
+
+
+def test_what_is_older_than_a_time_out_revives_nothing(spark, tmp_path):
+    path = files(spark, str(tmp_path), [(1, 1, 5, "Interview"), (2, 2, 0, "Applied")], [(3, 2, 60, "Offer")], [(4, 2, 61, "Offer")], [(5, 1, 4, "Applied")], [(6, 1, 62, "Offer")])
+    stream = messages.read_events(spark, path, SCHEMA).withWatermark("ts", "1 day").select("key", "ts", "status")
+    got = [(r["status"], r["ghosted"]) for r in drained(messages.fold_status(stream), "revived") if r["key"] == 1]
+    assert got == [("Interview", False), ("Ghosted", True), ("Offer", False)]
