@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
-import shutil
-import tempfile
 import uuid
 from typing import NamedTuple
 
@@ -15,25 +12,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Characters that are not one of the six ASCII blanks make up a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, one of our own, if all tasks run on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("stagewise.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir is unset: executors would write to folders that the driver cannot see")
-        folder = tempfile.mkdtemp(prefix="stagewise-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("stagewise.checkpoint.dir", folder)
-    return folder
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is removed when the driver's Python ends, since results are read from it until then."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(removed, spark.sparkContext._jvm, path)
     return path
 
