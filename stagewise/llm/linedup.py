@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, stash, text_of
+from .shared import WORD, freed, stash, text_of
 
 #: A line is frequent if it makes up more than one in so many of all lines; there are fewer of them than this.
 FREQUENT = 2048
@@ -367,14 +367,17 @@ def near_lines(docs: DataFrame, known: DataFrame, max_edits: int, least_chars: i
     """(h, near_first) of the distinct lines of least_chars or more that are within max_edits of an earlier one: where the earliest such stands."""
     if max_edits not in (1, 2):
         raise ValueError("max_edits is 1 or 2")
+    spark = docs.sparkSession
     total = known.agg(F.sum("n")).first()[0] or 0
     frequent = F.broadcast(known.where(F.col("n") * FREQUENT > total).select(F.col("lid").alias("hot"), "first"))  # fewer than FREQUENT rows
     lines = split_lines(docs).where(F.length("line") >= least_chars).select(F.xxhash64("line").alias("lid"), "at", "line")
     lines = lines.join(frequent, (F.col("lid") == F.col("hot")) & (F.col("at") != F.col("first")), "left_anti")
     own = (F.col("less") == 0) & (F.col("shift") == 0)
     rows = stash(met(keyed(lines, max_edits), own), "lines-met")
+    freed(spark)
     chars = F.split("line", "")
     lines = stash(lines_of(docs, known, rows.select("lid").distinct()).withColumns({"odd": parity(chars), "odd_pairs": pair_parity(chars)}), "lines-held")
+    freed(spark)
     hot = rows.where(F.col("n_own") > BUCKET)
     pairs, found = [pairs_of(rows, own, lines, max_edits)], []
     rows = stash(met(parted(hot, lines, max_edits), own), "lines-met")
