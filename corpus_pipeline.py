@@ -48,11 +48,14 @@ STAGES = [
     ("mix", mixed),
     ("byte_bpe", encoded),
 ]
-#: SQL cannot express the first stage; the stages are tested against brute force.
+#: SQL cannot express the first stage. tests/llm/test_pipeline.py runs all five against a brute-force version of each.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents. Null texts are empty and weigh nothing in the mix; rows without an id stay through
+    the stages that compare documents; no documents give no rows. Further columns are carried up to the last stage.
+    """
     df = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         df = stash(stage(spark, df, sf_dir), name)

@@ -118,16 +118,18 @@ def resample(docs: DataFrame, position: str | None = None, **options) -> DataFra
     Every copy has its own position: that of pass k over the source stands k * source_size words later in the source's
     demand than the first. Rows come range-sorted by it, and `position` names a column to hold it, if given.
     Rows with no words are kept once: they weigh nothing, have no position and come last. A document of which less than
-    half a copy is taken goes. Rows must have distinct ids; ids that repeat share their first row's decision.
+    half a copy is taken goes. Rows must have distinct ids; ids that repeat share their first row's decision. Columns of any
+    name are left as they are; no rows give no rows.
     """
     first = F.min(F.struct("before", "source_size", "target", "tilt")).alias("mix_first")
     plan = planned(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"), first)
     copies = F.when(F.col("mix_size") == 0, F.lit(1)).otherwise(F.round(F.col("mix_taken") / F.col("mix_size")).cast("int"))
     plan = plan.select(F.col("doc_id").alias("mix_doc_id"), copies.alias("mix_copies"), "mix_size", "mix_first").where("mix_copies > 0")
-    kept = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_doc_id")))
+    held = docs.select(F.struct(*docs.columns).alias("row"))
+    kept = held.join(plan, F.col("row.doc_id").eqNullSafe(F.col("mix_doc_id")))
     kept = kept.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     f = F.col("mix_first")
     before = F.least(F.col("mix_pass") * f["source_size"] + f["before"], f["target"])
     kept = kept.withColumn("mix_due", F.when(F.col("mix_size") > 0, due(before, f["target"], f["tilt"])))
     named = [F.col("mix_due").alias(position)] if position else []
-    return kept.orderBy(F.col("mix_due").asc_nulls_last(), "doc_id").select(*docs.columns, *named)
+    return kept.orderBy(F.col("mix_due").asc_nulls_last(), "row.doc_id").select(*(F.col("row")[c].alias(c) for c in docs.columns), *named)
