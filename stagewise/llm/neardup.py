@@ -8,7 +8,7 @@
    probability of their weighted Jaccard similarity. Equal texts are one entry, by their MD5. Entries that agree
    on all samples of a band are candidates.
 3. Candidates are verified by the weighted Jaccard similarity of their whole bags. In buckets of up to SMALL entries
-   all are compared. In larger ones everyone is first compared to one leader, which differs from round to round and
+   all are compared. In larger ones everyone is first compared to one leader (LEADER_ROUNDS of them), which differs from round to round and
    from bucket to bucket. Entries of buckets that stay in several components are then joined exactly: two entries
    at the threshold share one of the rarest shingles that make up a ninth of the lighter and of about so much of the
    heavier one (prefixes by the least overlap that their weights allow); those that do, in different components, are
@@ -40,7 +40,7 @@ LEVELS = 1 << 16
 #: Shingles in a smaller share of the documents all weigh the same.
 SHARE = 2.0**-10
 SMALL = 6
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
 #: Classes of total weight, for prefixes, are so many times apart.
 STEP = 1.02
 
@@ -280,9 +280,13 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def led(large: DataFrame, label: DataFrame, k: int) -> DataFrame:
-    """(u, v) of every entry of a large bucket and the bucket's leader in round k, if they are in different components."""
+    """(u, v) of every entry of a large bucket and the bucket's leader in round k, if they are in different components.
+
+    The first leader is the entry that meets most others in all its buckets, such as the text that the others are copies of.
+    """
     placed = large.join(label, "h")
-    lead = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("o"), F.col("h").alias("x"), "component")).alias("l")).select("bucket", "l.x", F.col("l.component").alias("lead"))
+    first = -F.col("met") if k == 0 else F.lit(0)
+    lead = placed.groupBy("bucket").agg(F.min(F.struct(first.alias("first"), F.xxhash64("h", F.lit(k)).alias("o"), F.col("h").alias("x"), "component")).alias("l")).select("bucket", "l.x", F.col("l.component").alias("lead"))
     return placed.join(lead, "bucket").where("component <> lead").select(*paired("x", "h")).distinct()
 
 
@@ -306,7 +310,7 @@ def prefix_pairs(large: DataFrame, label: DataFrame, bag: DataFrame, weights, th
 
     terms = stash(apart.join(bag, "h").select("h", "component", "bag").mapInArrow(listed, "h binary, component binary, shingle long, w double, total double"), "terms")
     held = terms.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    after = Window.partitionBy("h").orderBy("n", "shingle").rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy("h").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)  # from the last shingle on: a running sum
     t, share = threshold, threshold / (1 + threshold) * (1 - 1e-9)
     ranked = terms.join(held, "shingle").withColumn("rest", F.sum("w").over(after)).where(F.col("rest") >= t * (1 - 1e-9) * F.col("total")).where("n > 1")
     ranked = ranked.select("h", "component", "shingle", "total", "rest", F.floor(F.log("total") / np.log(STEP)).cast("int").alias("own"))
@@ -339,10 +343,11 @@ def classes(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFram
     entries = stash(signed.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), "bands")).alias("e")).select("h", "e.id", "e.bands"), "entries")
     dealt = entries.select("h", "id", F.posexplode("bands").alias("band", "value")).select("h", "id", F.xxhash64("band", "value").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stash(dealt.join(shared, "bucket").distinct(), "members")
+    members = dealt.join(shared, "bucket").distinct()
+    members = stash(members.withColumn("met", F.sum("n").over(Window.partitionBy("h"))), "members")  # BANDS rows of an entry at most
     bag = stash(vectors(docs, members.select("h", "id").distinct(), words), "bags")
     label = members.select("h", F.col("h").alias("component")).distinct()
-    small, large = members.where(F.col("n") <= SMALL).select("bucket", "h"), members.where(F.col("n") > SMALL).select("bucket", "h")
+    small, large = members.where(F.col("n") <= SMALL).select("bucket", "h"), members.where(F.col("n") > SMALL).select("bucket", "h", "met")
     both = small.select("bucket", F.col("h").alias("x")).join(small.select("bucket", F.col("h").alias("y")), "bucket").where("x < y").select(*paired())
     done = None
     for k in range(LEADER_ROUNDS + 1):
