@@ -255,3 +255,51 @@ SQL = {
     "rpt_flat_months": f"{STAR} SELECT strftime(applied_date, '%Y-%m') AS applied_year_month, strftime(applied_date, '%A') AS applied_day_of_week, channel, count(*) AS applications, CAST(sum(event_count) AS BIGINT) AS events FROM f GROUP BY 1, 2, 3",
 }
 SQL |= {f"drill_{k}": f"{STAR} SELECT application_id, company_name, current_status, applied_date FROM f WHERE {c}" for k, c in DRILL.items()}
+
+STATUS = "CASE k % 32 WHEN 5 THEN 'Screening/OA' WHEN 13 THEN 'Response' WHEN 21 THEN 'Ghosted/Inactive' WHEN 29 THEN ' Weird Legacy Status ' WHEN 26 THEN '' ELSE current_status END"
+DATE = "CASE WHEN k % 37 = 0 THEN '' WHEN k % 2 = 0 THEN CAST(applied_date AS VARCHAR) || 'T09:00:00' ELSE CAST(applied_date AS VARCHAR) END"
+RAW = f"""raw AS (
+  SELECT *, application_id AS thread_id, k % 16 NOT IN (3, 7, 11, 15) AS valid, {STATUS} AS status, {DATE} AS day, CASE WHEN k % 31 = 0 THEN ' ' ELSE coalesce(CAST(last_activity_date AS VARCHAR), '') END AS last_updated,
+         CASE WHEN k % 3 = 0 THEN 'description description description description ' ELSE 'short' END AS snippet
+  FROM cleaned),
+lc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY occurred DESC, event_id DESC) AS rn FROM ev) WHERE rn = 1 AND from_status IS NOT NULL)"""
+SENT = "string_split_regex(" * 6 + "coalesce(text, '')"
+for _p in (r"(?m)^On .{5,120}\bwrote:\s*$", r"(?m)^-{2,}\s*(?:Original|Forwarded) [Mm]essage\s*-{2,}", r"(?m)^_+\s*$", r"(?m)^From:\s.+$", r"(?m)^Sent from my\b", r"(?m)^--\s*$"):
+    SENT += f", '{_p}')[1]"
+SPACES = r"[ \t\n\r\f\x0B\x{00A0}]+"
+
+
+def unescaped(x: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return x
+
+
+OWN = f"array_to_string(list_filter(string_split_regex({SENT}, '\\r\\n|\\r|\\n'), lambda x: NOT starts_with(ltrim(x), '>')), chr(10))"
+ONE_LINE = f"array_to_string(list_filter(string_split_regex(regexp_replace({unescaped(OWN)}, 'https?://\\S+', ' ', 'g'), '{SPACES}'), lambda w: w <> '')[1:400], ' ')"
+SAID = f"""regexp_replace(regexp_replace({unescaped("regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')")}, '{SPACES}', ' ', 'g'), '^ | $', '', 'g')"""
+SQL |= {
+    "store_ghosting": f"""{STAR}, {RAW} SELECT thread_id, 'Applied' AS from_status, 'Ghosted' AS to_status, CAST(least(last_activity_date + 21, {AS_OF}) AS VARCHAR) AS occurred_on, 'system' AS source, 'no reply for 21+ days' AS note
+      FROM raw WHERE valid AND status = 'Applied' AND last_activity_date < {AS_OF} - 21""",
+    "store_last_changes": f"{STAR}, {RAW} SELECT CAST(l_orderkey AS VARCHAR) AS thread_id, event_id, from_status, to_status FROM lc",
+    "store_undo": f"""{STAR}, {RAW}, g AS (SELECT * FROM lc WHERE l_orderkey % 3 = 0), rest AS (SELECT l_orderkey, max(occurred) AS latest FROM ev WHERE event_id NOT IN (SELECT event_id FROM g) GROUP BY 1)
+      SELECT thread_id, coalesce(g.from_status, status) AS current_status, CASE WHEN g.event_id IS NOT NULL THEN CAST(latest AS VARCHAR) ELSE last_updated END AS last_updated
+      FROM raw LEFT JOIN g ON g.l_orderkey = k LEFT JOIN rest ON rest.l_orderkey = k""",
+    "store_upsert": """SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN '2001-08-01' WHEN doc_id % 5 = 0 THEN '' ELSE CAST(DATE '2001-07-01' + CAST(doc_id % 28 AS INTEGER) AS VARCHAR) END AS message_date,
+      CASE WHEN doc_id % 2 = 0 THEN 'Offer' WHEN doc_id % 6 = 0 THEN 'Interview' ELSE '' END AS detected_status, 'sender' || CAST(doc_id % 7 AS VARCHAR) || '@mail.example' AS sender FROM documents JOIN labels USING (doc_id)""",
+    "store_enrichment": f"""{STAR}, {RAW} SELECT thread_id, CASE WHEN k % 5 = 3 THEN 'Analyst - posting posting posting posting posting posting posting posting' ELSE snippet END AS job_description_snippet,
+      CASE WHEN k % 5 = 3 THEN 'Ipoh' ELSE location END AS location, coalesce(salary_text, '') AS salary_text FROM raw""",
+    "store_to_enrich": f"{STAR}, {RAW} SELECT thread_id, job_url, day AS application_date FROM raw WHERE valid AND job_url IS NOT NULL AND location IS NULL",
+    "store_review_queue": f"{STAR}, {RAW} SELECT thread_id, company_name, status AS current_status, parse_confidence FROM raw WHERE valid AND parse_confidence < 0.75 AND origin <> 'manual'",
+    "store_noise": f"{STAR}, {RAW} SELECT thread_id, day AS application_date, company_name, platform AS source_platform, '' AS filter_reason FROM raw WHERE k % 16 = 7",
+    "store_changes": f"{STAR}, {RAW} SELECT thread_id, event_id, from_status IS NULL AS is_new FROM ev JOIN raw ON k = l_orderkey WHERE valid AND occurred >= DATE '2001-07-01'",
+    "store_counts": f"{STAR}, {RAW} SELECT count(*) AS total, {n('valid')} AS valid, count(*) - {n('valid')} AS noise, (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS messages FROM raw",
+    "text_messages": f"WITH t AS (SELECT conv_id, turn, {ONE_LINE} AS one_line FROM conversations) SELECT conv_id, turn, CAST(length(one_line) AS INTEGER) AS chars, md5(one_line) AS digest FROM t",
+    "text_job_types": r"""SELECT CASE WHEN regexp_matches(t, '\bintern(?:ship)?\b|industrial (?:train\w+|attach\w+)|practicum|work placement') THEN 'Internship' WHEN regexp_matches(t, 'contract basis|\bcontract\b|fixed[- ]term|\btemporary\b') THEN 'Contract / Fixed-Term'
+      WHEN regexp_matches(t, 'part[- ]time\b|\bcasual\b|freelance\b') THEN 'Part-Time / Casual' ELSE 'Full-Time' END AS job_type, count(*) AS documents FROM (SELECT lower(coalesce(text, '')) AS t FROM documents) GROUP BY 1""",
+    "html_pages": rf"""WITH t AS (SELECT *, {SAID} AS said FROM pages)
+      SELECT page_id, CAST(length(said) AS INTEGER) AS chars, md5(said) AS digest, regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '{SPACES}', ' ', 'g') AS title,
+             CAST(len(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS INTEGER) AS links, nullif(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '') AS host,
+             regexp_replace(CASE WHEN contains(url, '?') AND NOT contains(c, '?') THEN regexp_replace(c, '^([^&]*)&', '\1?') ELSE c END, '[?&]+$', '') AS url
+      FROM (SELECT * REPLACE (url AS url), regexp_replace(coalesce(url, ''), '[?&](?:utm_[a-z]+|fbclid|gclid)=[^&#]*', '', 'g') AS c FROM t)""",
+}

@@ -10,6 +10,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..operators import store
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
 from ..session import shared_folder
 from ..sources import tables
@@ -54,6 +56,58 @@ def data_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.data_tests(made)
 
 
+def third(applications: DataFrame) -> DataFrame:
+    return applications.where(F.col("thread_id").cast("long") % 3 == 0)
+
+
+def postings(applications: DataFrame) -> DataFrame:
+    """What postings told about some of the applications."""
+    k = F.col("thread_id").cast("long")
+    found = applications.where((k % 5).isin(1, 3)).select("thread_id", (k % 5 == 3).alias("ok"))
+    return found.select("*", F.lit("Analyst").alias("title"), F.repeat(F.lit("posting "), 8).alias("description"), F.lit("Ipoh").alias("location"), F.lit("").alias("salary"))
+
+
+def read_again(messages: DataFrame) -> DataFrame:
+    """Messages with even ids as they are read a second time: a status is found, and dates of some are not given."""
+    k = F.col("message_id").cast("long")
+    again = messages.where(k % 2 == 0).withColumn("detected_status", F.lit("Offer"))
+    return again.withColumn("message_date", F.when(k % 3 == 0, "").otherwise("2001-08-01"))
+
+
+STORE = {
+    "store_ghosting": lambda f: store.ghosted(f["raw_applications"], AS_OF)[1],
+    "store_last_changes": lambda f: store.last_changes(f["raw_events"]).select("thread_id", "event_id", "from_status", "to_status"),
+    "store_undo": lambda f: store.undone(f["raw_applications"], f["raw_events"], third(f["raw_applications"]))[0].select("thread_id", "current_status", "last_updated"),
+    "store_upsert": lambda f: store.upserted(f["raw_messages"], read_again(f["raw_messages"]), "message_id", ("message_date",)).select("message_id", "message_date", "detected_status", "sender"),
+    "store_enrichment": lambda f: store.enriched(f["raw_applications"], postings(f["raw_applications"])).select("thread_id", "job_description_snippet", "location", "salary_text"),
+    "store_to_enrich": lambda f: store.to_enrich(f["raw_applications"]),
+    "store_review_queue": lambda f: store.review_queue(f["raw_applications"]),
+    "store_noise": lambda f: store.noise(f["raw_applications"]),
+    "store_changes": lambda f: store.changes_since(f["raw_applications"], f["raw_events"], "2001-07-01").select("thread_id", "event_id", "is_new"),
+    "store_counts": lambda f: store.counts(f["raw_applications"], f["raw_messages"]),
+}
+
+
+def of_store(name: str) -> Query:
+    return lambda spark, sf_dir: STORE[name](frames(spark, sf_dir))
+
+
+def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one_line = text.sanitized("text")
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(one_line).alias("chars"), F.md5(one_line).alias("digest"))
+
+
+def text_job_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = text.labelled("text", text.JOB_TYPES, text.JOB_TYPE).alias("job_type")
+    return tables.table(spark, sf_dir, "documents").groupBy(label).agg(F.count(F.lit(1)).alias("documents"))
+
+
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = text.stripped_html("html")
+    pages = tables.table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.length(said).alias("chars"), F.md5(said).alias("digest"), text.page_title("html").alias("title"), F.size(text.links("html")).alias("links"), text.host("url").alias("host"), text.without_parameters("url").alias("url"))
+
+
 METRICS = "kpis period_compare funnel sankey weekly_velocity monthly_cohorts platform_performance response_survival response_time_buckets weekday_performance activity_calendar status_mix stage_timing company_leaderboard follow_up_queue transitions recent_activity data_quality applications parser_quality filter_options date_bounds".split()
 MODELS = "milestones fct_applications fct_status_events dim_date dim_company dim_industry dim_job_type dim_role_family dim_seniority dim_platform dim_status".split()
 
@@ -63,4 +117,5 @@ def queries() -> dict[str, Query]:
     found["kpis_filtered"] = metric("kpis", filters=FILTER)
     found |= {f"segment_{s}": metric("segment_performance", s) for s in SEGMENTS}
     found |= {n: of_model(n) for n in (*MODELS, "stg_applications", "stg_messages")} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months, "data_tests": data_tests}
+    found |= {n: of_store(n) for n in STORE} | {f.__name__: f for f in (text_messages, text_job_types, html_pages)}
     return found | {f"drill_{n}": drill(n) for n in DRILL_SETS}

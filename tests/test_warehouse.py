@@ -8,6 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from stagewise.functions import text
+from stagewise.operators import store
 from stagewise.operators.filters import Filters
 from stagewise.plans import checks, models, oracle, queries
 from stagewise.plans.build import Frames, build, order, publish, read_published
@@ -31,10 +33,10 @@ def rows_of(names, rows):
     return sorted((tuple(plain(r[i]) for i in keep) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["stg_applications", "stg_messages", "fct_applications", "parser_quality", "kpis", "kpis_filtered", "segment_seniority", "data_tests", "dim_platform", "drill_follow_up"])
+@pytest.mark.parametrize("name", ["stg_applications", "stg_messages", "fct_applications", "parser_quality", "kpis", "kpis_filtered", "segment_seniority", "data_tests", "dim_platform", "drill_follow_up", *queries.STORE, "text_messages", "text_job_types", "html_pages"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents labels".split():
+    for t in "region nation customer supplier part orders lineitem events documents labels pages conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries.queries()[name](spark, SF)
     sql = con.sql(oracle.SQL[name])
@@ -166,3 +168,26 @@ def test_readers(spark, tmp_path):
     assert tables.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int, b string").first().asDict() == {"a": 1, "b": "x"}
     seen = spark.createDataFrame([("2026-01-10",), (None,)], "seen string").select(tables.after_date("2026-01-01", "seen").alias("d"))
     assert [r["d"] for r in seen.collect()] == [date(2026, 1, 8), date(2026, 1, 1)]
+
+
+def test_store_rules_by_hand(spark):
+    f = frames(spark, [application("a", last_updated="2026-01-01"), application("b", last_updated="2026-01-09"), application("c", last_updated=""), application("d", last_updated="2026-01-10", is_valid="0")], EVENTS[:2])
+    after, events = store.ghosted(f["raw_applications"], AS_OF)
+    assert {r["thread_id"]: r["current_status"] for r in after.collect()} == {"a": "Ghosted", "b": "Ghosted", "c": "Applied", "d": "Applied"}
+    assert sorted((r["thread_id"], r["occurred_on"]) for r in events.collect()) == [("a", "2026-01-22"), ("b", "2026-01-30")]
+    threads = f["raw_applications"].select("thread_id")
+    undone, left = store.undone(f["raw_applications"], f["raw_events"], threads)
+    assert {r["thread_id"]: (r["current_status"], r["last_updated"]) for r in undone.collect()}["a"] == ("Interview", "2026-01-10")
+    assert [r["event_id"] for r in left.collect()] == ["1"]
+    again, still = store.undone(undone, left, threads)
+    assert still.count() == 1 and {r["current_status"] for r in again.where("thread_id = 'a'").collect()} == {"Interview"}
+    spent = store.monthly_spend(spark.createDataFrame([("2026-01-02", 5, 1, 0.5), ("2026-01-30", 5, 1, 0.25), ("2026-02-01", 1, 1, 1.0)], "created_at string, input_tokens long, output_tokens long, cost_usd double"))
+    assert {r["month"]: (r["calls"], r["cost_usd"]) for r in spent.collect()} == {"2026-01": (2, 0.75), "2026-02": (1, 1.0)}
+
+
+def test_text_by_hand(spark):
+    body = "Thanks, we got it: https://x.example/a?b=1\n> old line\nBye &amp; good luck\n--\nSignature\nOn Monday, Ann wrote:\nold text"
+    df = spark.createDataFrame([(body, "<style>x</style><p>a &lt; b</p>\n<b>c</b>", "https://a.example/j?utm_source=x&job=5"), (None, None, None)], "body string, html string, url string")
+    got = df.select(text.sanitized("body").alias("b"), text.stripped_html("html").alias("h"), text.without_parameters("url").alias("u"), text.host("url").alias("o"), text.labelled("body", [("Old", "old"), ("Luck", "luck")], "None").alias("l")).collect()
+    assert tuple(got[0]) == ("Thanks, we got it: Bye & good luck", "a < b c", "https://a.example/j?job=5", "a.example", "Old")
+    assert tuple(got[1]) == ("", "", "", None, "None")
