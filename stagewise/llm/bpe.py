@@ -5,8 +5,11 @@ group that the worker does not know yet go into one table of (word, pos, token),
 joins neighbours to the merge table and contracts pairs until no pair is left to merge:
 
 * words of up to LONG bytes: each round contracts the word's leftmost pair of minimum rank;
-* longer ones: each round contracts, from the left, every occurrence of the word's minimum-rank pair. A pair that
-  forms around a merged token ranks after it, so the leftmost rule would take the same occurrences one by one.
+* longer ones are first cut where two bytes meet that stand side by side in no piece of the vocabulary: no merge ever
+  joins them, so what is left and right of the cut is contracted alike on its own. Of parts that are still longer than
+  LONG each round contracts, from the left, the occurrences of the minimum-rank pair up to the first that makes a pair
+  of a lower rank with a neighbour. Until then all other pairs rank higher, so the leftmost rule takes the same
+  occurrences one by one; that pair comes next.
 
 A pretoken that is itself in the vocabulary is that one token. Decoding joins ids to their pieces and aggregates
 them in order; a piece is kept as text with one character a byte.
@@ -57,8 +60,13 @@ WITH RECURSIVE step(n, word, pos, tok) AS (
    best AS (SELECT word, min(id) AS merged FROM pair WHERE id IS NOT NULL GROUP BY word),
    marked AS (SELECT p.*, merged, coalesce(id = merged, false) AS least, row_number() OVER (PARTITION BY p.word ORDER BY pos) AS k FROM pair p JOIN best USING (word)),
    runs AS (SELECT *, least AND (k - coalesce(max(CASE WHEN NOT least THEN k END) OVER (PARTITION BY word ORDER BY pos), 0)) % 2 = 1 AS hit FROM marked),
-   done AS (SELECT *, lag(hit, 1, false) OVER (PARTITION BY word ORDER BY pos) AS eaten FROM runs)
-   SELECT n + 1, word, pos, CASE WHEN hit THEN merged ELSE tok END FROM done WHERE NOT eaten)
+   near AS (SELECT *, CASE WHEN lag(hit, 2, false) OVER o THEN merged ELSE lag(tok) OVER o END AS before, lead(tok, 2) OVER o AS after FROM runs WINDOW o AS (PARTITION BY word ORDER BY pos)),
+   made AS (SELECT near.*, hit AND (coalesce(a.id < merged, false) OR coalesce(b.id < merged, false)) AS lower
+            FROM near LEFT JOIN merges a ON a.l = near.before AND a.r = merged LEFT JOIN merges b ON b.l = merged AND b.r = near.after),
+   first AS (SELECT word, min(CASE WHEN lower THEN pos END) AS upto FROM made GROUP BY word),
+   taken AS (SELECT made.*, hit AND (upto IS NULL OR pos <= upto) AS joined FROM made JOIN first USING (word)),
+   done AS (SELECT *, lag(joined, 1, false) OVER (PARTITION BY word ORDER BY pos) AS eaten FROM taken)
+   SELECT n + 1, word, pos, CASE WHEN joined THEN merged ELSE tok END FROM done WHERE NOT eaten)
 ){LAST}"""
 
 DECODE = "SELECT doc, string_agg(piece, '' ORDER BY i) AS text FROM given JOIN pieces USING (id) GROUP BY doc ORDER BY doc"
@@ -101,6 +109,10 @@ class Bpe:
         self.find_ascii = narrow and re.compile(narrow).findall
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
+        self.beside = np.zeros((256, 256), bool)  # bytes that stand side by side in some piece
+        for t in ranks:
+            b = np.frombuffer(t, np.uint8)
+            self.beside[b[:-1], b[1:]] = True
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.table("merges", **{k: np.array(v, np.int32) for k, v in zip(("l", "r", "id"), zip(*merges, strict=True), strict=True)})
@@ -126,6 +138,20 @@ class Bpe:
         got = self.query(sql, word=np.repeat(np.arange(len(words), dtype=np.int32), sizes), pos=pos.astype(np.int32), tok=self.single[data])
         return [array("I", ids).tobytes() for _, ids in got]
 
+    def cut(self, raw: bytes) -> list[bytes]:
+        """A long word's parts, between bytes that no piece joins."""
+        b = np.frombuffer(raw, np.uint8)
+        at = [0, *(np.flatnonzero(~self.beside[b[:-1], b[1:]]) + 1).tolist(), len(raw)]
+        return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+    def contracted(self, parts: set[bytes]) -> dict[bytes, bytes]:
+        out = {}
+        short, long = ([x for x in parts if (len(x) <= LONG) == is_short] for is_short in (True, False))
+        for kind, sql, most in ((short, LEFTMOST, AT_ONCE), (long, ALL_LEAST, 200)):
+            for lo in range(0, len(kind), most):
+                out |= dict(zip(kind[lo : lo + most], self.contract(kind[lo : lo + most], sql), strict=True))
+        return out
+
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
@@ -137,11 +163,14 @@ class Bpe:
                 self.known[w] = rank.to_bytes(4, "little")
             else:
                 (short if len(raw) <= LONG else long).append((w, raw))
-        for kind, sql, most in ((short, LEFTMOST, AT_ONCE), (long, ALL_LEAST, 200)):
-            for lo in range(0, len(kind), most):
-                part = kind[lo : lo + most]
-                for (w, _), ids in zip(part, self.contract([raw for _, raw in part], sql), strict=True):
-                    self.known[w] = ids
+        for lo in range(0, len(short), AT_ONCE):
+            part = short[lo : lo + AT_ONCE]
+            for (w, _), ids in zip(part, self.contract([raw for _, raw in part], LEFTMOST), strict=True):
+                self.known[w] = ids
+        for w, raw in long:
+            parts = self.cut(raw)
+            ids = self.contracted(set(parts))
+            self.known[w] = b"".join(ids[x] for x in parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.find_ascii(x) if self.find_ascii and x.isascii() else self.find(x) for x in texts]

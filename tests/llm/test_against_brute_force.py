@@ -47,6 +47,23 @@ def test_bpe_as_tiktoken(docs):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_long_words_as_tiktoken():
+    """Random long words, cut and uncut; words of which the left part ranks after the whole; a word of 200,000 letters."""
+    import tiktoken
+
+    ranks = bpe.load_ranks(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    b = bpe.Bpe(ranks, PATTERN)
+    rng = random.Random(8)
+    late = [t for t, r in ranks.items() if t.isalpha() and t.isascii() and any(t[:i] in ranks and t[i:] in ranks and max(ranks[t[:i]], ranks[t[i:]]) > r for i in range(1, len(t)))]
+    assert len(late) > 500
+    made = ["".join(rng.choice(a) for _ in range(rng.randrange(65, 400))) for a in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "日本語中文字", "aé") for _ in range(12)]
+    made += ["".join(t.decode() for t in rng.choices(late, k=rng.randrange(12, 60))) for _ in range(60)]
+    made += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "a" * 100_000]
+    for w, got in zip(made, b.encode(made), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == enc.encode_ordinary(w), w[:80]
+
+
 def test_token_file_as_tokenizers(docs):
     from tokenizers import Tokenizer
 
