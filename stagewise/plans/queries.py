@@ -24,9 +24,39 @@ FILTER = Filters(date_from=date(1996, 1, 1), date_to=date(2000, 12, 31), platfor
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def frames(spark: SparkSession, sf_dir: str) -> Frames:
-    readers = {f.__name__: partial(f, spark, sf_dir) for f in (tables.raw_applications, tables.raw_events, tables.raw_messages)}
-    return Frames(models.seeds(spark) | {"as_of": AS_OF}, readers)
+#: Models that are built once in a session and then read: what most queries begin with.
+KEPT = frozenset("stg_applications stg_status_events fct_applications fct_status_events dim_date dim_platform".split())
+BUILDS: dict[tuple[str, str, str], str] = {}
+
+
+class Star(Frames):
+    """Frames over one folder of tables. Models that are kept are published when first asked for, and read from there by all queries of the session."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, kept: frozenset[str]) -> None:
+        readers = {f.__name__: partial(f, spark, sf_dir) for f in (tables.raw_applications, tables.raw_events, tables.raw_messages)}
+        super().__init__(models.seeds(spark) | {"as_of": AS_OF}, readers)
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, kept
+
+    def __missing__(self, name: str):
+        if name not in self.kept:
+            return super().__missing__(name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in BUILDS:
+            folder = f"{shared_folder(self.spark)}/star-{uuid.uuid4().hex}/{name}"
+            publish(self.spark, {name: super().__missing__(name)}, folder)
+            BUILDS[key] = folder
+        self[name] = read_published(self.spark, BUILDS[key], name)
+        return self[name]
+
+
+def frames(spark: SparkSession, sf_dir: str, kept: frozenset[str] = KEPT) -> Frames:
+    return Star(spark, sf_dir, kept)
+
+
+def rebuild(sf_dir: str) -> None:
+    """Forget what was built over a folder whose tables have changed."""
+    for key in [k for k in BUILDS if k[1] == sf_dir]:
+        del BUILDS[key]
 
 
 def metric(name: str, segment: str = "industry", filters: Filters | None = None) -> Query:
@@ -47,13 +77,8 @@ def rpt_flat_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def data_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tests over one build, which is published and read back, so that nothing is made twice."""
-    folder = f"{shared_folder(spark)}/build-{uuid.uuid4().hex}"
-    made = frames(spark, sf_dir)
-    for name in checks.KEYS:  # each after those that it is made from
-        publish(spark, {name: made[name]}, f"{folder}/{name}")
-        made[name] = read_published(spark, f"{folder}/{name}", name)
-    return checks.data_tests(made)
+    """All tests over one build, which is published, so that nothing is made twice."""
+    return checks.data_tests(frames(spark, sf_dir, KEPT | frozenset(checks.KEYS)))
 
 
 def third(applications: DataFrame) -> DataFrame:

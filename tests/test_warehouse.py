@@ -142,6 +142,13 @@ def test_published_builds_replace_each_other(spark, tmp_path):
     assert first["at"] < second["at"] and read_published(spark, folder, "apps").count() == 1
 
 
+def test_the_star_is_built_once(spark):
+    first, again = queries.frames(spark, SF), queries.frames(spark, SF)
+    assert first["fct_applications"].inputFiles() == again["fct_applications"].inputFiles() and "star-" in first["fct_applications"].inputFiles()[0]
+    queries.rebuild(SF)
+    assert queries.frames(spark, SF)["fct_applications"].inputFiles() != first["fct_applications"].inputFiles()
+
+
 def test_filters(spark):
     facts = frames(spark, UNTIDY, EVENTS)["fct_applications"]
 
