@@ -63,6 +63,29 @@ def test_search_is_exact_at_any_radius(spark, radius, blocks):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_schedules_are_followed(spark, words):
+    """Positions along schedules of straight lines, with a time without any weight, against a plain integral."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 20))), "ab"[i % 2]) for i in range(120)]
+    given = {"a": [(0, 0), (0.25, 4), (0.5, 0), (0.75, 0), (1, 2)], "b": [(0, 1), (1, 1)]}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), schedules=given).collect()
+
+    def weight(points, u):
+        (x, a), (y, b) = next((p, q) for p, q in zip(points, points[1:], strict=False) if u <= q[0])
+        return a + (b - a) * (u - x) / (y - x)
+
+    steps = 20_000
+    for source, points in given.items():
+        w = [weight(points, (k + 0.5) / steps) for k in range(steps)]
+        before, k, area = 0, 0, 0.0
+        for r in sorted((r for r in got if r["source"] == source), key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest()):
+            while k < steps and area < before / r["target"] * sum(w):
+                area, k = area + w[k], k + 1
+            assert r["position"] is None or r["position"] == pytest.approx(k / steps, abs=2e-2 if before == 0 else 2e-3)
+            assert r["position"] is None or not (source == "a" and 0.501 < r["position"] < 0.749)
+            before += r["size"]
+
+
 def test_every_copy_has_its_own_position(spark, words):
     """A source that is taken several times is due all along its demand, one pass after another, and rows come in that order."""
     rng = random.Random(7)
