@@ -303,3 +303,21 @@ SQL |= {
              regexp_replace(CASE WHEN contains(url, '?') AND NOT contains(c, '?') THEN regexp_replace(c, '^([^&]*)&', '\1?') ELSE c END, '[?&]+$', '') AS url
       FROM (SELECT * REPLACE (url AS url), regexp_replace(coalesce(url, ''), '[?&](?:utm_[a-z]+|fbclid|gclid)=[^&#]*', '', 'g') AS c FROM t)""",
 }
+
+SENT_STATUSES = [s for s, *_, order in STATUSES if order > 0]
+SQL |= {
+    "status_by_platform": f"{STAR} SELECT platform, " + ", ".join(f"""count(CASE WHEN current_status = '{s}' THEN 1 END) AS "{s}\"""" for s in SENT_STATUSES) + " FROM f GROUP BY 1",
+    "replies_by_month": f"{STAR} SELECT strftime(replied, '%Y-%m') AS reply_month, count(*) AS replies, {I} AS interviews FROM f WHERE replied IN (SELECT day FROM cal) GROUP BY 1",
+    "industry_detail": f"""{STAR}, c AS (SELECT industry, company_name, count(*) AS n FROM f GROUP BY 1, 2), g AS (SELECT industry, count(*) AS companies, CAST(sum(n) AS BIGINT) AS applications, max(n) AS most_of_a_company FROM c GROUP BY 1)
+      SELECT *, round(CAST(applications AS DOUBLE) / companies, 2) AS applications_per_company, {rate('applications', '(SELECT count(*) FROM f)')} AS share_pct FROM g""",
+    "company_ranks": f"""{STAR}, c AS (SELECT company_name, count(*) AS applications FROM f GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100)
+      SELECT *, dense_rank() OVER (ORDER BY applications DESC) AS rank, CAST(sum(applications) OVER (ORDER BY applications DESC, company_name ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM c""",
+    "platform_bands": f"""{STAR}, p AS (SELECT platform, {rate(R, A)} AS response_rate_pct FROM f GROUP BY 1)
+      SELECT *, CASE WHEN response_rate_pct >= 5 THEN 'Strong' WHEN response_rate_pct >= 3 THEN 'Good' WHEN response_rate_pct >= 2 THEN 'Average' WHEN response_rate_pct >= 0 THEN 'Below average' END AS band FROM p""",
+    "events_to_archive": f"""{STAR}, r AS (SELECT application_id, event_id, row_number() OVER (PARTITION BY application_id ORDER BY occurred DESC, event_id DESC) AS age FROM fe) SELECT * FROM r WHERE age > 3""",
+    "evaluation": f"""WITH {MESSAGES}, c AS (SELECT parsed_by, {n('is_application_mail AND detected_status IS NOT NULL')} AS tp, {n('NOT is_application_mail AND detected_status IS NOT NULL')} AS fp,
+        {n('is_application_mail AND detected_status IS NULL')} AS fn, {n('NOT is_application_mail AND detected_status IS NULL')} AS tn FROM msg GROUP BY 1)
+      SELECT *, {rate('tp', '(tp + fp)')} AS precision_pct, {rate('tp', '(tp + fn)')} AS recall_pct, {rate('2 * tp', '(2 * tp + fp + fn)')} AS f1_pct FROM c""",
+    "rpt_flat": SQL["fct_applications"].replace(STAR, f"{STAR}, x AS (", 1) + """) SELECT *, year(applied_date) AS applied_year, quarter(applied_date) AS applied_quarter, month(applied_date) AS applied_month, strftime(applied_date, '%B') AS applied_month_name,
+      strftime(applied_date, '%Y-%m') AS applied_year_month, CAST(date_trunc('week', applied_date) AS DATE) AS applied_week_start, strftime(applied_date, '%A') AS applied_day_of_week FROM x""",
+}

@@ -15,7 +15,7 @@ from ..operators import store
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
 from ..session import shared_folder
 from ..sources import tables
-from . import checks, models
+from . import checks, models, semantic
 from .build import Frames, publish, read_published
 from .metrics import Metrics
 
@@ -113,8 +113,20 @@ STORE = {
 }
 
 
+SEMANTIC = {
+    "status_by_platform": lambda f: semantic.status_by_platform(f["fct_applications"]),
+    "replies_by_month": lambda f: semantic.replies_by_month(f["fct_applications"], f["dim_date"]),
+    "industry_detail": lambda f: semantic.industry_detail(f["fct_applications"]),
+    "company_ranks": lambda f: semantic.company_ranks(f["fct_applications"]),
+    "platform_bands": lambda f: semantic.platform_bands(f.spark, f["fct_applications"]),
+    "events_to_archive": lambda f: semantic.events_to_archive(f["fct_status_events"]),
+    "evaluation": lambda f: semantic.evaluation(f["stg_messages"]),
+    "rpt_flat": lambda f: f["rpt_flat"],
+}
+
+
 def of_store(name: str) -> Query:
-    return lambda spark, sf_dir: STORE[name](frames(spark, sf_dir))
+    return lambda spark, sf_dir: (STORE | SEMANTIC)[name](frames(spark, sf_dir))
 
 
 def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,5 +154,5 @@ def queries() -> dict[str, Query]:
     found["kpis_filtered"] = metric("kpis", filters=FILTER)
     found |= {f"segment_{s}": metric("segment_performance", s) for s in SEGMENTS}
     found |= {n: of_model(n) for n in (*MODELS, "stg_applications", "stg_messages")} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months, "data_tests": data_tests}
-    found |= {n: of_store(n) for n in STORE} | {f.__name__: f for f in (text_messages, text_job_types, html_pages)}
+    found |= {n: of_store(n) for n in (*STORE, *SEMANTIC)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages)}
     return found | {f"drill_{n}": drill(n) for n in DRILL_SETS}

@@ -33,7 +33,7 @@ def rows_of(names, rows):
     return sorted((tuple(plain(r[i]) for i in keep) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["stg_applications", "stg_messages", "fct_applications", "parser_quality", "kpis", "kpis_filtered", "segment_seniority", "data_tests", "dim_platform", "drill_follow_up", *queries.STORE, "text_messages", "text_job_types", "html_pages"])
+@pytest.mark.parametrize("name", ["stg_applications", "stg_messages", "fct_applications", "parser_quality", "kpis", "kpis_filtered", "segment_seniority", "data_tests", "dim_platform", "drill_follow_up", *queries.STORE, *queries.SEMANTIC, "text_messages", "text_job_types", "html_pages"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents labels pages conversations".split():
