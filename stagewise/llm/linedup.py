@@ -10,14 +10,15 @@ fewer than least_chars characters are compared for equality only; lines without
    such a segment can have become, for all lengths up to max_edits below its own (the multi-match-aware selection).
 3. Lines that meet under a key with at most BUCKET entered lines are compared by length and by the parities of their
    letters' counts, of which an edit turns two at most, and of neighbouring letters' counts, of which it turns four. Those
-   that are left are pairs, and are checked, without the ends that they have in common, by edit distance in a band of 2 * max_edits + 1 diagonals, kept as bits of a number and moved on a character
-   at a time.
+   that are left are pairs, and are checked, without the ends that they have in common, by edit distance in a band of
+   2 * max_edits + 1 diagonals, kept as bits of a number and moved on a character at a time.
 4. Under a larger key lines are not compared. They must also share one of the GRAM * max_edits + 1 grams that come first
    in each, in an order in which grams that some leading lines of the key have come last: so lines that differ from
    those in different ways part from one another.
-5. Where very many lines share such a gram too, they are not compared either. What differs lies in one or two stretches of the lines; these are cut into
-   PARTS each, and the lines are entered anew, and ask, under all but the parts that hold the edits. A stretch gets
-   PARTS times shorter in each round, so the keys fall apart, unless very many lines differ in the same characters.
+5. Where very many lines share such a gram too, they are not compared either. What differs lies in one or two stretches
+   of the lines; these are cut into PARTS each, and the lines are entered anew, and ask, under all but the parts that hold
+   the edits. A stretch gets PARTS times shorter in each round, so the keys fall apart, unless very many lines differ in
+   the same characters.
    When no stretch is longer than a character, lines under a key are all within max_edits of those that ask there:
    the key's earliest line is all that is needed. So work grows with the lines, whatever stands under a key.
 """
@@ -230,8 +231,8 @@ def lines_of(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
 def parted(hot: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
     """The rows, under a key for each gram of theirs that comes first, by the leaders of the key where they met.
 
-    Of each line at most GRAM * max_edits distinct grams are not in a line near to it; so the first gram that both have
-    is among the first GRAM * max_edits + 1 of both, in any order; here that of their hashes, after those that no leader has.
+    Of each line at most GRAM * max_edits distinct grams are not in a line near to it, and one at least is; so the first
+    gram that both have is among the first GRAM * max_edits + 1 of both, in any order; here that of their hashes, after those that no leader has.
     """
     own = hot.where((F.col("less") == 0) & (F.col("shift") == 0))
     lead = own.groupBy("key").agg(*(F.min(F.struct(F.xxhash64("lid", F.lit(x)), "lid"))["lid"].alias(f"lead{x}") for x in range(LEADERS)))
@@ -367,6 +368,8 @@ def near_lines(docs: DataFrame, known: DataFrame, max_edits: int, least_chars: i
     """(h, near_first) of the distinct lines of least_chars or more that are within max_edits of an earlier one: where the earliest such stands."""
     if max_edits not in (1, 2):
         raise ValueError("max_edits is 1 or 2")
+    if least_chars < GRAM * (max_edits + 1):
+        raise ValueError("in shorter lines the edits can leave no gram")
     spark = docs.sparkSession
     total = known.agg(F.sum("n")).first()[0] or 0
     frequent = F.broadcast(known.where(F.col("n") * FREQUENT > total).select(F.col("lid").alias("hot"), "first"))  # fewer than FREQUENT rows
