@@ -321,3 +321,18 @@ SQL |= {
     "rpt_flat": SQL["fct_applications"].replace(STAR, f"{STAR}, x AS (", 1) + """) SELECT *, year(applied_date) AS applied_year, quarter(applied_date) AS applied_quarter, month(applied_date) AS applied_month, strftime(applied_date, '%B') AS applied_month_name,
       strftime(applied_date, '%Y-%m') AS applied_year_month, CAST(date_trunc('week', applied_date) AS DATE) AS applied_week_start, strftime(applied_date, '%A') AS applied_day_of_week FROM x""",
 }
+
+MERGED = """mail AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS thread_id, event_id AS message_id, CAST(occurred AS VARCHAR) AS day, source <> 'inferred' AS is_valid,
+         CASE WHEN to_status NOT IN ('Ghosted', 'Withdrawn') THEN to_status END AS said, coalesce(note, '') AS subject, CAST(CASE WHEN note IS NULL THEN 0 ELSE length(note) + 1 END AS DOUBLE) / 10 AS confidence,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY occurred, event_id) AS n
+  FROM ev),
+marked AS (SELECT *, CASE WHEN (is_valid OR n = 1) AND said <> 'Applied' THEN said END AS counts FROM mail),
+after AS (SELECT m.*, coalesce((SELECT arg_max(x.counts, x.n) FROM marked x WHERE x.thread_id = m.thread_id AND x.n <= m.n AND x.counts IS NOT NULL), 'Applied') AS status FROM marked m),
+moves AS (SELECT a.*, lag(status) OVER (PARTITION BY thread_id ORDER BY n) AS before, is_valid AND n = min(CASE WHEN is_valid THEN n END) OVER (PARTITION BY thread_id) AS confirms, min(day) OVER (PARTITION BY thread_id) AS opened FROM after a)"""
+SQL |= {
+    "merge_threads": f"""{STAR}, {MERGED} SELECT thread_id, bool_or(is_valid) AS is_valid, arg_max(status, n) AS current_status, min(day) AS application_date,
+      max(CASE WHEN n = 1 OR confirms OR (is_valid AND status <> before) THEN day END) AS last_updated, arg_max(subject, n) AS latest_subject, max(confidence) AS parse_confidence, count(*) AS messages FROM moves GROUP BY 1""",
+    "merge_events": f"""{STAR}, {MERGED} SELECT thread_id, message_id, CAST(NULL AS VARCHAR) AS from_status, 'Applied' AS to_status, opened AS occurred_on FROM moves WHERE confirms
+      UNION ALL SELECT thread_id, message_id, coalesce(before, 'Applied'), status, day FROM moves WHERE is_valid AND status <> coalesce(before, 'Applied')""",
+}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import store
+from ..operators import merge, store
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
 from ..session import shared_folder
 from ..sources import tables
@@ -113,6 +113,17 @@ STORE = {
 }
 
 
+def as_messages(events: DataFrame) -> DataFrame:
+    """The events as messages: what they say, unless that comes of no message; those that were inferred are not valid."""
+    said = F.when(~F.col("to_status").isin("Ghosted", "Withdrawn"), F.col("to_status")).alias("detected_status")
+    day = F.substring("occurred_on", 1, 10).alias("day")
+    return events.select("thread_id", F.col("event_id").alias("message_id"), day, (F.col("source") != "inferred").alias("is_valid"), said, F.trim("note").alias("subject"), (F.length("note") / F.lit(10.0)).alias("confidence"))
+
+
+MERGE = {
+    "merge_threads": lambda f: merge.threads(as_messages(f["raw_events"])),
+    "merge_events": lambda f: merge.status_events(as_messages(f["raw_events"])),
+}
 SEMANTIC = {
     "status_by_platform": lambda f: semantic.status_by_platform(f["fct_applications"]),
     "replies_by_month": lambda f: semantic.replies_by_month(f["fct_applications"], f["dim_date"]),
@@ -126,7 +137,7 @@ SEMANTIC = {
 
 
 def of_store(name: str) -> Query:
-    return lambda spark, sf_dir: (STORE | SEMANTIC)[name](frames(spark, sf_dir))
+    return lambda spark, sf_dir: (STORE | MERGE | SEMANTIC)[name](frames(spark, sf_dir))
 
 
 def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,5 +165,5 @@ def queries() -> dict[str, Query]:
     found["kpis_filtered"] = metric("kpis", filters=FILTER)
     found |= {f"segment_{s}": metric("segment_performance", s) for s in SEGMENTS}
     found |= {n: of_model(n) for n in (*MODELS, "stg_applications", "stg_messages")} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months, "data_tests": data_tests}
-    found |= {n: of_store(n) for n in (*STORE, *SEMANTIC)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages)}
+    found |= {n: of_store(n) for n in (*STORE, *MERGE, *SEMANTIC)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages)}
     return found | {f"drill_{n}": drill(n) for n in DRILL_SETS}

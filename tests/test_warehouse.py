@@ -1,6 +1,7 @@
 """Models, metrics, filters and data tests: over the driver's tables against DuckDB, and over a few untidy rows by hand."""
 
 import math
+import random
 from datetime import date
 from decimal import Decimal
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stagewise.functions import text
-from stagewise.operators import store
+from stagewise.operators import merge, store
 from stagewise.operators.filters import Filters
 from stagewise.plans import checks, models, oracle, queries
 from stagewise.plans.build import Frames, build, order, publish, read_published
@@ -33,7 +34,7 @@ def rows_of(names, rows):
     return sorted((tuple(plain(r[i]) for i in keep) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["stg_applications", "stg_messages", "fct_applications", "parser_quality", "kpis", "kpis_filtered", "segment_seniority", "data_tests", "dim_platform", "drill_follow_up", *queries.STORE, *queries.SEMANTIC, "text_messages", "text_job_types", "html_pages"])
+@pytest.mark.parametrize("name", ["stg_applications", "stg_messages", "fct_applications", "parser_quality", "kpis", "kpis_filtered", "segment_seniority", "data_tests", "dim_platform", "drill_follow_up", *queries.STORE, *queries.MERGE, *queries.SEMANTIC, "text_messages", "text_job_types", "html_pages"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents labels pages conversations".split():
@@ -198,3 +199,39 @@ def test_text_by_hand(spark):
     got = df.select(text.sanitized("body").alias("b"), text.stripped_html("html").alias("h"), text.without_parameters("url").alias("u"), text.host("url").alias("o"), text.labelled("body", [("Old", "old"), ("Luck", "luck")], "None").alias("l")).collect()
     assert tuple(got[0]) == ("Thanks, we got it: Bye & good luck", "a < b c", "https://a.example/j?job=5", "a.example", "Old")
     assert tuple(got[1]) == ("", "", "", None, "None")
+
+
+def one_by_one(rows):
+    """The state and the events of threads, message by message."""
+    state, events = {}, []
+    for thread, i, day, valid, said, subject, confidence in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if thread not in state:
+            s = state[thread] = {"is_valid": valid, "current_status": said or "Applied", "application_date": day, "last_updated": day, "latest_subject": subject, "parse_confidence": confidence, "messages": 1}
+            if valid:
+                events.append((thread, i, None, "Applied", day))
+                if s["current_status"] != "Applied":
+                    events.append((thread, i, "Applied", s["current_status"], day))
+            continue
+        s = state[thread]
+        became = valid and not s["is_valid"]
+        if became:
+            events.append((thread, i, None, "Applied", s["application_date"]))
+        moves = valid and said and said not in (s["current_status"], "Applied")
+        if moves:
+            events.append((thread, i, s["current_status"], said, day))
+            s["current_status"] = said
+        if moves or became:
+            s["last_updated"] = day
+        s |= {"is_valid": s["is_valid"] or valid, "latest_subject": subject, "parse_confidence": max(s["parse_confidence"], confidence), "messages": s["messages"] + 1}
+    return state, events
+
+
+def test_merging_at_once_is_merging_one_by_one(spark):
+    rng = random.Random(3)
+    rows = [(f"t{rng.randrange(25)}", f"m{i:03d}", f"2026-01-{rng.randrange(1, 20):02d}", rng.random() < 0.6, rng.choice([None, "Applied", "Interview", "Rejected", "Assessment / OA"]), f"s{i}", round(rng.random(), 2)) for i in range(200)]
+    messages = spark.createDataFrame(rows, "thread_id string, message_id string, day string, is_valid boolean, detected_status string, subject string, confidence double")
+    state, events = one_by_one(rows)
+    assert {r["thread_id"]: {k: r[k] for k in state[r["thread_id"]]} for r in merge.threads(messages).collect()} == state
+    got = [(r["thread_id"], r["message_id"], r["from_status"], r["to_status"], r["occurred_on"]) for r in merge.status_events(messages).collect()]
+    assert sorted(got, key=repr) == sorted(events, key=repr)
+    assert merge.threads(messages.limit(0)).count() == 0
