@@ -81,7 +81,7 @@ def family(rng, n):
     return made
 
 
-@pytest.mark.parametrize(("bucket", "max_edits"), [(0, 2), (2, 2), (0, 1)])
+@pytest.mark.parametrize(("bucket", "max_edits"), [(0, 2), (0, 1)])
 def test_full_keys_are_refined_to_the_same_result(spark, monkeypatch, bucket, max_edits):
     """With small buckets every step of the refinement is reached; the result is that of all pairs."""
     monkeypatch.setattr(linedup, "BUCKET", bucket)
