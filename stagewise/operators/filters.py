@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, fields
 from datetime import date, timedelta
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,27 +25,45 @@ MEMBERS = {
     "channels": "channel",
 }
 
+# Named sets of applications, as conditions on the fact; {quiet} stands for the days without news.
+SETS = {
+    "response": "is_response",
+    "no_response": "not is_response",
+    "assessment": "reached_assessment",
+    "interview": "reached_interview",
+    "offer": "reached_offer",
+    "rejected": "is_rejected",
+    "ghosted": "is_ghosted",
+    "active": "is_active",
+    "awaiting": "is_active and max_stage_reached = 1",
+    "in_progress": "is_active and max_stage_reached >= 2",
+    "follow_up": "is_active and days_since_activity >= {quiet}",
+    "dated_reply": "days_to_response is not null",
+}
+DRILL_SETS = list(SETS)
+
+
+def in_sets(names: tuple[str, ...], quiet: int) -> Column:
+    """Applications that are in all of the sets."""
+    if unknown := set(names) - SETS.keys():
+        raise ValueError(f"unknown sets {sorted(unknown)}")
+    return reduce(Column.__and__, (F.expr(SETS[n].format(quiet=int(quiet))) for n in names))
+
 
-DRILL_SETS = "response no_response assessment interview offer rejected ghosted active awaiting in_progress follow_up dated_reply".split()
+def found(needle: str) -> Column:
+    """Applications whose employer, role or place holds the needle, in any case; its wildcards count."""
+    like = "%" + needle.replace("\\", "\\\\") + "%"
+    return reduce(Column.__or__, (F.coalesce(c, F.lit("")).ilike(like) for c in ("company_name", "role_title", "location")))
 
 
-def drill_sets(follow_up_days: int = FOLLOW_UP_AFTER) -> dict[str, Column]:
-    """Named sets of applications; several combine with and."""
-    active, stage = F.col("is_active"), F.col("max_stage_reached")
-    return {
-        "response": F.col("is_response"),
-        "no_response": ~F.col("is_response"),
-        "assessment": F.col("reached_assessment"),
-        "interview": F.col("reached_interview"),
-        "offer": F.col("reached_offer"),
-        "rejected": F.col("is_rejected"),
-        "ghosted": F.col("is_ghosted"),
-        "active": active,
-        "awaiting": active & (stage == 1),
-        "in_progress": active & (stage >= 2),
-        "follow_up": active & (F.col("days_since_activity") >= follow_up_days),
-        "dated_reply": F.col("days_to_response").isNotNull(),
-    }
+#: What a filled field of a filter asks of an application, from its value and the days without news.
+ASKS: dict[str, Callable[[Any, int], Column]] = {
+    "month": lambda x, _: F.date_format("applied_date", "yyyy-MM") == x,
+    "search": lambda x, _: found(x),
+    "reached": lambda x, quiet: in_sets(x, quiet),
+    "date_from": lambda x, _: F.col("applied_date") >= F.lit(x),
+    "date_to": lambda x, _: F.col("applied_date") <= F.lit(x),
+} | {name: (lambda x, _, column=column: F.col(column).isin(*x)) for name, column in MEMBERS.items()}
 
 
 @dataclass(frozen=True)
@@ -62,26 +83,9 @@ class Filters:
     month: str = ""
 
     def predicate(self, follow_up_days: int = FOLLOW_UP_AFTER) -> Column:
-        parts = [F.lit(True)]
-        if self.date_from:
-            parts.append(F.col("applied_date") >= F.lit(self.date_from))
-        if self.date_to:
-            parts.append(F.col("applied_date") <= F.lit(self.date_to))
-        parts += [F.col(column).isin(*getattr(self, name)) for name, column in MEMBERS.items() if getattr(self, name)]
-        if needle := self.search.strip():
-            like = "%" + needle.replace("\\", "\\\\") + "%"
-            parts.append(F.col("company_name").ilike(like) | F.col("role_title").ilike(like) | F.coalesce("location", F.lit("")).ilike(like))
-        known = drill_sets(follow_up_days)
-        for name in self.reached:
-            if name not in known:
-                raise ValueError(f"unknown set {name!r}")
-            parts.append(known[name])
-        if self.month.strip():
-            parts.append(F.date_format("applied_date", "yyyy-MM") == self.month.strip())
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p
-        return out
+        """All that the filled fields ask for; blank text is not filled."""
+        given = {f.name: v.strip() if isinstance(v := getattr(self, f.name), str) else v for f in fields(self)}
+        return reduce(Column.__and__, (ask(given[name], follow_up_days) for name, ask in ASKS.items() if given[name]), F.lit(True))
 
     def apply(self, facts: DataFrame, follow_up_days: int = FOLLOW_UP_AFTER) -> DataFrame:
         return facts.where(self.predicate(follow_up_days))

@@ -159,7 +159,12 @@ def test_filters(spark):
     assert ids() == {"a", "b", "c", "d", "e"}
     assert ids(date_from=date(2026, 1, 6)) == set() and ids(platforms=("1-URGENT",)) == ids()
     assert ids(reached=("interview",)) == {"a", "d"} and ids(reached=("ghosted",)) == {"c"}
-    assert ids(search="ACME") == {"a", "c", "d", "e"}
+    assert ids(search="ACME") == {"a", "c", "d", "e"} and ids(search="  ", month=" 2026-01 ") == ids()
+    assert ids(reached=("active", "follow_up")) == ids(reached=("follow_up",)) and ids(industries=("Other",), statuses=("Applied",)) == {"d", "e"}
+    with pytest.raises(ValueError):
+        ids(reached=("nothing",))
+    f = Filters.preset("30d", AS_OF)
+    assert (f.date_from, f.date_to) == (date(2026, 1, 2), AS_OF) and Filters.from_dict(f.to_dict()) == f
 
 
 def test_an_unknown_model_is_an_error(spark):
