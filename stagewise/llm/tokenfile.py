@@ -75,11 +75,11 @@ class WordIds:
         return text.encode()
 
     def learn(self, words: set[bytes]) -> None:
-        """Ids of new words. ASCII letters and one point or comma are two words to the tokenizer, so the letters' ids serve both.
-        Other letters may become a letter and a mark when they are lowered, and the mark would go with the point."""
+        """Ids of new words. Letters and one point or comma are two words to the tokenizer, so the letters' ids serve both; but
+        not if a letter becomes a letter and a mark when it is lowered, as the mark would go with the point."""
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        ended = [w for w in words if w[-1:] in (b".", b",") and w[:-1].isascii() and w[:-1].isalpha()]
+        ended = [w for w in words if w[-1:] in (b".", b",") and (rest := w[:-1].decode()).isalpha() and rest.lower().isalpha()]
         plain = list((words.difference(ended) | {w[:-1] for w in ended} | {b".", b","}) - self.known.keys())
         for lo in range(0, len(plain), 4096):
             part = plain[lo : lo + 4096]
