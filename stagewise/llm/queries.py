@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprint, linedup, mixing, neardup, quality, tokenfile, toxicity, warc
+from . import align, bpe, chat, fingerprint, linedup, mixing, neardup, pigeonring, quality, tokenfile, toxicity, warc, whitening
 from .shared import table
 
 
@@ -52,8 +52,20 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonring.near_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_minhash_near_dedup, op4_byte_bpe, op5_token_file, op6_warc_bundles, op7_toxicity, op8_curriculum_mix, op9_simhash, op10_quality_cascade)}
+    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_minhash_near_dedup, op4_byte_bpe, op5_token_file, op6_warc_bundles, op7_toxicity, op8_curriculum_mix, op9_simhash, op10_quality_cascade, op11_align, op12_whitening, op13_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
