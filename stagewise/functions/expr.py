@@ -57,7 +57,8 @@ def safe_date(c: str | Column) -> Column:
 
 
 def safe_int(c: str | Column) -> Column:
-    return col(c).try_cast("double").try_cast("int")
+    """Whole numbers as they are, others rounded to the nearest one, halves to the even one; else null."""
+    return F.rint(col(c).try_cast("double")).try_cast("int")
 
 
 def safe_double(c: str | Column) -> Column:

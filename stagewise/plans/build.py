@@ -6,7 +6,6 @@ import json
 import time
 import uuid
 from collections.abc import Callable
-from graphlib import TopologicalSorter
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,17 +30,6 @@ def model(*refs: str):
     return register
 
 
-def order(wanted: str | None = None) -> list[str]:
-    """Models in an order in which each comes after those it needs; all, or those that one needs."""
-    graph, todo = {}, [wanted] if wanted else list(MODELS)
-    while todo:
-        name = todo.pop()
-        if name in MODELS and name not in graph:
-            graph[name] = [r for r in MODELS[name].refs if r in MODELS]
-            todo += graph[name]
-    return list(TopologicalSorter(graph).static_order())
-
-
 class Frames(dict):
     """Frames by name: inputs (raw tables, seeds, as_of), and models, each made when first asked for. An unknown name is an error."""
 
@@ -60,8 +48,8 @@ class Frames(dict):
 
 
 def build(frames: Frames) -> Frames:
-    """All models, in order."""
-    for name in order():
+    """All models: each asks for those it is made from."""
+    for name in MODELS:
         frames[name]
     return frames
 

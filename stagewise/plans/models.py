@@ -247,8 +247,8 @@ def fct_status_events(events: DataFrame, facts: DataFrame) -> DataFrame:
 @model("fct_applications", "dim_date")
 def rpt_flat(facts: DataFrame, calendar: DataFrame) -> DataFrame:
     """The fact with its application day's calendar columns."""
-    names = "year quarter month month_name year_month week_start day_of_week".split()
-    cal = F.broadcast(calendar.select("date_day", *(F.col(c).alias(f"applied_{c}") for c in names)))  # a row a day
+    names = {"year": "year", "quarter": "quarter", "year_month": "month", "week_start": "week", "day_of_week": "weekday", "day_of_week_num": "weekday_num", "is_weekend": "on_weekend"}
+    cal = F.broadcast(calendar.select("date_day", *(F.col(c).alias(f"applied_{n}") for c, n in names.items())))  # a row a day
     return facts.join(cal, F.col("applied_date") == F.col("date_day"), "left").drop("date_day")
 
 

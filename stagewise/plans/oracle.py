@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from ..domain import CHANNELS, STATUSES
+from ..functions import text
 
 AS_OF = "DATE '2001-08-02'"
 
@@ -263,21 +266,61 @@ RAW = f"""raw AS (
          CASE WHEN k % 3 = 0 THEN 'description description description description ' ELSE 'short' END AS snippet
   FROM cleaned),
 lc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY occurred DESC, event_id DESC) AS rn FROM ev) WHERE rn = 1 AND from_status IS NOT NULL)"""
-SENT = "string_split_regex(" * 6 + "coalesce(text, '')"
-for _p in (r"(?m)^On .{5,120}\bwrote:\s*$", r"(?m)^-{2,}\s*(?:Original|Forwarded) [Mm]essage\s*-{2,}", r"(?m)^_+\s*$", r"(?m)^From:\s.+$", r"(?m)^Sent from my\b", r"(?m)^--\s*$"):
-    SENT += f", '{_p}')[1]"
 SPACES = r"[ \t\n\r\f\x0B\x{00A0}]+"
 
 
-def unescaped(x: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = f"replace({x}, '{entity}', '{char}')"
-    return x
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def cut(x: str, patterns) -> str:
+    """x before the first of the patterns, by the lengths of what stands before each."""
+    at = ", ".join(f"nullif(length(string_split_regex({x}, {quoted(p)})[1]), 0)" for p in patterns)
+    return f"substr({x}, 1, list_min([{at}]))"
+
+
+def put_back(source: str, key: str, column: str) -> str:
+    """CTEs after which `whole` has, for each key of the source, the column with its character references put back: pieces between ampersands joined with tables of names and numbers."""
+    names = ", ".join(f"({quoted(n)}, {quoted(v)})" for n, v in html5.items())
+    odd = ", ".join(f"({n}, {f'chr({ord(v)})' if v else quoted('')})" for n, v in text.odd_numbers().items() if n)
+    short = "|".join(text.SHORT_NAMES)
+    return f"""names(name, value) AS (VALUES {names}), odd(code, value) AS (VALUES {odd}),
+cut_up AS (SELECT {key} AS key, unnest(string_split({column}, '&')) AS piece, unnest(range(CAST(len(string_split({column}, '&')) AS BIGINT))) AS i FROM {source}),
+refs AS (SELECT *, CASE WHEN i > 0 THEN regexp_extract(piece, {quoted(text.REFERENCE)}, 1) ELSE '' END AS ref FROM cut_up),
+coded AS (SELECT *, regexp_extract(ref, '^(?:{short})') AS short, ltrim(regexp_extract(ref, '^#[xX]?([0-9a-fA-F]+)', 1), '0') AS digits, ref[1:2] IN ('#x', '#X') AS hexed FROM refs),
+numbers AS (SELECT *, CASE WHEN ref[1] = '#' THEN CASE WHEN length(digits) > 7 THEN 99999999 WHEN digits = '' THEN 0 WHEN hexed THEN TRY_CAST('0x' || digits AS BIGINT) ELSE TRY_CAST(digits AS BIGINT) END END AS code FROM coded),
+pieces AS (
+  SELECT key, i, CASE WHEN i = 0 THEN piece WHEN ref = '' THEN '&' || piece
+      WHEN ref[1] = '#' THEN CASE WHEN code = 0 OR code BETWEEN 55296 AND 57343 OR code > 1114111 THEN chr(65533) WHEN odd.value IS NOT NULL THEN odd.value ELSE chr(CAST(code AS INTEGER)) END || substr(piece, length(ref) + 1)
+      WHEN n.value IS NOT NULL THEN n.value || substr(piece, length(ref) + 1)
+      WHEN short <> '' THEN s.value || substr(piece, length(short) + 1) ELSE '&' || piece END AS said
+  FROM numbers LEFT JOIN names n ON n.name = ref LEFT JOIN names s ON s.name = short LEFT JOIN odd USING (code)),
+whole AS (SELECT key, string_agg(said, '' ORDER BY i) AS said FROM pieces GROUP BY key)"""
+
+
+def own_words(source: str, key: str, column: str) -> str:
+    """CTEs after which `one_line` has, for each key, the new message of the column on one line."""
+    return f"""sent AS (SELECT {key} AS id, coalesce({column}, '') AS body FROM {source}),
+unquoted AS (SELECT id, {cut('body', text.QUOTES)} AS body FROM sent),
+unsigned AS (SELECT id, {cut('body', [f'(?im){p}' for p in text.SIGNATURES])} AS body FROM unquoted),
+own AS (SELECT id, array_to_string(list_filter(string_split_regex(body, '\\r\\n|[\\r\\n\\x0B\\f]'), lambda x: NOT regexp_matches(x, '^[\\s]*>')), chr(10)) AS body FROM unsigned),
+{put_back('own', 'id', 'body')},
+one_line AS (SELECT key AS id, array_to_string(list_filter(string_split_regex(regexp_replace(said, 'https?://\\S+', ' ', 'g'), '{SPACES}'), lambda w: w <> '')[1:400], ' ') AS one_line FROM whole)"""
+
+
+WITHOUT_TAGS = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+
+
+def without_parameters(x: str) -> str:
+    """A link with its query taken apart by one pattern for a parameter at its beginning or after an ampersand."""
+    gone = f"regexp_replace(regexp_replace({x}, '(?i)([?&])(?:(?:{text.TRACKING})=[^&#]*&?)+', '\\1', 'g'), '[?&]+(#|$)', '\\1')"
+    return f"CASE WHEN contains({x}, '?') THEN {gone} ELSE {x} END"
+
+
+def labelled(x: str, rules, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce({x}, '')), {quoted(p)}) THEN {quoted(n)}" for n, p in rules) + f" ELSE {quoted(default)} END"
 
 
-OWN = f"array_to_string(list_filter(string_split_regex({SENT}, '\\r\\n|\\r|\\n'), lambda x: NOT starts_with(ltrim(x), '>')), chr(10))"
-ONE_LINE = f"array_to_string(list_filter(string_split_regex(regexp_replace({unescaped(OWN)}, 'https?://\\S+', ' ', 'g'), '{SPACES}'), lambda w: w <> '')[1:400], ' ')"
-SAID = f"""regexp_replace(regexp_replace({unescaped("regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')")}, '{SPACES}', ' ', 'g'), '^ | $', '', 'g')"""
 SQL |= {
     "store_ghosting": f"""{STAR}, {RAW} SELECT thread_id, 'Applied' AS from_status, 'Ghosted' AS to_status, CAST(least(last_activity_date + 21, {AS_OF}) AS VARCHAR) AS occurred_on, 'system' AS source, 'no reply for 21+ days' AS note
       FROM raw WHERE valid AND status = 'Applied' AND last_activity_date < {AS_OF} - 21""",
@@ -294,14 +337,13 @@ SQL |= {
     "store_noise": f"{STAR}, {RAW} SELECT thread_id, day AS application_date, company_name, platform AS source_platform, '' AS filter_reason FROM raw WHERE k % 16 = 7",
     "store_changes": f"{STAR}, {RAW} SELECT thread_id, event_id, from_status IS NULL AS is_new FROM ev JOIN raw ON k = l_orderkey WHERE valid AND occurred >= DATE '2001-07-01'",
     "store_counts": f"{STAR}, {RAW} SELECT count(*) AS total, {n('valid')} AS valid, count(*) - {n('valid')} AS noise, (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS messages FROM raw",
-    "text_messages": f"WITH t AS (SELECT conv_id, turn, {ONE_LINE} AS one_line FROM conversations) SELECT conv_id, turn, CAST(length(one_line) AS INTEGER) AS chars, md5(one_line) AS digest FROM t",
-    "text_job_types": r"""SELECT CASE WHEN regexp_matches(t, '\bintern(?:ship)?\b|industrial (?:train\w+|attach\w+)|practicum|work placement') THEN 'Internship' WHEN regexp_matches(t, 'contract basis|\bcontract\b|fixed[- ]term|\btemporary\b') THEN 'Contract / Fixed-Term'
-      WHEN regexp_matches(t, 'part[- ]time\b|\bcasual\b|freelance\b') THEN 'Part-Time / Casual' ELSE 'Full-Time' END AS job_type, count(*) AS documents FROM (SELECT lower(coalesce(text, '')) AS t FROM documents) GROUP BY 1""",
-    "html_pages": rf"""WITH t AS (SELECT *, {SAID} AS said FROM pages)
+    "text_messages": f"WITH c AS (SELECT conv_id, turn, text, row_number() OVER () AS r FROM conversations), {own_words('c', 'r', 'text')} SELECT conv_id, turn, CAST(length(one_line) AS INTEGER) AS chars, md5(one_line) AS digest FROM c JOIN one_line ON id = r",
+    "text_job_types": f"SELECT {labelled('text', text.JOB_TYPES, text.JOB_TYPE)} AS job_type, count(*) AS documents FROM documents GROUP BY 1",
+    "html_pages": rf"""WITH p AS (SELECT *, row_number() OVER () AS r FROM pages), bare AS (SELECT r, {WITHOUT_TAGS} AS bare FROM p), {put_back('bare', 'r', 'bare')},
+      t AS (SELECT p.*, regexp_replace(regexp_replace(said, '{SPACES}', ' ', 'g'), '^ | $', '', 'g') AS said FROM p JOIN whole ON key = r)
       SELECT page_id, CAST(length(said) AS INTEGER) AS chars, md5(said) AS digest, regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '{SPACES}', ' ', 'g') AS title,
              CAST(len(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS INTEGER) AS links, nullif(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '') AS host,
-             regexp_replace(CASE WHEN contains(url, '?') AND NOT contains(c, '?') THEN regexp_replace(c, '^([^&]*)&', '\1?') ELSE c END, '[?&]+$', '') AS url
-      FROM (SELECT * REPLACE (url AS url), regexp_replace(coalesce(url, ''), '[?&](?:utm_[a-z]+|fbclid|gclid)=[^&#]*', '', 'g') AS c FROM t)""",
+             {without_parameters("coalesce(url, '')")} AS url FROM t""",
 }
 
 SENT_STATUSES = [s for s, *_, order in STATUSES if order > 0]
@@ -310,7 +352,7 @@ SQL |= {
     "replies_by_month": f"{STAR} SELECT strftime(replied, '%Y-%m') AS reply_month, count(*) AS replies, {I} AS interviews FROM f WHERE replied IN (SELECT day FROM cal) GROUP BY 1",
     "industry_detail": f"""{STAR}, c AS (SELECT industry, company_name, count(*) AS n FROM f GROUP BY 1, 2), g AS (SELECT industry, count(*) AS companies, CAST(sum(n) AS BIGINT) AS applications, max(n) AS most_of_a_company FROM c GROUP BY 1)
       SELECT *, round(CAST(applications AS DOUBLE) / companies, 2) AS applications_per_company, {rate('applications', '(SELECT count(*) FROM f)')} AS share_pct FROM g""",
-    "company_ranks": f"""{STAR}, c AS (SELECT company_name, count(*) AS applications FROM f GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100)
+    "company_ranks": f"""{STAR}, c AS (SELECT company_name, count(*) AS applications FROM f GROUP BY 1)
       SELECT *, dense_rank() OVER (ORDER BY applications DESC) AS rank, CAST(sum(applications) OVER (ORDER BY applications DESC, company_name ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM c""",
     "platform_bands": f"""{STAR}, p AS (SELECT platform, {rate(R, A)} AS response_rate_pct FROM f GROUP BY 1)
       SELECT *, CASE WHEN response_rate_pct >= 5 THEN 'Strong' WHEN response_rate_pct >= 3 THEN 'Good' WHEN response_rate_pct >= 2 THEN 'Average' WHEN response_rate_pct >= 0 THEN 'Below average' END AS band FROM p""",
@@ -318,8 +360,8 @@ SQL |= {
     "evaluation": f"""WITH {MESSAGES}, c AS (SELECT parsed_by, {n('is_application_mail AND detected_status IS NOT NULL')} AS tp, {n('NOT is_application_mail AND detected_status IS NOT NULL')} AS fp,
         {n('is_application_mail AND detected_status IS NULL')} AS fn, {n('NOT is_application_mail AND detected_status IS NULL')} AS tn FROM msg GROUP BY 1)
       SELECT *, {rate('tp', '(tp + fp)')} AS precision_pct, {rate('tp', '(tp + fn)')} AS recall_pct, {rate('2 * tp', '(2 * tp + fp + fn)')} AS f1_pct FROM c""",
-    "rpt_flat": SQL["fct_applications"].replace(STAR, f"{STAR}, x AS (", 1) + """) SELECT *, year(applied_date) AS applied_year, quarter(applied_date) AS applied_quarter, month(applied_date) AS applied_month, strftime(applied_date, '%B') AS applied_month_name,
-      strftime(applied_date, '%Y-%m') AS applied_year_month, CAST(date_trunc('week', applied_date) AS DATE) AS applied_week_start, strftime(applied_date, '%A') AS applied_day_of_week FROM x""",
+    "rpt_flat": SQL["fct_applications"].replace(STAR, f"{STAR}, x AS (", 1) + """) SELECT *, year(applied_date) AS applied_year, quarter(applied_date) AS applied_quarter, strftime(applied_date, '%Y-%m') AS applied_month,
+      CAST(date_trunc('week', applied_date) AS DATE) AS applied_week, strftime(applied_date, '%A') AS applied_weekday, isodow(applied_date) AS applied_weekday_num, isodow(applied_date) > 5 AS applied_on_weekend FROM x""",
 }
 
 MERGED = """mail AS (

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
-from functools import partial
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import merge, store
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
-from ..session import shared_folder
+from ..session import removed, scratch
 from ..sources import tables
 from . import checks, models, semantic
 from .build import Frames, publish, read_published
@@ -26,23 +25,37 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Models that are built once in a session and then read: what most queries begin with.
 KEPT = frozenset("stg_applications stg_status_events fct_applications fct_status_events dim_date dim_platform".split())
-BUILDS: dict[tuple[str, str, str], str] = {}
+#: What they are made from.
+INPUTS = tuple("orders lineitem customer nation documents labels".split())
+#: Folders of builds, by application, tables' folder, state of the tables' files, and model.
+BUILDS: dict[tuple[str, str, str, str], str] = {}
+
+
+def state_of(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = INPUTS) -> str:
+    """Changes when a file of the tables is added, removed or replaced: by paths, sizes and times. No file is read, and the driver gets one row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{n}.parquet" for n in names])
+    mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
+    return str(tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"), F.sum(mark)).first()))
 
 
 class Star(Frames):
-    """Frames over one folder of tables. Models that are kept are published when first asked for, and read from there by all queries of the session."""
+    """Frames over one folder of tables. Models that are kept are published when first asked for, and read from there by all queries of the session, as long as the tables' files are the same."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, kept: frozenset[str]) -> None:
         readers = {f.__name__: partial(f, spark, sf_dir) for f in (tables.raw_applications, tables.raw_events, tables.raw_messages)}
         super().__init__(models.seeds(spark) | {"as_of": AS_OF}, readers)
         self.spark, self.sf_dir, self.kept = spark, sf_dir, kept
 
+    @cached_property
+    def state(self) -> str:
+        return state_of(self.spark, self.sf_dir)
+
     def __missing__(self, name: str):
         if name not in self.kept:
             return super().__missing__(name)
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.state, name)
         if key not in BUILDS:
-            folder = f"{shared_folder(self.spark)}/star-{uuid.uuid4().hex}/{name}"
+            folder = scratch(self.spark, f"star-{name}")
             publish(self.spark, {name: super().__missing__(name)}, folder)
             BUILDS[key] = folder
         self[name] = read_published(self.spark, BUILDS[key], name)
@@ -53,10 +66,10 @@ def frames(spark: SparkSession, sf_dir: str, kept: frozenset[str] = KEPT) -> Fra
     return Star(spark, sf_dir, kept)
 
 
-def rebuild(sf_dir: str) -> None:
-    """Forget what was built over a folder whose tables have changed."""
+def rebuild(spark: SparkSession, sf_dir: str) -> None:
+    """Remove what was built over a folder; frames that still read it end with it."""
     for key in [k for k in BUILDS if k[1] == sf_dir]:
-        del BUILDS[key]
+        removed(spark, BUILDS.pop(key))
 
 
 def metric(name: str, segment: str = "industry", filters: Filters | None = None) -> Query:
@@ -73,7 +86,7 @@ def drill(name: str) -> Query:
 
 def rpt_flat_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = of_model("rpt_flat")(spark, sf_dir)
-    return flat.groupBy("applied_year_month", "applied_day_of_week", "channel").agg(F.count(F.lit(1)).alias("applications"), F.sum("event_count").alias("events"))
+    return flat.groupBy(F.col("applied_month").alias("applied_year_month"), F.col("applied_weekday").alias("applied_day_of_week"), "channel").agg(F.count(F.lit(1)).alias("applications"), F.sum("event_count").alias("events"))
 
 
 def data_tests(spark: SparkSession, sf_dir: str) -> DataFrame:

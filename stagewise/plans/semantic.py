@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..domain import BANDS, STATUSES, inline
 from ..functions.expr import count_where, pct
+from ..operators.prefix import running
 
 SENT = [s[0] for s in STATUSES if s[6] > 0]
 
@@ -31,11 +32,13 @@ def industry_detail(facts: DataFrame) -> DataFrame:
     return df.select("*", F.round(F.col("applications") / F.col("companies"), 2).alias("applications_per_company"), pct(F.col("applications"), everyone).alias("share_pct"))
 
 
-def company_ranks(facts: DataFrame, top: int = 100) -> DataFrame:
-    """The companies with most applications, ranked without gaps, with the running sum. All ranks are kept up to the top."""
-    df = facts.groupBy("company_name").agg(F.count(F.lit(1)).alias("applications")).orderBy(F.desc("applications"), "company_name").limit(top)
-    w = Window.orderBy(F.desc("applications"), "company_name")  # of `top` rows
-    return df.select("*", F.dense_rank().over(Window.orderBy(F.desc("applications"))).alias("rank"), F.sum("applications").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"))
+def company_ranks(facts: DataFrame) -> DataFrame:
+    """All companies by the number of their applications, ranked without gaps, with the running sum: by ranges, so that no task gets all companies."""
+    df = facts.groupBy("company_name").agg(F.count(F.lit(1)).alias("applications"))
+    levels = df.select("applications").distinct()  # as many as there are different numbers: few, since they add up to the applications
+    ranks = levels.select(F.col("applications").alias("level"), F.dense_rank().over(Window.orderBy(F.desc("applications"))).alias("rank"))
+    summed = running(df, [F.desc("applications"), F.col("company_name")], {"running": F.col("applications")})
+    return summed.join(ranks, F.col("applications") == F.col("level")).select("company_name", "applications", "rank", "running")
 
 
 def platform_bands(spark: SparkSession, facts: DataFrame) -> DataFrame:

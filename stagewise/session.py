@@ -6,8 +6,9 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -34,3 +35,27 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("stagewise.checkpoint.dir", folder)
     return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it is removed when the driver's Python ends, since results are read from it until then."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, whichever it is; nothing happens if the JVM has ended before us."""
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception:  # noqa: S110
+        pass
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage at a table that survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
