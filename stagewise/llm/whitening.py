@@ -1,9 +1,13 @@
 """Whitening of embeddings: one aggregation sums the centred products of every pair of dimensions, LAPACK decomposes what it gives.
 
 Entries are fixed-point numbers (`scale` steps to a unit), and statistics are those of the distinct vectors, so copies weigh
-once. The covariance is symmetric, so one expression is generated for each entry of its upper triangle; all of them
-are partial sums, and the driver gets one row of them however many vectors there are. Rows are then projected by
-generated expressions too: nothing but the entries' arithmetic happens to a row, and rows never meet.
+once. The covariance is symmetric, so only its upper triangle is summed, in square tiles of TILE by TILE dimensions: a vector
+becomes a row for each tile of the triangle, and the aggregation has one generated expression for each pair of places in a
+tile. So it has the same few expressions for any number of dimensions, and Spark compiles them; one expression for each
+entry of the triangle, 2,080 at 64 dimensions, is more than it compiles, and their plan took much of the driver's memory.
+All are partial sums: tasks send a row a tile, and the driver gets those of the triangle however many vectors there are.
+Rows are then projected by generated expressions too:
+nothing but the entries' arithmetic happens to a row, and rows never meet.
 
 Null vectors, vectors with a null or a non-finite entry, and those shorter than the longest one are left out. Rows with equal
 vectors, or equal or null ids, all stay. No vectors give no rows. A single distinct vector, or dimensions without variance,
@@ -21,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .shared import stash
 
-#: Sums of one aggregation; the pairs of more than 128 dimensions need several, each over all vectors.
-EXPRESSIONS = 8256
+#: Dimensions along a side of a tile; TILE * TILE sums are few enough for Spark to compile them.
+TILE = 8
 #: An eigenvalue below this part of the largest is rounding.
 NOTHING = 1e-12
 
@@ -45,20 +49,22 @@ def fixed(embeddings: DataFrame, vector: str = "embedding", key: str = "vec_id",
     return embeddings.where(F.col(vector).isNotNull() & finite).select(F.col(key), steps.alias("x"))
 
 
-def centred(fit: DataFrame, n: int, sums: list[int]) -> DataFrame:
-    """A column c0, c1, ... for each dimension: the entry less its mean."""
-    return fit.select(*(F.expr(f"x[{i}] - {s / n!r}D").alias(f"c{i}") for i, s in enumerate(sums)))
-
-
 def covariance(fit: DataFrame, n: int, sums: list[int]) -> np.ndarray:
-    """Divisor n, centred before multiplying: a generated sum for every pair of dimensions."""
-    pairs, df = list(combinations_with_replacement(range(len(sums)), 2)), centred(fit, n, sums)
-    out = np.zeros((len(sums), len(sums)))
-    for lo in range(0, len(pairs), EXPRESSIONS):
-        part = pairs[lo : lo + EXPRESSIONS]
-        found = df.selectExpr(*(f"sum(c{i} * c{j}) AS p{i}_{j}" for i, j in part)).first()
-        for (i, j), v in zip(part, found, strict=True):
-            out[i, j] = out[j, i] = v / n
+    """Divisor n, centred before multiplying: a generated sum for every pair of places in a tile, in one aggregation by tile."""
+    d, sides = len(sums), range(-(-len(sums) // TILE))
+    means = ", ".join(f"{s / n!r}D" for s in sums)
+    empty = ", ".join(["0D"] * (TILE * len(sides) - d))
+    centred = f"concat(transform(arrays_zip(x, array({means})), e -> e.x - e.`1`), array({empty}))" if empty else f"transform(arrays_zip(x, array({means})), e -> e.x - e.`1`)"
+    tiles = ", ".join(f"struct({p} AS p, {q} AS q)" for p in sides for q in sides if p <= q)
+    rows = fit.select(F.expr(centred).alias("c")).select("c", F.explode(F.expr(f"array({tiles})")).alias("t"))
+    places = rows.selectExpr("t.p", "t.q", *(f"c[t.{side} * {TILE} + {k}] AS {name}{k}" for side, name in (("p", "a"), ("q", "b")) for k in range(TILE)))
+    pairs = [(i, j) for i in range(TILE) for j in range(TILE)]
+    out = np.zeros((d, d))
+    for r in places.groupBy("p", "q").agg(*(F.expr(f"sum(a{i} * b{j})").alias(f"s{i}_{j}") for i, j in pairs)).collect():  # a row a tile
+        for i, j in pairs:
+            x, y = r["p"] * TILE + i, r["q"] * TILE + j
+            if x < d and y < d:
+                out[x, y] = out[y, x] = r[f"s{i}_{j}"] / n
     return out
 
 
