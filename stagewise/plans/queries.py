@@ -13,8 +13,8 @@ from ..functions import text
 from ..operators import merge, store
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
 from ..session import removed, scratch
-from ..sources import tables
-from . import checks, models, semantic
+from ..sources import mail, tables
+from . import checks, evaluation, models, semantic
 from .build import Frames, publish, read_published
 from .metrics import Metrics
 
@@ -169,6 +169,30 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.length(said).alias("chars"), F.md5(said).alias("digest"), text.page_title("html").alias("title"), F.size(text.links("html")).alias("links"), text.host("url").alias("host"), text.without_parameters("url").alias("url"))
 
 
+EVENTS = ("Applied", "Assessment / OA", "Interview", "Offer", "Rejected")
+
+
+def cells(read: DataFrame) -> DataFrame:
+    return evaluation.confusion(evaluation.judged_rows(read, EVENTS))
+
+
+#: Queries over mail as it is read.
+MAIL: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "mail_bodies": lambda read: read.select("message_id", F.length("snippet").alias("chars"), F.md5("snippet").alias("digest")),
+    "mail_verdicts": lambda read: read.select("message_id", "verdict.*"),
+    "mail_tiers": lambda read: read.groupBy("verdict.tier", "verdict.reason").agg(F.count(F.lit(1)).alias("messages")),
+    "mail_statuses": lambda read: read.select("message_id", "detected_status", "is_ambiguous"),
+    "mail_labels": lambda read: read.groupBy("job_type", "seniority", "industry", "role_family").agg(F.count(F.lit(1)).alias("messages")),
+    "evaluation_confusion": cells,
+    "evaluation_by_class": lambda read: evaluation.scores(cells(read)),
+    "evaluation_gate": lambda read: evaluation.gate(cells(read)),
+}
+
+
+def of_mail(name: str) -> Query:
+    return lambda spark, sf_dir: MAIL[name](evaluation.read(mail.mail(spark, sf_dir)))
+
+
 METRICS = "kpis period_compare funnel sankey weekly_velocity monthly_cohorts platform_performance response_survival response_time_buckets weekday_performance activity_calendar status_mix stage_timing company_leaderboard follow_up_queue transitions recent_activity data_quality applications parser_quality filter_options date_bounds".split()
 MODELS = "milestones fct_applications fct_status_events dim_date dim_company dim_industry dim_job_type dim_role_family dim_seniority dim_platform dim_status".split()
 
@@ -179,4 +203,5 @@ def queries() -> dict[str, Query]:
     found |= {f"segment_{s}": metric("segment_performance", s) for s in SEGMENTS}
     found |= {n: of_model(n) for n in (*MODELS, "stg_applications", "stg_messages")} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months, "data_tests": data_tests}
     found |= {n: of_store(n) for n in (*STORE, *MERGE, *SEMANTIC)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages)}
+    found |= {n: of_mail(n) for n in MAIL}
     return found | {f"drill_{n}": drill(n) for n in DRILL_SETS}

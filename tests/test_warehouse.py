@@ -4,6 +4,7 @@ import html
 import html.entities
 import math
 import random
+import re
 import shutil
 import subprocess
 import sys
@@ -15,14 +16,15 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stagewise.functions import text
+from stagewise.domain import RANK
+from stagewise.functions import text, verdicts
 from stagewise.operators import merge, store
 from stagewise.operators.filters import Filters
 from stagewise.operators.prefix import running
-from stagewise.plans import checks, models, oracle, queries
+from stagewise.plans import checks, evaluation, models, oracle, oracle_mail, queries
 from stagewise.plans.build import Frames, build, publish, read_published
 from stagewise.plans.metrics import Metrics
-from stagewise.sources import tables
+from stagewise.sources import mail, tables
 
 SF = "/root/testdata/sf0.001"
 AS_OF = date(2026, 1, 31)
@@ -41,13 +43,13 @@ def rows_of(names, rows):
     return sorted((tuple(plain(r[i]) for i in keep) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["stg_applications", "stg_messages", "fct_applications", "parser_quality", "kpis", "kpis_filtered", "segment_seniority", "data_tests", "dim_platform", "drill_follow_up", *queries.STORE, *queries.MERGE, *queries.SEMANTIC, "text_messages", "text_job_types", "html_pages"])
+@pytest.mark.parametrize("name", ["stg_applications", "stg_messages", "fct_applications", "parser_quality", "kpis", "kpis_filtered", "segment_seniority", "data_tests", "dim_platform", "drill_follow_up", *queries.STORE, *queries.MERGE, *queries.SEMANTIC, *queries.MAIL, "text_messages", "text_job_types", "html_pages"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents labels pages conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries.queries()[name](spark, SF)
-    sql = con.sql(oracle.SQL[name])
+    sql = con.sql((oracle.SQL | oracle_mail.SQL)[name])
     assert sorted(df.columns) == sorted(sql.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(sql.columns, sql.fetchall())
 
@@ -301,3 +303,69 @@ def test_merging_at_once_is_merging_one_by_one(spark):
     got = [(r["thread_id"], r["message_id"], r["from_status"], r["to_status"], r["occurred_on"]) for r in merge.status_events(messages).collect()]
     assert sorted(got, key=repr) == sorted(events, key=repr)
     assert merge.threads(messages.limit(0)).count() == 0
+
+
+VERDICTS = [
+    ("x@a.example", "Your verification code", "", "blocked (one-time code)", False, 0.97),
+    ("x@news.example", "We have received your application", "", "blocked sender (news)", False, 0.95),
+    ("x@a.example", "Hello", "We have received your application. Join our webinar", "vetoed (webinar)", False, 0.8),
+    ("x@a.example", "Hello", "We regret to inform you", "strong (declined)", True, 0.95),
+    ("x@a.example", "Top jobs", "We have received your application", "strong (received)", True, 0.95),
+    ("x@a.example", "About your application", "", "weak (application)", True, 0.85),
+    ("x@a.example", "Top jobs", "your application", "noisy (job alert)", False, 0.55),
+    ("tests@assess.example", "Your challenge", "", "vendor (test)", True, 0.8),
+    ("x@ats.example", "Clerk at Jati Bank", None, "loose (platform)", True, 0.65),
+    ("x@board.example", "Clerk at Jati Bank", "Apply now", "garbage (board advert)", False, 0.85),
+    ("x@ats.example", "Hello", "", "near miss (platform)", False, 0.55),
+    ("x@a.example", "Hello", "a vacancy", "near miss (vocabulary)", False, 0.55),
+    ("Jane Tan <jane@a.example>", "Next steps", "", "near miss (person)", False, 0.55),
+    (None, None, None, "nothing (no rule)", False, 0.85),
+]
+
+
+def test_the_first_tier_that_decides_gives_the_verdict(spark):
+    df = spark.createDataFrame([(i, *v[:3]) for i, v in enumerate(VERDICTS)], "i int, sender string, subject string, snippet string")
+    got = {r["i"]: r["verdict"] for r in verdicts.judged(df).collect()}
+    assert [(got[i]["reason"], got[i]["is_valid"], got[i]["confidence"]) for i in range(len(VERDICTS))] == [v[3:] for v in VERDICTS]
+    assert all(got[i]["reason"].startswith(got[i]["tier"]) for i in got)
+
+
+def plain_status(text):
+    """The status of a text by a plain walk over its sentences."""
+    words, sentences, now = re.split(r"(\s+)", (text or "").lower()), [], ""
+    for word in words:
+        if word.isspace() and re.search(r"[.!?]$", now) and not re.search(rf"\b(?:{'|'.join(verdicts.ABBREVIATIONS)})\.$", now):
+            sentences.append(now)
+            now = ""
+        else:
+            now += word
+    said = " ".join(s for s in [*sentences, now] if not any(re.search(p, s) for p in verdicts.CONDITIONAL))
+    said = re.sub(verdicts.RECORDED, "video assessment", said)
+    found = [s for s, patterns in verdicts.STATUSES if any(re.search(p, said) for p in patterns)]
+    return max(found, key=RANK.get, default=None)
+
+
+def test_statuses_against_a_plain_walk(spark):
+    rng = random.Random(12)
+    says = [t for texts in mail.SAYS.values() for t in texts] + ["If you do not hear from us, you were unsuccessful.", "Ask Jati Sdn. Bhd. or Co. for more.", "Only shortlisted candidates meet our hiring manager!", "Well?", "An on-demand video interview waits. Hurry."]
+    made = [" ".join(rng.choice(says) for _ in range(rng.randrange(0, 4))) for _ in range(400)] + [None, "", "Your application to Jati Sdn. Bhd. was received"]
+    got = spark.createDataFrame([(t,) for t in made], "t string").select(verdicts.detected("t")).collect()
+    assert [r[0] for r in got] == [plain_status(t) for t in made]
+    assert len({r[0] for r in got}) == 6
+    pairs = spark.createDataFrame([("Offer", "Rejected"), ("Rejected", "Offer"), (None, "Applied"), ("Applied", None), ("Offer", "Offer"), (None, None)], "b string, s string")
+    assert [r[0] for r in pairs.select(verdicts.stronger(F.col("b"), F.col("s"))).collect()] == ["Rejected", "Rejected", "Applied", "Applied", "Offer", None]
+
+
+def test_scores_against_a_plain_count(spark):
+    rng, classes = random.Random(2), ["Applied", "Offer", "Rejected"]
+    rows = [(rng.choice(["dev", "holdout"]), rng.sample(["x", "y", "z"], rng.randrange(0, 3)), e, rng.choice([e, e, *classes, evaluation.MISSED if e in classes else evaluation.NONE])) for e in (rng.choice([*classes, evaluation.NONE]) for _ in range(300))]
+    cells = evaluation.confusion(spark.createDataFrame(rows, "split string, tags array<string>, expected string, predicted string"))
+    groups = {("all", "all"): rows} | {("split", s): [r for r in rows if r[0] == s] for s in ("dev", "holdout")} | {("tag", t): [r for r in rows if t in r[1]] for t in "xyz"}
+    got = {(r["dimension"], r["value"], r["class"]): (r["support"], r["predicted"], r["correct"]) for r in evaluation.scores(cells).collect()}
+    for group, some in groups.items():
+        for c in classes:
+            assert got[(*group, c)] == (sum(r[2] == c for r in some), sum(r[3] == c for r in some), sum(r[2] == r[3] == c for r in some))
+        assert got[(*group, evaluation.ANY)] == (sum(r[2] in classes for r in some), sum(r[3] in classes for r in some), sum(r[2] in classes and r[3] in classes for r in some))
+    g = evaluation.gate(cells).first()
+    assert (g["tp"], g["fp"], g["fn"]) == tuple(sum((r[2] in classes) == a and (r[3] in classes) == b for r in rows) for a, b in ((True, True), (False, True), (True, False)))
+    assert not g["passes"] and not evaluation.gate(cells.limit(0)).first()["passes"]
