@@ -73,3 +73,48 @@ SQL = {
         sum(CASE WHEN predicted = '(missed)' THEN n ELSE 0 END) AS fn, sum(CASE WHEN expected = predicted AND expected <> '(none)' THEN n ELSE 0 END) AS hit, sum(CASE WHEN expected <> '(none)' THEN n ELSE 0 END) AS events FROM cells WHERE dimension = 'all'),
       z AS (SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, {rate('2 * tp', '(2 * tp + fp + fn)')} AS f1_pct, {rate('hit', 'events')} AS status_pct FROM w) SELECT *, f1_pct >= 95 AND status_pct >= 90 AS passes FROM z""",
 }
+
+FOLD = f"""{READ.replace('WITH ', 'WITH RECURSIVE ', 1)}, msg AS (
+  SELECT thread_id, message_id, 'mail' AS kind, CAST(arrived AS VARCHAR) AS arrived, CAST(day AS VARCHAR) AS day, is_valid, reason, detected_status AS said,
+         CASE WHEN contains(sender, '@board.') THEN 'Board' WHEN contains(sender, '@ats.') THEN 'ATS' WHEN contains(sender, ' <hr@') THEN string_split(sender, ' <')[1] ELSE 'Unknown' END AS employer,
+         coalesce(nullif(regexp_extract(subject, '^.* for (.+)$', 1), ''), regexp_extract(subject, '^(.+) at .+$', 1)) AS role, CASE WHEN contains(sender, '@ats.') THEN 'ATS' WHEN contains(sender, '@board.') THEN 'Board' ELSE 'Other' END AS platform,
+         regexp_extract(body, '(https?://\\S+)', 1) AS url, substr(snippet, 1, 120) AS excerpt, subject, {labelled("role || ' ' || subject", text.JOB_TYPES, text.JOB_TYPE)} AS job_type, {labelled('role', text.SENIORITIES, text.SENIORITY)} AS seniority,
+         {labelled("employer || ' ' || role", text.INDUSTRIES, text.OTHER)} AS industry, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN k % 7 = 0 THEN 'llm' ELSE 'gmail' END AS origin FROM rd),
+hand AS (SELECT thread_id, 'hand-' || thread_id AS message_id, 'verdict' AS kind, CAST(CAST(min(arrived) AS DATE) + 10 AS VARCHAR) AS arrived, CAST(thread_id AS BIGINT) % 2 = 0 AS is_valid FROM msg WHERE CAST(thread_id AS BIGINT) % 13 = 0 GROUP BY thread_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY arrived, message_id) AS n FROM (SELECT * FROM msg UNION ALL BY NAME SELECT *, arrived AS day FROM hand)),
+st AS (
+  SELECT thread_id, n, is_valid AS valid, reason AS why, employer, role, platform, coalesce(said, 'Applied') AS status, day AS opened, day AS updated, subject, url, excerpt, job_type, seniority, industry, confidence,
+         CASE WHEN is_valid THEN day END AS last, CASE WHEN is_valid THEN CASE WHEN coalesce(said, 'Applied') <> 'Applied' THEN 2 ELSE 1 END ELSE 0 END AS evs, 1 AS msgs,
+         CAST(NULL AS VARCHAR) AS ghost, CASE WHEN is_valid THEN day END AS begun, 'gmail' AS begun_by, 'first email in thread' AS begun_note, CASE WHEN is_valid AND said <> 'Applied' THEN 'Applied' END AS e_from, CASE WHEN is_valid AND said <> 'Applied' THEN said END AS e_to, day AS e_day, origin AS e_by, subject AS e_note, message_id AS mid
+  FROM o WHERE n = 1
+  UNION ALL
+  SELECT thread_id, n, valid2, why2, employer2, role2, platform2, status2, opened2, CASE WHEN m_valid AND mail AND (status2 <> status1 OR employer2 <> employer OR role2 <> role OR platform2 <> platform OR url2 <> url OR excerpt2 <> excerpt OR valid2 <> valid) THEN greatest(updated, m_day) ELSE updated END,
+         CASE WHEN mail THEN m_subject ELSE subject END, url2, excerpt2, CASE WHEN m_job_type <> '' THEN m_job_type ELSE job_type END, CASE WHEN m_seniority <> '' THEN m_seniority ELSE seniority END, CASE WHEN m_industry <> '' THEN m_industry ELSE industry END, greatest(confidence, coalesce(m_confidence, 0)),
+         CASE WHEN status2 <> status1 THEN greatest(coalesce(last2, m_day), m_day) ELSE last2 END, evs2 + CASE WHEN status2 <> status1 THEN 1 ELSE 0 END, msgs + CASE WHEN mail THEN 1 ELSE 0 END,
+         CASE WHEN due THEN due_on END, CASE WHEN begins THEN opened2 END, CASE WHEN mail THEN 'gmail' ELSE 'manual' END, CASE WHEN mail THEN 'thread confirmed as an application' ELSE 'recovered from the noise filter' END,
+         CASE WHEN status2 <> status1 THEN status1 END, CASE WHEN status2 <> status1 THEN status2 END, m_day, m_origin, m_subject, m_id
+  FROM (SELECT *, CASE WHEN begins THEN greatest(coalesce(last1, opened2), opened2) ELSE last1 END AS last2, evs1 + CASE WHEN begins THEN 1 ELSE 0 END AS evs2
+    FROM (SELECT *, valid2 AND evs1 = 0 AND (NOT mail OR NOT valid) AS begins
+      FROM (SELECT *, CASE WHEN NOT mail THEN m_valid WHEN why LIKE 'manual%' THEN valid ELSE valid OR m_valid END AS valid2,
+              CASE WHEN NOT mail THEN 'manual: looked at' WHEN why LIKE 'manual%' THEN why WHEN m_valid THEN coalesce(nullif(m_reason, ''), why) WHEN NOT valid THEN coalesce(nullif(m_reason, ''), nullif(why, ''), 'no positive affirmation') ELSE why END AS why2,
+              CASE WHEN mail AND employer IN ('', 'Unknown', 'Board', 'ATS') AND m_employer NOT IN ('', 'Unknown', 'Board', 'ATS') THEN m_employer ELSE employer END AS employer2,
+              CASE WHEN mail AND m_role <> '' AND NOT list_has_any(string_split(lower(role), ' '), ['analyst', 'clerk', 'engineer', 'planner', 'associate', 'officer', 'developer']) THEN m_role ELSE role END AS role2,
+              CASE WHEN mail AND platform = 'Other' THEN m_platform ELSE platform END AS platform2, CASE WHEN mail AND m_valid THEN least(opened, m_day) ELSE opened END AS opened2,
+              CASE WHEN url = '' AND mail THEN m_url ELSE url END AS url2, CASE WHEN excerpt = '' AND mail THEN m_excerpt ELSE excerpt END AS excerpt2,
+              CASE WHEN NOT mail OR NOT m_valid THEN status1 WHEN m_said <> status1 AND m_day >= coalesce(last1, '') THEN CASE WHEN m_said = 'Applied' AND status1 <> 'Ghosted' THEN status1 ELSE m_said END
+                   WHEN status1 = 'Ghosted' AND m_day > coalesce(last1, '') THEN coalesce(m_said, 'Applied') ELSE status1 END AS status2
+        FROM (SELECT *, CASE WHEN due THEN 'Ghosted' ELSE status END AS status1, CASE WHEN due THEN greatest(coalesce(last, due_on), due_on) ELSE last END AS last1, evs + CASE WHEN due THEN 1 ELSE 0 END AS evs1
+          FROM (SELECT s.* EXCLUDE (n, ghost, begun, begun_by, begun_note, e_from, e_to, e_day, e_by, e_note, mid), m.n, m.kind = 'mail' AS mail, m.message_id AS m_id, m.day AS m_day, m.is_valid AS m_valid, m.reason AS m_reason, m.said AS m_said, m.employer AS m_employer, m.role AS m_role, m.platform AS m_platform,
+                  m.url AS m_url, m.excerpt AS m_excerpt, m.subject AS m_subject, m.job_type AS m_job_type, m.seniority AS m_seniority, m.industry AS m_industry, m.confidence AS m_confidence, m.origin AS m_origin, CAST(CAST(s.updated AS DATE) + 21 AS VARCHAR) AS due_on,
+                  s.valid AND s.status = 'Applied' AND CAST(CAST(s.updated AS DATE) + 21 AS VARCHAR) < m.arrived AS due
+            FROM st s JOIN o m ON m.thread_id = s.thread_id AND m.n = s.n + 1)))))),
+fin AS (SELECT *, CAST(CAST(updated AS DATE) + 21 AS VARCHAR) AS due_on, valid AND status = 'Applied' AND CAST(CAST(updated AS DATE) + 21 AS VARCHAR) < '2001-08-02' AS due FROM (SELECT *, max(n) OVER (PARTITION BY thread_id) AS top FROM st) WHERE n = top)"""
+SQL |= {
+    "thread_states": f"""{FOLD} SELECT thread_id, valid AS is_valid, why AS reason, employer, role, platform, CASE WHEN due THEN 'Ghosted' ELSE status END AS status, opened AS application_date, updated AS last_updated, subject, url AS job_url, excerpt, job_type, seniority, industry, confidence,
+      CASE WHEN due THEN greatest(coalesce(last, due_on), due_on) ELSE last END AS last_event, CAST(evs + CASE WHEN due THEN 1 ELSE 0 END AS BIGINT) AS events, CAST(msgs AS BIGINT) AS messages FROM fin""",
+    "thread_events": f"""{FOLD}, all_events AS (
+      SELECT thread_id, 'Applied' AS from_status, 'Ghosted' AS to_status, ghost AS occurred_on, 'system' AS source, '' AS message_id, 'no reply for 21+ days' AS note FROM st WHERE ghost IS NOT NULL
+      UNION ALL SELECT thread_id, 'Applied', 'Ghosted', due_on, 'system', '', 'no reply for 21+ days' FROM fin WHERE due
+      UNION ALL SELECT thread_id, NULL, 'Applied', begun, begun_by, mid, begun_note FROM st WHERE begun IS NOT NULL
+      UNION ALL SELECT thread_id, e_from, e_to, e_day, e_by, mid, substr(e_note, 1, 160) FROM st WHERE e_to IS NOT NULL) SELECT * FROM all_events""",
+}

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import merge, store
+from ..operators import fold, merge, store
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
 from ..session import removed, scratch
 from ..sources import mail, tables
-from . import checks, evaluation, models, semantic
+from . import checks, evaluation, models, semantic, threads
 from .build import Frames, publish, read_published
 from .metrics import Metrics
 
@@ -186,6 +186,8 @@ MAIL: dict[str, Callable[[DataFrame], DataFrame]] = {
     "evaluation_confusion": cells,
     "evaluation_by_class": lambda read: evaluation.scores(cells(read)),
     "evaluation_gate": lambda read: evaluation.gate(cells(read)),
+    "thread_states": lambda read: fold.states(threads.folded(read, AS_OF)),
+    "thread_events": lambda read: fold.events(threads.folded(read, AS_OF)),
 }
 
 
