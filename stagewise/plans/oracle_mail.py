@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..domain import RANK
-from ..functions import text
+from ..functions import links, text
 from ..functions import verdicts as v
-from ..sources import mail
-from .oracle import labelled, own_words, quoted, rate
+from ..sources import job_pages, mail
+from .oracle import labelled, own_words, put_back, quoted, rate, without_parameters
 
 MAIL = f"WITH {mail.DUCKDB}, m AS (SELECT * FROM mail), {own_words('m', 'k', 'body')}, r AS (SELECT m.*, one_line AS snippet FROM m JOIN one_line ON id = k)"
 
@@ -118,3 +118,58 @@ SQL |= {
       UNION ALL SELECT thread_id, NULL, 'Applied', begun, begun_by, mid, begun_note FROM st WHERE begun IS NOT NULL
       UNION ALL SELECT thread_id, e_from, e_to, e_day, e_by, mid, substr(e_note, 1, 160) FROM st WHERE e_to IS NOT NULL) SELECT * FROM all_events""",
 }
+
+
+def ld(j: str, key: str) -> str:
+    """The text of a member: of a scalar, an object's first text, or a list's texts side by side."""
+    v = f"json_extract({j}, '$.\"{key}\"')"
+
+    def plain(x: str) -> str:
+        inner = ", ".join(f"nullif(json_extract_string({x}, '$.\"{k}\"'), '')" for k in ("@value", "name", "text", "value"))
+        return f"CASE json_type({x}) WHEN 'OBJECT' THEN coalesce({inner}, '') WHEN 'ARRAY' THEN '' WHEN 'NULL' THEN '' ELSE coalesce(json_extract_string({x}, '$'), '') END"
+
+    return f"CASE WHEN json_type({v}) = 'ARRAY' THEN array_to_string(list_transform(CAST({v} AS JSON[]), lambda e: {plain('e')}), ' ') ELSE coalesce({plain(v)}, '') END"
+
+
+def tag(wanted: str) -> str:
+    """The content of the first meta tag of that name, by its position in the list of tags."""
+    names, value = "property|name", r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    def attr(t: str, n: str) -> str:
+        return "(" + " || ".join(f"regexp_extract({t}, {quoted(rf'(?i)[^\w:-](?:{n}){value}')}, {g})" for g in (1, 2, 3)) + ")"
+    tags = r"regexp_extract_all(html, '(?is)(<meta\b[^>]*>)', 1)"
+    return f"coalesce({attr(f'list_filter({tags}, lambda t: lower({attr("t", names)}) = {quoted(wanted)})[1]', 'content')}, '')"
+
+
+ADDRESS = "concat_ws(', ', " + ", ".join(f"nullif({ld("json_extract(p, '$.address')", k)}, '')" for k in ("addressLocality", "addressRegion", "addressCountry")) + ")"
+LOW, HIGH = (f"coalesce(json_extract_string(j, '$.baseSalary.{k}[0]'), json_extract_string(j, '$.baseSalary.{k}'), json_extract_string(j, '$.baseSalary.value.{k}'))" for k in ("minValue", "maxValue"))
+POSTINGS = rf"""{job_pages.statement()},
+blocks AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script\b[^>]*\btype\s*=\s*["'']?application/ld\+json["'']?[^>]*>(.*?)</script>', 1)) AS b FROM job_pages),
+tree AS (SELECT page_id, t.value AS j FROM (SELECT * FROM blocks WHERE json_valid(b)) x, json_tree(x.b) t WHERE t.type = 'OBJECT'),
+jobs AS (SELECT page_id, j FROM tree WHERE list_contains(CASE WHEN json_type(json_extract(j, '$."@type"')) = 'ARRAY' THEN CAST(json_extract(j, '$."@type"') AS VARCHAR[]) ELSE [json_extract_string(j, '$."@type"')] END, 'JobPosting')),
+told AS (
+  SELECT page_id, {ld('j', 'title')} AS title, {ld('j', 'hiringOrganization')} AS company, {ld('j', 'description')} AS description, substr({ld('j', 'datePosted')}, 1, 10) AS posted_date,
+         array_to_string(list_filter(list_transform(CASE WHEN json_type(json_extract(j, '$.jobLocation')) = 'ARRAY' THEN CAST(json_extract(j, '$.jobLocation') AS JSON[]) ELSE [json_extract(j, '$.jobLocation')] END, lambda p: {ADDRESS}), lambda x: x <> ''), '; ') AS location,
+         CASE WHEN {LOW} IS NOT NULL AND {HIGH} IS NOT NULL THEN {LOW} || chr(8211) || {HIGH} WHEN json_type(json_extract(j, '$.baseSalary.value')) IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN json_extract_string(j, '$.baseSalary.value') END
+           || coalesce(' ' || json_extract_string(j, '$.baseSalary.currency'), '') || coalesce(' / ' || lower(json_extract_string(j, '$.baseSalary.value.unitText')), '') AS salary,
+         CASE WHEN json_type(json_extract(j, '$.employmentType')) = 'ARRAY' THEN array_to_string(CAST(json_extract(j, '$.employmentType') AS VARCHAR[]), ' / ') ELSE coalesce(json_extract_string(j, '$.employmentType'), '') END AS kind FROM jobs),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(description) DESC, title, posted_date) AS rn FROM told) WHERE rn = 1),
+raw AS (SELECT p.page_id, {tag('og:title')} AS og_title, {tag('og:description')} AS og_description, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS page_title, b.* EXCLUDE (page_id, rn) FROM job_pages p LEFT JOIN best b USING (page_id)),
+long AS (SELECT page_id, unnest(['og_title', 'og_description', 'page_title', 'title', 'company', 'description']) AS field, unnest([og_title, og_description, page_title, title, company, description]) AS t FROM raw),
+keyed AS (SELECT page_id || '/' || field AS k, coalesce(t, '') AS t FROM long), {put_back('keyed', 'k', 't')},
+clean AS (SELECT CAST(string_split(key, '/')[1] AS BIGINT) AS page_id, string_split(key, '/')[2] AS field, trim(regexp_replace(said, '\s+', ' ', 'g')) AS t FROM whole),
+wide AS (SELECT page_id, max(CASE WHEN field = 'og_title' THEN t END) AS og_title, max(CASE WHEN field = 'og_description' THEN t END) AS og_description, max(CASE WHEN field = 'page_title' THEN substr(t, 1, 150) END) AS page_title, max(CASE WHEN field = 'title' THEN t END) AS ld_title,
+  max(CASE WHEN field = 'company' THEN t END) AS company, max(CASE WHEN field = 'description' THEN substr(t, 1, 4000) END) AS ld_description FROM clean GROUP BY 1),
+kinds AS (SELECT page_id, array_to_string(list_transform(string_split(replace(kind, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS employment_type FROM raw)"""
+SQL |= {
+    "page_postings": f"""WITH {POSTINGS}, final AS (SELECT w.page_id, coalesce(nullif(og_title, ''), nullif(ld_title, ''), page_title) AS title, CASE WHEN length(ld_description) >= length(og_description) THEN ld_description ELSE og_description END AS description, w.company,
+        coalesce(raw.location, '') AS location, coalesce(raw.salary, '') AS salary, coalesce(raw.posted_date, '') AS posted_date, coalesce(k.employment_type, '') AS employment_type FROM wide w JOIN (SELECT page_id, location, salary, posted_date FROM raw) raw USING (page_id) JOIN kinds k USING (page_id))
+      SELECT *, title <> '' OR description <> '' AS ok FROM final""",
+}
+
+LINKS = f"""WITH {mail.DUCKDB}, cut AS (SELECT k, message_id, body, regexp_extract_all(body, {quoted(links.LINK)}) AS l, string_split_regex(body, {quoted(links.LINK)}) AS w FROM mail),
+each AS (SELECT k, message_id, body, unnest(l) AS link, unnest(w[1:len(l)]) AS word, unnest(range(1, CAST(len(l) + 1 AS BIGINT))) AS i FROM cut),
+placed AS (SELECT *, CAST(sum(length(word)) OVER p + coalesce(sum(length(link)) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM each WINDOW p AS (PARTITION BY k ORDER BY i)),
+bare AS (SELECT *, {without_parameters('link')} AS url, lower(substr(body, greatest(pos - 120, 0) + 1, least(pos, 120))) AS before FROM placed),
+points AS (SELECT *, CASE WHEN {matches('before', links.CONTEXT)} THEN 4 ELSE 0 END + CASE WHEN {matches('lower(url)', links.HOST)} THEN 3 ELSE 0 END + CASE WHEN {matches('lower(url)', links.PATH)} THEN 2 ELSE 0 END - CASE WHEN {matches('lower(url)', links.EXCLUDED)} THEN 10 ELSE 0 END AS score FROM bare),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, i) AS rn FROM points WHERE score > 0) WHERE rn = 1)"""
+SQL["mail_links"] = f"{LINKS} SELECT c.message_id, regexp_replace(coalesce(url, ''), {quoted(links.TRAILING)}, '') AS url, coalesce(score, 0) AS score FROM cut c LEFT JOIN top USING (k)"

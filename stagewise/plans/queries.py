@@ -9,11 +9,12 @@ from functools import cached_property, partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import links, text
 from ..operators import fold, merge, store
+from ..operators import postings as job_postings
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
 from ..session import removed, scratch
-from ..sources import mail, tables
+from ..sources import job_pages, mail, tables
 from . import checks, evaluation, models, semantic, threads
 from .build import Frames, publish, read_published
 from .metrics import Metrics
@@ -186,6 +187,7 @@ MAIL: dict[str, Callable[[DataFrame], DataFrame]] = {
     "evaluation_confusion": cells,
     "evaluation_by_class": lambda read: evaluation.scores(cells(read)),
     "evaluation_gate": lambda read: evaluation.gate(cells(read)),
+    "mail_links": lambda read: read.select("message_id", links.best_link("body").alias("link")).select("message_id", "link.url", "link.score"),
     "thread_states": lambda read: fold.states(threads.folded(read, AS_OF)),
     "thread_events": lambda read: fold.events(threads.folded(read, AS_OF)),
 }
@@ -195,6 +197,10 @@ def of_mail(name: str) -> Query:
     return lambda spark, sf_dir: MAIL[name](evaluation.read(mail.mail(spark, sf_dir)))
 
 
+def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job_postings.extracted(job_pages.job_pages(spark, sf_dir))
+
+
 METRICS = "kpis period_compare funnel sankey weekly_velocity monthly_cohorts platform_performance response_survival response_time_buckets weekday_performance activity_calendar status_mix stage_timing company_leaderboard follow_up_queue transitions recent_activity data_quality applications parser_quality filter_options date_bounds".split()
 MODELS = "milestones fct_applications fct_status_events dim_date dim_company dim_industry dim_job_type dim_role_family dim_seniority dim_platform dim_status".split()
 
@@ -204,6 +210,6 @@ def queries() -> dict[str, Query]:
     found["kpis_filtered"] = metric("kpis", filters=FILTER)
     found |= {f"segment_{s}": metric("segment_performance", s) for s in SEGMENTS}
     found |= {n: of_model(n) for n in (*MODELS, "stg_applications", "stg_messages")} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months, "data_tests": data_tests}
-    found |= {n: of_store(n) for n in (*STORE, *MERGE, *SEMANTIC)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages)}
+    found |= {n: of_store(n) for n in (*STORE, *MERGE, *SEMANTIC)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages, page_postings)}
     found |= {n: of_mail(n) for n in MAIL}
     return found | {f"drill_{n}": drill(n) for n in DRILL_SETS}
