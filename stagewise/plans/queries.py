@@ -13,9 +13,9 @@ from ..functions import links, text
 from ..operators import fold, merge, store
 from ..operators import postings as job_postings
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
-from ..session import removed, scratch
+from ..session import removed, scratch, stash
 from ..sources import job_pages, mail, tables
-from . import checks, evaluation, models, semantic, threads
+from . import checks, evaluation, models, semantic, threads, upkeep
 from .build import Frames, publish, read_published
 from .metrics import Metrics
 
@@ -151,7 +151,7 @@ SEMANTIC = {
 
 
 def of_store(name: str) -> Query:
-    return lambda spark, sf_dir: (STORE | MERGE | SEMANTIC)[name](frames(spark, sf_dir))
+    return lambda spark, sf_dir: (STORE | MERGE | SEMANTIC | upkeep.STORE)[name](frames(spark, sf_dir))
 
 
 def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,13 +188,25 @@ MAIL: dict[str, Callable[[DataFrame], DataFrame]] = {
     "evaluation_by_class": lambda read: evaluation.scores(cells(read)),
     "evaluation_gate": lambda read: evaluation.gate(cells(read)),
     "mail_links": lambda read: read.select("message_id", links.best_link("body").alias("link")).select("message_id", "link.url", "link.score"),
+    "repair_plan": lambda read: upkeep.repairs(read, EVENTS),
+    "repaired_rows": lambda read: upkeep.repaired_rows(read, EVENTS),
+    "review_plan": upkeep.review_plan,
+    "review_results": lambda read: upkeep.review_results(read, EVENTS),
     "thread_states": lambda read: fold.states(threads.folded(read, AS_OF)),
     "thread_events": lambda read: fold.events(threads.folded(read, AS_OF)),
 }
 
 
+#: Queries that use what was read more than once, or filter by it: it is written first, so that no message is read again for each condition.
+READ_ONCE = frozenset("repair_plan repaired_rows review_plan review_results thread_states thread_events".split())
+
+
 def of_mail(name: str) -> Query:
-    return lambda spark, sf_dir: MAIL[name](evaluation.read(mail.mail(spark, sf_dir)))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        read = evaluation.read(mail.mail(spark, sf_dir))
+        return MAIL[name](stash(read, "mail") if name in READ_ONCE else read)
+
+    return run
 
 
 def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +222,6 @@ def queries() -> dict[str, Query]:
     found["kpis_filtered"] = metric("kpis", filters=FILTER)
     found |= {f"segment_{s}": metric("segment_performance", s) for s in SEGMENTS}
     found |= {n: of_model(n) for n in (*MODELS, "stg_applications", "stg_messages")} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months, "data_tests": data_tests}
-    found |= {n: of_store(n) for n in (*STORE, *MERGE, *SEMANTIC)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages, page_postings)}
+    found |= {n: of_store(n) for n in (*STORE, *MERGE, *SEMANTIC, *upkeep.STORE)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages, page_postings)}
     found |= {n: of_mail(n) for n in MAIL}
     return found | {f"drill_{n}": drill(n) for n in DRILL_SETS}
