@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, verdicts
+from ..functions import names, text, verdicts
 from ..functions.expr import pct
 
 NONE, MISSED, ANY = "(none)", "(missed)", "(event)"
@@ -73,3 +73,16 @@ def gate(cells: DataFrame) -> DataFrame:
     df = cells.where("dimension = 'all'").agg(total(is_event & found).alias("tp"), total(~is_event & found).alias("fp"), total(is_event & ~found).alias("fn"), total(is_event & (F.col("expected") == F.col("predicted"))).alias("right"), total(is_event).alias("events"))
     f1, status = pct(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), pct(F.col("right"), F.col("events"))
     return df.select("tp", "fp", "fn", f1.alias("f1_pct"), status.alias("status_pct"), F.coalesce((f1 >= LEAST_F1) & (status >= LEAST_STATUS), F.lit(False)).alias("passes"))
+
+
+def employers(read_mail: DataFrame) -> DataFrame:
+    """(message_id, truth_name, employer, witness): whom each message names; Unknown, by no witness, if nobody."""
+    told = read_mail.select("message_id", F.col("employer").alias("truth_name"), names.witnesses("sender", "subject", "snippet").alias("said"))
+    found = told.select("message_id", "truth_name", names.resolved(F.col("said")).alias("found"))
+    return found.select("message_id", "truth_name", F.coalesce("found.name", F.lit("Unknown")).alias("employer"), F.coalesce("found.witness", F.lit("none")).alias("witness"))
+
+
+def named(found: DataFrame) -> DataFrame:
+    """By witness: messages, and how many of them name the right employer, to the letter and leniently, in percent."""
+    exact, lenient = F.col("employer") == F.col("truth_name"), names.normal("employer") == names.normal("truth_name")
+    return found.groupBy("witness").agg(F.count(F.lit(1)).alias("messages"), pct(F.count_if(exact), F.count(F.lit(1))).alias("exact_pct"), pct(F.count_if(lenient), F.count(F.lit(1))).alias("lenient_pct"))

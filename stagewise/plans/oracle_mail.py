@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..domain import RANK
-from ..functions import links, text
+from ..functions import links, names, text
 from ..functions import verdicts as v
 from ..sources import job_pages, mail
 from .oracle import labelled, own_words, put_back, quoted, rate, without_parameters
@@ -173,3 +173,28 @@ bare AS (SELECT *, {without_parameters('link')} AS url, lower(substr(body, great
 points AS (SELECT *, CASE WHEN {matches('before', links.CONTEXT)} THEN 4 ELSE 0 END + CASE WHEN {matches('lower(url)', links.HOST)} THEN 3 ELSE 0 END + CASE WHEN {matches('lower(url)', links.PATH)} THEN 2 ELSE 0 END - CASE WHEN {matches('lower(url)', links.EXCLUDED)} THEN 10 ELSE 0 END AS score FROM bare),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, i) AS rn FROM points WHERE score > 0) WHERE rn = 1)"""
 SQL["mail_links"] = f"{LINKS} SELECT c.message_id, regexp_replace(coalesce(url, ''), {quoted(links.TRAILING)}, '') AS url, coalesce(score, 0) AS score FROM cut c LEFT JOIN top USING (k)"
+
+
+def phrase(x: str, patterns) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, {quoted(p)}, 1), '')" for p in patterns) + ", '')"
+
+
+#: A label is spelt if it matches a pattern made of the name: each word whole or by its first letter, legal forms perhaps.
+SPELT = f"""'^' || array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(c), '[^a-z0-9. ]', '', 'g'), ' '), lambda w: w <> ''), lambda w: '(?:' || replace(w, '.', '[.]') || '|' || replace(w[1], '.', '[.]') || CASE WHEN w IN {names.LEGAL} THEN '|' ELSE '' END || ')'), '') || '$'"""
+NAMES = f"""{MAIL}, lab AS (SELECT *, CASE WHEN {matches("lower(regexp_extract(sender, '@(?:[\\w-]+\\.)*([\\w-]+)\\.[A-Za-z]+', 1))", names.PLATFORM_HOSTS)} THEN '' ELSE lower(regexp_extract(sender, '@(?:[\\w-]+\\.)*([\\w-]+)\\.[A-Za-z]+', 1)) END AS label FROM r),
+cand AS (SELECT k, label, unnest(regexp_extract_all(subject || chr(10) || snippet, {quoted(f"({names.NAME})")}, 1)) AS c FROM lab),
+spelt AS (SELECT k, max(struct_pack(l := length(c), n := c)).n AS n FROM cand WHERE length(label) >= 3 AND regexp_matches(label, {SPELT}) GROUP BY k),
+says AS (SELECT k, message_id, employer AS truth_name, unnest([coalesce(spelt.n, ''), {phrase('subject', names.SUBJECT_PHRASES)}, CASE WHEN {matches('sender', names.PERSON)} AND NOT {matches('sender', names.OFFICE)} THEN '' ELSE regexp_extract(sender, '^(.+) <', 1) END, {phrase('snippet', names.BODY_PHRASES)}, upper(label[1]) || label[2:]]) AS said,
+  unnest({list(names.WITNESSES)}) AS witness, unnest([1, 2, 3, 4, 5]) AS i FROM lab LEFT JOIN spelt USING (k)),
+good AS (SELECT *, regexp_replace(trim(said), '[ ,;:!?-]+$', '') AS name FROM says),
+heard AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS n FROM good WHERE NOT {matches('name', names.NOT_NAMES)} AND length(name) >= 3),
+up AS (
+  SELECT k, message_id, truth_name, n, name, witness FROM heard WHERE n = 1 UNION ALL
+  SELECT up.k, up.message_id, up.truth_name, h.n, CASE WHEN starts_with(lower(h.name), lower(up.name) || ' ') AND len(string_split(h.name, ' ')) - len(string_split(up.name, ' ')) <= 3 THEN h.name ELSE up.name END,
+    CASE WHEN starts_with(lower(h.name), lower(up.name) || ' ') AND len(string_split(h.name, ' ')) - len(string_split(up.name, ' ')) <= 3 THEN h.witness ELSE up.witness END FROM up JOIN heard h ON h.k = up.k AND h.n = up.n + 1),
+who AS (SELECT m.message_id, m.employer AS truth_name, coalesce(arg_max(name, n), 'Unknown') AS employer, coalesce(arg_max(witness, n), 'none') AS witness FROM m LEFT JOIN up USING (k) GROUP BY 1, 2)""".replace("WITH ", "WITH RECURSIVE ", 1)
+NORMAL = "array_to_string(list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w NOT IN ('', " + ", ".join(f"'{x}'" for x in names.LEGAL if "." not in x) + ")), ' ')"
+SQL |= {
+    "mail_employers": f"{NAMES} SELECT message_id, employer, witness FROM who",
+    "evaluation_employers": f"{NAMES}, x AS (SELECT witness, count(*) AS messages, count(CASE WHEN employer = truth_name THEN 1 END) AS e, count(CASE WHEN {NORMAL.format('employer')} = {NORMAL.format('truth_name')} THEN 1 END) AS l FROM who GROUP BY 1) SELECT witness, messages, {rate('e', 'messages')} AS exact_pct, {rate('l', 'messages')} AS lenient_pct FROM x",
+}

@@ -188,6 +188,8 @@ MAIL: dict[str, Callable[[DataFrame], DataFrame]] = {
     "evaluation_by_class": lambda read: evaluation.scores(cells(read)),
     "evaluation_gate": lambda read: evaluation.gate(cells(read)),
     "mail_links": lambda read: read.select("message_id", links.best_link("body").alias("link")).select("message_id", "link.url", "link.score"),
+    "mail_employers": lambda read: evaluation.employers(read).drop("truth_name"),
+    "evaluation_employers": lambda read: evaluation.named(evaluation.employers(read)),
     "repair_plan": lambda read: upkeep.repairs(read, EVENTS),
     "repaired_rows": lambda read: upkeep.repaired_rows(read, EVENTS),
     "review_plan": upkeep.review_plan,
@@ -198,7 +200,7 @@ MAIL: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 #: Queries that use what was read more than once, or filter by it: it is written first, so that no message is read again for each condition.
-READ_ONCE = frozenset("repair_plan repaired_rows review_plan review_results thread_states thread_events".split())
+READ_ONCE = frozenset("repair_plan repaired_rows review_plan review_results thread_states thread_events mail_employers evaluation_employers".split())
 
 
 def of_mail(name: str) -> Query:
