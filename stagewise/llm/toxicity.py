@@ -6,10 +6,10 @@ deterministic as words ask for it, so that looking a word up takes one step a ch
 few. Words of LEAST_FUZZY letters or more match within one edit (a letter more, less, other, or two exchanged),
 shorter words exactly. A word that clean texts use themselves is no misspelling.
 
-Each hit scores its term's weight, less MISSPELT for an edit. Its window of words tells where the score goes: hits inside
-quotation marks or near a word of reporting are summed apart from the others, and hits near a second person once more.
-A logistic regression over these sums gives the probability; its few coefficients are fitted on the same sample, so
-how much less a quotation counts, and how much more an address, is learned. Exact and misspelt hits share their sums.
+Each hit scores its term's weight, a misspelt one a share of it. Its window of words tells where the score goes: hits inside
+quotation marks or near a word of reporting are quotations, of which a share counts, but not those near a second person:
+who is addressed is not quoted. Both shares are documented priors, MISSPELT and QUOTED, and are learned instead where
+LEAST_SEEN labelled rows or more hold such hits: those that make the labels likeliest. A logistic regression over the sums gives the probability.
 """
 
 from __future__ import annotations
@@ -32,10 +32,12 @@ WINDOW = 6
 REPORTING = frozenset("said says wrote called quoted quote quotes word term phrase insult slur citation dit mot sagte schrieb wort zitat dijo palabra cita".split())
 SECOND = frozenset("you your youre u ya tu vous toi du dich dein ihr tú usted vosotros".split())
 QUOTES = frozenset("\"“”„«»")
-#: Sums of hits: outside quotations, inside, and near a second person.
-SUMS = ("said", "quoted", "addressed")
-#: What an edit takes of a hit's score.
-MISSPELT = 0.5
+#: Sums of hits' weights: outside quotations, inside, and near a second person; of words as they are, then of misspelt ones.
+SUMS = ("said", "quoted", "addressed", "said_misspelt", "quoted_misspelt", "addressed_misspelt")
+#: The share of its weight that a quoted hit, and a misspelt one, has where too few labelled rows tell otherwise.
+QUOTED, MISSPELT = 0.4, 0.5
+#: Labelled rows with such hits from which a share is learned, and the shares that are tried.
+LEAST_SEEN, SHARES = 50, tuple(i / 10 for i in range(1, 11))
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 200_000
 
@@ -130,7 +132,7 @@ class Scorer:
         self.automaton = Automaton(list(words))
         self.innocent = innocent
         self.seen: set[str] = set()
-        self.hits: dict[str, float] = {}
+        self.hits: dict[str, tuple[str, float]] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.seen) > REMEMBERED:
@@ -139,10 +141,11 @@ class Scorer:
         for w in words - self.seen:
             plain = bare(w)
             if (found := self.automaton.match(plain)) and (found[0] == "exact" or plain not in self.innocent):
-                self.hits[w] = self.weight[found[1]] * (1 if found[0] == "exact" else 1 - MISSPELT)
+                self.hits[w] = ("" if found[0] == "exact" else "_misspelt", self.weight[found[1]])
         self.seen |= words
 
     def features(self, text: str) -> list[float]:
+        """The SUMS of a text."""
         words = text.lower().split()
         distinct = set(words)
         self.learn(distinct)
@@ -151,19 +154,35 @@ class Scorer:
             quotes = 0
             for i, w in enumerate(words):
                 marks = sum(c in QUOTES for c in w)
-                if weight := self.hits.get(w):
+                if hit := self.hits.get(w):
+                    kind, weight = hit
                     near = {bare(x) for x in words[max(0, i - WINDOW) : i + WINDOW + 1]}
-                    sums["quoted" if quotes % 2 or marks == 2 or near & REPORTING else "said"] += weight
-                    if near & SECOND:
-                        sums["addressed"] += weight
+                    addressed = bool(near & SECOND)
+                    quoted = not addressed and bool(quotes % 2 or marks == 2 or near & REPORTING)
+                    sums[("quoted" if quoted else "said") + kind] += weight
+                    if addressed:
+                        sums["addressed" + kind] += weight
                 quotes += marks
-        return [math.log1p(sums[k]) for k in SUMS]
+        return [sums[k] for k in SUMS]
+
+
+def weighed(sums: np.ndarray, quoted: float, misspelt: float) -> np.ndarray:
+    """Two columns from the SUMS of texts: all hits by their shares, and those that address someone; as logarithms."""
+    plain = sums[:, :3] + misspelt * sums[:, 3:]
+    return np.log1p(np.stack([plain[:, 0] + quoted * plain[:, 1], plain[:, 2]], axis=1))
 
 
 class Model(NamedTuple):
     words: dict[str, float]
     innocent: frozenset[str]
+    #: intercept, of all hits, of hits that address someone
     coefficients: list[float]
+    quoted: float = QUOTED
+    misspelt: float = MISSPELT
+
+    def log_odds(self, sums: np.ndarray) -> np.ndarray:
+        first, *rest = self.coefficients
+        return first + weighed(sums.reshape(-1, len(SUMS)), self.quoted, self.misspelt) @ np.array(rest)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -217,7 +236,7 @@ def fit(
     n_pos, n_neg = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not n_pos or not n_neg:
         rows.unpersist()
-        return Model({}, frozenset(), [math.log((n_pos + 0.5) / (n_neg + 0.5)), *[0.0] * len(SUMS)])
+        return Model({}, frozenset(), [math.log((n_pos + 0.5) / (n_neg + 0.5)), 0.0, 0.0])
     odds = F.log((F.col("pos") + 0.5) / n_pos) - F.log((F.col("neg") + 0.5) / n_neg)
     error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     strong = (F.col("pos") >= max(least_texts, least_share * n_pos)) & (odds >= math.log(least_odds)) & (odds - 1.96 * error >= math.log(surely))
@@ -234,7 +253,23 @@ def fit(
 
     got = rows.mapInArrow(measured, "toxic int, " + ", ".join(f"{k} double" for k in SUMS)).toPandas()
     rows.unpersist()
-    return Model(words, innocent, logistic(got[list(SUMS)].to_numpy(), (got["toxic"] == 1).to_numpy()))
+    sums, toxic = got[list(SUMS)].to_numpy(), (got["toxic"] == 1).to_numpy()
+    quoted, misspelt_share = shares(sums, toxic)
+    return Model(words, innocent, logistic(weighed(sums, quoted, misspelt_share), toxic), quoted, misspelt_share)
+
+
+def shares(sums: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """The shares of quoted and of misspelt hits that make the labels likeliest; the priors where fewer than LEAST_SEEN rows have such hits."""
+    quoted = SHARES if (sums[:, [1, 4]].sum(axis=1) > 0).sum() >= LEAST_SEEN else (QUOTED,)
+    misspelt_ones = SHARES if (sums[:, 3:].sum(axis=1) > 0).sum() >= LEAST_SEEN else (MISSPELT,)
+
+    def likelihood(q: float, m: float) -> float:
+        x = weighed(sums, q, m)
+        first, *rest = logistic(x, toxic)
+        z = np.clip(first + x @ np.array(rest), -30, 30)
+        return float((toxic * z - np.logaddexp(0, z)).sum())
+
+    return max(((q, m) for q in quoted for m in misspelt_ones), key=lambda x: likelihood(*x)) if len(quoted) * len(misspelt_ones) > 1 else (quoted[0], misspelt_ones[0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> list[float]:
@@ -264,10 +299,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.words, model.innocent)
-        first, *rest = model.coefficients
         for b in batches:
-            x = np.array([scorer.features(t.as_py() or "") for t in b.column(1)]).reshape(b.num_rows, len(SUMS))
-            p = 1 / (1 + np.exp(-np.clip(first + x @ np.array(rest), -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(model.log_odds(np.array([scorer.features(t.as_py() or "") for t in b.column(1)])), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
@@ -277,13 +310,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, that are not predicted toxic. A null text is empty; rows are judged one by one, by their
     text alone; rows without an id are judged like others; no rows give no rows."""
-    first, *rest = model.coefficients
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.words, model.innocent)
         for b in batches:
             text = b.column(b.schema.get_field_index("text"))
-            x = np.array([scorer.features(t.as_py() or "") for t in text]).reshape(b.num_rows, len(SUMS))
-            yield b.filter(pa.array(first + x @ np.array(rest) < 0))
+            yield b.filter(pa.array(model.log_odds(np.array([scorer.features(t.as_py() or "") for t in text])) < 0))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -221,18 +221,19 @@ def test_lone_weak_links_join_classes(spark):
     assert got == {0}
 
 
+def edits(a, b):
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
 def test_automaton_as_edit_distance():
     """Edits are letters more, less or other, and neighbours exchanged."""
 
-    def edits(a, b):
-        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
-        return d[len(a), len(b)]
-
     rng = random.Random(1)
     lexicon = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 9))) for _ in range(60)})
     automaton = toxicity.Automaton(lexicon)
@@ -268,7 +269,53 @@ def test_toxicity_on_held_out_rows(spark):
     scorer = toxicity.Scorer({"flimzard": 2.0}, frozenset(["flimward"]))
     quoted, direct, plain = (scorer.features(t) for t in ('they said "flimzard" here', "you are flimzard here", "a flimzard here"))
     assert quoted[0] == 0 < quoted[1] and direct[0] == plain[0] > 0 and direct[2] > 0 == plain[2]
-    assert scorer.features("a lfimzard here")[0] > 0 == scorer.features("a flimward here")[0]
+    assert scorer.features("a lfimzard here")[3] > 0 == scorer.features("a flimward here")[3]
+
+
+def plain_sums(text, lexicon, innocent):
+    """SUMS of a text, word by word, every word held against every term."""
+    words, sums, quotes = text.lower().split(), dict.fromkeys(toxicity.SUMS, 0.0), 0
+    for i, w in enumerate(words):
+        marks, word = sum(c in toxicity.QUOTES for c in w), toxicity.bare(w)
+        close = sorted(t for t in lexicon if len(t) >= toxicity.LEAST_FUZZY and edits(word, t) <= 1)
+        kind, term = ("", word) if word in lexicon else ("_misspelt", close[0]) if close and word not in innocent else ("", None)
+        if term:
+            near = {toxicity.bare(x) for x in words[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1]}
+            if near & toxicity.SECOND:
+                sums["said" + kind] += lexicon[term]
+                sums["addressed" + kind] += lexicon[term]
+            else:
+                sums[("quoted" if quotes % 2 or marks == 2 or near & toxicity.REPORTING else "said") + kind] += lexicon[term]
+        quotes += marks
+    return [sums[k] for k in toxicity.SUMS]
+
+
+def test_sums_and_scores_against_a_plain_walk(spark):
+    rng = random.Random(21)
+    lexicon, innocent = {"flimzard": 2.0, "grob": 1.5, "grobnik": 3.0}, frozenset(["flimward"])
+    parts = ["flimzard", "flimzrad", "limzard", "flimward", "grob", "grub", "grobnik,", "gorbnik", "you", "said", '"', '"grob"', "a", "b", "the", "of", "c", "Flimzard!", "d", "e"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(400)]
+    scorer, model = toxicity.Scorer(lexicon, innocent), toxicity.Model(lexicon, innocent, [-2.0, 1.5, 0.5], 0.3, 0.6)
+    plain = [plain_sums(t, lexicon, innocent) for t in texts]
+    assert [scorer.features(t) for t in texts] == plain
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, (a, b, c, d, e, f) in enumerate(plain):
+        z = -2.0 + 1.5 * np.log1p(a + 0.6 * d + 0.3 * (b + 0.6 * e)) + 0.5 * np.log1p(c + 0.6 * f)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-12
+    assert len({tuple(x > 0 for x in p) for p in plain}) > 12
+
+
+def test_shares_are_priors_until_enough_rows_tell():
+    rng = np.random.default_rng(1)
+    sums = np.zeros((2000, 6))
+    sums[:400, 0], sums[400:420, 1] = 2, 2
+    toxic = rng.random(2000) < np.where(sums[:, 0] > 0, 0.95, np.where(sums[:, 1] > 0, 0.5, 0.05))
+    assert toxicity.shares(sums, toxic) == (toxicity.QUOTED, toxicity.MISSPELT)
+    sums[400:800, 1] = 2  # as toxic as if said
+    toxic[400:800] = rng.random(400) < 0.95
+    assert toxicity.shares(sums, toxic)[0] >= 0.8
+    toxic[400:800] = rng.random(400) < 0.05  # as clean as if nothing were said
+    assert toxicity.shares(sums, toxic)[0] == toxicity.SHARES[0]
 
 
 def test_toxicity_on_held_out_labels(spark):
@@ -277,15 +324,16 @@ def test_toxicity_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     model = toxicity.fit(docs, labels)
     rows = docs.join(labels, "doc_id").where(toxicity.held_out()).select("text", "toxic").collect()
-    first, *rest = model.coefficients
-
     scorer = toxicity.Scorer(model.words, model.innocent)
-    got = np.array([first + float(np.dot(scorer.features(r["text"] or ""), rest)) for r in rows])
+    got = model.log_odds(np.array([scorer.features(r["text"] or "") for r in rows]))
     toxic = np.array([r["toxic"] == 1 for r in rows])
     auc = (got[toxic][:, None] > got[~toxic][None]).mean() + (got[toxic][:, None] == got[~toxic][None]).mean() / 2
     recall, specificity = (got[toxic] >= 0).mean(), (got[~toxic] < 0).mean()
     print(f"AUC {auc:.3f}, recall {recall:.3f}, specificity {specificity:.3f}")
-    assert auc >= 0.96 and recall >= 0.9 and specificity >= 0.99
+    assert auc >= 0.96 and recall >= 0.92 and specificity >= 0.99
+    word = next(iter(model.words))
+    plain, quoted, direct, evading = (float(model.log_odds(np.array(scorer.features(t)))[0]) for t in (word, f'they said "{word}" in the report', f"you are {word}", f"you are, as they said, {word}"))
+    assert model.coefficients[0] < quoted < 0 < plain < direct and evading == direct  # a quotation counts less, but not nothing
 
 
 def test_fingerprints_and_edits(docs):

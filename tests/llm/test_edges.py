@@ -13,7 +13,7 @@ ON_DOCS = {
     "near_dedup": neardup.classes,
     "bpe": lambda d: bpe.round_trip(d, RANKS, PATTERN),
     "token_file": lambda d: tokenfile.round_trip(d, WORDS),
-    "toxicity": lambda d: toxicity.score(d, toxicity.Model({"awful": 2.0}, frozenset(), [-1.0, 2.0, 0.5, 1.0])),
+    "toxicity": lambda d: toxicity.score(d, toxicity.Model({"awful": 2.0}, frozenset(), [-1.0, 2.0, 0.5])),
     "mix": mixing.mix,
     "simhash": fingerprint.search,
     "quality": quality.assess,
