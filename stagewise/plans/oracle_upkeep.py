@@ -40,4 +40,6 @@ SQL = {
       SELECT message_id, month, cost, CASE WHEN NOT afforded THEN 'over budget' WHEN n > 400 THEN 'over cap' ELSE 'ask' END AS plan FROM c UNION ALL SELECT message_id, month, cost, 'cached' FROM q WHERE k % 3 = 0""",
     "review_results": f"""{DOUBT}, x AS (SELECT ty.*, q.k IS NOT NULL AND ty.k % 3 = 0 AND CAST(ty.k % 100 AS DOUBLE) / 100 >= 0.6 AS sure FROM ty LEFT JOIN (SELECT k FROM q) q USING (k))
       SELECT message_id, CASE WHEN sure THEN event ELSE is_valid END AS is_valid, CASE WHEN sure AND event THEN truth ELSE detected_status END AS detected_status, CAST(CASE WHEN sure THEN CAST(k % 100 AS DOUBLE) / 100 ELSE confidence END AS DOUBLE) AS confidence, CASE WHEN sure THEN 'llm' ELSE 'rules' END AS parsed_by FROM x""",
+    "first_seen_customers": """WITH l AS (SELECT 1 AS listing, o_orderkey AS position, o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 2, o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 3, o_orderkey, o_custkey FROM orders),
+      f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY listing, position) AS rn FROM l) SELECT id, listing, position, row_number() OVER (ORDER BY listing, position, id) AS n FROM f WHERE rn = 1""",
 }

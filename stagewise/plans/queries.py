@@ -15,6 +15,7 @@ from ..operators import postings as job_postings
 from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
 from ..session import removed, scratch, stash
 from ..sources import job_pages, mail, tables
+from ..streaming import retries
 from . import checks, evaluation, models, semantic, threads, upkeep
 from .build import Frames, publish, read_published
 from .metrics import Metrics
@@ -215,6 +216,13 @@ def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_postings.extracted(job_pages.job_pages(spark, sf_dir))
 
 
+def first_seen_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in the order in which three listings of orders name them: urgent ones, open ones, all."""
+    orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id"), "o_orderpriority", "o_orderstatus")
+    listings = F.array(F.when(F.col("o_orderpriority") == "1-URGENT", 1), F.when(F.col("o_orderstatus") == "O", 2), F.lit(3))
+    return retries.first_seen(orders.select(F.explode(F.array_compact(listings)).alias("listing"), F.col("o_orderkey").alias("position"), "id"))
+
+
 METRICS = "kpis period_compare funnel sankey weekly_velocity monthly_cohorts platform_performance response_survival response_time_buckets weekday_performance activity_calendar status_mix stage_timing company_leaderboard follow_up_queue transitions recent_activity data_quality applications parser_quality filter_options date_bounds".split()
 MODELS = "milestones fct_applications fct_status_events dim_date dim_company dim_industry dim_job_type dim_role_family dim_seniority dim_platform dim_status".split()
 
@@ -224,6 +232,6 @@ def queries() -> dict[str, Query]:
     found["kpis_filtered"] = metric("kpis", filters=FILTER)
     found |= {f"segment_{s}": metric("segment_performance", s) for s in SEGMENTS}
     found |= {n: of_model(n) for n in (*MODELS, "stg_applications", "stg_messages")} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months, "data_tests": data_tests}
-    found |= {n: of_store(n) for n in (*STORE, *MERGE, *SEMANTIC, *upkeep.STORE)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages, page_postings)}
+    found |= {n: of_store(n) for n in (*STORE, *MERGE, *SEMANTIC, *upkeep.STORE)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages, page_postings, first_seen_customers)}
     found |= {n: of_mail(n) for n in MAIL}
     return found | {f"drill_{n}": drill(n) for n in DRILL_SETS}

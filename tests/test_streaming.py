@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from stagewise.streaming import messages
+from stagewise.streaming import messages, retries
 
 SCHEMA = "event_id long, key long, ts timestamp_ntz, status string"
 START = datetime(2024, 1, 1, 12)
@@ -50,3 +50,37 @@ def test_what_is_older_than_a_time_out_revives_nothing(spark, tmp_path):
     stream = messages.read_events(spark, path, SCHEMA).withWatermark("ts", "1 day").select("key", "ts", "status")
     got = [(r["status"], r["ghosted"]) for r in drained(messages.fold_status(stream), "revived") if r["key"] == 1]
     assert got == [("Interview", False), ("Ghosted", True), ("Offer", False)]
+
+
+def test_bodies_that_failed_are_read_again(spark, tmp_path):
+    def at(name):
+        return f"{tmp_path}/{name}"
+
+    def fetch(batch):  # message i can be read at attempt i modulo 5; two of five never in time
+        i = F.col("message_id").cast("int")
+        return batch.withColumn("body", F.when(F.col("attempts") >= i % 5, F.concat(F.lit("body "), "message_id")))
+
+    def arrive(ids, day):
+        spark.createDataFrame([(str(i), START + timedelta(days=day)) for i in ids], retries.MESSAGE).coalesce(1).write.mode("append").parquet(at("new"))
+
+    def run():
+        retries.read_with_retries(spark, at("new"), at("dead"), at("out"), fetch, at("checkpoint")).awaitTermination()
+        return spark.read.schema("message_id string, arrived timestamp, attempts int, body string").option("recursiveFileLookup", True).parquet(at("out"))
+
+    arrive(range(10), 0)
+    assert {r["message_id"] for r in run().collect()} == {"0", "5"}
+    arrive([*range(10, 15), 0], 1)  # one is delivered twice
+    assert {r["message_id"] for r in run().collect()} == {"0", "5", "1", "6", "10"}
+    for _ in range(4):
+        out = run()
+    rows = {r["message_id"]: r for r in retries.first_arrivals(out).collect()}
+    assert out.count() == 16 and len(rows) == 15
+    assert {i for i, r in rows.items() if r["body"]} == {str(i) for i in range(15) if i % 5 < 3}
+    assert all(r["attempts"] == (int(i) % 5 + 1 if r["body"] else 3) for i, r in rows.items())
+    assert rows["0"]["arrived"] == START
+
+
+def test_ids_in_the_order_in_which_they_were_first_seen(spark):
+    rows = [(2, 1, "a"), (1, 2, "b"), (1, 1, "c"), (2, 2, "c"), (3, 1, None), (3, 2, "d"), (2, 3, "d")]
+    got = retries.first_seen(spark.createDataFrame(rows, "listing int, position int, id string")).orderBy("n").collect()
+    assert [(r["id"], r["n"]) for r in got] == [("c", 1), ("b", 2), ("a", 3), ("d", 4)]
