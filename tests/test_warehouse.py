@@ -21,7 +21,7 @@ from stagewise.functions import text, verdicts
 from stagewise.operators import merge, store
 from stagewise.operators.filters import Filters
 from stagewise.operators.prefix import running
-from stagewise.plans import checks, evaluation, models, oracle, oracle_mail, queries
+from stagewise.plans import checks, evaluation, models, oracle, oracle_mail, oracle_upkeep, queries
 from stagewise.plans.build import Frames, build, publish, read_published
 from stagewise.plans.metrics import Metrics
 from stagewise.sources import mail, tables
@@ -43,13 +43,13 @@ def rows_of(names, rows):
     return sorted((tuple(plain(r[i]) for i in keep) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["stg_applications", "stg_messages", "fct_applications", "parser_quality", "kpis", "kpis_filtered", "segment_seniority", "data_tests", "dim_platform", "drill_follow_up", *queries.STORE, *queries.MERGE, *queries.SEMANTIC, *queries.MAIL, "text_messages", "text_job_types", "html_pages"])
+@pytest.mark.parametrize("name", ["stg_applications", "stg_messages", "fct_applications", "parser_quality", "kpis", "kpis_filtered", "segment_seniority", "data_tests", "dim_platform", "drill_follow_up", *queries.STORE, *queries.MERGE, *queries.SEMANTIC, "mail_tiers", "mail_statuses", "mail_labels", "mail_links", "mail_employers", "evaluation_by_class", "thread_states", "thread_events", "repair_plan", "review_plan", "edit_status", "edit_valid_events", "migration_events", "page_postings", "first_seen_customers", "text_messages", "text_job_types", "html_pages"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents labels pages conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries.queries()[name](spark, SF)
-    sql = con.sql((oracle.SQL | oracle_mail.SQL)[name])
+    sql = con.sql((oracle.SQL | oracle_mail.SQL | oracle_upkeep.SQL)[name])
     assert sorted(df.columns) == sorted(sql.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(sql.columns, sql.fetchall())
 
@@ -369,3 +369,26 @@ def test_scores_against_a_plain_count(spark):
     g = evaluation.gate(cells).first()
     assert (g["tp"], g["fp"], g["fn"]) == tuple(sum((r[2] in classes) == a and (r[3] in classes) == b for r in rows) for a, b in ((True, True), (False, True), (True, False)))
     assert not g["passes"] and not evaluation.gate(cells.limit(0)).first()["passes"]
+
+
+def test_drill_sets_hold_what_their_conditions_say(spark):
+    """Sets of applications by their filters are those of the fact's own columns; flows keep all applications; waiting never grows."""
+    facts = queries.frames(spark, SF)["fct_applications"]
+    rows = facts.collect()
+    sets = {
+        "response": lambda r: r["is_response"], "no_response": lambda r: not r["is_response"], "interview": lambda r: r["reached_interview"], "offer": lambda r: r["max_stage_reached"] >= 4, "ghosted": lambda r: r["current_status"] == "Ghosted",
+        "awaiting": lambda r: r["is_active"] and r["max_stage_reached"] == 1, "in_progress": lambda r: r["is_active"] and r["max_stage_reached"] >= 2, "dated_reply": lambda r: r["days_to_response"] is not None,
+    }
+    for name, holds in sets.items():
+        assert {r["application_id"] for r in Filters(reached=(name,)).apply(facts).collect()} == {r["application_id"] for r in rows if holds(r)}, name
+    m = Metrics(queries.frames(spark, SF), queries.AS_OF)
+    waiting = [r["still_waiting_pct"] for r in m.query("response_survival").orderBy("day").collect()]
+    assert waiting == sorted(waiting, reverse=True) and 0 <= waiting[-1] <= waiting[0] <= 100
+    funnel = [r["applications"] for r in m.query("funnel").orderBy("stage_order").collect()]
+    assert funnel[0] == len(rows) and funnel[2:] == sorted(funnel[2:], reverse=True)
+    flows = [tuple(r) for r in m.query("sankey").collect()]
+    names = m.query("sankey").columns
+    source, target, n = (names.index(c) for c in ("source", "target", "applications"))
+    assert sum(f[n] for f in flows if f[source] == "Applied") == len(rows)
+    for stage in ("Assessment", "Interview"):
+        assert sum(f[n] for f in flows if f[target] == stage) >= sum(f[n] for f in flows if f[source] == stage)
