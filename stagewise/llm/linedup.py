@@ -112,6 +112,23 @@ def keyed(lines: DataFrame, max_edits: int) -> DataFrame:
     return rows.select("lid", *small, F.xxhash64("m", "i", F.substring("line", F.col("from"), F.col("size"))).alias("key"))
 
 
+#: A way as one number, since it is sent with each key: max_edits is MOST at most, so `less` has LESS values and `shift` has SHIFTS.
+MOST, LESS, SHIFTS = 2, 3, 5
+#: Whether a way enters the line: `less` and `shift` are zero.
+ENTERS = f"way % {LESS * SHIFTS} = {MOST}"
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """The rows with way instead of less, i and shift."""
+    return rows.withColumn("way", F.expr(f"(i * {LESS} + less) * {SHIFTS} + shift + {MOST}").cast("tinyint")).drop("less", "i", "shift")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The rows with less, i and shift instead of way."""
+    parts = {"less": f"way DIV {SHIFTS} % {LESS}", "i": f"way DIV {LESS * SHIFTS}", "shift": f"way % {SHIFTS} - {MOST}"}
+    return rows.select("*", *(F.expr(e).cast("tinyint").alias(c) for c, e in parts.items())).drop("way")
+
+
 def one_bit(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
 
@@ -376,7 +393,7 @@ def near_lines(docs: DataFrame, known: DataFrame, max_edits: int, least_chars: i
     lines = split_lines(docs).where(F.length("line") >= least_chars).select(F.xxhash64("line").alias("lid"), "at", "line")
     lines = lines.join(frequent, (F.col("lid") == F.col("hot")) & (F.col("at") != F.col("first")), "left_anti")
     own = (F.col("less") == 0) & (F.col("shift") == 0)
-    rows = stash(met(keyed(lines, max_edits), own), "lines-met")
+    rows = stash(unpacked(met(packed(keyed(lines, max_edits)), F.expr(ENTERS))), "lines-met")
     freed(spark)
     chars = F.split("line", "")
     lines = stash(lines_of(docs, known, rows.select("lid").distinct()).withColumns({"odd": parity(chars), "odd_pairs": pair_parity(chars)}), "lines-held")
