@@ -16,7 +16,7 @@ from ..operators.filters import DRILL_SETS, SEGMENTS, Filters
 from ..session import removed, scratch, stash
 from ..sources import job_pages, mail, tables
 from ..streaming import retries
-from . import checks, evaluation, models, semantic, threads, upkeep
+from . import checks, derived, evaluation, export, measures, models, semantic, threads, upkeep
 from .build import Frames, publish, read_published
 from .metrics import Metrics
 
@@ -151,8 +151,21 @@ SEMANTIC = {
 }
 
 
+DERIVED = {
+    "measures": lambda f: measures.measures(f["fct_applications"]),
+    "measure_parity": lambda f: measures.parity(f["fct_applications"], AS_OF),
+    "response_marks": lambda f: derived.response_marks(f["fct_applications"]),
+    "segment_verdicts": lambda f: derived.segment_verdicts(f["fct_applications"]),
+    "fixed_levels": lambda f: derived.fixed_levels(f["fct_applications"]),
+    "month_roles": lambda f: derived.month_roles(f["fct_applications"], f["fct_status_events"]),
+    "largest_drop": lambda f: derived.largest_drop(Metrics(f, AS_OF).query("funnel")),
+    "platform_words": lambda f: derived.platform_words(Metrics(f, AS_OF).query("platform_performance")),
+    "star_csv": lambda f: export.exported(f, scratch(f.spark, "export")),
+}
+
+
 def of_store(name: str) -> Query:
-    return lambda spark, sf_dir: (STORE | MERGE | SEMANTIC | upkeep.STORE)[name](frames(spark, sf_dir))
+    return lambda spark, sf_dir: (STORE | MERGE | SEMANTIC | DERIVED | upkeep.STORE)[name](frames(spark, sf_dir))
 
 
 def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +245,6 @@ def queries() -> dict[str, Query]:
     found["kpis_filtered"] = metric("kpis", filters=FILTER)
     found |= {f"segment_{s}": metric("segment_performance", s) for s in SEGMENTS}
     found |= {n: of_model(n) for n in (*MODELS, "stg_applications", "stg_messages")} | {"stg_events": of_model("stg_status_events"), "rpt_flat_months": rpt_flat_months, "data_tests": data_tests}
-    found |= {n: of_store(n) for n in (*STORE, *MERGE, *SEMANTIC, *upkeep.STORE)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages, page_postings, first_seen_customers)}
+    found |= {n: of_store(n) for n in (*STORE, *MERGE, *SEMANTIC, *DERIVED, *upkeep.STORE)} | {f.__name__: f for f in (text_messages, text_job_types, html_pages, page_postings, first_seen_customers)}
     found |= {n: of_mail(n) for n in MAIL}
     return found | {f"drill_{n}": drill(n) for n in DRILL_SETS}
