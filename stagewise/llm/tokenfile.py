@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import string
 import struct
 import zlib
 from array import array
@@ -57,11 +59,17 @@ class WordIds:
     """Ids of texts, as little-endian bytes. If the tokenizer has the steps of BY_WORDS, word by word, each new word once; else text by text."""
 
     def __init__(self, path: str) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
         self.tokenizer = tokenizer(path)
         steps = json.loads(self.tokenizer.to_str())
-        self.by_words = all(((steps.get(k) or {}).get("normalizers") or (steps.get(k) or {}).get("pretokenizers")) == v for k, v in BY_WORDS.items()) and not steps.get("post_processor")
+        marked = all("<|" in t["content"] for t in steps["added_tokens"])
+        self.by_words = marked and all(((steps.get(k) or {}).get("normalizers") or (steps.get(k) or {}).get("pretokenizers")) == v for k, v in BY_WORDS.items()) and not steps.get("post_processor")
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
+        latin = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()]
+        self.bytewise = str.maketrans({c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in latin})
+        self.apart = re.compile(f"([{''.join(latin)}]+)([{re.escape(string.punctuation)}]*)").fullmatch
 
     def folded(self, text: str) -> bytes:
         """The text in UTF-8; in lower case where that changes no id: the tokenizer lowers too, but not before it has
@@ -75,10 +83,24 @@ class WordIds:
         return text.encode()
 
     def learn(self, words: set[bytes]) -> None:
-        """Ids of new words. Letters and one point or comma are two words to the tokenizer, so the letters' ids serve both; but
-        not if a letter becomes a letter and a mark when it is lowered, as the mark would go with the point."""
+        """Ids of new words. Lower-case letters of Latin-1, and signs after them, are one word each to the tokenizer, on which its
+        first steps do nothing but spell bytes as letters: its model alone encodes them."""
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
+        split = {w: m.groups() for w in words if (m := self.apart(w.decode()))}
+        for x in {x for x, _ in split.values()}:
+            self.known[x.encode()] = self.of_letters(x)
+        self.learn_others(words.difference(split) | {signs.encode() for _, signs in split.values() if signs})
+        for w, (x, signs) in split.items():
+            if signs:
+                self.known[w] = self.known[x.encode()] + self.known[signs.encode()]
+
+    def of_letters(self, letters: str) -> bytes:
+        return array("H" if self.width == 2 else "I", [t.id for t in self.tokenizer.model.tokenize(letters.translate(self.bytewise))]).tobytes()
+
+    def learn_others(self, words: set[bytes]) -> None:
+        """Any other letters and one point or comma are two words to the tokenizer, so the letters' ids serve both; but
+        not if a letter becomes a letter and a mark when it is lowered, as the mark would go with the point."""
         ended = [w for w in words if w[-1:] in (b".", b",") and (rest := w[:-1].decode()).isalpha() and rest.lower().isalpha()]
         plain = list((words.difference(ended) | {w[:-1] for w in ended} | {b".", b","}) - self.known.keys())
         for lo in range(0, len(plain), 4096):

@@ -85,7 +85,8 @@ def test_token_ids_of_odd_strings():
     assert ids.by_words
     rng = random.Random(9)
     parts = ["a", "B", "İ", "ß", "É", "é", "e\u0301", "\u0301", "Σ", "ς", "ﬁ", "ŉ", "1", "²", ".", ",", "'", "'s", "'LL", " ", "\n", "\u00a0", "\u2003", "\x1c", "\x85", "日", "가", "ㄱ", "\u1161", "😀", "<|", "<|endoftext|>", "-", "_", "the", "The"]
-    texts = ["İ,", "x İ.", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(20_000))]
+    parts += ["ª", "µ", "º", "ÿ", "À", "×", "÷", "Ā", "%%%", '"', "(", ";", "|>", "*"]
+    texts = ["İ,", "x İ.", *(f"{chr(c)}{end}" for c in range(0x250) for end in ("", "x", ".", "%\"", "'s", "\u0301")), *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(20_000))]
     for lo in range(0, len(texts), 500):
         for text, got in zip(texts[lo : lo + 500], ids.encode(texts[lo : lo + 500]), strict=True):
             assert np.frombuffer(got, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
