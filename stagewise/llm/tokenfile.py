@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -25,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .align import byte_alphabet
 from .shared import bounded_sample, ranges, scratch, stash, tasks
 from .storage import reading, writing
 
@@ -33,6 +35,9 @@ TAIL = struct.Struct("<QQ8s")
 LEVEL = 3
 #: Words whose ids a Python worker remembers; beyond this it starts anew.
 REMEMBERED = 1_000_000
+#: Words of letters that are encoded as one text.
+TOGETHER = 64
+SIGNS = string.punctuation.encode()
 
 
 @lru_cache(maxsize=2)
@@ -59,17 +64,36 @@ class WordIds:
     """Ids of texts, as little-endian bytes. If the tokenizer has the steps of BY_WORDS, word by word, each new word once; else text by text."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers.pre_tokenizers import ByteLevel
-
         self.tokenizer = tokenizer(path)
         steps = json.loads(self.tokenizer.to_str())
         marked = all("<|" in t["content"] for t in steps["added_tokens"])
         self.by_words = marked and all(((steps.get(k) or {}).get("normalizers") or (steps.get(k) or {}).get("pretokenizers")) == v for k, v in BY_WORDS.items()) and not steps.get("post_processor")
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
-        latin = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()]
-        self.bytewise = str.maketrans({c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in latin})
-        self.apart = re.compile(f"([{''.join(latin)}]+)([{re.escape(string.punctuation)}]*)").fullmatch
+        self.letters = re.compile("(?:[a-z]|{})+".format("|".join(c for c in map(chr, range(128, 256)) if c.isalpha() and c == c.lower())).encode()).fullmatch
+        self.respelt = self.spell(steps["model"])
+
+    def spell(self, model: dict):
+        """The tokenizer's model with one letter for a word's last one and the suffix that marks it there. No merge begins at such a
+        letter, so words can stand one right after another. None for a model that does more than merge, or has other marks.
+        """
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+
+        mark, vocab = model.get("end_of_word_suffix"), model.get("vocab") or {}
+        more = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        spelt = {b: c for c, b in byte_alphabet().items()}
+        alphabet = set(spelt.values())
+        if model["type"] != "BPE" or not mark or more or any(c + x not in vocab for c in spelt.values() for x in ("", mark)):
+            return None
+        if any(mark in (rest := t.removesuffix(mark)) or not rest or not alphabet.issuperset(rest) for t in vocab):
+            return None
+        ends = {c: chr(0xE000 + b) for b, c in spelt.items()}
+        again = {t: t[: -len(mark) - 1] + ends[t[-len(mark) - 1]] if t.endswith(mark) else t for t in vocab}
+        self.inside, self.last = (np.array([ord(x[spelt[b]]) for b in range(256)], "<u2") for x in ({c: c for c in ends}, ends))
+        self.is_last = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_last[[i for t, i in vocab.items() if t.endswith(mark)]] = True
+        return Tokenizer(BPE({again[t]: i for t, i in vocab.items()}, [(again[x], again[y]) for x, y in model["merges"]]))
 
     def folded(self, text: str) -> bytes:
         """The text in UTF-8; in lower case where that changes no id: the tokenizer lowers too, but not before it has
@@ -87,22 +111,35 @@ class WordIds:
         first steps do nothing but spell bytes as letters: its model alone encodes them."""
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        split = {w: m.groups() for w in words if (m := self.apart(w.decode()))}
-        for x in {x for x, _ in split.values()}:
-            self.known[x.encode()] = self.of_letters(x)
-        self.learn_others(words.difference(split) | {signs.encode() for _, signs in split.values() if signs})
-        for w, (x, signs) in split.items():
-            if signs:
-                self.known[w] = self.known[x.encode()] + self.known[signs.encode()]
-
-    def of_letters(self, letters: str) -> bytes:
-        return array("H" if self.width == 2 else "I", [t.id for t in self.tokenizer.model.tokenize(letters.translate(self.bytewise))]).tobytes()
+        split = {w: x for w in words if self.letters(x := w.rstrip(SIGNS))} if self.respelt else {}
+        letters = [x for x in set(split.values()) if x not in self.known]
+        self.known.update(zip(letters, self.of_letters(letters), strict=True))
+        self.learn_others(words.difference(split) | {w[len(x) :] for w, x in split.items() if len(w) > len(x)})
+        for w, x in split.items():
+            if len(w) > len(x):
+                self.known[w] = self.known[x] + self.known[w[len(x) :]]
+
+    def of_letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters only, written one after another."""
+        if not words:
+            return []
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        spelt = self.inside[raw]
+        spelt[ends - 1] = self.last[raw[ends - 1]]
+        text = spelt.tobytes().decode("utf-16-le")
+        at = [0, *ends[TOGETHER - 1 : -1 : TOGETHER].tolist(), len(text)]
+        found = self.respelt.encode_batch_fast([text[i:j] for i, j in pairwise(at)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable([x.ids for x in found]), "<u2" if self.width == 2 else "<u4")
+        cuts = ((np.flatnonzero(self.is_last[ids]) + 1) * self.width).tolist()
+        flat = ids.tobytes()
+        return [flat[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
 
     def learn_others(self, words: set[bytes]) -> None:
         """Any other letters and one point or comma are two words to the tokenizer, so the letters' ids serve both; but
         not if a letter becomes a letter and a mark when it is lowered, as the mark would go with the point."""
         ended = [w for w in words if w[-1:] in (b".", b",") and (rest := w[:-1].decode()).isalpha() and rest.lower().isalpha()]
-        plain = list((words.difference(ended) | {w[:-1] for w in ended} | {b".", b","}) - self.known.keys())
+        plain = [w for w in words.difference(ended) | {w[:-1] for w in ended} | {b".", b","} if w not in self.known]
         for lo in range(0, len(plain), 4096):
             part = plain[lo : lo + 4096]
             self.known.update(zip(part, self.plainly([w.decode() for w in part]), strict=True))
