@@ -4,15 +4,16 @@ Spark deals out the documents; a task takes whole texts in groups of about GROUP
 group that the worker does not know yet go into one table of (word, pos, token), a row per byte. A recursive query
 joins neighbours to the merge table and contracts pairs until no pair is left to merge:
 
-* words of up to LONG bytes: each round contracts the word's leftmost pair of minimum rank;
+* words of up to LONG bytes: each round contracts the word's leftmost pair of minimum rank. A row holds its right neighbour and
+  their merge as well, so that a round needs no order and looks up only the two pairs that the contraction makes anew;
 * longer ones are first cut where two bytes meet that stand side by side in no piece of the vocabulary: no merge ever
   joins them, so what is left and right of the cut is contracted alike on its own. Of parts that are still longer than
   LONG each round contracts, from the left, the occurrences of the minimum-rank pair up to the first that makes a pair
   of a lower rank with a neighbour. Until then all other pairs rank higher, so the leftmost rule takes the same
   occurrences one by one; that pair comes next.
 
-A pretoken that is itself in the vocabulary is that one token. Decoding joins ids to their pieces and aggregates
-them in order; a piece is kept as text with one character a byte.
+A pretoken that is itself in the vocabulary is that one token. Decoding joins ids to their pieces in order and cuts the
+joined pieces into documents.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,17 +39,20 @@ PAIRS = """
   ) s LEFT JOIN merges ON l = tok AND r = following"""
 
 LAST = """
-SELECT word, list(tok ORDER BY pos) AS ids
-FROM (SELECT s.* FROM step s JOIN (SELECT word, max(n) AS n FROM step WHERE pos = 0 GROUP BY word) USING (word, n)) GROUP BY word ORDER BY word"""
+SELECT word AS owner, tok AS value FROM step JOIN (SELECT word, max(n) AS n FROM step WHERE pos = 0 GROUP BY word) USING (word, n) ORDER BY word, pos"""
 
+#: nxt: where the right neighbour, of token following, begins; id: what both merge to. Positions fit in 8 bits, and END is none of them.
+END = 255
 LEFTMOST = f"""
-WITH RECURSIVE step(n, word, pos, tok) AS (
-  SELECT 0, word, pos, tok FROM given
+WITH RECURSIVE step(n, word, pos, nxt, tok, following, id) AS (
+  SELECT 0, word, pos, nxt, tok, following, m.id FROM given LEFT JOIN merges m ON l = tok AND r = following
   UNION ALL
-  (WITH pair AS MATERIALIZED ({PAIRS}),
-   best AS (SELECT word, min(id) AS merged, arg_min(pos, CAST(id AS BIGINT) * 4294967296 + pos) AS spot FROM pair WHERE id IS NOT NULL GROUP BY word)
-   SELECT n + 1, p.word, pos, CASE WHEN pos = spot THEN merged ELSE tok END
-   FROM pair p JOIN best USING (word) WHERE preceding IS NULL OR preceding <> spot)
+  (WITH best AS (SELECT word, min(CAST(id AS BIGINT) * 65536 + pos * 256 + nxt) AS pair FROM step WHERE id IS NOT NULL GROUP BY word),
+   chosen AS (SELECT word, CAST(pair // 65536 AS INT) AS merged, CAST(pair // 256 % 256 AS INT) AS spot, CAST(pair % 256 AS INT) AS gone FROM best),
+   made AS (SELECT n + 1 AS n, word, CASE WHEN pos = gone THEN spot ELSE pos END AS pos, nxt, CASE WHEN pos = gone THEN merged ELSE tok END AS tok,
+                   CASE WHEN nxt = spot THEN merged ELSE following END AS following, id, pos = gone OR nxt = spot AS anew
+            FROM step JOIN chosen USING (word) WHERE pos <> spot)
+   SELECT n, word, pos, nxt, tok, following, CASE WHEN anew THEN m.id ELSE made.id END FROM made LEFT JOIN merges m ON anew AND l = tok AND r = following)
 ){LAST}"""
 
 ALL_LEAST = f"""
@@ -69,7 +72,7 @@ WITH RECURSIVE step(n, word, pos, tok) AS (
    SELECT n + 1, word, pos, CASE WHEN joined THEN merged ELSE tok END FROM done WHERE NOT eaten)
 ){LAST}"""
 
-DECODE = "SELECT doc, string_agg(piece, '' ORDER BY i) AS text FROM given JOIN pieces USING (id) GROUP BY doc ORDER BY doc"
+DECODE = "SELECT doc AS owner, piece AS value FROM given JOIN pieces USING (id) ORDER BY i"
 
 
 def ascii_pattern(pattern: str) -> str | None:
@@ -116,27 +119,34 @@ class Bpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.table("merges", **{k: np.array(v, np.int32) for k, v in zip(("l", "r", "id"), zip(*merges, strict=True), strict=True)})
-        self.table("pieces", id=np.fromiter(ranks.values(), np.int32), piece=[t.decode("latin-1") for t in ranks])
+        self.table("pieces", id=np.fromiter(ranks.values(), np.int32), piece=pa.array(list(ranks), pa.binary()))
 
     def table(self, name: str, **columns) -> None:
         self.db.register("loading", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM loading")
         self.db.unregister("loading")
 
-    def query(self, sql: str, **given) -> list[tuple]:
+    def query(self, sql: str, **given) -> tuple[np.ndarray, list[pa.Array]]:
+        """All values that a query gives, in its order, and the owner of each: a word or a document."""
         self.db.register("given", pa.table(given))
         try:
-            return self.db.execute(sql).fetchall()
+            got = self.db.sql(sql).to_arrow_table()
         finally:
             self.db.unregister("given")
+        return got.column("owner").to_numpy(), got.column("value").chunks
 
     def contract(self, words: list[bytes], sql: str) -> list[bytes]:
         """The ids of words, as little-endian unsigned 32-bit numbers."""
         sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(sizes)
         data = np.frombuffer(b"".join(words), np.uint8)
-        pos = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        got = self.query(sql, word=np.repeat(np.arange(len(words), dtype=np.int32), sizes), pos=pos.astype(np.int32), tok=self.single[data])
-        return [array("I", ids).tobytes() for _, ids in got]
+        pos = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+        given = {"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": pos.astype(np.int32), "tok": self.single[data]}
+        if sql is LEFTMOST:
+            given |= {"nxt": given["pos"] + np.int32(1), "following": np.append(given["tok"][1:], np.int32(-1))}
+            given["nxt"][ends - 1], given["following"][ends - 1] = END, -1
+        owner, ids = self.query(sql, **given)
+        return parted(b"".join([x.to_numpy().astype("<u4").tobytes() for x in ids]), 4 * np.bincount(owner, minlength=len(words)))
 
     def cut(self, raw: bytes) -> list[bytes]:
         """A long word's parts, between bytes that no piece joins."""
@@ -152,46 +162,47 @@ class Bpe:
                 out |= dict(zip(kind[lo : lo + most], self.contract(kind[lo : lo + most], sql), strict=True))
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
+        """Ids of new words."""
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        short, long = [], []
-        for w in words - self.known.keys():
-            raw = w.encode()
-            rank = self.ranks.get(raw)
-            if rank is not None:
-                self.known[w] = rank.to_bytes(4, "little")
-            else:
-                (short if len(raw) <= LONG else long).append((w, raw))
+        raw = [w.encode() for w in words]
+        ranks = list(map(self.ranks.get, raw))
+        self.known.update((w, r.to_bytes(4, "little")) for w, r in zip(words, ranks, strict=True) if r is not None)
+        short = [i for i, r in enumerate(ranks) if r is None and len(raw[i]) <= LONG]
+        long = [i for i, r in enumerate(ranks) if r is None and len(raw[i]) > LONG]
         for lo in range(0, len(short), AT_ONCE):
             part = short[lo : lo + AT_ONCE]
-            for (w, _), ids in zip(part, self.contract([raw for _, raw in part], LEFTMOST), strict=True):
-                self.known[w] = ids
-        for w, raw in long:
-            parts = self.cut(raw)
+            self.known.update(zip([words[i] for i in part], self.contract([raw[i] for i in part], LEFTMOST), strict=True))
+        for i in long:
+            parts = self.cut(raw[i])
             ids = self.contracted(set(parts))
-            self.known[w] = b"".join(ids[x] for x in parts)
+            self.known[words[i]] = b"".join([ids[x] for x in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.find_ascii(x) if self.find_ascii and x.isascii() else self.find(x) for x in texts]
         found = [list(map(self.known.get, words)) for words in split]
         gaps = [(words, ids, list(missing(ids))) for words, ids in zip(split, found, strict=True) if None in ids]
         if gaps:
-            new = {words[i] for words, _, at in gaps for i in at}
-            self.learn(new)
+            self.learn(list({words[i] for words, _, at in gaps for i in at}))
             for words, ids, at in gaps:
                 for i in at:
                     ids[i] = self.known[words[i]]
         return [b"".join(ids) for ids in found]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        out = [b""] * len(ids)
         sizes = [len(x) // 4 for x in ids]
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        given = {"doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "i": np.arange(len(flat)), "id": flat}
-        for doc, text in self.query(DECODE, **given):
-            out[doc] = text.encode("latin-1")
-        return out
+        owner, pieces = self.query(DECODE, doc=np.repeat(np.arange(len(ids), dtype=np.int32), sizes), i=np.arange(len(flat)), id=flat)
+        at = [np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1] for x in pieces]
+        each = np.bincount(owner, np.concatenate([np.zeros(0), *map(np.diff, at)]), len(ids)).astype(np.int64)
+        return parted(b"".join([memoryview(x.buffers()[2])[k[0] : k[-1]] for x, k in zip(pieces, at, strict=True)]), each)
+
+
+def parted(raw: bytes, sizes: np.ndarray) -> list[bytes]:
+    """Parts of so many bytes, one after another."""
+    ends = np.cumsum(sizes).tolist()
+    return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=2)

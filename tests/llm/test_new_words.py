@@ -5,9 +5,9 @@ import random
 import numpy as np
 import public_tokenizers
 
-from stagewise.llm import tokenfile
+from stagewise.llm import bpe, tokenfile
 
-WORDS = public_tokenizers.path("word_bpe_49k.json")
+RANKS, PATTERN, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("word_bpe_49k.json")
 
 
 class Looked(dict):
@@ -53,3 +53,25 @@ def test_models_with_other_marks_are_not_respelt():
     model = {"type": "BPE", "vocab": {"a": 0, "a</w>": 1}, "merges": [], "end_of_word_suffix": "</w>"}
     for change in ({}, {"end_of_word_suffix": None}, {"type": "WordLevel"}, {"dropout": 0.1}, {"ignore_merges": True}):
         assert ids.spell(model | change) is None
+
+
+def test_bpe_looks_words_up_and_contracts_as_tiktoken():
+    """Short words of every size up to the bound, of few letters, of awkward bytes, and of pieces whose parts rank after the whole."""
+    import tiktoken
+
+    ranks = bpe.load_ranks(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    late = [t.decode() for t, r in ranks.items() if t.isalpha() and t.isascii() and any(t[:i] in ranks and t[i:] in ranks and max(ranks[t[:i]], ranks[t[i:]]) > r for i in range(1, len(t)))]
+    rng = random.Random(4)
+    words = ["".join(rng.choices(a, k=rng.randrange(1, bpe.LONG + 2))) for a in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "aéñ", "日本語", "%$#") for _ in range(150)]
+    words += ["".join(rng.choices(late, k=rng.randrange(2, 9))) for _ in range(600)] + [" " + w for w in made_up(600, "etaoinsh", "")]
+    words += ["a" * n for n in range(1, bpe.LONG + 3)]
+    b = bpe.Bpe(ranks, PATTERN)
+    b.known = Looked()
+    want = [enc.encode_ordinary(w) for w in words]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in b.encode(words)] == want
+    ids = [np.array(x, "<u4").tobytes() for x in want]
+    assert b.decode(ids) == [w.encode() for w in words]
+    assert b.decode([]) == [] and b.decode([b"", ids[0], b""]) == [b"", words[0].encode(), b""] and b.decode([b""]) == [b""]
+    assert b.encode([]) == [] and b.encode(["", ""]) == [b"", b""]
