@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,14 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import missing, parted
 from .shared import stash, tasks
 
 #: A space that stands alone between two other characters: no token of either kind reaches over its beginning.
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+#: A space before one of these, or at an end of a text, does not stand so.
+NOT_ALONE = [f" {c}" for c in map(chr, range(1 << 16)) if c.isspace()]
 #: Ids of B in a stripe's matrix. With 50,000 ids of A it takes 13 MB.
 WIDTH = 32
 #: Characters of pieces whose tokens a worker remembers, and pairs that a task adds up, or deals out, at a time.
 REMEMBERED, ADDED_UP = 1 << 22, 1 << 20
+#: Pieces that are encoded as one text.
+TOGETHER = 64
 SPACE = "▁"
 
 
@@ -65,6 +71,7 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.first = Tokenizer.from_file(byte_file)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_file=piece_file)
@@ -77,14 +84,14 @@ class Aligner:
         self.length_a, self.length_b = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
         #: an id of A with what follows it inside its group and at the end of its side, then the same of B
         self.written = [b"%d%s" % (i, end) for n, ends in ((self.size_a, (b",", b"|")), (self.size_b, (b",", b";"))) for end in ends for i in range(n)]
+        self.length_written = np.array([len(x) for x in self.written], np.int64)
         self.cuts = self.can_cut(pieces)
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.chars = 0
-        self.n_a: list[int] = []
-        self.n_b: list[int] = []
+        self.n_a, self.n_b, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.groups: list[bytes | None] = []
         self.starts, self.a, self.b = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
@@ -97,61 +104,88 @@ class Aligner:
         byte_level = words == ["a", "Ġb", "Ġ", "Ġc", "Ġd", "'ll", "Ġ7", "Ġ-", "x"]
         return keeps and byte_level and not any(SPACE in p.lstrip(SPACE) for p in pieces)
 
-    def learn(self, new: list[str]) -> None:
-        """Encode pieces, each after a space, and remember what came of them."""
-        raw = [f" {p}".encode() for p in new]
-        both_a = [x.ids for x in self.first.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)]
-        both_b = self.second.encode(new, num_threads=1)
-        bad = set()
-        if any(b"".join([names[i] for ids in lists for i in ids]) != b"".join(raw) for names, lists in ((self.a_bytes, both_a), (self.b_bytes, both_b))):
-            bad = {i for i, (x, y, r) in enumerate(zip(both_a, both_b, raw, strict=True)) if b"".join([self.a_bytes[k] for k in x]) != r or b"".join([self.b_bytes[k] for k in y]) != r}
-            for i in bad:
-                both_a[i], both_b[i] = [], []
+    def learn(self, new: list[str], together: int) -> None:
+        """Encode pieces, each after a space and so many in a text, and remember what came of them. Several stand in a text only
+        if it would be cut between them; those of a text that a tokenizer does not give back are encoded again one by one."""
+        if not new:
+            return
+        texts = new if together == 1 else [" ".join(new[i : i + together]) for i in range(0, len(new), together)]
+        both_a = [x.ids for x in self.first.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        both_b = self.second.encode(texts, num_threads=1)
         (a, at_a), (b, at_b) = (flat(lists) for lists in (both_a, both_b))
+        bad = np.zeros(len(texts), bool)
+        said = f" {' '.join(texts)}".encode()
+        if any(b"".join(map(names.__getitem__, ids.tolist())) != said for names, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+            for i, (x, y, t) in enumerate(zip(both_a, both_b, texts, strict=True)):
+                bad[i] = any(b"".join([names[k] for k in ids]) != f" {t}".encode() for names, ids in ((self.a_bytes, x), (self.b_bytes, y)))
+            if together > 1:
+                for wrong, count in ((False, together), (True, 1)):
+                    self.learn([p for i in np.flatnonzero(bad == wrong).tolist() for p in new[i * together : (i + 1) * together]], count)
+                return
+            (a, at_a), (b, at_b) = (flat([[] if no else x for x, no in zip(lists, bad.tolist(), strict=True)]) for lists in (both_a, both_b))
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        if together > 1:
+            bad = np.zeros(len(new), bool)
+            ends = np.cumsum(np.array([len(p.encode()) for p in new], np.int64) + 1)
+            at_a, at_b = (np.concatenate([[0], np.searchsorted(x, ends) + 1]) for x in (ends_a, ends_b))
         _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
         # groups follow one another, in each A's tokens before B's
-        group_a, group_b = np.searchsorted(last_a, np.arange(len(a))), np.searchsorted(last_b, np.arange(len(b)))
+        end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        end_a[last_a] = end_b[last_b] = 1
         before_b, upto_a = np.concatenate([[0], last_b + 1]), np.append(last_a + 1, 0)
         order = np.empty(len(a) + len(b), np.int64)
-        end_a, end_b = np.isin(np.arange(len(a)), last_a), np.isin(np.arange(len(b)), last_b)
-        order[np.arange(len(a)) + before_b[group_a]] = a + self.size_a * end_a
-        order[np.arange(len(b)) + upto_a[group_b]] = b + 2 * self.size_a + self.size_b * end_b
-        said, at = [self.written[i] for i in order.tolist()], (at_a + at_b).tolist()
-        for i, p in enumerate(new):
-            self.number[p] = len(self.number)
-            self.groups.append(None if i in bad else b"".join(said[at[i] : at[i + 1]]))
-        self.n_a += np.diff(at_a).tolist()
-        self.n_b += np.diff(at_b).tolist()
+        order[np.arange(len(a)) + before_b[np.cumsum(end_a) - end_a]] = a + self.size_a * end_a
+        order[np.arange(len(b)) + upto_a[np.cumsum(end_b) - end_b]] = b + 2 * self.size_a + self.size_b * end_b
+        upto = np.concatenate([[0], np.cumsum(self.length_written[order])])[at_a + at_b]
+        groups = parted(b"".join(map(self.written.__getitem__, order.tolist())), np.diff(upto))
+        for i in np.flatnonzero(bad).tolist():
+            groups[i] = None
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.groups += groups
+        self.n_a, self.n_b, self.bad = np.append(self.n_a, np.diff(at_a)), np.append(self.n_b, np.diff(at_b)), np.append(self.bad, bad)
         self.chars += sum(map(len, new))
         self.starts = np.append(self.starts, self.starts[-1] + np.searchsorted(last_a, at_a[1:]))
         self.a, self.b = np.append(self.a, a[last_a].astype(np.int32)), np.append(self.b, b[last_b].astype(np.int32))
 
+    def pieces(self, text: str) -> list[str]:
+        """The text cut at spaces that stand alone; if all do, without looking at each."""
+        if not self.cuts:
+            return [text]
+        alone = not (text.startswith(" ") or text.endswith(" ") or any(x in text for x in NOT_ALONE))
+        return text.split(" ") if alone else CUT.split(text)
+
     def texts(self, texts: list[str]) -> Slice:
-        cut = [CUT.split(t) if self.cuts else [t] for t in texts]
+        cut = list(map(self.pieces, texts))
         if self.chars > REMEMBERED:
             self.forget()
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.number))
-        for lo in range(0, len(new), 1 << 15):
-            self.learn(new[lo : lo + (1 << 15)])
-        out = Slice([], [], [], np.zeros(len(texts), np.int64), *([] for _ in "ab"))
-        for i, (text, parts) in enumerate(zip(texts, cut, strict=True)):
-            numbers = [self.number[p] for p in parts]
-            said = [self.groups[k] for k in numbers]
-            if not text or None in said:
-                for column, nothing in ((out.n_a, 0), (out.n_b, 0), (out.groups, None)):
-                    column.append(nothing)
-                continue
-            out.n_a.append(sum([self.n_a[k] for k in numbers]))
-            out.n_b.append(sum([self.n_b[k] for k in numbers]))
-            out.groups.append(b"".join(said)[:-1])
-            k = np.array(numbers)
-            first, n = self.starts[k], self.starts[k + 1] - self.starts[k]
-            take = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
-            out.n_links[i] = len(take)
-            out.a.append(self.a[take])
-            out.b.append(self.b[take])
-        return out._replace(a=np.concatenate([np.zeros(0, np.int32), *out.a]).astype(np.int64), b=np.concatenate([np.zeros(0, np.int32), *out.b]).astype(np.int64))
+        parts = list(chain.from_iterable(cut))
+        numbers = list(map(self.number.get, parts))
+        gaps = list(missing(numbers))
+        new = list(dict.fromkeys([parts[i] for i in gaps]))
+        plain = [p for p in new if p and p[-1] != " " and not p[0].isspace()] if self.cuts else []
+        for pieces, together in ((plain, TOGETHER), (list(set(new).difference(plain)), 1)):
+            for lo in range(0, len(pieces), 1 << 15):
+                self.learn(pieces[lo : lo + (1 << 15)], together)
+        for i in gaps:
+            numbers[i] = self.number[parts[i]]
+        k, sizes = np.array(numbers, np.int64), np.array([len(x) for x in cut], np.int64)
+        ends = np.cumsum(sizes)
+        of, at = np.repeat(np.arange(len(texts)), sizes), [0, *ends.tolist()]
+        void = np.array([not t for t in texts], bool)
+        void[of[self.bad[k]]] = True
+        groups = [None if no else b"".join(map(self.groups.__getitem__, numbers[i:j]))[:-1] for no, i, j in zip(void.tolist(), at, at[1:], strict=False)]
+        kept = ~void[of]
+        k, of = k[kept], of[kept]
+        first, n = self.starts[k], self.starts[k + 1] - self.starts[k]
+        take = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        n_a, n_b, n_links = (added(x, of, len(texts)) for x in (self.n_a[k], self.n_b[k], n))
+        return Slice(n_a.tolist(), n_b.tolist(), groups, n_links, self.a[take].astype(np.int64), self.b[take].astype(np.int64))
+
+
+def added(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each text's values, which stand together, text by text."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    return np.diff(upto[np.searchsorted(of, np.arange(n + 1))])
 
 
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

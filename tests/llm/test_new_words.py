@@ -1,13 +1,15 @@
 """What encoders do with words they have not met: as the libraries, and at a cost that does not grow with what they remember."""
 
+import os
 import random
 
 import numpy as np
 import public_tokenizers
 
-from stagewise.llm import bpe, tokenfile
+from stagewise.llm import align, bpe, tokenfile
 
 RANKS, PATTERN, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("word_bpe_49k.json")
+BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 class Looked(dict):
@@ -75,3 +77,34 @@ def test_bpe_looks_words_up_and_contracts_as_tiktoken():
     assert b.decode(ids) == [w.encode() for w in words]
     assert b.decode([]) == [] and b.decode([b"", ids[0], b""]) == [b"", words[0].encode(), b""] and b.decode([b""]) == [b""]
     assert b.encode([]) == [] and b.encode(["", ""]) == [b"", b""]
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_aligned_pieces_are_encoded_many_at_a_time_by_one_thread():
+    """What comes of them is what comes of whole texts, those included that the second tokenizer does not give back."""
+    both, whole = align.Aligner(BYTES, PIECES), align.Aligner(BYTES, PIECES)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    both.first, whole.cuts = Counted(both.first), False
+    rng = random.Random(12)
+    words = made_up(3000, "etaoinshé日", ".,\n")
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 90))) for _ in range(250)]
+    both.texts(texts)
+    assert both.first.texts < len(both.number) / 20
+    awkward = [*words[:40], "", " ", "\t", "\x00", "▁", "ﬁ", "é", "a  b", " x", "x　", " y", "z ", "<s>", "\x85"]
+    texts += ["", " ", "  ", " a", "a ", "a  b", "a \nb", "a\n b", "a 　b", "▁ a"]
+    texts += [" ".join(rng.choices(awkward, k=rng.randrange(1, 9))) for _ in range(600)]
+    got, want = both.texts(texts), whole.texts(texts)
+    assert None in got.groups[250:] and got.groups == want.groups
+    for x, y in zip(got, want, strict=True):
+        assert np.array_equal(x, y) or x == want.groups
+    assert [both.pieces(t) for t in texts] == [align.CUT.split(t) for t in texts]
