@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,6 +20,12 @@ from ..session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a table that one file holds at least, where a table of known size is written.
+ROWS_A_FILE = 50_000
+
+Batches = Iterator[pa.RecordBatch]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is removed when the driver's Python ends, since results are read from it until then."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -34,13 +41,33 @@ def removed(jvm, path: str) -> None:
         pass
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage at a table that survives lost executors."""
+def stash(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage at a table that survives lost executors.
+
+    rows: about how many rows it is made of, if known; few are written by few tasks, since each task writes a file, for which
+    Hadoop without its native library starts processes beside the executor.
+    """
     path = scratch(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(min(tasks(df.sparkSession), 1 + rows // ROWS_A_FILE))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The function for mapInArrow; memory that Arrow keeps for later goes back to the system after each batch, as workers live on
+    beside each other and the executor's JVM."""
+
+    def run(batches: Batches) -> Batches:
+        for b in work(batches):
+            yield b
+            del b
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def freed(spark: SparkSession) -> None:
     """Let go of the shuffle files of what has been written: Spark removes them when the driver's memory is collected."""
     gc.collect()
@@ -73,16 +100,15 @@ class Ranges(NamedTuple):
     heads: Broadcast[np.ndarray]
     n: int
 
+    def numbers(self, values: pa.Array) -> np.ndarray:
+        """The numbers of the ranges of an array's values, in a task; nulls are in the last."""
+        ascending, last = self.heads.value[::-1], self.n - 1
+        at = len(ascending) - 1 - np.searchsorted(ascending, values.fill_null(0).to_numpy(zero_copy_only=False))
+        return np.where(values.is_null().to_numpy(zero_copy_only=False), last, np.clip(at, 0, last)).astype(np.int32)
+
     def number(self, column: Column) -> Column:
         """The number of a value's range; nulls are in the last."""
-        heads, last = self.heads, self.n - 1
-
-        def numbered(values: pa.Array) -> pa.Array:
-            ascending = heads.value[::-1]
-            at = len(ascending) - 1 - np.searchsorted(ascending, values.fill_null(0).to_numpy(zero_copy_only=False))
-            return pa.array(np.where(values.is_null().to_numpy(zero_copy_only=False), last, np.clip(at, 0, last)).astype(np.int32))
-
-        return F.arrow_udf(numbered, "int")(column.cast("long"))
+        return F.arrow_udf(lambda values: pa.array(self.numbers(values)), "int")(column.cast("long"))
 
     def also(self, column: Column) -> Column:
         """For the greatest value of a range, the number of the range before, or of the last one for the first; else null."""

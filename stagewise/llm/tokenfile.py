@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .align import byte_alphabet
-from .shared import bounded_sample, ranges, scratch, stash, tasks
+from .shared import bounded_sample, lean, ranges, scratch, stash, tasks
 from .storage import reading, writing
 
 MAGIC = b"TOKSHRD1"
 TAIL = struct.Struct("<QQ8s")
 LEVEL = 3
 #: Words whose ids a Python worker remembers; beyond this it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Words of letters that are encoded as one text.
 TOGETHER = 64
 SIGNS = string.punctuation.encode()
@@ -181,7 +181,7 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def groups(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of texts of about so many characters together; a longer text comes alone."""
     lo, n = 0, 0
     for i, x in enumerate(texts):
@@ -205,7 +205,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids) of every row of (doc_id, text): the text's ids and end_id, little-endian. Null text: empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda b: encoded(b, path, end_id), f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(lambda b: encoded(b, path, end_id)), f"doc_id {kind}, ids binary")
 
 
 class Dictionary(NamedTuple):
@@ -264,17 +264,19 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, shard_bytes:
     width = 2 if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    cut = ranges(docs, "doc_id")
+
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained.shared(), write_checksum=False, write_dict_id=False)
         for b in encoded(batches, path, end_id):
-            ids = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(x) for x in ids], pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())], ["doc_id", "frame", "n_tokens"])
+            ids, keys = b.column(1).to_pylist(), b.column(0).cast(pa.int64())
+            at = np.where(keys.is_null().to_numpy(zero_copy_only=False), cut.n, cut.n - 1 - cut.numbers(keys)).astype(np.int32)
+            columns = [b.column(0), pa.array([z.compress(x) for x in ids], pa.binary()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "frame", "n_tokens", "at"])
 
-    frames = docs.select("doc_id", "text").mapInArrow(compressed, f"doc_id {kind}, frame binary, n_tokens long")
-    cut = ranges(docs, "doc_id")
-    frames = frames.withColumn("range", cut.number(F.col("doc_id")))
-    at = F.when(F.col("doc_id").isNull(), cut.n).otherwise(F.lit(cut.n - 1) - F.col("range"))
-    dealt = frames.select("doc_id", "frame", "n_tokens", at.cast("int").alias("at")).repartitionById(cut.n + 1, F.col("at")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "frame")
+    # Ranges are numbered here: a function of its own would be a second Python worker of each task, and workers that change places all remember words.
+    frames = docs.select("doc_id", "text").mapInArrow(lean(compressed), f"doc_id {kind}, frame binary, n_tokens long, at int")
+    dealt = frames.repartitionById(cut.n + 1, F.col("at")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "frame")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -349,7 +351,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     listed = manifest.select("name", "start").repartition(tasks(manifest.sparkSession))
-    return listed.mapInArrow(opened, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return listed.mapInArrow(lean(opened), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
