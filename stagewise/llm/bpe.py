@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import lean
+
 #: Characters of text that are encoded at once, and bytes up to which a word counts as short.
 GROUP, LONG = 2 << 20, 64
 #: New words that one query encodes, and words that a worker remembers before it starts anew.
@@ -265,4 +267,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             sums = [pa.array([hashlib.sha256(x).hexdigest() for x in c], pa.string()) for c in (ids, raw)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *sums], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(digested, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(digested), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,12 +26,12 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (u, v): the component is its least id. Order and direction don't matter."""
     edges = stash(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
-    mark = None
+    mark, rows = None, edges.count()
     while True:
-        edges = stash(star(star(edges, True), False), "edges")
+        edges = stash(star(star(edges, True), False), "edges", rows)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, rows = now, now[0]
     leaves = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return leaves.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -403,13 +403,15 @@ def near_lines(docs: DataFrame, known: DataFrame, max_edits: int, least_chars: i
     rows = stash(met(parted(hot, lines, max_edits), own), "lines-met")
     pairs.append(pairs_of(rows, own, lines, max_edits))
     states = first_stretches(rows.where(F.col("n_own") > BUCKET), lines, max_edits)
+    n = None
     while True:
-        states = stash(states, "line-stretches")
-        if states.isEmpty():
+        states = stash(states, "line-stretches", n)
+        n = states.count()
+        if not n:
             break
         small = (F.col("a_len") <= 1) & (F.col("b_len") <= 1)
         found.append(earliest_near(states.where(small), lines))
-        rows = stash(met(cut_stretches(states.where(~small), lines), is_own()), "lines-met")
+        rows = stash(met(cut_stretches(states.where(~small), lines), is_own()), "lines-met", n)
         pairs.append(pairs_of(rows, is_own(), lines, max_edits))
         states = rows.where(F.col("n_own") > BUCKET).select(*STATE)
     found.append(verified(reduce(DataFrame.unionByName, pairs).distinct(), lines, max_edits))

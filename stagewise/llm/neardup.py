@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stash, text_of
+from .shared import lean, stash, text_of
 from .wordhash import mix, pieces, shingles, word_hashes
 
 CELLS = 1 << 20
@@ -83,7 +83,7 @@ def document_frequencies(docs: DataFrame, words: int) -> tuple[int, np.ndarray]:
         return pa.table({"slice": table.column("slice")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "blob": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
     kind = "slice int, n long, blob binary"
-    rows = docs.select(text_of("text").alias("text")).mapInArrow(counted, kind).groupBy("slice").applyInArrow(summed, kind).collect()
+    rows = docs.select(text_of("text").alias("text")).mapInArrow(lean(counted), kind).groupBy("slice").applyInArrow(summed, kind).collect()
     table = np.zeros(CELLS, np.int64)
     for r in rows:
         table[r["slice"] * (CELLS // SLICES) : (r["slice"] + 1) * (CELLS // SLICES)] = np.frombuffer(r["blob"], "<i8")
@@ -124,7 +124,7 @@ def idf_weights(docs: DataFrame, words: int) -> Weights:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "n"])
 
     marked = docs.sparkSession.sparkContext.broadcast(cells)
-    found = docs.select(text_of("text").alias("text")).mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = docs.select(text_of("text").alias("text")).mapInArrow(lean(counted), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     often = found.where(F.col("n") > least).toPandas().sort_values("shingle") if cells.any() else None  # at most the shingles of 1 / SHARE documents
     kept = (often["shingle"].to_numpy().astype(np.uint32), often["n"].to_numpy().astype(np.float64)) if often is not None else (np.zeros(0, np.uint32), np.zeros(0))
 
@@ -190,7 +190,7 @@ def signatures(docs: DataFrame, words: int, weights) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), b.column(1).slice(i, len(part)), lists], ["doc_id", "h", "bands"])
 
     text = text_of("text")
-    return docs.select("doc_id", F.unhex(F.md5(text)).alias("h"), text.alias("text")).mapInArrow(signed, f"doc_id {kind}, h binary, bands array<long>")
+    return docs.select("doc_id", F.unhex(F.md5(text)).alias("h"), text.alias("text")).mapInArrow(lean(signed), f"doc_id {kind}, h binary, bands array<long>")
 
 
 def filter_bits(ids: pa.Array) -> np.ndarray:
@@ -238,7 +238,7 @@ def vectors(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, len(part)), pa.array(blobs, pa.binary())], ["h", "bag"])
 
     text = text_of("text")
-    found = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("h"), text.alias("text")).mapInArrow(packed, "h binary, bag binary")
+    found = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("h"), text.alias("text")).mapInArrow(lean(packed), "h binary, bag binary")
     return found.join(wanted.select("h"), "h", "left_semi").dropDuplicates(["h"])
 
 
@@ -264,7 +264,7 @@ def verified(pairs: DataFrame, bag: DataFrame, weights, threshold: float) -> Dat
 
     left, right = (bag.select(F.col("h").alias(x), F.col("bag").alias(f"{x}_bag")) for x in "uv")
     df = pairs.join(right, "v").join(left, "u")
-    return df.select("u", "v", "u_bag", "v_bag").mapInArrow(compared, "u binary, v binary, linked boolean")
+    return df.select("u", "v", "u_bag", "v_bag").mapInArrow(lean(compared), "u binary, v binary, linked boolean")
 
 
 def paired(x: str = "x", y: str = "y") -> list[Column]:

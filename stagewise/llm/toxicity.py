@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import lean, text_of
 
 LEAST_FUZZY = 5
 WINDOW = 6
@@ -317,4 +317,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             text = b.column(b.schema.get_field_index("text"))
             yield b.filter(pa.array(model.log_odds(np.array([scorer.features(t.as_py() or "") for t in text])) < 0))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)
