@@ -40,10 +40,14 @@ def judged_rows(read_mail: DataFrame, events: tuple[str, ...]) -> DataFrame:
 
 
 def confusion(rows: DataFrame) -> DataFrame:
-    """(dimension, value, expected, predicted, n): over all rows, by split, and by tag. A row counts once for each of its tags, and the groups come from one pass."""
-    tagged = rows.select("split", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tags")).alias("tag"), "expected", "predicted")
+    """(dimension, value, expected, predicted, n): over all rows, by split, and by tag. A row counts once for each of its tags, and the groups come from one pass.
+
+    Rows that are alike are counted first, so that a few are multiplied by tags and groups, and not all.
+    """
+    alike = rows.groupBy("split", "tags", "expected", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    tagged = alike.select("split", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tags")).alias("tag"), "expected", "predicted", "n")
     whole = F.col("tag").isNull()
-    counted = tagged.groupingSets([["expected", "predicted"], ["split", "expected", "predicted"], ["tag", "expected", "predicted"]], "split", "tag", "expected", "predicted").agg(F.count_if(whole).alias("rows"), F.count_if(~whole).alias("tagged"), F.grouping("split").alias("no_split"), F.grouping("tag").alias("no_tag"))
+    counted = tagged.groupingSets([["expected", "predicted"], ["split", "expected", "predicted"], ["tag", "expected", "predicted"]], "split", "tag", "expected", "predicted").agg(F.sum(F.when(whole, F.col("n")).otherwise(0)).alias("rows"), F.sum(F.when(~whole, F.col("n")).otherwise(0)).alias("tagged"), F.grouping("split").alias("no_split"), F.grouping("tag").alias("no_tag"))
     by_tag = F.col("no_tag") == 0
     dimension = F.when(by_tag, "tag").when(F.col("no_split") == 0, "split").otherwise("all")
     out = counted.select(dimension.alias("dimension"), F.when(by_tag, F.col("tag")).otherwise(F.coalesce("split", F.lit("all"))).alias("value"), "expected", "predicted", F.when(by_tag, F.col("tagged")).otherwise(F.col("rows")).alias("n"))
