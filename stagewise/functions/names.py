@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import col
+from .expr import bound, col, holds, meets, needed
 
 NAME = r"[A-Z][A-Za-z&.-]*(?: (?:[A-Z][A-Za-z&.-]*|&)){0,4}"
 #: Words at the end of a company's name that its domain need not spell.
@@ -28,7 +28,7 @@ MORE = 3
 def domain_label(sender: str | Column) -> Column:
     """The name part of the sender's domain, in lower case; empty for platforms."""
     label = F.lower(F.regexp_extract(F.coalesce(col(sender), F.lit("")), r"@(?:[\w-]+\.)*([\w-]+)\.[A-Za-z]+", 1))
-    return F.when(label.rlike(PLATFORM_HOSTS), "").otherwise(label)
+    return bound(label, lambda x: F.when(x.rlike(PLATFORM_HOSTS), "").otherwise(x))
 
 
 def spells(label: Column, name: Column) -> Column:
@@ -50,23 +50,42 @@ def spells(label: Column, name: Column) -> Column:
     return (label != "") & (F.length(label) >= 3) & F.array_contains(reached, F.length(label))
 
 
+def may_spell(label: Column, name: Column) -> Column:
+    """What holds whenever a label is spelt by a name that begins with a letter: both begin alike, or the name with a legal form."""
+    return (F.lower(F.substring(name, 1, 1)) == F.substring(label, 1, 1)) | F.lower(name).rlike(rf"^(?:{'|'.join(x for x in LEGAL if '.' not in x)})")
+
+
 def first_phrase(text: Column, patterns: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns), F.lit(""))
+    """What the first of the patterns that is met takes out of the text; empty if none is met."""
+
+    def taken(x: Column, p: str) -> Column:
+        return F.when(holds(x, needed(p)), bound(F.regexp_extract(x, p, 1), lambda y: F.when(y != "", y)))
+
+    return bound(text, lambda x: F.coalesce(*(taken(x, p) for p in patterns), F.lit("")))
 
 
 def cleaned(name: Column) -> Column:
     """A name without marks at its end; empty if it is none."""
     bare = F.regexp_replace(F.trim(name), r"[ ,;:!?-]+$", "")
-    return F.when(bare.rlike(NOT_NAMES) | (F.length(bare) < 3), "").otherwise(bare)
+    return F.when(name == "", "").otherwise(bound(bare, lambda x: F.when((F.length(x) < 3) | x.rlike(NOT_NAMES), "").otherwise(x)))
+
+
+def longest_spelt(label: Column, text: Column) -> Column:
+    """The longest name in a text that a domain's label spells; null if none does. Texts are searched only where there is a label."""
+    spelt = F.filter(F.regexp_extract_all(text, F.lit(f"({NAME})"), F.lit(1)), lambda n: may_spell(label, n) & spells(label, n))
+    return F.when(F.length(label) >= 3, F.array_max(F.transform(spelt, lambda n: F.struct(F.length(n).alias("length"), n.alias("name"))))["name"])
 
 
 def witnesses(sender: str, subject: str, body: str) -> Column:
     """What each witness says, in their order; empty where one says nothing."""
-    label = domain_label(sender)
     text = F.concat_ws("\n", subject, body)
-    spelt = F.transform(F.array(label), lambda x: F.array_max(F.transform(F.filter(F.regexp_extract_all(text, F.lit(f"({NAME})"), F.lit(1)), lambda n: spells(x, n)), lambda n: F.struct(F.length(n).alias("length"), n.alias("name"))))["name"])[0]
-    display = F.when(col(sender).rlike(PERSON) & ~col(sender).rlike(OFFICE), "").otherwise(F.regexp_extract(col(sender), r"^(.+) <", 1))
-    return F.array(*(cleaned(F.coalesce(x, F.lit(""))) for x in (spelt, first_phrase(F.coalesce(col(subject), F.lit("")), SUBJECT_PHRASES), display, first_phrase(F.coalesce(col(body), F.lit("")), BODY_PHRASES), F.initcap(label))))
+    display = F.when(meets(col(sender), PERSON) & ~meets(col(sender), OFFICE), "").otherwise(F.regexp_extract(col(sender), r"^(.+) <", 1))
+
+    def said(label: Column) -> Column:
+        each = (longest_spelt(label, text), first_phrase(F.coalesce(col(subject), F.lit("")), SUBJECT_PHRASES), display, first_phrase(F.coalesce(col(body), F.lit("")), BODY_PHRASES), F.initcap(label))
+        return F.array(*(bound(F.coalesce(x, F.lit("")), cleaned) for x in each))
+
+    return bound(domain_label(sender), said)
 
 
 def resolved(said: Column) -> Column:
