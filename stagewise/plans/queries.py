@@ -213,14 +213,16 @@ MAIL: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-#: Queries that use what was read more than once, or filter by it: it is written first, so that no message is read again for each condition.
-READ_ONCE = frozenset("repair_plan repaired_rows review_plan review_results thread_states thread_events mail_employers evaluation_employers".split())
+#: Of messages as they are read, what queries use that use it more than once, or filter by it: that is written first, so that no message is read again for each condition; the rest is not made.
+REPAIRED = "message_id k truth verdict detected_status job_type industry".split()
+REVIEWED = "message_id k truth arrived chars is_ambiguous".split()
+READ_ONCE = {"repair_plan": REPAIRED, "repaired_rows": REPAIRED, "review_plan": REVIEWED, "review_results": [*REVIEWED, "verdict", "detected_status"]}
 
 
 def of_mail(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         read = evaluation.read(mail.mail(spark, sf_dir))
-        return MAIL[name](stash(read, "mail") if name in READ_ONCE else read)
+        return MAIL[name](stash(read.withColumn("chars", F.length("snippet")).select(READ_ONCE[name]), "mail") if name in READ_ONCE else read)
 
     return run
 

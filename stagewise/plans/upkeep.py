@@ -108,8 +108,9 @@ def repaired_rows(read: DataFrame, events: tuple[str, ...]) -> DataFrame:
 
 
 def doubtful(read: DataFrame) -> DataFrame:
+    """Messages (with chars, the length of the snippet) that the rules are not sure of, and some others."""
     unsure = read.where("is_ambiguous OR k % 4 = 0")
-    return unsure.select("message_id", "k", "truth", F.date_format("arrived", "yyyy-MM").alias("month"), F.col("arrived").cast("string").alias("arrived"), (F.lit(700) + F.length("snippet")).cast("long").alias("cost"))
+    return unsure.select("message_id", "k", "truth", F.date_format("arrived", "yyyy-MM").alias("month"), F.col("arrived").cast("string").alias("arrived"), (F.lit(700) + F.col("chars")).cast("long").alias("cost"))
 
 
 def review_plan(read: DataFrame) -> DataFrame:
