@@ -206,6 +206,12 @@ def by_text(source: str) -> str:
     return f"SELECT surface, member, {values} FROM (SELECT surface, member, {aggregates} FROM {source} GROUP BY surface, member) AS aggregated"
 
 
+def by_company(facts: DataFrame) -> DataFrame:
+    """Facts dealt out by company before they are placed on surfaces, since companies are counted once: a task has all of a company's rows, so that no row of
+    (surface, member, company), with the medians so far, goes from task to task."""
+    return facts.repartition("company_name")
+
+
 def on_surfaces(facts: DataFrame, quiet: int = FOLLOW_UP_AFTER) -> DataFrame:
     """A row for each application and member it belongs to: at most one a named set and four more, whatever the data."""
     def at(surface: str, member: Column | str, condition: Column | None = None) -> Column:
@@ -231,7 +237,7 @@ def long(wide: DataFrame, value: str, columns: list[str] | None = None) -> DataF
 
 def measures(facts: DataFrame) -> DataFrame:
     """(surface, member, measure, value) of all measures on all surfaces."""
-    return long(by_columns(on_surfaces(facts)), "value")
+    return long(by_columns(on_surfaces(by_company(facts))), "value")
 
 
 def twins(facts: DataFrame, as_of) -> DataFrame:
@@ -256,7 +262,7 @@ def parity(facts: DataFrame, as_of) -> DataFrame:
     agree: the two compilations differ by less than the rounding, and the metric, where there is one, by at most TOLERANCE;
     null meets null. A set without applications is on no surface; its metrics have no measure to meet.
     """
-    placed = on_surfaces(facts)
+    placed = on_surfaces(by_company(facts))
     text = facts.sparkSession.sql(by_text("{placed}"), placed=placed)
     both = long(by_columns(placed), "by_columns").join(long(text, "by_sql"), ["surface", "member", "measure"])
     metric = twins(facts, as_of).withColumn("has_metric", F.lit(True))
